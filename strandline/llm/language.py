@@ -13,8 +13,8 @@ runs over all rows and whole texts, batch by batch in Arrow's and numpy's own lo
 Headings, links, references, redirects, template and table fields are not prose; the
 text of a quotation template is. Null or empty texts have no language. Equal texts get
 equal results; rows with a null id are treated like others. Ties between languages go
-to the alphabetically first. Confidence is the share of a span's known words that
-its language explains best.
+to the alphabetically first. Confidence is the share of a span's known words that are more
+likely in its language than in the average of all.
 """
 
 from __future__ import annotations
@@ -126,7 +126,6 @@ class Model:
         rows = np.vstack([np.clip(known, -6.0, 3.0), unknown, np.zeros((1, len(col)))])
         none = np.concatenate([np.full(len(self.words), -2.0), np.zeros(len(unknown) + 1)])
         self.scores = np.hstack([rows, none[:, None]]).astype(np.float32)
-        self.best = np.concatenate([known.argmax(1) if len(known) else np.zeros(0, dtype=int), np.full(len(unknown) + 1, -1)])
         self.states = [*self.langs, NONE]
 
     def ids(self, words: pa.Array) -> np.ndarray:
@@ -188,8 +187,8 @@ def spans(words: pa.Array, owner: np.ndarray, texts: int, model: Model, whole: b
     ids = model.ids(words)
     state = label_words(ids, owner, texts, model)
     letters = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    known = model.best[ids] >= 0
-    right = known & (model.best[ids] == state)
+    known = ids < len(model.words)
+    right = known & (model.scores[ids, state] > 0)
     L = len(model.states)
     if whole:
         key, group = np.unique(owner * L + state, return_inverse=True)

@@ -155,4 +155,29 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_cube, p4_overlap, p5_found, p5_daily, p8_found, p8_fill, p9_found, p9_shares, p9_mix, p10_found, p10_documents, p10_segments)}
-SQL: dict[str, str] = {}
+_HOST = "nullif(split_part(trim(lower(host_name)), '.', 1), '')"
+_NS = "case when point_timestamp < 100000000000 then point_timestamp*1000000000 when point_timestamp < 100000000000000 then point_timestamp*1000000 when point_timestamp < 100000000000000000 then point_timestamp*1000 else point_timestamp end"
+_LATENCY = f"""r as (select distinct trim(lower(metric)) m, {_HOST} h, list_sort(list_distinct(tags)) t, {_NS} ns, point_value v from metric_points where point_value is not null and isfinite(point_value) and flags & 1 = 0),
+s as (select trim(lower(metric)) m, {_HOST} h, list_sort(list_distinct(tags)) t from metric_series where unit = 'millisecond'),
+l as (select m grp, strftime(make_timestamp(ns//1000), '%Y-%m-%d') utc_day, v from r join s using (m, h, t))"""
+_RATE = "sum(w) over (partition by origin, grp, utc_day order by v) cum, sum(w) over (partition by origin, grp, utc_day) total"
+_TOKENS = "(select doc_id, source, strlen(text) + 1 tokens from documents where text is not null)"
+
+SQL = {
+    "p4_found": f"""with t as (select 'trace' ident, strftime(make_timestamp(start_ns//1000), '%Y-%m-%d') utc_day, env, ltrim(replace(regexp_replace(trim(lower(trace_id)), '^0x', ''), '-', ''), '0') id from trace_chunks join agent_payloads using (payload_id) where trace_id is not null),
+h as (select 'host' ident, strftime(received_at, '%Y-%m-%d') utc_day, env, {_HOST} id from agent_payloads),
+g as (select ident, utc_day, env, count(*) n, count(distinct id) d from (select * from t union all select * from h) where id <> '' group by 1, 2, 3)
+select ident, utc_day, env from g where n >= 5 and (ident = 'trace' and d < 0.6*n or ident = 'host' and d >= 0.6*n)""",
+    "p5_found": f"""with {_LATENCY}, sk as (select sketch_id, service_name, strftime(bucket_start, '%Y-%m-%d') utc_day, gamma g, index_offset o, positive_values p, negative_values n, zero_count z from dd_sketches),
+bins as (select service_name, utc_day, g, o, 1 sign, unnest(map_keys(p.bin_counts)) i, unnest(map_values(p.bin_counts)) w from sk union all select service_name, utc_day, g, o, -1, unnest(map_keys(n.bin_counts)), unnest(map_values(n.bin_counts)) from sk
+union all select service_name, utc_day, g, o, 1, unnest(range(len(p.contiguous_bin_counts))) + p.contiguous_bin_index_offset, unnest(p.contiguous_bin_counts) from sk
+union all select service_name, utc_day, g, o, -1, unnest(range(len(n.contiguous_bin_counts))) + n.contiguous_bin_index_offset, unnest(n.contiguous_bin_counts) from sk),
+every as (select 'points' origin, grp, utc_day, v, 1.0::double w from l union all select 'sketches', service_name, utc_day, sign * pow(g, i - o) * (1 + g) / 2, w from bins where w > 0
+union all select 'sketches', service_name, utc_day, 0, z from sk where z > 0),
+c as (select origin, grp, utc_day, v, sum(w) w from every group by all), q as (select *, {_RATE} from c)
+select origin, grp, utc_day from q where cum >= 0.95 * total group by all having min(v) >= 250""",
+    "p5_daily": f"""with {_LATENCY}, e as (select grp, utc_day, v from l union all select grp, '*', v from l), k as (select grp, utc_day, v, row_number() over (partition by grp, utc_day order by v) r, count(*) over (partition by grp, utc_day) n from e)
+select grp, utc_day, q, min(v) "value", any_value(n) n from k, (values (0.5::double), (0.9::double), (0.95::double), (0.99::double)) z(q) where r >= q * n * (1 - 1e-12) group by grp, utc_day, q""",
+    "p8_found": f"select container_kind, doc_id from {_TOKENS}, containers where tokens > capacity_tokens",
+    "p9_found": f"select m.source from mix_targets m left join (select source, sum(tokens) t from {_TOKENS} group by 1) d using (source) where m.max_repeats * coalesce(t, 0) < m.target_share * m.mix_tokens",
+}

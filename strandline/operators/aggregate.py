@@ -2,7 +2,8 @@
 
 Input is the metric table (``explode_metrics``): one row per metric with its event's
 time, attributes, resource, scope and arrival number. A series is (resource, scope,
-name, unit, attributes), compared by typed value. Per window and series the metrics of
+name, unit, attributes), compared by typed value; ``series_key`` is its canonical text,
+by which everything is grouped and joined. Per window and series the metrics of
 one kind merge; every other metric passes through with the reason, so that metrics in =
 absorbed + passed through.
 
@@ -61,108 +62,112 @@ def overflow_key(attributes: Column) -> Column:
     return V.merge(kept, F.create_map(F.lit(OVERFLOW), F.lit("btrue")))
 
 
+def with_series_key(m: DataFrame) -> DataFrame:
+    """m with ``series_key``: maps in key order, values with their types; null and empty maps are one."""
+    def entries(c: str) -> Column:
+        return F.array_sort(F.map_entries(F.coalesce(c, F.create_map().cast("map<string,string>"))))
+    return m.withColumn("series_key", F.to_json(F.struct(F.col("name").alias("n"), F.col("unit").alias("u"), entries("attributes").alias("a"), entries("resource").alias("r"), entries("scope").alias("s"))))
+
+
 def cap_series(m: DataFrame, interval_ns: int, per_metric: int | None = None, whole: int | None = None) -> DataFrame:
     """m with ``attributes`` folded beyond ``per_metric`` series a name, and ``_dropped`` beyond ``whole`` series a window.
 
     Series are admitted by first arrival. Only the distinct series of a window are
     ranked, per name, not the records.
     """
-    keys = ["_window", *SERIES]
-    d = m.withColumn("_window", F.expr(f"ts_ns - pmod(ts_ns, {interval_ns})"))
-    first = d.groupBy(*keys).agg(F.min("_seq").alias("_first"))
-    if per_metric is not None:
-        r = F.row_number().over(W.partitionBy("_window", "name").orderBy("_first", "unit"))
-        first = first.withColumn("_over", r > per_metric)
-    else:
-        first = first.withColumn("_over", F.lit(False))
-    key = F.when(F.col("_over"), overflow_key(F.col("attributes"))).otherwise(F.col("attributes"))
-    first = first.withColumn("_key", key)
+    d = with_series_key(m).withColumn("_window", F.expr(f"ts_ns - pmod(ts_ns, {interval_ns})"))
+    first = d.groupBy("_window", "series_key").agg(F.min("_seq").alias("_first"), *[F.first(c).alias(c) for c in SERIES])
+    over = F.row_number().over(W.partitionBy("_window", "name").orderBy("_first", "series_key")) > per_metric if per_metric is not None else F.lit(False)
+    first = first.withColumn("_over", over).withColumn("_key", F.when(F.col("_over"), overflow_key(F.col("attributes"))).otherwise(F.col("attributes"))).withColumnRenamed("series_key", "_old")
     if whole is not None:
-        firsts = first.groupBy("_window", "resource", "scope", "name", "unit", "_key").agg(F.min("_first").alias("_f"))
-        firsts = firsts.withColumn("_dropped", F.row_number().over(W.partitionBy("_window").orderBy("_f", "name")) > whole).drop("_f")
-        first = _join(first, firsts, ["_window", "resource", "scope", "name", "unit", "_key"])
+        after = with_series_key(first.withColumn("attributes", F.col("_key")))
+        opened = F.min("_first").over(W.partitionBy("_window", "series_key"))
+        first = after.withColumn("_opened", opened).withColumn("_dropped", F.dense_rank().over(W.partitionBy("_window").orderBy("_opened", "series_key")) > whole)
     else:
         first = first.withColumn("_dropped", F.lit(False))
-    out = _join(d, first.select(*keys, "_key", "_dropped"), keys)
-    return out.withColumn("attributes", F.col("_key")).drop("_key", "_window")
+    out = d.join(first.select("_window", F.col("_old").alias("series_key"), "_key", "_dropped"), ["_window", "series_key"])
+    return out.withColumn("attributes", F.col("_key")).drop("_key", "_window", "series_key")
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Null-safe join by a hash of the keys (maps can't be joined on) and the keys' text."""
-    def text(prefix: str) -> Column:
-        sorted_ = [F.to_json(F.array_sort(F.map_entries(F.col(prefix + k)))) if dict(left.dtypes)[k].startswith("map") else F.col(prefix + k).cast("string") for k in keys]
-        return F.to_json(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(sorted_)]))
-    a = left.withColumn("_jk", text(""))
-    b = right.select(text("").alias("_jk"), *[c for c in right.columns if c not in keys])
-    return a.join(b, "_jk", how).drop("_jk")
-
-
-def aggregate(m: DataFrame, interval_ns: int, temporality: str = "delta", sets: str = "members", cap: int = 1000) -> tuple[DataFrame, DataFrame]:
+def aggregate(m: DataFrame, interval_ns: int, temporality: str = "delta", sets: str = "members", cap: int = 1000, kinds: set[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(aggregates, passed through with ``reason``).
 
     Aggregates have window_ns, the series, kind and, by kind: value and value_type
     (sum, gauge), monotonic, bins with count, sum, min, max (distribution), set_count and
-    members up to ``cap`` (set), buckets (histogram), description, start_ns, contexts.
+    members up to ``cap`` (set), buckets (histogram), description, start_ns. ``kinds``
+    names the families that the input holds (sum, gauge, distribution, set, histogram),
+    so that no branch is planned for the others; all by default.
     """
+    kinds = kinds or {"sum", "gauge", "distribution", "set", "histogram"}
     d = m.withColumn("reason", fate(temporality)).withColumn("window_ns", F.expr(f"ts_ns - pmod(ts_ns, {interval_ns})")).withColumn("family", family(F.col("kind")))
     bounds = F.when(F.col("kind") == "histogram", F.transform("buckets", lambda b: b["bound"]))
     d = d.withColumn("bounds", F.coalesce(bounds, F.array().cast("array<double>")))
-    for c in ("resource", "scope"):
-        d = d.withColumn(c, F.coalesce(c, F.create_map().cast("map<string,string>")))
+    d = with_series_key(d)
     ok = d.where("reason is null")
-    keys = ["window_ns", *SERIES, "family", "bounds"]
+    keys = ["window_ns", "series_key", "family", "bounds"]
     is_int = F.col("value_type").isin("i", "b") & F.col("value_i64").isNotNull()
     gauge = F.when(F.col("kind") == "gauge", F.struct("ts_ns", "_seq"))
     partial = ok.groupBy(*keys).agg(
-        F.min("_seq").alias("first_seq"), F.count("*").alias("absorbed"),
+        F.min("_seq").alias("first_seq"), F.count("*").alias("absorbed"), *[F.first(c).alias(c) for c in SERIES],
         F.sum("value").alias("f_sum"), F.try_sum("value_i64").alias("i_sum"), F.bool_and(F.coalesce(is_int, F.lit(False))).alias("all_int"),
         F.min_by("monotonic", "_seq").alias("monotonic"), F.min_by("description", "_seq").alias("description"), F.min("ts_ns").alias("min_ts"),
         F.max_by("value", gauge).alias("g_value"), F.max(gauge).alias("g_at"), F.bool_or(F.col("kind") == "gauge_delta").alias("has_delta"),
     )
     # the kind, and the bounds, that arrived first own the series
-    own = F.row_number().over(W.partitionBy("window_ns", *SERIES).orderBy("first_seq"))
+    own = F.row_number().over(W.partitionBy("window_ns", "series_key").orderBy("first_seq", "family", "bounds"))
     ranked = partial.withColumn("_own", own == 1)
     won = ranked.where("_own").drop("_own")
     lost = ranked.where("not _own").select(*keys)
-    passed = d.where("reason is not null").drop("window_ns", "family", "bounds")
-    losers = _join(ok, lost.withColumn("_lost", F.lit(True)), keys).drop("window_ns", "family", "bounds", "_lost")
+    passed = d.where("reason is not null").drop("window_ns", "family", "bounds", "series_key")
+    losers = ok.join(lost, keys, "left_semi").select(passed.columns)
     passed = passed.unionByName(losers.withColumn("reason", F.lit("kind_conflict")))
-    # relative gauge steps that arrived after the value that stands
-    steps = ok.where("kind = 'gauge_delta'").select(*keys, "_seq", F.col("value").alias("_step"))
-    after = _join(steps, won.where("has_delta").select(*keys, F.col("g_at._seq").alias("_at")), keys)
-    after = after.where("_at is null or _seq > _at").groupBy(*keys).agg(F.sum("_step").alias("g_steps"))
-    out = _join(won, after, keys, "left").withColumn("g_steps", F.coalesce("g_steps", F.lit(0.0)))
-    # distributions: bins
+    out = won.withColumn("g_steps", F.lit(0.0))
+    if "gauge" in kinds:  # relative steps that arrived after the value that stands
+        steps = ok.where("kind = 'gauge_delta'").select(*keys, "_seq", F.col("value").alias("_step"))
+        after = steps.join(won.where("has_delta").select(*keys, F.col("g_at._seq").alias("_at")), keys)
+        after = after.where("_at is null or _seq > _at").groupBy(*keys).agg(F.sum("_step").alias("_steps"))
+        out = out.join(after, keys, "left").withColumn("g_steps", F.coalesce("_steps", F.lit(0.0))).drop("_steps")
+    if "distribution" in kinds:
+        out = out.join(_distributions(ok, keys), keys, "left")
+    if "set" in kinds:
+        out = out.join(_sets(ok, keys, sets, cap), keys, "left")
+    if "histogram" in kinds and temporality == "cumulative":
+        out = out.join(_histograms(ok, keys), keys, "left")
+    value = F.when(F.col("family") == "sum", F.when(F.col("all_int") & F.col("i_sum").isNotNull(), F.col("i_sum").cast("double")).otherwise(F.col("f_sum"))).when(F.col("family") == "gauge", F.coalesce("g_value", F.lit(0.0)) + F.col("g_steps"))
+    out = out.withColumn("value", value).withColumn("value_type", F.when(F.col("family") == "sum", F.when(F.col("all_int") & F.col("i_sum").isNotNull(), "i").otherwise("f")))
+    out = out.withColumn("start_ns", F.greatest("min_ts", "window_ns"))
+    return out.drop("f_sum", "i_sum", "all_int", "g_value", "g_at", "g_steps", "has_delta", "min_ts", "bounds").withColumnRenamed("family", "kind"), passed
+
+
+def _distributions(ok: DataFrame, keys: list[str]) -> DataFrame:
+    """Bins of raw samples and of ready sketches, summed, and folded into one map."""
     raw = ok.where("kind = 'samples'").select(*keys, F.explode("samples").alias("v"), sketch.weight(F.col("sample_rate")).alias("rw"))
     bins = sketch.bins(raw, keys, "v", F.col("rw"))
     ready = ok.where("kind = 'distribution'").select(*keys, F.explode(F.map_entries("bins")).alias("e")).select(*keys, F.col("e.key").alias("key"), F.col("e.value").alias("w"))
     ready = ready.withColumn("sum", sketch.representative(F.col("key")) * F.col("w")).withColumn("min", sketch.representative(F.col("key"))).withColumn("max", F.col("min"))
     bins = bins.unionByName(ready).groupBy(*keys, "key").agg(F.sum("w").alias("w"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
-    dist = sketch.collapse(bins, keys).groupBy(*keys).agg(
+    return sketch.collapse(bins, keys).groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("key", "w"))).alias("bins"), F.sum("w").alias("d_count"), F.sum("sum").alias("d_sum"), F.min("min").alias("d_min"), F.max("max").alias("d_max")
     )
-    out = _join(out, dist, keys, "left")
-    # sets: exact up to the cap, estimated beyond
+
+
+def _sets(ok: DataFrame, keys: list[str], sets: str, cap: int) -> DataFrame:
+    """set_count, and the members of sets up to the cap; ``estimate`` counts by sketch."""
     mem = ok.where("kind in ('set_members', 'set')").select(*keys, F.explode("members").alias("member"))
-    est = mem.groupBy(*keys).agg(F.expr("hll_sketch_estimate(hll_sketch_agg(member))").alias("s_hll"))
-    if sets == "members":
-        few = mem.groupBy(*keys, "member").agg(F.lit(1).alias("_one"))
-        rank = F.row_number().over(W.partitionBy(*keys).orderBy("member"))
-        few = few.withColumn("_r", rank)
-        ms = few.groupBy(*keys).agg(F.count("*").alias("s_exact"), F.array_sort(F.collect_list(F.when(F.col("_r") <= cap, F.col("member")))).alias("members"))
-        out = _join(out, ms, keys, "left").withColumn("set_count", F.col("s_exact")).withColumn("members", F.when(F.col("s_exact") <= cap, F.col("members")))
-    else:
-        out = _join(out, est, keys, "left").withColumn("set_count", F.col("s_hll")).withColumn("members", F.lit(None).cast("array<string>")).drop("s_hll")
-    # histograms: bucket-wise sums
-    if temporality == "cumulative":
-        h = ok.where("kind = 'histogram'").select(*keys, "sum", "min", "max", "count", F.posexplode("buckets").alias("i", "b"))
-        per = h.groupBy(*keys, "i").agg(F.sum("b.count").alias("c"), F.max("b.bound").alias("bound"), F.when(F.bool_and(F.col("sum").isNotNull()), F.sum("sum")).alias("h_sum"), F.min(F.when(F.col("count") > 0, F.col("min"))).alias("h_min"), F.max(F.when(F.col("count") > 0, F.col("max"))).alias("h_max"))
-        hist = per.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "bound", "c"))), lambda x: F.struct(x["bound"].alias("bound"), x["c"].alias("count"))).alias("buckets"), F.max("h_sum").alias("h_sum"), F.min("h_min").alias("h_min"), F.max("h_max").alias("h_max"))
-        out = _join(out, hist, keys, "left")
-    value = F.when(F.col("family") == "sum", F.when(F.col("all_int") & F.col("i_sum").isNotNull(), F.col("i_sum").cast("double")).otherwise(F.col("f_sum"))).when(F.col("family") == "gauge", F.coalesce("g_value", F.lit(0.0)) + F.col("g_steps"))
-    out = out.withColumn("value", value).withColumn("value_type", F.when(F.col("family") == "sum", F.when(F.col("all_int") & F.col("i_sum").isNotNull(), "i").otherwise("f")))
-    out = out.withColumn("start_ns", F.greatest("min_ts", "window_ns"))
-    return out.drop("f_sum", "i_sum", "all_int", "g_value", "g_at", "g_steps", "has_delta", "min_ts", "bounds").withColumnRenamed("family", "kind"), passed
+    if sets == "estimate":
+        return mem.groupBy(*keys).agg(F.expr("hll_sketch_estimate(hll_sketch_agg(member))").alias("set_count"), F.lit(None).cast("array<string>").alias("members"))
+    few = mem.groupBy(*keys, "member").agg(F.lit(1).alias("_one")).withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy("member")))
+    ms = few.groupBy(*keys).agg(F.count("*").alias("set_count"), F.array_sort(F.collect_list(F.when(F.col("_r") <= cap, F.col("member")))).alias("members"))
+    return ms.withColumn("members", F.when(F.col("set_count") <= cap, F.col("members")))
+
+
+def _histograms(ok: DataFrame, keys: list[str]) -> DataFrame:
+    """Bucket-wise sums; the sum is lost once a part lacks it; extremes of non-empty parts."""
+    h = ok.where("kind = 'histogram'").select(*keys, "sum", "min", "max", "count", F.posexplode("buckets").alias("i", "b"))
+    filled = F.col("count") > 0
+    per = h.groupBy(*keys, "i").agg(F.sum("b.count").alias("c"), F.max("b.bound").alias("bound"), F.when(F.bool_and(F.col("sum").isNotNull()), F.sum("sum")).alias("h_sum"), F.min(F.when(filled, F.col("min"))).alias("h_min"), F.max(F.when(filled, F.col("max"))).alias("h_max"))
+    buckets = F.transform(F.array_sort(F.collect_list(F.struct("i", "bound", "c"))), lambda x: F.struct(x["bound"].alias("bound"), x["c"].alias("count")))
+    return per.groupBy(*keys).agg(buckets.alias("buckets"), F.max("h_sum").alias("h_sum"), F.min("h_min").alias("h_min"), F.max("h_max").alias("h_max"))
 
 
 def cumulate(aggregates: DataFrame, retention_windows: int | None = None, interval_ns: int | None = None) -> DataFrame:
@@ -170,20 +175,20 @@ def cumulate(aggregates: DataFrame, retention_windows: int | None = None, interv
 
     start_ns is that of the run's first window; a window without data emits nothing.
     """
-    w = W.partitionBy(*SERIES).orderBy("window_ns")
+    w = W.partitionBy("series_key").orderBy("window_ns")
     d = aggregates.where("kind = 'sum'")
     if retention_windows is not None:
         gap = F.col("window_ns") - F.lag("window_ns").over(w) > (retention_windows + 1) * interval_ns
         d = d.withColumn("_run", F.sum(F.when(gap, 1).otherwise(0)).over(w))
     else:
         d = d.withColumn("_run", F.lit(0))
-    run = W.partitionBy(*SERIES, "_run").orderBy("window_ns").rowsBetween(W.unboundedPreceding, 0)
+    run = W.partitionBy("series_key", "_run").orderBy("window_ns").rowsBetween(W.unboundedPreceding, 0)
     return d.withColumn("value", F.sum("value").over(run)).withColumn("start_ns", F.min("start_ns").over(run)).drop("_run")
 
 
 def retain_gauges(aggregates: DataFrame, interval_ns: int, windows: int) -> DataFrame:
     """Gauges repeated for up to ``windows`` windows in which their series is silent, up to its next value."""
-    w = W.partitionBy(*SERIES).orderBy("window_ns")
+    w = W.partitionBy("series_key").orderBy("window_ns")
     d = aggregates.where("kind = 'gauge'").withColumn("_next", F.lead("window_ns").over(w))
     until = F.least(F.coalesce(F.col("_next") - interval_ns, F.col("window_ns") + windows * interval_ns), F.col("window_ns") + windows * interval_ns)
     return d.withColumn("_at", F.explode(F.sequence(F.col("window_ns"), until, F.lit(interval_ns).cast("bigint")))).withColumn("idle", ((F.col("_at") - F.col("window_ns")) / interval_ns).cast("int")).withColumn("window_ns", F.col("_at")).drop("_at", "_next")

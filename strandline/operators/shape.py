@@ -12,15 +12,15 @@ from strandline.operators.filters import carries
 
 def measure(events: DataFrame) -> DataFrame:
     """Per event: signal, attribute count, key and value bytes, counts by value type, metrics, body bytes, key set."""
-    a = F.coalesce("attributes", F.create_map().cast("map<string,string>"))
+    a = F.coalesce("_a", F.create_map().cast("map<string,string>"))
     signal = F.when(carries("logs"), "log").when(carries("traces"), "trace").when(carries("metrics"), "metric").otherwise("none")
     nested = F.filter(F.map_values(a), lambda v: V.kind(v).isin("a", "m"))
     types = F.map_from_entries(F.transform(F.array(*[F.lit(t) for t in "siufbntxam"]), lambda t: F.struct(t, F.size(F.filter(F.map_values(a), lambda v: V.kind(v) == t)))))
-    return events.select(
+    return events.withColumnRenamed("attributes", "_a").select(
         "_origin", "_previous", signal.alias("signal"), F.size(a).alias("attributes"), F.size(nested).alias("nested"), types.alias("types"),
         F.aggregate(F.map_keys(a), F.lit(0).cast("bigint"), lambda n, k: n + F.octet_length(k)).alias("key_bytes"),
         F.aggregate(F.map_values(a), F.lit(0).cast("bigint"), lambda n, v: n + F.octet_length(v) - 1).alias("value_bytes"),
-        F.coalesce(F.size("metrics"), F.lit(0)).alias("metrics"), F.coalesce(F.octet_length("log.message"), F.lit(0)).alias("body_bytes"),
+        F.coalesce(F.size("metrics"), F.lit(0)).alias("n_metrics"), F.coalesce(F.octet_length("log.message"), F.lit(0)).alias("body_bytes"),
         F.array_sort(F.map_keys(a)).alias("key_set"),
     )
 

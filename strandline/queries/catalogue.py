@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandline.queries import problems
+from strandline.queries import engine, problems
 
-FLAGSHIP = "p1_totals"
-QUERIES = {**problems.QUERIES}
-SQL: dict[str, str] = {}
+FLAGSHIP = "aggregate_distribution_q"
+QUERIES = {**problems.QUERIES, **engine.QUERIES}
+SQL: dict[str, str] = {**problems.SQL, **engine.SQL}

@@ -111,3 +111,22 @@ def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p1_corrections, p2_found, p2_zones, p3_found, p3_grid, p6_found, p6_entries, p7_found, p7_ledger)}
+
+_FIRST = """with a as (select log_id, service_name, event_timestamp e, case when observed_timestamp <> 0 then observed_timestamp else epoch_us(received_at)*1000 end arrival from log_records where event_timestamp <> 0),
+f as (select log_id, arg_min(service_name, arrival) service_name, min(arrival) arrival, arg_min(e, arrival) e from a group by 1),
+g as (select *, (e//3600000000000 + 1)*3600000000000 period_end from f), h as (select *, arrival - period_end lag from g)"""
+_HOST = "nullif(split_part(trim(lower(host_name)), '.', 1), '')"
+_NS = "case when point_timestamp < 100000000000 then point_timestamp*1000000000 when point_timestamp < 100000000000000 then point_timestamp*1000000 when point_timestamp < 100000000000000000 then point_timestamp*1000 else point_timestamp end"
+_READINGS = f"""r as (select point_id, trim(lower(metric)) m, {_HOST} h, list_sort(list_distinct(tags)) t, {_NS} ns, point_value v from metric_points where point_value is not null and isfinite(point_value) and flags & 1 = 0),
+s as (select series_id, interval_s, unit, trim(lower(metric)) m, {_HOST} h, list_sort(list_distinct(tags)) t from metric_series)"""
+
+SQL = {
+    "p1_found": _FIRST + " select log_id, case when lag > 86400000000000 then 'dropped' else 'late' end outcome from h where lag > 600000000000",
+    "p1_totals": _FIRST + " select make_timestamp((period_end - 3600000000000)//1000) period, service_name, count(*) filter (lag <= 86400000000000) n, count(*) filter (lag > 86400000000000) dropped from h group by all",
+    "p1_corrections": _FIRST + """, c as (select period_end//3600000000000 - 1 period_no, service_name, arrival//3600000000000 seq, count(*) filter (lag <= 86400000000000) n, count(*) filter (lag > 86400000000000) dropped from h group by all)
+select period_no, service_name, seq, cast(sum(n) over w as bigint) n, cast(sum(dropped) over w as bigint) dropped from c window w as (partition by period_no, service_name order by seq)""",
+    "p3_found": f"""with {_READINGS}, d as (select distinct series_id, interval_s, (ns//1000000000)//interval_s*interval_s slot from r join s using (m, h, t)),
+g as (select series_id, interval_s, min(slot) a, max(slot) b from d group by series_id, interval_s, slot//86400), e as (select series_id, unnest(range(a, b + 1, interval_s)) slot_start from g)
+select e.series_id, e.slot_start from e left join d on d.series_id = e.series_id and d.slot = e.slot_start where d.slot is null""",
+    "p7_found": f"with {_READINGS}, k as (select point_id, min(point_id) over (partition by m, h, t, ns, v) kept_id from r) select kept_id, point_id copy_id from k where point_id <> kept_id",
+}

@@ -113,7 +113,7 @@ class Model:
         # a word is known if some language uses it often enough
         self.words = sorted(w for w, c in per.items() if c.max() >= least)
         size = np.array([totals[x] for x in self.langs])
-        c = np.array([per[w] for w in self.words]).reshape(-1, len(col))
+        c = np.array([per[w] for w in self.words]).reshape(len(self.words), len(col))
         rate = (c + 0.05) / (size + 0.05 * max(len(self.words), 1))
         known = np.log(rate) - np.log(rate.mean(1, keepdims=True)) if len(self.words) else np.zeros((0, len(col)))
         home = np.zeros((len(SCRIPTS), len(col)), dtype=bool)  # scripts that a language is written in
@@ -122,7 +122,7 @@ class Model:
             for j in range(len(SCRIPTS)):
                 home[j] = rate[s == j].sum(0) > 0.1 * rate.sum(0)
             known = np.where(home[s], known, -6.0)
-        unknown = np.array([[np.where(home[j], -0.25 * k, -6.0) for k in range(1, self.LENGTHS + 1)] for j in range(len(SCRIPTS))]).reshape(-1, len(col))
+        unknown = np.array([[np.where(home[j], -0.25 * k, -6.0) for k in range(1, self.LENGTHS + 1)] for j in range(len(SCRIPTS))]).reshape(len(SCRIPTS) * self.LENGTHS, len(col))
         rows = np.vstack([np.clip(known, -6.0, 3.0), unknown, np.zeros((1, len(col)))])
         none = np.concatenate([np.full(len(self.words), -2.0), np.zeros(len(unknown) + 1)])
         self.scores = np.hstack([rows, none[:, None]]).astype(np.float32)

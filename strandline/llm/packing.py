@@ -125,5 +125,5 @@ def pack(items: DataFrame, capacities: dict[str, int], targets: dict[str, float]
         out["source"] = [s[1:] if s != "n" else None for s in out.source]
         return out
 
-    joined = join_sized(d, start, ["shard"], rows=shards)
+    joined = join_sized(d, start, ["shard"], rows=shards * -(-len(share) // 10))  # a row of it holds all queues
     return joined.groupBy("shard").applyInPandas(run, SCHEMA)

@@ -80,13 +80,13 @@ def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def hot_values(df: DataFrame, key: Column, share: float = 1e-3, at_most: int = 200) -> list[int]:
+def hot_values(df: DataFrame, key: Column, share: float = 1e-3, at_most: int = 1000) -> list[int]:
     """BIGINT keys that hold at least ``share`` of the rows, ``at_most`` of them.
 
     One pass with a frequent-items sketch of bounded size, merged map-side; the answer
     only routes rows, so an estimate is enough and no result depends on it.
     """
-    if share * at_most * 20 < 1:
+    if share * at_most < 1:
         raise ValueError("at_most is too small for share")
     r = df.select(key.alias("k")).where("k is not null").agg(
         F.expr(f"approx_top_k(k, {at_most}, {at_most * 50})").alias("top"), F.count("*").alias("n")

@@ -8,7 +8,7 @@ unseen bit the arrival with the smallest row id is kept; then the new bits are u
 with the old and the new version of the ledger is published with one rename.
 
 A group of copies may hold any share of the rows: identifiers that hold more than a
-thousandth (found with a bounded sketch, at most 200 of them) are aggregated map-side
+thousandth (found with a bounded sketch, at most 1000 of them) are aggregated map-side
 and joined back by broadcast, all others are bounded and meet in their shard.
 
 Nulls are values: two null identifier columns are equal. A null row id sorts last and
@@ -66,7 +66,7 @@ def copies(rows: DataFrame, ident: list[str], row_id: str) -> DataFrame:
     out = select_unseen(encode(cold, ident, row_id, max(1, -(-n // SHARD_ROWS))), row_id).select("kept_id", F.col(row_id).alias("copy_id"))
     if hot:
         some = d.where(h.isin(hot))
-        kept = some.groupBy(*ident).agg(F.min(row_id).alias("kept_id"))  # at most 200 hashes
+        kept = some.groupBy(*ident).agg(F.min(row_id).alias("kept_id"))  # at most 1000 hashes
         on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ident]
         cond = on[0]
         for c in on[1:]:

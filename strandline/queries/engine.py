@@ -304,13 +304,14 @@ def _orders(spark: SparkSession, d: str, message: Column) -> DataFrame:
     return as_event(read(spark, d, "orders"), F.col("o_orderkey"), _ts("o_orderdate"), message=message)
 
 
-_DAY = F.date_format(F.col("o_orderdate"), "yyyy-MM-dd")
+def _day() -> Column:
+    return F.date_format(F.col("o_orderdate"), "yyyy-MM-dd")
 
 
 @query("select o_orderkey, cast(o_custkey as varchar) cust, o_orderstatus || ', \"x\"' status, strftime(o_orderdate, '%Y-%m-%d') as day, o_orderpriority prio from orders")
 def parse_csv_row(spark: SparkSession, d: str) -> DataFrame:
     """Quoted fields with delimiters and quotes inside."""
-    m = F.concat_ws(",", F.col("o_custkey").cast("string"), F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit(', ""x"""')), _DAY, F.col("o_orderpriority"))
+    m = F.concat_ws(",", F.col("o_custkey").cast("string"), F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit(', ""x"""')), _day(), F.col("o_orderpriority"))
     p = parsers.csv(_orders(spark, d, m), ["cust", "status", "day", "prio"])
     return p.select(F.col("_seq").alias("o_orderkey"), *[_a(k) for k in ("cust", "status", "day", "prio")])
 
@@ -326,7 +327,7 @@ def parse_logfmt(spark: SparkSession, d: str) -> DataFrame:
 @query("select o_orderkey, cast(o_custkey as varchar) cust, o_orderstatus status, strftime(o_orderdate, '%Y-%m-%d') as day from orders")
 def parse_kv(spark: SparkSession, d: str) -> DataFrame:
     """Literal pair and key separators; blanks and empty keys skipped."""
-    m = F.concat(F.lit("cust="), F.col("o_custkey").cast("string"), F.lit("&&=x&status="), F.col("o_orderstatus"), F.lit("&day="), _DAY, F.lit("&"))
+    m = F.concat(F.lit("cust="), F.col("o_custkey").cast("string"), F.lit("&&=x&status="), F.col("o_orderstatus"), F.lit("&day="), _day(), F.lit("&"))
     return parsers.kv(_orders(spark, d, m), "&", "=").select(F.col("_seq").alias("o_orderkey"), *[_a(k) for k in ("cust", "status", "day")])
 
 

@@ -166,13 +166,18 @@ def prometheus_histograms(samples: DataFrame) -> DataFrame:
     """Histogram rows from _bucket, _sum and _count: buckets are successive differences over ``le``."""
     from pyspark.sql import Window as W
 
-    h = samples.where("type = 'histogram'")
-    b = h.where(F.col("name").endswith("_bucket")).withColumn("le", F.expr("try_cast(replace(replace(substr(attributes['le'], 2), '+Inf', 'Infinity'), 'Inf', 'Infinity') as double)")).withColumn("attributes", F.map_filter("attributes", lambda k, _: k != "le"))
-    w = W.partitionBy("family", "attributes", "ts_ns").orderBy("le")
-    b = b.withColumn("c", (F.col("value") - F.coalesce(F.lag("value").over(w), F.lit(0.0))).cast("bigint"))
-    buckets = b.groupBy("family", "attributes", "ts_ns").agg(F.transform(F.array_sort(F.collect_list(F.struct("le", "c"))), lambda x: F.struct(x["le"].alias("bound"), x["c"].alias("count"))).alias("buckets"))
-    rest = h.groupBy("family", "attributes", "ts_ns").agg(F.max(F.when(F.col("name").endswith("_sum"), F.col("value"))).alias("sum"), F.max(F.when(F.col("name").endswith("_count"), F.col("value"))).cast("bigint").alias("count"))
-    return buckets.join(rest.withColumnsRenamed({"family": "_f", "attributes": "_a", "ts_ns": "_t"}), (F.col("family") == F.col("_f")) & (F.to_json("attributes") == F.to_json("_a")) & F.col("ts_ns").eqNullSafe(F.col("_t")), "left").select(F.col("family").alias("name"), "attributes", "ts_ns", F.lit("histogram").alias("kind"), F.lit("cumulative").alias("temporality"), "buckets", "sum", "count")
+    h = samples.where("type = 'histogram'").withColumn("le", F.expr("try_cast(replace(replace(substr(attributes['le'], 2), '+Inf', 'Infinity'), 'Inf', 'Infinity') as double)"))
+    h = h.withColumn("attributes", F.map_filter("attributes", lambda k, _: k != "le")).withColumn("_k", F.to_json(F.array_sort(F.map_entries("attributes"))))
+    keys = ["family", "_k", "ts_ns"]
+    bucket = F.col("name").endswith("_bucket")
+    below = F.lag("value").over(W.partitionBy(*keys, bucket).orderBy("le"))
+    h = h.withColumn("c", F.when(bucket, (F.col("value") - F.coalesce(below, F.lit(0.0))).cast("bigint")))
+    parts = F.array_sort(F.collect_list(F.when(bucket, F.struct("le", "c"))))
+    out = h.groupBy(*keys).agg(
+        F.first("attributes").alias("attributes"), F.transform(parts, lambda x: F.struct(x["le"].alias("bound"), x["c"].alias("count"))).alias("buckets"),
+        F.max(F.when(F.col("name").endswith("_sum"), F.col("value"))).alias("sum"), F.max(F.when(F.col("name").endswith("_count"), F.col("value"))).cast("bigint").alias("count"),
+    )
+    return out.select(F.col("family").alias("name"), "attributes", "ts_ns", F.lit("histogram").alias("kind"), F.lit("cumulative").alias("temporality"), "buckets", "sum", "count")
 
 
 def sanitised_name(c: Column) -> Column:

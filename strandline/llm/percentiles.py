@@ -97,4 +97,5 @@ def sketch_values(sketches: DataFrame, keep: list[str]) -> DataFrame:
     zero = F.when(F.col("zero_count") > 0, F.array(F.struct(F.lit(0.0).alias("value"), F.col("zero_count").cast("double").alias("w"))))
     none = F.array().cast("array<struct<value:double,w:double>>")
     bins = F.concat(store_bins("positive_values", "gamma", "index_offset", 1), store_bins("negative_values", "gamma", "index_offset", -1), F.coalesce(zero, none))
-    return sketches.select(*keep, F.inline(bins))
+    # outer: a plain explode would add a filter on the array size that computes the bins twice
+    return sketches.select(*keep, F.inline_outer(bins)).where("value is not null")

@@ -16,9 +16,11 @@ _TABLES: list[tuple[SparkSession, str]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named table of a data directory; sessions run in UTC."""
+    """The named table of a data directory; sessions run in UTC, and of repeated map keys the last wins."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get("spark.sql.mapKeyDedupPolicy") != "LAST_WIN":
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

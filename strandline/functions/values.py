@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -100,15 +102,26 @@ def decimal_nanos(c: Column, digits: int = 9) -> Column:
     return (total * F.when(t.startswith("-"), -1).otherwise(1)).try_cast("bigint")
 
 
+def last_wins() -> None:
+    """Session setting under which a map built with a repeated key keeps the later value."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get("spark.sql.mapKeyDedupPolicy") != "LAST_WIN":
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def merge(base: Column, over: Column) -> Column:
     """Union of two attribute maps in which the right side wins; a null map is empty."""
+    last_wins()
     none = F.create_map().cast("map<string,string>")
-    b, o = F.coalesce(base, none), F.coalesce(over, none)
-    return F.map_concat(F.map_filter(b, lambda k, _: ~F.map_contains_key(o, k)), o)
+    return F.map_concat(F.coalesce(base, none), F.coalesce(over, none))
 
 
 def from_pairs(keys: Column, values: Column) -> Column:
-    """Map of two arrays in which a later duplicate wins, under any session setting."""
-    last = F.transform(keys, lambda k, i: F.coalesce(F.array_position(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), k), F.lit(0)) == 0)
-    z = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v"), last.alias("l")), lambda e: e["l"])
-    return F.map_from_entries(F.transform(z, lambda e: F.struct(e["k"], e["v"])))
+    """Map of two arrays in which a later duplicate wins."""
+    last_wins()
+    return F.map_from_arrays(keys, values)

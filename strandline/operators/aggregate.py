@@ -31,7 +31,7 @@ FAMILY = {"sum": "sum", "gauge": "gauge", "gauge_delta": "gauge", "samples": "di
 
 def explode_metrics(events: DataFrame) -> DataFrame:
     """The metric table of events; string fields don't belong to a series."""
-    d = events.where(F.size("metrics") > 0).select("ts_ns", "_seq", *[c for c in ("_batch",) if c in events.columns], "attributes", "resource", "scope", F.posexplode("metrics").alias("_pos", "m"))
+    d = events.select("ts_ns", "_seq", *[c for c in ("_batch",) if c in events.columns], "attributes", "resource", "scope", F.posexplode_outer("metrics").alias("_pos", "m")).where("m is not null")  # outer: no size filter that computes the array twice
     d = d.withColumn("attributes", F.map_filter(F.coalesce("attributes", F.create_map().cast("map<string,string>")), lambda k, _: ~k.startswith(FIELD)))
     rest = [c for c in d.columns if c != "m"]
     return d.select(*rest, "m.*")

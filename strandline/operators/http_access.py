@@ -2,7 +2,8 @@
 
 Fill-only except for ``forwarded``: what the producer states stays. Only events with a
 log and attributes are touched. All values come from closed tables, so everything is
-built-in expressions in one projection per step.
+built-in expressions: the names that matter become columns, each group of steps is one
+projection over them, and the map is built once at the end.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import values as V
-from strandline.operators.reshape import attr
 
 # Names, limits, patterns and keys of the attribute conventions.
 INTEGERS = ["http.request.body.size", "http.response.body.size", "http.request.size", "http.response.size", "server.port", "client.port", "network.peer.port", "network.connection.id", "network.connection.requests"]
@@ -41,124 +41,143 @@ OTHERS = ["http.request.line", "url.original", "http.request.method", "http.resp
 NAMES = sorted({*INTEGERS, *OTHERS, *LIMITS, *SPAN_DURATION, *SPAN_START, *SPAN_END, *[d + u for d in DURATIONS for u in ("_s", "_ms", "_us", "")]})
 
 
-def _text(name: str) -> Column:
-    return V.text(F.when(V.present(attr(name)), attr(name)))
+def redacted(query: Column, keys: list[str]) -> Column:
+    """Values of sensitive keys as REDACTED; empty ones stay."""
+    names = "|".join(k.replace(".", r"\.") for k in keys)
+    return F.regexp_replace(query, rf"(?i)(^|&)({names})=(?!REDACTED(?:&|$))[^&]+", "$1$2=REDACTED")
 
 
-def _update(df: DataFrame, put: dict[str, Column], drop: list[str] = (), drop_if: Column | None = None) -> DataFrame:
-    """Set the non-null values of touched events, first removing ``drop`` (where ``drop_if``)."""
-    a = F.col("attributes")
-    if drop:
-        cut = F.map_filter(a, lambda k, _: ~k.isin(list(drop)))
-        a = cut if drop_if is None else F.when(drop_if, cut).otherwise(a)
-    if put:
-        m = F.map_filter(F.create_map(*[x for k, v in put.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
-        a = V.merge(a, m)
-    return df.withColumn("attributes", F.when(F.col("_touch"), a).otherwise(F.col("attributes")))
+class _Fields:
+    """Current values of the names a line may carry, as columns beside the rest of the map."""
 
+    def __init__(self, df: DataFrame) -> None:
+        self.df, self.new = df, {}
+        dashed = {n.replace(".", "-"): n for n in NAMES if "." in n}
+        a = F.col("attributes")
+        touch = F.coalesce(F.col("log").isNotNull() & (F.size("attributes") > 0), F.lit(False))
+        handled = [*NAMES, *dashed]
+        self.column = {n: f"_h{i}" for i, n in enumerate(NAMES)}
+        cols = {self.column[n]: F.coalesce(a[n], a[n.replace(".", "-")]) for n in NAMES}
+        self.df = df.withColumns({"_touch": touch, **cols, "_rest": F.map_filter(a, lambda k, _: ~k.isin(handled))})
 
-def dealias(df: DataFrame) -> DataFrame:
-    """Dashed spellings to dotted names; a dotted one that is there wins."""
-    dashed = F.create_map(*[F.lit(x) for n in NAMES if "." in n for x in (n.replace(".", "-"), n)])
-    e = F.map_entries("attributes")
-    plain = F.filter(e, lambda x: dashed[x["key"]].isNull())
-    moved = F.transform(F.filter(e, lambda x: dashed[x["key"]].isNotNull()), lambda x: F.struct(dashed[x["key"]].alias("key"), x["value"].alias("value")))
-    return df.withColumn("attributes", F.when(F.col("_touch"), V.merge(F.map_from_entries(moved), F.map_from_entries(plain))).otherwise(F.col("attributes")))
+    def __getitem__(self, name: str) -> Column:
+        return F.col(self.column[name])
 
+    def __setitem__(self, name: str, value: Column) -> None:
+        self.new[name] = value
 
-def redacted(query: Column, keys: list[str]) -> Column:
-    """Values of sensitive keys as REDACTED; empty ones stay."""
-    names = "|".join(k.replace(".", r"\.") for k in keys)
-    return F.regexp_replace(query, rf"(?i)(^|&)((?-i:)(?:{names}))=(?!REDACTED(?:&|$))[^&]+".replace("(?-i:)", ""), "$1$2=REDACTED")
+    def fill(self, name: str, text: Column) -> None:
+        """Set a text where nothing is stated and the text isn't null or empty."""
+        self[name] = F.when(~V.present(self[name]) & (text != ""), V.s(text)).otherwise(self[name])
+
+    def overwrite(self, name: str, value: Column) -> None:
+        """Set unless the value is null."""
+        self[name] = F.coalesce(value, self[name])
+
+    def text(self, name: str) -> Column:
+        return V.text(F.when(V.present(self[name]), self[name]))
+
+    def step(self) -> None:
+        """All values set so far take effect."""
+        self.df = self.df.withColumns({self.column[n]: v.cast("string") for n, v in self.new.items()})
+        self.new = {}
+
+    def done(self, columns: list[str]) -> DataFrame:
+        self.step()
+        here = F.map_filter(F.create_map(*[x for n in NAMES for x in (F.lit(n), self[n])]), lambda _, v: v.isNotNull())
+        made = F.when(F.col("_touch"), V.merge(F.col("_rest"), here)).otherwise(F.col("attributes"))
+        return self.df.withColumn("attributes", made).select(columns)
 
 
 def http_access(df: DataFrame, routes: list[str | tuple[str, str]] = (), route_other: str | None = None, user_agent_rules: list[tuple[str, str]] = (), redact_query: list[str] = (), forwarded: str | None = None, status_class: bool = False, limits: dict[str, int] | None = None) -> DataFrame:
     """The ten steps in order. ``routes`` are names of built-in sets or (pattern, route)."""
-    d = df.withColumn("_touch", F.coalesce(F.col("log").isNotNull() & (F.size("attributes") > 0), F.lit(False)))
-    d = dealias(d)
+    c = _Fields(df)
     # request line and target
     line = r"^([^ ]+) ([^ ]+) ([^ ]+)$"
-    rl = _text("http.request.line")
+    rl = c.text("http.request.line")
     ok = F.coalesce(rl.rlike(line), F.lit(False))
-    absent = lambda n, c: F.when(~V.present(attr(n)) & (c != ""), V.s(c))
-    target = F.coalesce(F.when(ok, F.regexp_extract(rl, line, 2)), F.regexp_replace(_text("url.original"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*", ""))
-    path, query = F.substring_index(target, "?", 1), F.when(F.contains(target, F.lit("?")), F.substr(target, F.instr(target, "?") + 1))
-    d = _update(d.withColumn("_ok", ok), {
-        "http.request.method": absent("http.request.method", F.when(ok, F.regexp_extract(rl, line, 1))), "url.path": absent("url.path", path), "url.query": absent("url.query", query),
-        "network.protocol.version": absent("network.protocol.version", F.when(ok, F.regexp_extract(rl, line, 3))),
-    })
-    d = _update(d, {}, ["http.request.line"], F.col("_ok"))
-    d = _update(d, {}, ["url.original"]).drop("_ok")
-    # numbers
+    c.df = c.df.withColumn("_target", F.coalesce(F.when(ok, F.regexp_extract(rl, line, 2)), F.regexp_replace(c.text("url.original"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*", "")))
+    target = F.col("_target")
+    c.fill("url.path", F.substring_index(target, "?", 1))
+    c.fill("url.query", F.when(F.contains(target, F.lit("?")), F.substr(target, F.instr(target, "?") + 1)))
+    c.fill("http.request.method", F.when(ok, F.regexp_extract(rl, line, 1)))
+    c.fill("network.protocol.version", F.when(ok, F.regexp_extract(rl, line, 3)))
+    c["http.request.line"] = F.when(~ok, c["http.request.line"])
+    c["url.original"] = F.lit(None)
+    c.step()
+    # numbers, durations in seconds, method, version, query, agent
     def integer(n: str) -> Column:
-        v, t = attr(n), V.text(attr(n))
+        v, t = c[n], V.text(c[n])
         x = t.try_cast("double")
         return F.when(V.kind(v) == "u", F.concat(F.lit("i"), t.try_cast("bigint").cast("string"))).when((V.kind(v) == "f") & (x == F.floor(x)) & (F.abs(x) < 9e18), F.concat(F.lit("i"), x.try_cast("bigint").cast("string"))).when(
             (V.kind(v) == "s") & t.rlike(r"^[+-]?\d{1,19}$"), F.concat(F.lit("i"), t.try_cast("bigint").cast("string")))
-    up = _text("upstream.status")
-    d = _update(d, {n: integer(n) for n in [*INTEGERS, "http.response.status_code"]} | {
-        "upstream.status": F.when(~up.rlike("[,:]"), integer("upstream.status")), "tls.resumption.ratio": V.float_value(V.numeric(attr("tls.resumption.ratio")))})
-    # durations to seconds
-    put: dict[str, Column] = {}
+    for n in [*INTEGERS, "http.response.status_code"]:
+        c.overwrite(n, integer(n))
+    c.overwrite("upstream.status", F.when(~c.text("upstream.status").rlike("[,:]"), integer("upstream.status")))
+    c.overwrite("tls.resumption.ratio", V.float_value(V.numeric(c["tls.resumption.ratio"])))
     for q in DURATIONS:
         forms = [(q + "_s", 1.0), (q + "_ms", 1e3), (q + "_us", 1e6), (q, 1e9)]
-        first = F.coalesce(*[F.when(V.present(attr(n)) & ~_text(n).rlike("[,:]"), F.when(F.lit(n != q) | V.kind(attr(n)).isin("i", "u") | V.text(attr(n)).rlike(r"^-?\d+$"), V.numeric(attr(n)) / div)) for n, div in forms])
-        put[q + "_s"] = V.float_value(first)
-    d = _update(d, put)
-    for q in DURATIONS:
-        d = _update(d, {}, [q + "_ms", q + "_us", q], attr(q + "_s").startswith("f"))
-    # method, version, query
-    method = _text("http.request.method")
-    ver = F.regexp_replace(_text("network.protocol.version"), "^HTTP/", "")
-    d = _update(d, {
-        "http.request.method_original": F.when(method.isNotNull() & ~method.isin(METHODS) & (method != "_OTHER"), absent("http.request.method_original", method)),
-        "http.request.method": F.when(method.isNotNull() & ~method.isin(METHODS), F.lit("s_OTHER")),
-        "network.protocol.version": V.s(F.when(ver == "2.0", "2").when(ver == "3.0", "3").otherwise(ver)), "url.query": V.s(redacted(_text("url.query"), [*SENSITIVE, *redact_query])),
-    })
-    # user agent
-    ua = attr("user_agent.original")
+        good = lambda n, nanos: V.present(c[n]) & ~c.text(n).rlike("[,:]") & (V.text(c[n]).rlike(r"^-?\d+$") if nanos else F.lit(True))
+        seconds = V.float_value(F.coalesce(*[F.when(good(n, div == 1e9), V.numeric(c[n]) / div) for n, div in forms]))
+        c.overwrite(q + "_s", seconds)
+        for n, _ in forms[1:]:
+            c[n] = F.when(seconds.isNull(), c[n])
+    method = c.text("http.request.method")
+    known = method.isin(METHODS)
+    c.fill("http.request.method_original", F.when(~known & (method != "_OTHER"), method))
+    c.overwrite("http.request.method", F.when(~known, F.lit("s_OTHER")))
+    ver = F.regexp_replace(c.text("network.protocol.version"), "^HTTP/", "")
+    c.overwrite("network.protocol.version", V.s(F.when(ver == "2.0", "2").when(ver == "3.0", "3").otherwise(ver)))
+    c.overwrite("url.query", V.s(redacted(c.text("url.query"), [*SENSITIVE, *redact_query])))
+    ua = c["user_agent.original"]
     cls = F.lit("other")
-    for name, pattern in reversed([*[(c, p) for p, c in user_agent_rules], *AGENTS]):
+    for name, pattern in reversed([*[(k, p) for p, k in user_agent_rules], *AGENTS]):
         cls = F.when(V.text(ua).rlike(pattern), name).otherwise(cls)
     cls = F.when(ua.isNull(), None).when(~V.present(ua), "none").otherwise(cls)
-    d = _update(d.withColumn("_c", cls), {"user_agent.class": F.when(~V.present(attr("user_agent.class")), V.s(F.col("_c"))), "user_agent.synthetic.type": F.when((F.col("_c") == "crawler") & ~V.present(attr("user_agent.synthetic.type")), "sbot")}).drop("_c")
+    c.df = c.df.withColumn("_class", cls)
+    c.fill("user_agent.class", F.col("_class"))
+    c.fill("user_agent.synthetic.type", F.when(F.col("_class") == "crawler", "bot"))
+    c.step()
     if forwarded:
-        d = _update(d, forwarded_client(forwarded))
-    caps = LIMITS | (limits or {})
-    d = _update(d, {n: F.when(V.kind(attr(n)) == "s", V.s(V.clean(V.text(attr(n)), most))) for n, most in caps.items()})
-    # route
-    path = _text("url.path")
-    rules = [ROUTES[r] if isinstance(r, str) else r for r in routes]
-    route = F.lit(route_other)
-    for pattern, to in reversed(rules):
-        route = F.when(path.rlike(pattern), to).otherwise(route)
-    d = _update(d, {"http.route": F.when(~V.present(attr("http.route")) & path.isNotNull(), V.s(route.cast("string")))})
+        host, port = forwarded_client(c.text(f"http.request.header.{forwarded}"))
+        c.overwrite("client.address", host)
+        c.overwrite("client.port", port)
+        c.step()
+    for n, most in (LIMITS | (limits or {})).items():
+        if n in c.column:
+            c[n] = F.when(V.kind(c[n]) == "s", V.s(V.clean(V.text(c[n]), most))).otherwise(c[n])
+    c.step()
+    path = c.text("url.path")
+    to = F.lit(route_other)
+    for pattern, name in reversed([ROUTES[r] if isinstance(r, str) else r for r in routes]):
+        to = F.when(path.rlike(pattern), name).otherwise(to)
+    c.fill("http.route", F.when(path.isNotNull(), to).cast("string"))
+    c.step()
     # derived
-    sc = F.when(V.kind(attr("http.response.status_code")) == "i", V.text(attr("http.response.status_code")).try_cast("bigint"))
-    m = _text("http.request.method")
-    shown = F.when(m == "_OTHER", "HTTP").otherwise(m)
-    derived = {
-        "error.type": F.when(sc.between(500, 599) & ~V.present(attr("error.type")), V.s(sc)),
-        "span.status": F.when(sc.isNotNull() & ~V.present(attr("span.status")), F.when(sc.between(500, 599) | (sc == 0), "serror").otherwise("sunset")),
-        "span.name": F.when(~V.present(attr("span.name")), V.s(F.concat_ws(" ", shown, F.when(shown.isNotNull(), _text("http.route"))))).otherwise(None),
-    }
-    derived["span.name"] = F.when(shown.isNotNull(), derived["span.name"])
+    code = F.when(V.kind(c["http.response.status_code"]) == "i", V.text(c["http.response.status_code"]).try_cast("bigint"))
+    bad = code.between(500, 599)
+    c.fill("error.type", F.when(bad, code.cast("string")))
+    c.fill("span.status", F.when(code.isNotNull(), F.when(bad | (code == 0), "error").otherwise("unset")))
+    shown = F.when(c.text("http.request.method") == "_OTHER", "HTTP").otherwise(c.text("http.request.method"))
+    c.fill("span.name", F.when(shown.isNotNull(), F.concat_ws(" ", shown, c.text("http.route"))))
     if status_class:
-        derived["http.response.status_class"] = F.when(sc.isNotNull() & ~V.present(attr("http.response.status_class")), F.when(sc.between(100, 599), F.concat(F.lit("s"), F.floor(sc / 100).cast("string"), F.lit("xx"))).otherwise("sunknown"))
-    any_of = lambda names: F.greatest(*[V.present(attr(n)) for n in names])
-    timed = any_of(SPAN_DURATION) | (any_of(SPAN_START) & any_of(SPAN_END))
-    derived["span.duration_s"] = F.when((V.kind(attr("http.request.duration_s")) == "f") & ~timed, attr("http.request.duration_s"))
-    return _update(d, derived).drop("_touch")
-
-
-def forwarded_client(header: str) -> dict[str, Column]:
-    """client.address and client.port from the first hop of forwarded, x-forwarded-for or x-real-ip."""
-    h = _text(f"http.request.header.{header}")
+        c.fill("http.response.status_class", F.when(code.isNotNull(), F.when(code.between(100, 599), F.concat(F.floor(code / 100).cast("string"), F.lit("xx"))).otherwise("unknown")))
+    def stated(names: list[str]) -> Column:
+        hit = F.lit(False)
+        for n in names:
+            hit = hit | V.present(c[n])
+        return hit
+    timed = stated(SPAN_DURATION) | (stated(SPAN_START) & stated(SPAN_END))
+    seconds = c["http.request.duration_s"]
+    c["span.duration_s"] = F.when((V.kind(seconds) == "f") & ~timed, seconds).otherwise(c["span.duration_s"])
+    return c.done(df.columns)
+
+
+def forwarded_client(h: Column) -> tuple[Column, Column]:
+    """Client address and port, as values, from the first hop of a forwarding header."""
     hop = F.btrim(F.substring_index(h, ",", 1))
-    if header == "forwarded":
-        hop = F.btrim(F.regexp_extract(hop, r"(?i)(?:^|;)\s*for=(\"[^\"]*\"|[^;,\s]+)", 1), F.lit('"'))
-    v6 = hop.startswith("[")
-    host = F.when(v6, F.regexp_extract(hop, r"^\[([^\]]+)\]", 1)).when(hop.rlike(r"^[^:]+:\d+$"), F.substring_index(hop, ":", 1)).otherwise(hop)
+    hop = F.when(hop.rlike(r"(?i)(?:^|;)\s*for="), F.btrim(F.regexp_extract(hop, r"(?i)(?:^|;)\s*for=(\"[^\"]*\"|[^;,\s]+)", 1), F.lit('"'))).otherwise(hop)
+    host = F.when(hop.startswith("["), F.regexp_extract(hop, r"^\[([^\]]+)\]", 1)).when(hop.rlike(r"^[^:]+:\d+$"), F.substring_index(hop, ":", 1)).otherwise(hop)
     port = F.regexp_extract(hop, r"(?:^[^:\[]+|\]):(\d{1,5})$", 1)
     good = host.rlike(r"^(\d{1,3}(\.\d{1,3}){3}|[0-9a-fA-F:]+:[0-9a-fA-F:.]*)$")
-    return {"client.address": F.when(good, V.s(host)), "client.port": F.when(good & (port != ""), F.concat(F.lit("i"), port))}
+    return F.when(good, V.s(host)), F.when(good & (port != ""), F.concat(F.lit("i"), port))

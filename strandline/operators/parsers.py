@@ -25,13 +25,11 @@ def _merged(df: DataFrame, parsed: Column) -> DataFrame:
 
 def json_value(v: Column) -> Column:
     """Typed value from a VARIANT: non-negative integers unsigned, negative signed, containers as JSON."""
-    t = F.schema_of_variant(v)
-    j = F.to_json(v)
-    return (
-        F.when(t == "VOID", "n").when(t == "STRING", F.concat(F.lit("s"), F.try_variant_get(v, "$", "string"))).when(t == "BOOLEAN", F.concat(F.lit("b"), j))
-        .when(t.startswith("OBJECT"), F.concat(F.lit("m"), j)).when(t.startswith("ARRAY"), F.concat(F.lit("a"), j))
-        .when(j.rlike(r"^\d+$"), F.concat(F.lit("u"), j)).when(j.rlike(r"^-\d+$"), F.concat(F.lit("i"), j)).otherwise(F.concat(F.lit("f"), F.try_variant_get(v, "$", "double").cast("string")))
-    )
+    tag = lambda t, c: F.concat(F.lit(t), c)
+    return V.let(F.to_json(v), lambda j: (
+        F.when(j.startswith('"'), tag("s", F.try_variant_get(v, "$", "string"))).when(j.rlike(r"^\d+$"), tag("u", j)).when(j.startswith("{"), tag("m", j)).when(j.startswith("["), tag("a", j))
+        .when(j.isin("true", "false"), tag("b", j)).when(j.isNull() | (j == "null"), "n").when(j.rlike(r"^-\d+$"), tag("i", j)).otherwise(tag("f", F.try_variant_get(v, "$", "double").cast("string")))
+    ))
 
 
 def json_object(m: Column) -> Column:
@@ -76,21 +74,25 @@ def csv(df: DataFrame, columns: list[str], delimiter: str = ",") -> DataFrame:
     return _merged(df.withColumn("_f", f), F.when(F.col("_f").isNotNull(), pairs)).drop("_f")
 
 
-#: A pair: key, then a quoted or a bare value; or a bare word.
-_PAIR = r'([^\s=]+)=(?:"((?:[^"\\]|\\.)*)"|(\S*))|([^\s=]+)'
+#: A token: key and quoted or bare value, or a bare word.
+_PAIR = r'[^\s=]+=(?:"(?:[^"\\]|\\.)*"|\S*)|[^\s=]+'
 
 
 def logfmt(df: DataFrame, bare_keys: bool = False) -> DataFrame:
     """Whitespace-delimited key=value with quoting; an unterminated quote or no pair at all leaves the event as it is."""
-    m = _message()
-    keys, quoted, plain, bare = (F.regexp_extract_all(m, F.lit(_PAIR), F.lit(i)) for i in (1, 2, 3, 4))
-    z = F.arrays_zip(keys.alias("k"), quoted.alias("q"), plain.alias("p"), bare.alias("b"))
-    z = F.filter(z, lambda e: (e["k"] != "") | (F.lit(bare_keys) & (e["b"] != "")))
-    unescaped = lambda q: F.replace(F.regexp_replace(F.replace(F.replace(F.replace(q, F.lit("\\\\"), F.lit("\x00")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), r"\\t", "\t"), F.lit("\x00"), F.lit("\\"))
-    names = F.transform(z, lambda e: F.when(e["k"] != "", e["k"]).otherwise(e["b"]))
-    vals = F.transform(z, lambda e: F.when(e["k"] == "", F.lit("btrue")).when(e["q"] != "", V.s(unescaped(e["q"]))).otherwise(V.s(F.when(e["p"] == '""', "").otherwise(e["p"]))))
-    bad = F.exists(plain, lambda p: p.startswith('"') & (p != '""')) | ~F.exists(keys, lambda k: k != "")
-    return _merged(df, F.when(~bad, V.from_pairs(names, vals)))
+    tokens = F.regexp_extract_all(_message(), F.lit(_PAIR), F.lit(0))
+    paired = lambda t: F.contains(t, F.lit("="))
+    d = df.withColumn("_t", tokens if bare_keys else F.filter(tokens, paired))
+    def unescaped(q: Column) -> Column:
+        plain = F.replace(F.replace(F.replace(F.replace(F.replace(q, F.lit("\\\\"), F.lit("\x00")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), F.lit("\x00"), F.lit("\\"))
+        return F.when(F.contains(q, F.lit("\\")), plain).otherwise(q)
+    raw = lambda t: F.substr(t, F.instr(t, "=") + 1)
+    inner = lambda r: F.substr(r, F.lit(2), F.length(r) - 2)
+    value = lambda t: F.when(~paired(t), F.lit("btrue")).otherwise(F.concat(F.lit("s"), F.when(raw(t).startswith('"'), unescaped(inner(raw(t)))).otherwise(raw(t))))
+    t = F.col("_t")
+    open_quote = F.exists(t, lambda x: F.contains(x, F.lit('="')) & (~x.endswith('"') | x.endswith('="')) & raw(x).startswith('"'))
+    ok = F.exists(t, paired) & ~open_quote
+    return _merged(d, F.when(ok, V.from_pairs(F.transform(t, lambda x: F.substring_index(x, "=", 1)), F.transform(t, value)))).drop("_t")
 
 
 def kv(df: DataFrame, pair_sep: str, kv_sep: str, bare_keys: bool = False) -> DataFrame:
@@ -163,7 +165,7 @@ def line_protocol(df: DataFrame, precision: str = "ns", keep_source: bool = Fals
     without time takes the parent's.
     """
     scale = {"ns": 1, "us": 1000, "ms": 1_000_000, "s": 1_000_000_000}[precision]
-    d = df.select("*", F.posexplode(influx_points(_message())).alias("_i", "_pt"))
+    d = df.select("*", F.posexplode_outer(influx_points(_message())).alias("_i", "_pt")).where("_pt is not null")
     d = d.withColumn("point_ns", F.coalesce(F.col("_pt.time").try_cast("bigint") * scale, F.col("ts_ns")))
     d = d.select(*df.columns, "_i", "point_ns", F.col("_pt.measurement").alias("measurement"), F.col("_pt.tags").alias("tags"), F.explode("_pt.fields").alias("field", "_raw"))
     d = d.withColumn("value", influx_value(F.col("_raw"))).where("value is not null")

@@ -71,23 +71,22 @@ def metric(**parts: Column | object) -> Column:
 
 def kv_metrics(df: DataFrame, counters: list[dict] = (), gauges: list[dict] = (), distributions: list[dict] = ()) -> DataFrame:
     """Append metrics derived from attributes; entries are {name, field?, unit?}. A missing or non-numeric field skips its metric."""
-    new = []
-    for spec in counters:
-        v = attr(spec["field"]) if spec.get("field") else F.lit("f1.0")
-        x = V.numeric(v)
-        i = F.when(V.kind(v).isin("i", "u"), V.text(v).try_cast("bigint"))
-        m = metric(name=spec["name"], unit=spec.get("unit"), kind="sum", value=x, value_i64=i, value_type=F.when(V.kind(v).isin("i", "u"), V.kind(v)).otherwise("f"), temporality="delta", monotonic=True)
-        new.append(F.when(x.isNotNull(), m))
-    for spec in gauges:
-        v = attr(spec["field"])
-        x = V.numeric(v)
-        m = metric(name=spec["name"], unit=spec.get("unit"), kind="gauge", value=x, value_i64=F.when(V.kind(v).isin("i", "u"), V.text(v).try_cast("bigint")), value_type=F.when(V.kind(v).isin("i", "u"), V.kind(v)).otherwise("f"))
-        new.append(F.when(x.isNotNull(), m))
-    for spec in distributions:
-        x = V.numeric(attr(spec["field"]))
-        new.append(F.when(x.isNotNull(), metric(name=spec["name"], unit=spec.get("unit"), kind="samples", samples=F.array(x), sample_rate=1.0)))
-    none = F.array().cast(df.schema["metrics"].dataType)
-    return df.withColumn("metrics", F.concat(F.coalesce("metrics", none), F.array_compact(F.array(*new)).cast(df.schema["metrics"].dataType)))
+    fields = list(dict.fromkeys(s["field"] for s in (*counters, *gauges, *distributions) if s.get("field")))
+    number = {f: F.col(f"_x{i}") for i, f in enumerate(fields)}
+    d = df.withColumns({f"_x{i}": V.numeric(attr(f)) for i, f in enumerate(fields)}) if fields else df
+    def scalar(spec: dict, **more: object) -> Column:
+        if not spec.get("field"):
+            return metric(name=spec["name"], unit=spec.get("unit"), value=1.0, value_type="f", **more)
+        v, x = attr(spec["field"]), number[spec["field"]]
+        whole = V.kind(v).isin("i", "u")
+        return F.when(x.isNotNull(), metric(name=spec["name"], unit=spec.get("unit"), value=x, value_i64=F.when(whole, V.text(v).try_cast("bigint")), value_type=F.when(whole, V.kind(v)).otherwise("f"), **more))
+    new = [scalar(s, kind="sum", temporality="delta", monotonic=True) for s in counters] + [scalar(s, kind="gauge") for s in gauges]
+    for s in distributions:
+        x = number[s["field"]]
+        new.append(F.when(x.isNotNull(), metric(name=s["name"], unit=s.get("unit"), kind="samples", samples=F.array(x), sample_rate=1.0)))
+    kind = df.schema["metrics"].dataType
+    made = F.array_compact(F.array(*new)).cast(kind)
+    return d.withColumn("metrics", F.when(F.size("metrics") > 0, F.concat("metrics", made)).otherwise(made)).select(df.columns)
 
 
 TRACEPARENT = r"^([0-9a-f]{2})-([0-9a-f]{32})-([0-9a-f]{16})-([0-9a-f]{2})(-.*)?$"

@@ -185,10 +185,10 @@ def _temporality(c: Column) -> Column:
 def otlp_metrics(df: DataFrame, body: str = "body") -> DataFrame:
     """Metric rows (name, kind, attributes, resource, ...) of export requests."""
     d = df.select(*[c for c in df.columns if c != body], F.from_json(F.col(body), OTLP_METRICS).alias("j"))
-    d = d.select(*[c for c in df.columns if c != body], F.explode("j.resourceMetrics").alias("r")).withColumn("s", F.explode("r.scopeMetrics")).withColumn("m", F.explode("s.metrics"))
+    d = d.select(*[c for c in df.columns if c != body], F.explode_outer("j.resourceMetrics").alias("r")).withColumn("s", F.explode_outer("r.scopeMetrics")).withColumn("m", F.explode_outer("s.metrics"))
     tagged = lambda kind: F.transform(F.col(f"m.{kind}.dataPoints"), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("p")))
     none = F.array().cast(f"array<struct<kind:string,p:{_NUM}>>")
-    d = d.withColumn("x", F.explode(F.concat(*[F.coalesce(tagged(k), none) for k in ("gauge", "sum", "histogram", "summary")])))
+    d = d.withColumn("x", F.explode_outer(F.concat(*[F.coalesce(tagged(k), none) for k in ("gauge", "sum", "histogram", "summary")]))).where("x is not null")
     p = F.col("x.p")
     bounds = F.transform(F.concat(F.coalesce(p["explicitBounds"], F.array().cast("array<double>")), F.array(F.lit(float("inf")))), lambda b, i: F.struct(b.alias("bound"), p["bucketCounts"][i].cast("bigint").alias("count")))
     return d.select(
@@ -208,7 +208,7 @@ def severity_of(number: Column) -> Column:
 def otlp_logs(df: DataFrame, body: str = "body") -> DataFrame:
     """Log rows of export requests."""
     rest = [c for c in df.columns if c != body]
-    d = df.select(*rest, F.explode(F.from_json(F.col(body), OTLP_LOGS)["resourceLogs"]).alias("r")).withColumn("s", F.explode("r.scopeLogs")).withColumn("l", F.explode("s.logRecords"))
+    d = df.select(*rest, F.explode_outer(F.from_json(F.col(body), OTLP_LOGS)["resourceLogs"]).alias("r")).withColumn("s", F.explode_outer("r.scopeLogs")).withColumn("l", F.explode_outer("s.logRecords")).where("l is not null")
     v = otlp_value(F.col("l.body"))
     return d.select(*rest, _kvs(F.col("r.resource.attributes")).alias("resource"), F.coalesce(F.col("l.timeUnixNano").try_cast("bigint"), F.lit(0)).alias("ts_ns"), F.coalesce(F.col("l.observedTimeUnixNano").try_cast("bigint"), F.lit(0)).alias("observed_ns"),
                     F.coalesce(severity_of(F.try_variant_get("l.severityNumber", "$", "int")), F.lower("l.severityText")).alias("severity"), V.text(v).alias("message"), F.when(V.kind(v).isin("a", "m"), "structured").otherwise("raw").alias("body_format"), _kvs(F.col("l.attributes")).alias("attributes"),
@@ -218,7 +218,7 @@ def otlp_logs(df: DataFrame, body: str = "body") -> DataFrame:
 def otlp_traces(df: DataFrame, body: str = "body") -> DataFrame:
     """Span rows of export requests."""
     rest = [c for c in df.columns if c != body]
-    d = df.select(*rest, F.explode(F.from_json(F.col(body), OTLP_TRACES)["resourceSpans"]).alias("r")).withColumn("s", F.explode("r.scopeSpans")).withColumn("x", F.explode("s.spans"))
+    d = df.select(*rest, F.explode_outer(F.from_json(F.col(body), OTLP_TRACES)["resourceSpans"]).alias("r")).withColumn("s", F.explode_outer("r.scopeSpans")).withColumn("x", F.explode_outer("s.spans")).where("x is not null")
     kind, code = F.to_json("x.kind"), F.to_json("x.status.code")
     names = ["internal", "server", "client", "producer", "consumer"]
     k = F.lit("unspecified")
@@ -251,7 +251,7 @@ def hec(df: DataFrame, body: str = "body") -> DataFrame:
     text = F.btrim(F.col(body), F.lit(" \t\r\n"))
     joined = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), F.regexp_replace(text, r"\}\s*\{(?=\s*\"(?:time|host|source|sourcetype|index|event|fields)\")", "},{"), F.lit("]")))
     rest = [c for c in df.columns if c != body]
-    d = df.select(*rest, F.posexplode(F.from_json(joined, f"array<{HEC}>")).alias("_pos", "o")).where("o is not null")
+    d = df.select(*rest, F.posexplode_outer(F.from_json(joined, f"array<{HEC}>")).alias("_pos", "o")).where("o is not null")
     t = F.coalesce(F.try_variant_get("o.time", "$", "string"), F.to_json("o.time"))
     res = F.create_map(*[x for k, c in (("host.name", "host"), ("hec.source", "source"), ("hec.sourcetype", "sourcetype"), ("hec.index", "index")) for x in (F.lit(k), V.s(F.col(f"o.{c}")))])
     fields = F.coalesce("o.fields", F.create_map().cast("map<string,variant>"))
@@ -278,7 +278,7 @@ def series_v1(df: DataFrame, body: str = "body") -> DataFrame:
     from strandline.sources.text import tag_map
 
     rest = [c for c in df.columns if c != body]
-    d = df.select(*rest, F.explode(F.from_json(F.col(body), SERIES_V1)["series"]).alias("s")).select(*rest, "s", F.explode("s.points").alias("p"))
+    d = df.select(*rest, F.explode_outer(F.from_json(F.col(body), SERIES_V1)["series"]).alias("s")).select(*rest, "s", F.explode_outer("s.points").alias("p")).where("p is not null")
     host = F.map_filter(F.create_map(F.lit("host.name"), V.s(F.nullif("s.host", F.lit("")))), lambda _, v: v.isNotNull())
     return d.select(*rest, F.col("s.metric").alias("name"), F.when(F.coalesce("s.type", F.lit("gauge")) == "count", "sum").otherwise("gauge").alias("kind"), F.when(F.col("s.type") == "count", "delta").alias("temporality"), F.col("s.unit").alias("unit"), F.col("s.interval").alias("interval_s"), (F.col("p")[0] * 1e9).cast("bigint").alias("ts_ns"), F.col("p")[1].alias("value"), V.merge(tag_map(F.coalesce("s.tags", F.array().cast("array<string>"))), host).alias("attributes"))
 
@@ -288,7 +288,7 @@ def series_v2(df: DataFrame, body: str = "body") -> DataFrame:
     from strandline.sources.text import tag_map
 
     rest = [c for c in df.columns if c != body]
-    d = df.select(*rest, F.explode(F.from_json(F.col(body), SERIES_V2)["series"]).alias("s")).select(*rest, "s", F.explode("s.points").alias("p"))
+    d = df.select(*rest, F.explode_outer(F.from_json(F.col(body), SERIES_V2)["series"]).alias("s")).select(*rest, "s", F.explode_outer("s.points").alias("p")).where("p is not null")
     host = F.get(F.transform(F.filter("s.resources", lambda r: r["type"] == "host"), lambda r: r["name"]), F.lit(0))
     hosts = F.map_filter(F.create_map(F.lit("host.name"), V.s(host)), lambda _, v: v.isNotNull())
     return d.select(*rest, F.col("s.metric").alias("name"), F.when(F.col("s.type") == 1, "sum").otherwise("gauge").alias("kind"), F.when(F.col("s.type") == 1, "delta").alias("temporality"), F.col("s.unit").alias("unit"), F.col("s.interval").alias("interval_s"), (F.col("p.timestamp") * F.lit(1_000_000_000).cast("bigint")).alias("ts_ns"), F.col("p.value").alias("value"), V.merge(tag_map(F.coalesce("s.tags", F.array().cast("array<string>"))), hosts).alias("attributes"))
@@ -308,7 +308,7 @@ def log_intake(df: DataFrame, body: str = "body") -> DataFrame:
 
     t = F.btrim(F.col(body))
     rest = [c for c in df.columns if c != body]
-    d = df.select(*rest, F.explode(F.from_json(F.when(t.startswith("["), t).otherwise(F.concat(F.lit("["), t, F.lit("]"))), "array<map<string,variant>>")).alias("o"))
+    d = df.select(*rest, F.explode_outer(F.from_json(F.when(t.startswith("["), t).otherwise(F.concat(F.lit("["), t, F.lit("]"))), "array<map<string,variant>>")).alias("o")).where("o is not null")
     g = lambda k: F.try_variant_get(F.col("o")[k], "$", "string")
     known = F.map_filter(F.create_map(F.lit("host.name"), V.s(g("hostname")), F.lit("service.name"), V.s(g("service")), F.lit("log.source"), V.s(g("ddsource"))), lambda _, v: v.isNotNull())
     own = F.transform_values(F.map_filter("o", lambda k, _: ~k.isin("message", "ddtags", "hostname", "service", "status", "ddsource", "timestamp")), lambda _, v: json_value(v))

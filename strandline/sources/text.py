@@ -15,7 +15,6 @@ from strandline.operators.parsers import influx_points, influx_value
 from strandline.schema import PRIVATE
 
 NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
-STATSD = rf"^([^:|]+):((?:[^|])*)\|(c|g|ms|h|d|s)((?:\|[^|]*)*)$"
 SERVICE_KEYS = {"env": "deployment.environment.name", "service": "service.name", "version": "service.version", "host": "host.name"}
 
 
@@ -30,7 +29,9 @@ def tag_map(tags: Column) -> Column:
         vs = F.transform(F.filter(t, lambda x: key(x) == k), value)
         as_json = F.concat(F.lit("a["), F.array_join(F.transform(vs, lambda v: F.when(v == "btrue", F.lit("true")).otherwise(F.to_json(F.array(V.text(v))).substr(F.lit(2), F.length(F.to_json(F.array(V.text(v)))) - 2))), ","), F.lit("]"))
         return F.when(F.size(vs) == 1, vs[0]).otherwise(as_json)
-    return F.map_from_arrays(F.transform(keys, lambda k: F.coalesce(name[k], k)), F.transform(keys, of))
+    named = lambda ks: F.transform(ks, lambda k: F.coalesce(name[k], k))
+    plain = V.from_pairs(named(F.transform(t, key)), F.transform(t, value))
+    return F.when(F.size(keys) == F.size(t), plain).otherwise(V.from_pairs(named(keys), F.transform(keys, of)))
 
 
 def statsd(lines: DataFrame) -> DataFrame:
@@ -39,8 +40,11 @@ def statsd(lines: DataFrame) -> DataFrame:
     Counters are extrapolated by their rate; signed gauges are adjustments; timings,
     histograms and distributions keep their raw values and rate; sets their members.
     """
-    ln = F.rtrim("line")
-    d = lines.where(ln.rlike(STATSD)).select("_seq", "ts_ns", F.regexp_extract(ln, STATSD, 1).alias("name"), F.split(F.regexp_extract(ln, STATSD, 2), ":").alias("vals"), F.regexp_extract(ln, STATSD, 3).alias("t"), F.split(F.regexp_extract(ln, STATSD, 4), r"\|").alias("ext"))
+    d = lines.select("_seq", "ts_ns", F.split(F.rtrim("line"), r"\|").alias("_p"))
+    head, wire = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
+    colon = F.instr(head, ":")
+    d = d.where((colon > 1) & wire.isin("c", "g", "ms", "h", "d", "s"))
+    d = d.select("_seq", "ts_ns", F.substring_index(head, ":", 1).alias("name"), F.split(F.substr(head, colon + 1), ":").alias("vals"), wire.alias("t"), F.slice("_p", 3, 1_000_000).alias("ext"))
     last = lambda p: F.element_at(F.filter("ext", lambda x: x.startswith(p)), -1)
     has = lambda p: F.exists("ext", lambda x: x.startswith(p))
     rate_text = F.when(has("@"), F.substr(last("@"), F.lit(2)))
@@ -53,11 +57,10 @@ def statsd(lines: DataFrame) -> DataFrame:
     ts = F.when(has("T"), F.substr(last("T"), F.lit(2)))
     d = d.withColumn("attributes", V.merge(attrs, F.when(ts.isNotNull(), F.create_map(F.lit(PRIVATE + "metrics.closed"), F.lit("stimestamped")))))
     d = d.where(ts.isNull() | ts.rlike(r"^\+?\d{1,10}$")).withColumn("ts_ns", F.coalesce(ts.try_cast("bigint") * 1_000_000_000, F.col("ts_ns")))
-    numbers = F.transform("vals", V.parse_float)
-    ok = (F.col("t") == "s") | ~F.exists(numbers, lambda x: x.isNull())
-    d = d.where(ok).withColumn("numbers", numbers)
+    d = d.withColumn("numbers", F.when(F.col("t") != "s", F.transform("vals", V.parse_float)))
+    d = d.where((F.col("t") == "s") | ~F.exists("numbers", lambda x: x.isNull()))
     split = F.col("t").isin("c", "g")
-    d = d.withColumn("_each", F.explode(F.when(split, F.sequence(F.lit(0), F.size("vals") - 1)).otherwise(F.array(F.lit(0)))))
+    d = d.withColumn("_each", F.explode_outer(F.when(split, F.sequence(F.lit(0), F.size("vals") - 1)).otherwise(F.array(F.lit(0)))))
     one, raw = F.col("numbers")[F.col("_each")], F.col("vals")[F.col("_each")]
     kind = F.when(F.col("t") == "c", "sum").when(F.col("t") == "g", F.when(raw.rlike("^[+-]"), "gauge_delta").otherwise("gauge")).when(F.col("t") == "s", "set_members").otherwise("samples")
     value = F.when(F.col("t") == "c", one / F.col("rate")).when(F.col("t") == "g", one)
@@ -112,7 +115,7 @@ def multi_value(m: DataFrame, quantiles: dict[float, str] | None = None) -> Data
     sets = F.array(part(".count", F.size(F.array_distinct("members"))))
     plain = F.array(part("", F.col("value")))
     parts = F.when(F.col("kind") == "distribution", dist).when(F.col("kind") == "histogram", hist).when(F.col("kind") == "summary", summ).when(F.col("kind").isin("set", "set_members"), sets).otherwise(plain)
-    d = m.withColumn("_p", F.explode(F.filter(F.coalesce(parts, none), lambda p: V.finite(p["v"]).isNotNull())))
+    d = m.withColumn("_p", F.explode_outer(F.filter(F.coalesce(parts, none), lambda p: V.finite(p["v"]).isNotNull()))).where("_p is not null")
     return d.withColumn("name", F.concat("name", F.col("_p.suffix"))).withColumn("value", F.col("_p.v")).drop("_p")
 
 
@@ -124,7 +127,7 @@ def to_graphite(m: DataFrame) -> DataFrame:
 
 def influx(lines: DataFrame) -> DataFrame:
     """Gauges named measurement.field of line-protocol lines; text fields become attributes of the point."""
-    d = lines.select("_seq", "ts_ns", F.explode(influx_points(F.col("line"))).alias("p")).select("_seq", F.coalesce(F.col("p.time").try_cast("bigint"), F.col("ts_ns")).alias("ts_ns"), F.col("p.measurement").alias("measurement"), F.transform_values("p.tags", lambda _, v: V.s(v)).alias("attributes"), F.explode("p.fields").alias("field", "raw"))
+    d = lines.select("_seq", "ts_ns", F.explode_outer(influx_points(F.col("line"))).alias("p")).where("p is not null").select("_seq", F.coalesce(F.col("p.time").try_cast("bigint"), F.col("ts_ns")).alias("ts_ns"), F.col("p.measurement").alias("measurement"), F.transform_values("p.tags", lambda _, v: V.s(v)).alias("attributes"), F.explode("p.fields").alias("field", "raw"))
     d = d.withColumn("v", influx_value(F.col("raw"))).where("v is not null and not startswith(v, 's')")
     value = F.when(F.col("v") == "btrue", 1.0).when(F.col("v") == "bfalse", 0.0).otherwise(V.text(F.col("v")).try_cast("double"))
     return d.select("_seq", "ts_ns", F.concat_ws(".", "measurement", "field").alias("name"), "attributes", F.lit("gauge").alias("kind"), value.alias("value"), V.kind(F.col("v")).alias("value_type"))

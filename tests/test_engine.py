@@ -3,6 +3,7 @@
 import math
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -501,6 +502,13 @@ class TestStreams:
             spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
         return spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
 
+    def until(self, q, done):
+        """Timeouts keep such a query busy for ever, so it is watched and stopped."""
+        end = time.time() + 90
+        while time.time() < end and not done():
+            time.sleep(0.5)
+        q.stop()
+
     def test_windows_per_batch(self, spark, tmp_path):
         def metric(v):
             return Row(**{f.name: {"name": "m", "kind": "sum", "value": v, "temporality": "delta"}.get(f.name) for f in METRIC})
@@ -515,13 +523,11 @@ class TestStreams:
         parts = [[("a", 1, 10.0), ("a", 2, 15.0)], [("a", 2, 15.0), ("a", 3, 4.0), ("b", 9, 1.0)]]
         stream = self.source(spark, tmp_path, parts, "s string, ts_ns bigint, value double")
         q = windows.deltas(stream, ["s"]).writeStream.format("memory").queryName("deltas").option("checkpointLocation", str(tmp_path / "cp")).start()
-        q.processAllAvailable()
-        q.stop()
+        self.until(q, lambda: spark.table("deltas").count() >= 5)
         rows = {(r.s, r.ts_ns, r.rule, r.delta) for r in spark.table("deltas").collect()}
         assert ("a", 1, "first", None) in rows and ("a", 2, "difference", 5.0) in rows and ("a", 2, "duplicate", None) in rows and ("a", 3, "reset", 4.0) in rows and ("b", 9, "first", None) in rows
         q = windows.running_totals(stream, ["s"]).writeStream.outputMode("update").format("memory").queryName("totals").option("checkpointLocation", str(tmp_path / "cp2")).start()
-        q.processAllAvailable()
-        q.stop()
+        self.until(q, lambda: spark.table("totals").count() >= 3)
         assert max(r.total for r in spark.table("totals").collect() if r.s == "a") == 44.0
 
     def test_late_counters(self, spark, tmp_path):

@@ -129,4 +129,22 @@ select period_no, service_name, seq, cast(sum(n) over w as bigint) n, cast(sum(d
 g as (select series_id, interval_s, min(slot) a, max(slot) b from d group by series_id, interval_s, slot//86400), e as (select series_id, unnest(range(a, b + 1, interval_s)) slot_start from g)
 select e.series_id, e.slot_start from e left join d on d.series_id = e.series_id and d.slot = e.slot_start where d.slot is null""",
     "p7_found": f"with {_READINGS}, k as (select point_id, min(point_id) over (partition by m, h, t, ns, v) kept_id from r) select kept_id, point_id copy_id from k where point_id <> kept_id",
+    "p6_found": r"""with l as (select *, case when regexp_matches(raw_line, '^(\d+ )?<\d{1,3}>\d{1,2} \d{4}-') then 's5' when regexp_matches(raw_line, '^(\d+ )?<\d{1,3}>[A-Z][a-z]{2} [ \d]\d \d\d:') then 's3'
+ when regexp_matches(raw_line, '^ts=\d{4}-') then 'kv' when regexp_matches(raw_line, '^\{"time":"') then 'js' when regexp_matches(raw_line, '^\[\d\d/[A-Z][a-z]{2}/\d{4}:') then 'br'
+ when regexp_matches(raw_line, '^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+ ') then 'dt' when regexp_matches(raw_line, '^[TDIWEF]\d{4} \d\d:\d\d:\d\d') then 'gl' end k from syslog_lines),
+h as (select *, last_value(case when k is not null then line_id end ignore nulls) over (partition by stream_id order by line_no, line_id) head from l),
+c as (select head, count(*) n from h where head is not null group by 1),
+m as (select line_id, k, raw_line r, cast(nullif(regexp_extract(raw_line, '^(?:\d+ )?<(\d+)>', 1), '') as int) % 8 code from l where k is not null),
+f as (select line_id, k, code,
+ case k when 's5' then regexp_extract(r, '^(?:\d+ )?<\d+>\d+ \S+ (\S+) ', 1) when 's3' then regexp_extract(r, '^(?:\d+ )?<\d+>[A-Z][a-z]{2} [ \d]\d [\d:]+ ([^ :\[]+) [^ :\[]+[:\[]', 1) when 'kv' then regexp_extract(r, ' host=(\S+)', 1) when 'js' then regexp_extract(r, '"host":"([^"]*)"', 1) else '' end host,
+ case k when 's5' then regexp_extract(r, '^(?:\d+ )?<\d+>\d+ \S+ \S+ (\S+) ', 1) when 's3' then regexp_extract(r, '^(?:\d+ )?<\d+>[A-Z][a-z]{2} [ \d]\d [\d:]+ (?:[^ :\[]+ )?([^ :\[]+)[:\[]', 1) when 'kv' then regexp_extract(r, ' component=(\S+)', 1) when 'js' then regexp_extract(r, '"logger":"([^"]*)"', 1)
+  when 'br' then regexp_extract(r, '^\[[^\]]*\] \[([^\]]*):[^:\]]*\]', 1) when 'dt' then regexp_extract(r, '^[^\[]{24}(?:\x1b\[\d+m)?\w+(?:\x1b\[0m)? *\[([^\]]*)\]', 1) else regexp_extract(r, '^\S+ \S+ +\S+ ([^\]]*)\]', 1) end tag,
+ case k when 's5' then regexp_extract(r, '^(?:\d+ )?<\d+>\d+ \S+ \S+ \S+ (\S+) ', 1) when 's3' then regexp_extract(r, '^(?:\d+ )?<\d+>[A-Z][a-z]{2} [ \d]\d [\d:]+ (?:[^ :\[]+ )?[^ :\[]+\[([^\]]*)\]', 1) when 'kv' then regexp_extract(r, ' pid=(\S+)', 1) when 'js' then regexp_extract(r, '"pid":"?([^",}]*)', 1)
+  when 'gl' then regexp_extract(r, '^\S+ \S+ +(\S+) ', 1) else regexp_extract(r, '[\[(]pid ([^\])]*)[\])]', 1) end pid,
+ case k when 's5' then regexp_extract(r, '^(?:\d+ )?<\d+>\d+ \S+ \S+ \S+ \S+ (\S+) ', 1) else '' end msgid,
+ lower(case k when 'kv' then regexp_extract(r, ' level=(\S+)', 1) when 'js' then regexp_extract(r, '"level":"([^"]*)"', 1) when 'br' then regexp_extract(r, '^\[[^\]]*\] \[[^\]]*:([^:\]]*)\]', 1) when 'dt' then regexp_extract(r, '^[\d-]+ [\d:,]+ (?:\x1b\[\d+m)?(\w+)', 1) when 'gl' then r[1] else '' end) lvl from m)
+select head head_line_id, n n_lines, case when host = '-' then '' else host end host_name, case when tag = '-' then '' else tag end syslog_tag, case when pid = '-' then '' else pid end process_pid, case when msgid = '-' then '' else msgid end syslog_msgid,
+case when k in ('s3', 's5') then case when code <= 2 then 'fatal' when code = 3 then 'error' when code = 4 then 'warn' when code <= 6 then 'info' else 'debug' end
+ when lvl in ('trace', 't') then 'trace' when lvl in ('debug', 'dbg', 'd') then 'debug' when lvl in ('info', 'notice', 'i') then 'info' when lvl in ('warn', 'warning', 'w') then 'warn' when lvl in ('err', 'error', 'severe', 'e') then 'error' when lvl in ('crit', 'panic', 'fatal', 'f') then 'fatal' else '' end severity
+from c join f on head = line_id""",
 }

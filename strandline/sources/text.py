@@ -169,7 +169,7 @@ def prometheus_histograms(samples: DataFrame) -> DataFrame:
     """Histogram rows from _bucket, _sum and _count: buckets are successive differences over ``le``."""
     from pyspark.sql import Window as W
 
-    h = samples.where("type = 'histogram'").withColumn("le", F.expr("try_cast(replace(replace(substr(attributes['le'], 2), '+Inf', 'Infinity'), 'Inf', 'Infinity') as double)"))
+    h = samples.where("type = 'histogram'").withColumn("le", F.when(F.col("attributes")["le"].isin("s+Inf", "sInf"), float("inf")).otherwise(V.text(F.col("attributes")["le"]).try_cast("double")))
     h = h.withColumn("attributes", F.map_filter("attributes", lambda k, _: k != "le")).withColumn("_k", F.to_json(F.array_sort(F.map_entries("attributes"))))
     keys = ["family", "_k", "ts_ns"]
     bucket = F.col("name").endswith("_bucket")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import identity
-from strandline.functions.shared import join_sized, read
+from strandline.functions.shared import join_sized, materialise, read
 from strandline.llm import distinct, language, mixing, packing, percentiles
 
 
@@ -88,8 +88,8 @@ def p5_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Documents in tokens of ByT5: one per UTF-8 byte and the end mark."""
-    return read(spark, d, "documents").select("doc_id", "source", (F.octet_length("text") + 1).cast("bigint").alias("tokens"))
+    """Documents in tokens of ByT5: one per UTF-8 byte and the end mark. Written once, so that texts are read once."""
+    return materialise(read(spark, d, "documents").select("doc_id", "source", (F.octet_length("text") + 1).cast("bigint").alias("tokens")))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:

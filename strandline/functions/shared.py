@@ -82,8 +82,8 @@ def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def hot_values(df: DataFrame, key: Column, share: float = 1e-3, at_most: int = 1000) -> list[int]:
-    """BIGINT keys that hold at least ``share`` of the rows, ``at_most`` of them.
+def hot_values(df: DataFrame, key: Column, share: float = 1e-3, at_most: int = 1000) -> tuple[list[int], int]:
+    """BIGINT keys that hold at least ``share`` of the rows, ``at_most`` of them, and the number of rows.
 
     One pass with a frequent-items sketch of bounded size, merged map-side; the answer
     only routes rows, so an estimate is enough and no result depends on it.
@@ -94,7 +94,7 @@ def hot_values(df: DataFrame, key: Column, share: float = 1e-3, at_most: int = 1
         F.expr(f"approx_top_k(k, {at_most}, {at_most * 50})").alias("top"), F.count("*").alias("n")
     ).first()
     least = max(1000, share * r["n"])
-    return [int(x["item"]) for x in (r["top"] or []) if x["count"] >= least]
+    return [int(x["item"]) for x in (r["top"] or []) if x["count"] >= least], r["n"]
 
 
 def bucketed_prefix(df: DataFrame, by: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:

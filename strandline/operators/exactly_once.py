@@ -59,9 +59,8 @@ def has_bit(bitmap: Column, pos: Column) -> Column:
 def copies(rows: DataFrame, ident: list[str], row_id: str) -> DataFrame:
     """(kept_id, copy_id) for every copy that isn't kept; ``rows`` are one batch against an empty ledger."""
     d = rows.select(*ident, row_id)
-    n = d.count()
     h = F.xxhash64(*ident)
-    hot = hot_values(d, h)
+    hot, n = hot_values(d, h)
     cold = d.where(~h.isin(hot)) if hot else d
     out = select_unseen(encode(cold, ident, row_id, max(1, -(-n // SHARD_ROWS))), row_id).select("kept_id", F.col(row_id).alias("copy_id"))
     if hot:

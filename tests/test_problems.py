@@ -206,7 +206,7 @@ class TestExactlyOnce:
         plain = {(r.kept_id, r.copy_id) for r in exactly_once.copies(df, ["a", "b", "v"], "point_id").collect()}
         assert plain == self.want(rows)
         hot = [r.h for r in df.select(F.xxhash64("a", "b", "v").alias("h")).groupBy("h").count().orderBy(F.desc("count")).limit(5).collect()]
-        monkeypatch.setattr(exactly_once, "hot_values", lambda *a, **k: hot)
+        monkeypatch.setattr(exactly_once, "hot_values", lambda *a, **k: (hot, len(rows)))
         assert {(r.kept_id, r.copy_id) for r in exactly_once.copies(df, ["a", "b", "v"], "point_id").collect()} == plain
         monkeypatch.setattr(exactly_once, "SHARD_ROWS", 50)
         assert {(r.kept_id, r.copy_id) for r in exactly_once.copies(df, ["a", "b", "v"], "point_id").collect()} == plain
@@ -214,7 +214,7 @@ class TestExactlyOnce:
 
     def test_hot_values_are_found(self, spark):
         df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("bigint").alias("k"))
-        assert hot_values(df, F.col("k")) == [7]
+        assert hot_values(df, F.col("k")) == ([7], 60_000)
 
     def test_ledger(self, spark, tmp_path):
         ledger = str(tmp_path / "ledger")

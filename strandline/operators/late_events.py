@@ -2,11 +2,13 @@
 
 State is a grow-only counter. Each delivered record is a *dot*: its identifier with
 the earliest arrival seen, merged by keeping the smaller one, so a redelivery can only
-repeat or lower it. A *version* of a source is its number of dots of a period that had
-arrived by a sequence point; versions of the same (period, group, source, sequence)
-merge by maximum, and the value of a period is the sum over sources of their latest
-version. Merging is commutative, associative and idempotent: retries, reordering and
-a second run over the same batch change nothing.
+repeat or lower it. Dots of any batches merge (``merge_dots``), however a source's
+records and a record's copies are split over them. A *version* of a source is its number
+of dots of a period that had arrived by a sequence point, derived from the merged dots;
+the value of a period is the sum over sources of their latest version. A count doesn't
+tell which dots it holds, so versions of different dots can't be merged: ``merge`` takes
+copies of one state and fails on others. Merging is commutative, associative and
+idempotent: retries, reordering and a second run over the same batch change nothing.
 
 Nulls: a null identifier is no record and is left out; a null or 0 event time has no
 period and is left out of every count; a null group or source is a group of its own; a
@@ -31,21 +33,30 @@ def arrival_ns(observed: Column, received: Column) -> Column:
     return F.when(F.coalesce(observed, F.lit(0)) != 0, observed).otherwise(micros(received) * 1000)
 
 
-def dots(deliveries: DataFrame, *, key: str, event: str, observed: str, received: str, group: list[str], source: str, period_ns: int = HOUR_NS) -> DataFrame:
-    """One row per record: key, group columns, source, period_end (ns), arrival (ns).
+def dots(deliveries: DataFrame, *, key: str, event: str, observed: str, received: str, group: list[str], source: str, period_ns: int = HOUR_NS, batch: str | None = None) -> DataFrame:
+    """One row per record: key, group columns, source, arrival (ns), period_end (ns).
 
     Group, source and event time are those of the earliest arrival (ties: the smallest).
-    Partial aggregation merges copies before the shuffle.
+    With ``batch`` there is one row per batch and record: the state of each batch by itself.
     """
-    arrived = arrival_ns(F.col(observed), F.col(received))
-    first = F.min(F.struct(arrived.alias("arrival"), F.col(event).alias("event_ns"), *[F.col(c) for c in group], F.col(source).alias("source"))).alias("m")
-    end = (F.expr(f"event_ns - pmod(event_ns, {period_ns})") + F.lit(period_ns)).alias("period_end")
-    return (
-        deliveries.where(F.col(key).isNotNull() & (F.coalesce(F.col(event), F.lit(0)) != 0))
-        .groupBy(key).agg(first)
-        .select(key, *[F.col(f"m.{c}").alias(c) for c in group], "m.source", "m.arrival", F.col("m.event_ns").alias("event_ns"))
-        .withColumn("period_end", end).drop("event_ns")
-    )
+    d = deliveries.where(F.col(key).isNotNull() & (F.coalesce(F.col(event), F.lit(0)) != 0))
+    end = F.col(event) - F.pmod(F.col(event), F.lit(period_ns)) + F.lit(period_ns)
+    rows = d.select(*([batch] if batch else []), key, *group, F.col(source).alias("source"), arrival_ns(F.col(observed), F.col(received)).alias("arrival"), end.alias("period_end"))
+    return _earliest(rows, [batch, key] if batch else [key], group)
+
+
+def _earliest(rows: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
+    """One order decides everywhere, so merging in parts gives what merging at once gives."""
+    first = F.min(F.struct("arrival", "period_end", *group, "source")).alias("m")
+    return rows.groupBy(*keys).agg(first).select(*keys, *[F.col(f"m.{c}").alias(c) for c in (*group, "source", "arrival", "period_end")])
+
+
+def merge_dots(states: list[DataFrame], key: str, group: list[str]) -> DataFrame:
+    """Dots of several batches or states as one: per record the earliest arrival. Partial aggregation merges copies before the shuffle."""
+    out = states[0]
+    for s in states[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return _earliest(out, [key], group)
 
 
 def with_outcome(d: DataFrame, grace_ns: int = GRACE_NS, cutoff_ns: int = CUTOFF_NS) -> DataFrame:
@@ -71,11 +82,13 @@ def versions(d: DataFrame, group: list[str], step_ns: int = HOUR_NS) -> DataFram
 
 
 def merge(states: list[DataFrame], group: list[str]) -> DataFrame:
-    """Union of counter states: per source and sequence point the maximum."""
+    """Copies of one counter state as one; fails where they differ, as their dots must be merged instead."""
     out = states[0]
     for s in states[1:]:
         out = out.unionByName(s)
-    return out.groupBy("period_end", *group, "source", "seq").agg(F.max("n").alias("n"), F.max("dropped").alias("dropped"))
+    same = (F.count("*") == len(states)) & (F.min("n") == F.max("n")) & (F.min("dropped") == F.max("dropped"))
+    other = F.raise_error(F.lit("states of different dots: merge their dots")).cast("bigint")
+    return out.groupBy("period_end", *group, "source", "seq").agg(*[F.when(same, F.max(c)).otherwise(other).alias(c) for c in ("n", "dropped")])
 
 
 def totals(state: DataFrame, group: list[str]) -> DataFrame:

@@ -12,11 +12,15 @@ from strandline.operators import exactly_once, instants, late_events, log_entrie
 MESSAGE = ["series_h", "ns", "value"]
 
 
-def _dots(spark: SparkSession, d: str) -> DataFrame:
-    return late_events.with_outcome(late_events.dots(
+def _state(spark: SparkSession, d: str, batch: str | None = None) -> DataFrame:
+    return late_events.dots(
         read(spark, d, "log_records"), key="log_id", event="event_timestamp", observed="observed_timestamp",
-        received="received_at", group=["service_name"], source="host_name",
-    ))
+        received="received_at", group=["service_name"], source="host_name", batch=batch,
+    )
+
+
+def _dots(spark: SparkSession, d: str) -> DataFrame:
+    return late_events.with_outcome(_state(spark, d))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,9 +29,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly totals per service from the merged counter state."""
-    state = late_events.versions(_dots(spark, d), ["service_name"])
-    t = late_events.totals(late_events.merge([state, state], ["service_name"]), ["service_name"])
+    """Hourly totals per service from the states of all batches, merged."""
+    merged = late_events.merge_dots([_state(spark, d, "batch_id")], "log_id", ["service_name"])
+    t = late_events.totals(late_events.versions(late_events.with_outcome(merged), ["service_name"]), ["service_name"])
     return t.select(F.timestamp_seconds(F.expr("period_end div 1000000000 - 3600")).alias("period"), "service_name", "n", "dropped")
 
 

@@ -99,6 +99,4 @@ def late_counters(deliveries: DataFrame, table: str, checkpoint: str, group: lis
 
 def latest_dots(dots: DataFrame, key: str, group: list[str]) -> DataFrame:
     """Dots of all parts merged: of each record its earliest arrival."""
-    rest = ["arrival", *group, "source", "period_end"]
-    m = dots.groupBy(key).agg(F.min(F.struct(*rest)).alias("m"))
-    return m.select(key, *[F.col(f"m.{c}").alias(c) for c in rest])
+    return late_events.merge_dots([dots], key, group)

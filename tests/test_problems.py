@@ -70,6 +70,30 @@ class TestLateEvents:
             last[(r.period_end, r.service_name)] = (r.n, r.dropped)
         assert last == {(r.period_end, r.service_name): (r.n, r.dropped) for r in late_events.totals(whole, ["service_name"]).collect()}
 
+    def test_batches_merge_to_the_whole(self, spark):
+        """Split sources, a copy after the cut-off merged before the copy within it, and a copy by another source."""
+        t, late, end = T0 + 1, T0 + 26 * HOUR, T0 + HOUR
+        row = lambda k, o, h="h": (0, k, t, o, at(o), "a", h, "x")
+        batches = [[row(k, t) for k in range(5)] + [row(8, late), row(9, t, "g")], [row(k, t) for k in range(5, 8)] + [row(8, t), row(9, late)]]
+        r = random.Random(5)
+        more = deliveries(200)
+        batches += [[x for x in more if x[0] % 3 == i] for i in range(3)]
+        g = ["service_name"]
+        states = [late_events.dots(self.frame(spark, b), **KW) for b in batches]
+        value = lambda d: sorted(map(str, late_events.totals(late_events.versions(late_events.with_outcome(d), g), g).select("period_end", "service_name", "n", "dropped").collect()))
+        two = late_events.merge_dots(states[:2], "log_id", g)
+        assert {(x.period_end, x.n, x.dropped) for x in late_events.totals(late_events.versions(late_events.with_outcome(two), g), g).collect()} == {(end, 10, 0)}
+        whole = value(late_events.dots(self.frame(spark, sum(batches, [])), **KW))
+        r.shuffle(states)
+        assert value(late_events.merge_dots([late_events.merge_dots(states[:2], "log_id", g), *states[1:]], "log_id", g)) == whole
+        tagged = spark.createDataFrame([(*x, i) for i, b in enumerate(batches) for x in b], DELIVERY + ", batch_id int")
+        per = late_events.dots(tagged, **KW, batch="batch_id")
+        assert per.where("log_id = 8").count() >= 2
+        assert value(late_events.merge_dots([per], "log_id", g)) == whole
+        versions = [late_events.versions(late_events.with_outcome(s), g) for s in (late_events.dots(self.frame(spark, b), **KW) for b in batches[:2])]
+        with pytest.raises(Exception, match="merge their dots"):
+            late_events.totals(late_events.merge(versions, g), g).collect()
+
     def test_empty(self, spark):
         assert late_events.dots(self.frame(spark, []), **KW).count() == 0
 

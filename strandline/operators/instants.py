@@ -10,7 +10,8 @@ with the offset in force before the change.
 
 The zone of a source is looked up. ``estimate_zones`` finds it where it isn't known:
 of the offset histories of all candidate zones it takes the one under which the fewest
-local times lie after their receipt or implausibly long before it.
+local times lie after their receipt or implausibly long before it; ``fill_zones`` puts
+it in for hosts without a zone, whose times ``normalise`` then converts.
 
 Null, empty and meaningless spellings, numbers outside 2024 to 2026 and impossible
 dates give null. Equal rows give equal results; ties between candidates go to the
@@ -105,6 +106,20 @@ def zoned_candidates(local_us: Column, zone: Column) -> Column:
     return F.array(F.unix_micros(first), F.when(again, after).otherwise(F.unix_micros(first)))
 
 
+def _fields(t: Column) -> Column:
+    """Fields of a trimmed spelling by the first pattern that fits; null for plain numbers and where none does."""
+    parts = F.lit(None).cast("string")
+    for pattern, to in reversed(PATTERNS):
+        parts = F.when(t.rlike(pattern), F.regexp_replace(t, F.lit(pattern), F.lit(to))).otherwise(parts)
+    return F.split(F.when(~t.rlike(NUMBER), parts), r"\|")
+
+
+def _years(f: Column, rcv: Column) -> Column:
+    """The stated year, or those around the receipt where none is."""
+    near = F.year(F.timestamp_micros(rcv))
+    return F.when(f[0] == "", F.array(near - 1, near, near + 1)).otherwise(F.array(f[0].try_cast("int")))
+
+
 def normalise(df: DataFrame, text: str, received: str, host: str, hosts: DataFrame, out: str = "utc_us") -> DataFrame:
     """df with ``out``: the instant of ``text`` in Unix us (finer digits cut off), or null.
 
@@ -115,10 +130,7 @@ def normalise(df: DataFrame, text: str, received: str, host: str, hosts: DataFra
     table = hosts.select(host_key(F.col("host_name")).alias("_host"), F.col("tz_name").alias("_tz")).where("_host is not null and _tz is not null").dropDuplicates(["_host"])
     d = df.withColumn("_host", host_key(F.col(host))).withColumn("_t", blank_trim(F.col(text)))
     d = join_sized(d, table, ["_host"], "left")
-    parts = F.lit(None).cast("string")
-    for pattern, to in reversed(PATTERNS):
-        parts = F.when(F.col("_t").rlike(pattern), F.regexp_replace("_t", F.lit(pattern), F.lit(to))).otherwise(parts)
-    d = d.withColumn("_f", F.split(F.when(~F.col("_t").rlike(NUMBER), parts), r"\|")).withColumn("_rcv", micros(received))
+    d = d.withColumn("_f", _fields(F.col("_t"))).withColumn("_rcv", micros(received))
     f, rcv, tz = F.col("_f"), F.col("_rcv"), F.col("_tz")
     zone = f[8]
     signed = zone.rlike("^[+-]")
@@ -126,9 +138,7 @@ def normalise(df: DataFrame, text: str, received: str, host: str, hosts: DataFra
     fixed = F.when(
         signed, (F.substring(digits, 1, 2).try_cast("int") * 3600 + F.substring(digits, 3, 2).try_cast("int") * 60) * F.when(zone.startswith("-"), -1).otherwise(1)
     ).when(zone != "", _abbreviation_offset(zones or ["UTC"], tz, zone))
-    near = F.year(F.timestamp_micros(rcv))
-    years = F.when(f[0] == "", F.array(near - 1, near, near + 1)).otherwise(F.array(f[0].try_cast("int")))
-    d = d.withColumn("_fixed", fixed).withColumn("_years", years)
+    d = d.withColumn("_fixed", fixed).withColumn("_years", _years(f, rcv))
     local = F.transform("_years", lambda y: _local_us(y, f))
     instants = F.when(F.col("_fixed").isNotNull(), F.transform(local, lambda u: u - F.col("_fixed") * F.lit(1_000_000).cast("bigint"))).when(
         (zone == "") & tz.isNotNull(), F.flatten(F.transform(local, lambda u: zoned_candidates(u, tz)))
@@ -146,18 +156,25 @@ def normalise_numbers(df: DataFrame, number: str, out: str = "utc_us") -> DataFr
 def estimate_zones(df: DataFrame, text: str, received: str, source: str, zones: list[str], ahead_s: int = 120, behind_s: int = 3600) -> DataFrame:
     """(source, tz_name, n, violations): the zone whose offset history fits best per source.
 
-    Uses the spellings without zone and with a year. A violation is an instant more than
-    ``ahead_s`` after its receipt or ``behind_s`` before it. Ties go to the smaller total
-    distance, then to the name. Each row meets each candidate zone map-side; only
-    one partial count per source and zone is shuffled.
+    Uses all spellings without zone; of those without a year, the year nearest to the
+    receipt. A violation is an instant more than ``ahead_s`` after its receipt or
+    ``behind_s`` before it. Ties go to the smaller total distance, then to the name.
+    Rows without receipt tell nothing and aren't counted. Each row meets each candidate
+    zone map-side; only one partial count per source and zone is shuffled.
     """
-    t = blank_trim(F.col(text))
-    pattern, to = PATTERNS[0]
-    f = F.split(F.when(t.rlike(pattern), F.regexp_replace(t, F.lit(pattern), F.lit(to))), r"\|")
-    d = df.select(F.col(source).alias("_s"), f.alias("_f"), micros(received).alias("_rcv")).where("_f is not null and _f[8] = '' and _s is not null")
-    d = d.withColumn("_local", _local_us(F.col("_f")[0].try_cast("int"), F.col("_f"))).where("_local is not null")
+    d = df.select(F.col(source).alias("_s"), _fields(blank_trim(F.col(text))).alias("_f"), micros(received).alias("_rcv")).where("coalesce(_f[8] = '', false) and _s is not null and _rcv is not null")
+    f, rcv = F.col("_f"), F.col("_rcv")
+    d = d.withColumn("_local", F.array_compact(F.transform(_years(f, rcv), lambda y: _local_us(y, f))))
+    # impossible dates are left out by their null gap: a filter here would be pushed down and parse again
     d = d.select("_s", "_local", "_rcv", F.explode(F.array(*[F.lit(z) for z in zones])).alias("tz_name"))
-    gap = F.array_min(F.transform(zoned_candidates(F.col("_local"), F.col("tz_name")), lambda u: F.struct(F.abs(u - F.col("_rcv")).alias("d"), (u - F.col("_rcv")).alias("g"))))["g"]
+    instants = F.flatten(F.transform("_local", lambda u: zoned_candidates(u, F.col("tz_name"))))
+    gap = F.array_min(F.transform(instants, lambda u: F.struct(F.abs(u - rcv).alias("d"), (u - rcv).alias("g"))))["g"]
     d = d.withColumn("_g", gap).withColumn("_bad", (F.col("_g") > ahead_s * 1_000_000) | (F.col("_g") < -behind_s * 1_000_000))
-    sums = d.groupBy("_s", "tz_name").agg(F.count("*").alias("n"), F.count_if("_bad").alias("violations"), F.sum(F.abs("_g")).alias("_far"))
+    sums = d.groupBy("_s", "tz_name").agg(F.count("_g").alias("n"), F.count_if("_bad").alias("violations"), F.sum(F.abs("_g")).alias("_far")).where("n > 0")
     return sums.groupBy(F.col("_s").alias(source)).agg(F.min(F.struct("violations", "_far", "tz_name", "n")).alias("m")).select(source, "m.tz_name", "m.n", "m.violations")
+
+
+def fill_zones(hosts: DataFrame, estimates: DataFrame, source: str) -> DataFrame:
+    """(host_name, tz_name) of ``hosts``, with the zone of ``estimates`` (by ``source``, a host key) where it has none."""
+    e = estimates.select(F.col(source).alias("_s"), F.col("tz_name").alias("_e"))
+    return join_sized(hosts.select("host_name", "tz_name", host_key(F.col("host_name")).alias("_s")), e, ["_s"], "left").select("host_name", F.coalesce("tz_name", "_e").alias("tz_name"))

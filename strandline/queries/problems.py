@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import identity
-from strandline.functions.shared import join_sized, read
+from strandline.functions.shared import join_sized, materialise, read
 from strandline.operators import exactly_once, instants, late_events, log_entries, regular_grid
 
 MESSAGE = ["series_h", "ns", "value"]
@@ -41,9 +41,29 @@ def p1_corrections(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.expr("period_end div 3600000000000 - 1").alias("period_no"), "service_name", "seq", "n", "dropped")
 
 
+def _estimates(spark: SparkSession, d: str, hosts: DataFrame, lacking: DataFrame | None = None) -> DataFrame:
+    """Zone per host from its unzoned timestamps in both tables; only of ``lacking`` (host) where given."""
+    zones = sorted(r[0] for r in hosts.select("tz_name").where("tz_name is not null").distinct().limit(2000).collect())
+    host = identity.host_key(F.col("host_name")).alias("host")
+    rows = read(spark, d, "syslog_records").select(host, F.col("syslog_timestamp").alias("ts"), "received_at").unionByName(
+        read(spark, d, "samples").select(host, F.col("sample_timestamp").alias("ts"), "received_at"))
+    if lacking is not None:
+        rows = join_sized(rows, lacking, ["host"])
+    return instants.estimate_zones(rows, "ts", "received_at", "host", zones)
+
+
+def _hosts(spark: SparkSession, d: str) -> DataFrame:
+    """hosts, with an estimated zone for those that have none."""
+    hosts = read(spark, d, "hosts")
+    lacking = hosts.where("tz_name is null").select(identity.host_key(F.col("host_name")).alias("host")).distinct()
+    if lacking.isEmpty() or hosts.where("tz_name is not null").isEmpty():
+        return hosts
+    return materialise(instants.fill_zones(hosts, materialise(_estimates(spark, d, hosts, lacking)), "host"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Resolvable timestamps that aren't in their normal form, with their instant."""
-    hosts = read(spark, d, "hosts")
+    hosts = _hosts(spark, d)
     syslog = read(spark, d, "syslog_records").where(~F.col("syslog_timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z$"))
     samples = read(spark, d, "samples").where(~F.col("sample_timestamp").rlike(r"^\d{13}$"))
     points = read(spark, d, "metric_points").where((F.col("point_timestamp") < identity.FIRST_S) | (F.col("point_timestamp") >= identity.END_S))
@@ -60,9 +80,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_zones(spark: SparkSession, d: str) -> DataFrame:
     """Zone estimated per host from its unzoned timestamps, beside the table's zone."""
     hosts = read(spark, d, "hosts")
-    zones = sorted(r[0] for r in hosts.select("tz_name").where("tz_name is not null").distinct().limit(2000).collect())
-    rows = read(spark, d, "syslog_records").withColumn("host", identity.host_key(F.col("host_name")))
-    est = instants.estimate_zones(rows, "syslog_timestamp", "received_at", "host", zones)
+    est = _estimates(spark, d, hosts)
     return join_sized(est, hosts.select(F.col("host_name").alias("host"), F.col("tz_name").alias("known_tz")), ["host"], "left").select("host", "tz_name", "known_tz", "n", "violations")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandline.functions import identity
 from strandline.functions.shared import bucketed_prefix, hot_values, join_sized, materialise
 from strandline.operators import exactly_once, instants, late_events, log_entries, regular_grid
+from strandline.queries import problems
 
 T0 = 1_704_067_200_000_000_000  # 2024-01-01
 HOUR, MIN = 3_600_000_000_000, 60_000_000_000
@@ -162,6 +163,27 @@ class TestInstants:
         est = instants.estimate_zones(df, "ts", "received_at", "host", ["America/New_York", "Asia/Kolkata", "Australia/Sydney", "Europe/Berlin", "UTC"])
         assert {x.host: x.tz_name for x in est.collect()} == {"b": "Europe/Berlin", "n": "America/New_York", "s": "Australia/Sydney"}
 
+    def test_zone_is_estimated_from_all_spellings_and_converts(self, spark, tmp_path):
+        """Each host writes one spelling; those without a zone in hosts get the estimated one."""
+        r, syslog, samples, want = random.Random(4), [], [], {}
+        zones = {"b": "Europe/Berlin", "n": "America/New_York", "s": "Australia/Sydney", "k": "Asia/Kolkata"}
+        spellings = {"b": "%b %d %H:%M:%S", "n": "%d-%b-%Y %I:%M:%S %p", "s": "*%b %d %H:%M:%S.000", "k": "%b %d %Y %H:%M:%S"}
+        for h, zone in zones.items():
+            for _ in range(30):
+                u = datetime(2025, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=r.randrange(500_000))
+                rows, origin = (samples, "samples") if h == "k" else (syslog, "syslog")
+                want[origin, len(rows)] = int(u.timestamp()) * 1_000_000
+                rows.append((len(rows), u.astimezone(ZoneInfo(zone)).strftime(spellings[h]), (u + timedelta(seconds=r.randrange(60))).replace(tzinfo=None), h))
+        for name, rows, schema in (
+            ("syslog_records", [*syslog, (999, None, None, None)], "record_id bigint, syslog_timestamp string, received_at timestamp, host_name string"),
+            ("samples", samples, "sample_id bigint, sample_timestamp string, received_at timestamp, host_name string"),
+            ("metric_points", [], "point_id bigint, point_timestamp bigint"),
+            ("hosts", [(h, None) for h in zones] + [(f"x{i}", z) for i, z in enumerate(zones.values())], "host_name string, tz_name string"),
+        ):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        assert {x.host: (x.tz_name, x.n, x.violations) for x in problems.p2_zones(spark, str(tmp_path)).collect()} == {h: (z, 30, 0) for h, z in zones.items()}
+        assert {(x.origin, x.row_id): x.utc_us for x in problems.p2_found(spark, str(tmp_path)).collect()} == want
+
 
 class TestRegularGrid:
     def test_against_dense_posterior(self):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions import values as V
 from strandline.sources import binary, json_formats, text
 
 
@@ -53,7 +54,7 @@ ENCODERS = {
 
 def human(events: DataFrame) -> DataFrame:
     """A readable block per event."""
-    a = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(F.lit("  "), e["key"], F.lit(" = "), F.substring(e["value"], 2, 1000))), "\n")
+    a = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(F.lit("  "), e["key"], F.lit(" = "), V.text(e["value"]))), "\n")
     head = F.concat_ws(" ", json_formats.ns_rfc3339(F.col("ts_ns")), F.upper("log.severity"), F.col("log.message"), F.array_join(F.transform("metrics", lambda m: F.concat_ws("=", m["name"], m["value"].cast("string"))), " "), F.col("span.name"))
     return events.select("_seq", F.concat_ws("\n", head, F.nullif(a, F.lit(""))).alias("line"))
 

@@ -443,6 +443,7 @@ class TestCodecs:
         io.write_null(m)
         assert io.generate(spark, 5, 10, 100, k=reshape.template("h{seq%2}", seq=F.col("seq"))).where("k = 'h1'").count() == 2
         assert "m = 1" in io.human(events(spark, event(message="hey", attributes={"m": "i1"}))).first().line
+        assert "long = " + "x" * 5000 + "y" in io.human(events(spark, event(attributes={"long": "s" + "x" * 5000 + "y"}))).first().line
         sent = io.deliver(io.ENCODERS["graphite"](m.withColumn("attributes", F.create_map().cast("map<string,string>"))), lambda batch: None, 1)
         assert sent.agg(F.sum("sent")).first()[0] == 2
 

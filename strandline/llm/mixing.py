@@ -7,9 +7,10 @@ time are the mix, cut off at the total budget. A source that runs out after its
 repetitions gives less than its share, the others go on.
 
 Running sums are made in two levels over ranges of the hash, and of the finish time,
-that hold about ``RANGE_ITEMS`` copies, so no task holds a source or the mix. Repetitions
-that lie wholly beyond the cut-off, which follows from the token totals per source, are
-not made.
+that hold about ``RANGE_ITEMS`` copies, so no task holds a source or the mix. Copies
+beyond the cut-off are left out before, and repetitions wholly beyond it not made. It
+follows from the token totals and the largest document of each source: a source may lag
+its share by less than that document, so by then the budget is surely given.
 
 Nulls: documents without source or size and those of sources without target are left
 out. Ties of hash and of finish time go to the smaller id, then the smaller source. A
@@ -49,8 +50,8 @@ def mix(docs: DataFrame, targets: list[tuple[str, float, int]], budget: int, see
     share = {s: float(w) for s, w, _ in targets if w and w > 0}
     repeats = {s: int(r or 0) for s, _, r in targets}
     d = docs.where("tokens is not null and tokens > 0").select("doc_id", "source", F.col("tokens").cast("bigint").alias("tokens")).where(F.col("source").isin(list(share)))
-    size = {r["source"]: (r["t"], r["n"]) for r in d.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
-    end = cut_time({s: size[s][0] * repeats[s] for s in size}, share, float(budget))
+    size = {r["source"]: (r["t"], r["n"], r["m"]) for r in d.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.max("tokens").alias("m")).collect()}
+    end = cut_time({s: size[s][0] * repeats[s] for s in size}, share, float(budget + sum(m for _, _, m in size.values()))) * (1 + 1e-9)
     rounds = {s: min(repeats[s], math.floor(share[s] * end / size[s][0]) + 1) for s in size}
     rows = [(s, share[s], rounds[s], max(1, -(-size[s][1] // RANGE_ITEMS))) for s in size if rounds[s] > 0]
     plan = spark.createDataFrame(rows, "source string, share double, rounds int, ranges int")
@@ -62,9 +63,9 @@ def mix(docs: DataFrame, targets: list[tuple[str, float, int]], budget: int, see
     c = c.withColumn("finish", (F.col("before") + F.col("tokens")) / F.col("share"))
     total = sum(size[s][1] * rounds[s] for s in size)
     slices = max(1, -(-total // RANGE_ITEMS))
-    # all finish times of these rounds lie below this
-    limit = max([size[s][0] * rounds[s] / share[s] for s in size] or [1.0]) * (1 + 1e-9)
-    limit = min(limit, end * 1.05 + 1)
+    # below both lie all finish times that count
+    limit = min(max([size[s][0] * rounds[s] / share[s] for s in size] or [1.0]) * (1 + 1e-9), end) or 1.0
+    c = c.where(F.col("finish") <= F.lit(limit))
     c = c.withColumn("slice", F.least(F.floor(F.col("finish") / F.lit(limit) * slices), F.lit(slices)).cast("int"))
     c = bucketed_prefix(c, [], "slice", ["finish", "doc_id", "source"], "tokens", "mix_offset")
     return c.where(F.col("mix_offset") + F.col("tokens") <= F.lit(int(budget))).select("doc_id", "source", "copy", "tokens", "finish", "mix_offset")

@@ -198,6 +198,29 @@ class TestMixing:
         assert rep["gone"].short and not rep["x"].short and abs(sum(x.reached_share for x in rep.values()) - 1) < 0.02
         assert all(x.copies <= x.max_repeats for x in rep.values())
 
+    def test_large_documents_beyond_the_even_cut(self, spark):
+        """x lags by most of a document, so y fills the budget with a second round."""
+        rows = [(0, "x", 40), (1, "x", 40)] + [(2 + i, "y", t) for i, t in enumerate([10, 10, 10, 10, 13])]
+        df = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+        targets = [("x", 0.5, 1), ("y", 0.5, 2)]
+        for budget in (60, 105, 110):
+            got = sorted((m.doc_id, m.source, m.copy, m.tokens, m.mix_offset) for m in mixing.mix(df, targets, budget).collect())
+            assert got == sorted(self.model(rows, targets, budget, spark))
+
+    def test_no_slice_holds_what_is_cut_off(self, spark, monkeypatch):
+        monkeypatch.setattr(mixing, "RANGE_ITEMS", 100)
+        largest, prefix = [], mixing.bucketed_prefix
+
+        def seen(df, by, bucket, *rest):
+            if bucket == "slice":
+                largest.append(df.groupBy(bucket).count().agg(F.max("count")).first()[0])
+            return prefix(df, by, bucket, *rest)
+
+        monkeypatch.setattr(mixing, "bucketed_prefix", seen)
+        df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("source"), F.lit(10).cast("bigint").alias("tokens"))
+        assert mixing.mix(df, [("x", 1.0, 1)], 4000).count() == 400
+        assert largest[0] <= 100
+
     def test_empty(self, spark):
         df = spark.createDataFrame([], "doc_id bigint, source string, tokens bigint")
         assert mixing.mix(df, [("x", 1.0, 1)], 100).count() == 0

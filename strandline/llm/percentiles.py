@@ -34,19 +34,24 @@ def base_table(df: DataFrame, group: list[str], value: str = "value", weight: st
     return materialise(d.groupBy(*group, "value").agg(F.sum("w").alias("w")))
 
 
-def percentiles(base: DataFrame, group: list[str], qs: list[float], pieces: int = PIECES, passes: int = 200) -> DataFrame:
-    """(group..., q, value, weight) from a ``base_table``; base may have more group columns."""
+def percentiles(base: DataFrame, group: list[str], qs: list[float], pieces: int = PIECES, passes: int | None = None) -> DataFrame:
+    """(group..., q, value, weight) from a ``base_table``; base may have more group columns.
+
+    Passes go on until no interval is open; with ``passes`` it fails if some still is after so many.
+    """
     keys = [*group, "q"]
     state = base.groupBy(*group).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("w").alias("total")).where("total > 0")
     state = state.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("below", F.lit(0.0))
     done: list[DataFrame] = []
-    for _ in range(passes):
+    while True:
         state = materialise(state)
         done.append(state.where("lo = hi"))
         open_ = state.where("lo < hi")
         n = open_.count()
         if not n:
             break
+        if passes is not None and len(done) > passes:
+            raise RuntimeError(f"{n} intervals are open after {passes} passes")
         names = {g: f"_g{i}" for i, g in enumerate(group)}
         right = open_.withColumnsRenamed(names).withColumn("_key", F.to_json(F.struct(*names.values())) if group else F.lit(""))
         left = base.withColumn("_key", F.to_json(F.struct(*[F.col(g).alias(names[g]) for g in group])) if group else F.lit(""))

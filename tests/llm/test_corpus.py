@@ -91,6 +91,12 @@ class TestPercentiles:
         assert {r.q: r.value for r in percentiles.percentiles(inf, [], [0.25, 0.5, 0.75, 1.0]).collect()} == {0.25: -math.inf, 0.5: 1.0, 0.75: 2.0, 1.0: math.inf}
         assert percentiles.percentiles(percentiles.base_table(df.limit(0), []), [], [0.5]).count() == 0
 
+    def test_no_open_group_is_lost(self, spark):
+        base = percentiles.base_table(spark.createDataFrame([(float(10**i),) for i in range(8)], "value double"), [])
+        with pytest.raises(RuntimeError, match="open after 1 passes"):
+            percentiles.percentiles(base, [], [0.5], pieces=2, passes=1)
+        assert percentiles.percentiles(base, [], [0.5], pieces=2).first().value == 1000.0
+
     def test_stores(self, spark):
         rows = [("s", 2.0, 0.0, ({0: 1.0, 3: None}, [0.0, 2.0], 1), ({1: 1.5}, None, None), 4.0), ("s", 2.0, 1.0, None, (None, [1.0], None), None)]
         store = "struct<bin_counts:map<int,double>,contiguous_bin_counts:array<double>,contiguous_bin_index_offset:int>"

@@ -43,7 +43,7 @@ def p1_corrections(spark: SparkSession, d: str) -> DataFrame:
 
 def _estimates(spark: SparkSession, d: str, hosts: DataFrame, lacking: DataFrame | None = None) -> DataFrame:
     """Zone per host from its unzoned timestamps in both tables; only of ``lacking`` (host) where given."""
-    zones = sorted(r[0] for r in hosts.select("tz_name").where("tz_name is not null").distinct().limit(2000).collect())
+    zones = instants.zone_names(hosts)
     host = identity.host_key(F.col("host_name")).alias("host")
     rows = read(spark, d, "syslog_records").select(host, F.col("syslog_timestamp").alias("ts"), "received_at").unionByName(
         read(spark, d, "samples").select(host, F.col("sample_timestamp").alias("ts"), "received_at"))
@@ -142,7 +142,37 @@ _NS = "case when point_timestamp < 100000000000 then point_timestamp*1000000000
 _READINGS = f"""r as (select point_id, trim(lower(metric)) m, {_HOST} h, list_sort(list_distinct(tags)) t, {_NS} ns, point_value v from metric_points where point_value is not null and isfinite(point_value) and flags & 1 = 0),
 s as (select series_id, interval_s, unit, trim(lower(metric)) m, {_HOST} h, list_sort(list_distinct(tags)) t from metric_series)"""
 
+_MON = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+_CLOCK, _FRAC, _OFF = r"(\d\d):(\d\d):(\d\d)", r"(?:[.,](\d+))?", r"\s*(Z|[+-]\d\d:?\d\d|[A-Z]{2,5})?"
+#: pattern -> positions of year, month, day, hour, minute, second, fraction, half, zone
+_SPELLINGS = [
+    (rf"^(\d{{4}})[-/](\d\d)[-/](\d\d)[T ]{_CLOCK}{_FRAC}{_OFF}$", (1, 2, 3, 4, 5, 6, 7, 0, 8)), (rf"^\*?{_MON} +(\d{{1,2}}) {_CLOCK}{_FRAC}{_OFF}$", (0, 1, 2, 3, 4, 5, 6, 0, 7)),
+    (rf"^\*?{_MON} +(\d{{1,2}}) (\d{{4}}) {_CLOCK}{_FRAC}{_OFF}$", (3, 1, 2, 4, 5, 6, 7, 0, 8)), (rf"^(\d{{1,2}})[/-]{_MON}[/-](\d{{4}})[: ]{_CLOCK}{_FRAC}(?: ([AP]M))?{_OFF}$", (3, 2, 1, 4, 5, 6, 7, 8, 9)),
+    (rf"^(?:[A-Z][a-z]{{2}}, )?(\d{{1,2}}) {_MON} (\d{{4}}) {_CLOCK}{_FRAC}{_OFF}$", (3, 2, 1, 4, 5, 6, 7, 0, 8)), (r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)(?:[.,](\d+))?(Z|[+-]\d\d:?\d\d)?$", (1, 2, 3, 4, 5, 6, 7, 0, 8)),
+]
+_READ = " union all ".join(
+    "select origin, row_id, rcv, tz, " + ", ".join(f"regexp_extract(t, '{p}', {g}) {c}" if g else f"'' {c}" for c, g in zip(("y", "mo", "d", "h", "mi", "s", "f", "half", "z"), at, strict=True)) + f" from raw where regexp_matches(t, '{p}')" for p, at in _SPELLINGS)
+_P2 = rf"""with zoned as (select lower(split_part(trim(host_name), '.', 1)) h, tz_name tz from hosts),
+raw as (select origin, row_id, trim(t, e' \t\r\n') t, epoch_us(received_at) rcv, tz from (
+ select 'syslog' origin, record_id row_id, syslog_timestamp t, received_at, {_HOST} h from syslog_records where not regexp_matches(syslog_timestamp, '^\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z$')
+ union all select 'samples', sample_id, sample_timestamp, received_at, {_HOST} from samples where not regexp_matches(sample_timestamp, '^\d{{13}}$')) left join zoned using (h)),
+numbers as (select origin, row_id, try_cast(t as decimal(38,9)) v from raw where regexp_matches(t, '^[+]?\d+(\.\d+)?([eE][+]?\d+)?$')
+ union all select 'points', point_id, point_timestamp from metric_points where point_timestamp not between 1704067200 and 1798761599),
+plain as (select origin, row_id, case when v < 100000000000 then cast(floor(v*1000000) as bigint) when v < 100000000000000 then cast(floor(v*1000) as bigint) when v < 100000000000000000 then cast(floor(v) as bigint) else cast(floor(v) as bigint)//1000 end utc_us from numbers),
+parts as ({_READ}),
+dated as (select origin, row_id, rcv, tz, z, case when half = '' then h::int when h::int between 1 and 12 then h::int % 12 + case when half = 'PM' then 12 else 0 end end h, mi::int mi, s::int s, rpad(f, 6, '0')[1:6]::bigint f, d::int d,
+ coalesce(list_position(['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'], mo), try_cast(mo as int)) mo, unnest(case when y = '' then [year(make_timestamp(rcv)) - 1, year(make_timestamp(rcv)), year(make_timestamp(rcv)) + 1] else [y::bigint] end) y from parts),
+walls as (select origin, row_id, rcv, tz, z, epoch_us(try_strptime(printf('%04d-%02d-%02d', y, mo, d), '%Y-%m-%d')) + ((h*60 + mi)*60 + s)*1000000::bigint + f wall from dated where h < 24 and mi < 60 and s < 60),
+named(abbr, secs) as (values ('EST', -18000), ('EDT', -14400), ('MST', -25200), ('MDT', -21600), ('CET', 3600), ('CEST', 7200), ('WET', 0), ('WEST', 3600), ('JST', 32400), ('IST', 19800), ('AEST', 36000), ('AEDT', 39600), ('NST', -12600), ('NDT', -9000), ('UTC', 0), ('GMT', 0), ('Z', 0), ('UT', 0)),
+shifts as (select *, epoch_us(timezone(tz, timezone('UTC', make_timestamp(wall - 86400000000)))) - (wall - 86400000000) before, epoch_us(timezone(tz, timezone('UTC', make_timestamp(wall + 86400000000)))) - (wall + 86400000000) after from walls where wall is not null),
+tried as (select *, epoch_us(timezone(tz, timezone('UTC', make_timestamp(wall - before)))) = wall ok_before, epoch_us(timezone(tz, timezone('UTC', make_timestamp(wall - after)))) = wall ok_after from shifts),
+found as (select origin, row_id, rcv, case when regexp_matches(z, '^[+-]') then wall - (case when z[1] = '-' then -1 else 1 end)*(replace(z, ':', '')[2:3]::int*3600 + replace(z, ':', '')[4:5]::int*60)*1000000::bigint else wall - secs*1000000::bigint end u
+  from walls left join named on z = abbr where z <> '' and wall is not null and (regexp_matches(z, '^[+-]') or z in ('UTC', 'GMT', 'Z', 'UT') or tz is null or secs in (select (epoch_us(timezone(tz, timezone('UTC', m))) - epoch_us(m)) // 1000000 from (values (timestamp '2025-01-15'), (timestamp '2025-07-15')) w(m)))
+ union all select origin, row_id, rcv, wall - before from tried where z = '' and (ok_before or not ok_after) union all select origin, row_id, rcv, wall - after from tried where z = '' and ok_after)
+select origin, row_id, utc_us from plain where utc_us >= 1704067200000000 and utc_us < 1798761600000000 union all select origin, row_id, arg_min(u, (abs(u - rcv), u)) from found where u is not null group by origin, row_id"""
+
 SQL = {
+    "p2_found": _P2,
     "p1_found": _FIRST + " select log_id, case when lag > 86400000000000 then 'dropped' else 'late' end outcome from h where lag > 600000000000",
     "p1_totals": _FIRST + " select make_timestamp((period_end - 3600000000000)//1000) period, service_name, count(*) filter (lag <= 86400000000000) n, count(*) filter (lag > 86400000000000) dropped from h group by all",
     "p1_corrections": _FIRST + """, c as (select period_end//3600000000000 - 1 period_no, service_name, arrival//3600000000000 seq, count(*) filter (lag <= 86400000000000) n, count(*) filter (lag > 86400000000000) dropped from h group by all)

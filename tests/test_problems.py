@@ -124,6 +124,19 @@ def resolve(s, zone, rcv):
 
 
 class TestInstants:
+    def test_numbers_keep_every_digit(self, spark):
+        ns = [1_748_779_200_123_456_789 + 997 * i for i in range(500)]
+        rows = [(i, v) for i, v in enumerate([*ns, *[n // 1000 for n in ns], *[n // 1_000_000 for n in ns], 1_748_779_200, 0, -5, None])]
+        got = {r.id: r.utc_us for r in instants.normalise_numbers(spark.createDataFrame(rows, "id bigint, n bigint"), "n").collect()}
+        want = [n // 1000 for n in ns] * 2 + [n // 1_000_000 * 1000 for n in ns] + [1_748_779_200_000_000, None, None, None]
+        assert [got[i] for i in range(len(rows))] == want
+
+    def test_unknown_zone_names_are_no_zones(self, spark):
+        hosts = spark.createDataFrame([("b", "Europe/Berlin"), ("x", "Mars/Base")], "host_name string, tz_name string")
+        df = spark.createDataFrame([(1, "2025-06-01 14:00:00", datetime(2025, 6, 1, 12), "x"), (2, "2025-06-01 14:00:00", datetime(2025, 6, 1, 12), "b")], "id int, ts string, received_at timestamp, host_name string")
+        got = {r.id: r.utc_us for r in instants.normalise(df, "ts", "received_at", "host_name", hosts).collect()}
+        assert got == {1: None, 2: 1_748_779_200_000_000}
+
     SCHEMA = "id bigint, ts string, received_at timestamp, host_name string, utc_day string"
 
     def run(self, spark, rows):

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.functions.shared import materialise
+
 #: Bounds, in Unix seconds, of the years 2024 to 2026, in which all instants lie.
 FIRST_S, END_S = 1_704_067_200, 1_798_761_600
 
@@ -50,8 +53,8 @@ def usable(value: Column, flags: Column) -> Column:
     )
 
 
-def readings(points: DataFrame) -> DataFrame:
-    """Usable readings as (point_id, series_h, metric_key, host_key, tag_set, ns, value).
+def readings(points: DataFrame, *more: str) -> DataFrame:
+    """Usable readings as (point_id, more..., series_h, metric_key, host_key, tag_set, ns, value).
 
     Rows with an unusable value or an instant outside 2024 to 2026 are left out.
     Other columns are dropped, so clashing names do no harm.
@@ -60,7 +63,7 @@ def readings(points: DataFrame) -> DataFrame:
     return (
         points.where(usable(F.col("point_value"), F.col("flags")))
         .select(
-            "point_id", m.alias("metric_key"), h.alias("host_key"), t.alias("tag_set"),
+            "point_id", *more, m.alias("metric_key"), h.alias("host_key"), t.alias("tag_set"),
             instant_ns(F.col("point_timestamp")).alias("ns"), (F.col("point_value") + F.lit(0.0)).alias("value"),
         )
         .where("ns is not null")
@@ -68,6 +71,23 @@ def readings(points: DataFrame) -> DataFrame:
     )
 
 
+def with_exact_series(r: DataFrame) -> DataFrame:
+    """readings with ``series_twin``: (series_h, series_twin) names a series exactly.
+
+    The twin is 0 but for series whose 64-bit hash another one shares; they are numbered.
+    Series are reduced map-side to one row each; the table of twins is all but always empty.
+    """
+    keys = ["metric_key", "host_key", "tag_set"]
+    twins = r.groupBy("series_h", *keys).agg(F.lit(1).alias("_one")).withColumn("_of", F.count("*").over(W.partitionBy("series_h"))).where("_of > 1")
+    twins = twins.withColumn("series_twin", F.row_number().over(W.partitionBy("series_h").orderBy(*keys)) - 1).drop("_one", "_of")
+    twins = materialise(twins)
+    if twins.isEmpty():
+        return r.withColumn("series_twin", F.lit(0))
+    b = twins.select(F.col("series_h").alias("_h"), *[F.col(k).alias(f"_{k}") for k in keys], "series_twin")
+    on = (F.col("series_h") == F.col("_h")) & F.col("metric_key").eqNullSafe(F.col("_metric_key")) & F.col("host_key").eqNullSafe(F.col("_host_key")) & (F.col("tag_set") == F.col("_tag_set"))
+    return r.join(b, on, "left").select(*r.columns, F.coalesce("series_twin", F.lit(0)).alias("series_twin"))
+
+
 def series_table(series: DataFrame) -> DataFrame:
     """metric_series with the hash that joins it to ``readings``; one row per series."""
     m, h, t = metric_key(F.col("metric")), host_key(F.col("host_name")), tag_set(F.col("tags"))

@@ -30,41 +30,51 @@ def micros(c: Column | str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where none is configured."""
+    """The folder that all executors share. Only on one machine a folder is made where none is configured."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isDefined():
-            return made.get()
-        root = tempfile.mkdtemp(prefix="strandline-")
-        spark.sparkContext.setCheckpointDir(root)
+    if root:
+        return root
+    made = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if made.isDefined():
+        return made.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    root = tempfile.mkdtemp(prefix="strandline-")
+    spark.sparkContext.setCheckpointDir(root)
     return root
 
 
-def _forget() -> None:
-    for spark, path in _TABLES:
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted by ``release`` or when the Python process ends."""
+    path = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
+    _TABLES.append((spark, path))
+    return path
+
+
+def release(*paths: str) -> None:
+    """Delete scratch paths that no frame reads any more; all of them without arguments."""
+    for spark, path in [t for t in _TABLES if not paths or t[1] in paths]:
+        _TABLES.remove((spark, path))
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001 - the session may be gone
             pass
 
 
-atexit.register(_forget)
+atexit.register(release)
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts the lineage and keeps column pruning; a lost executor costs nothing, as the
-    files are outside it. The folder is removed when the Python process ends.
+    files are outside it. The folder goes with ``release(path)``, by default when the
+    Python process ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
-    _TABLES.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int | None = None, salts: int = 16) -> DataFrame:

@@ -1,53 +1,79 @@
 """Exactly one copy of each message that was delivered at least once.
 
-Identifiers are encoded exactly. They are spread over shards by hash, and within its
-shard an identifier gets a dense code: its rank among the distinct identifiers there,
-compared column by column, so two identifiers never share a code. The codes seen so
-far are bitmaps of 32768 bits, one row per (shard, bucket), stored compressed. Per
-unseen bit the arrival with the smallest row id is kept; then the new bits are united
-with the old and the new version of the ledger is published with one rename.
-
-A group of copies may hold any share of the rows: identifiers that hold more than a
-thousandth (found with a bounded sketch, at most 1000 of them) are aggregated map-side
-and joined back by broadcast, all others are bounded and meet in their shard.
+A ledger holds what was admitted before. A batch is applied in four steps:
+
+1. its identifiers are merged map-side, so a message with any number of copies reaches
+   its shard as a few rows, with its smallest row id and its number of copies;
+2. they are encoded exactly: spread over shards by hash, compared column by column with
+   the dictionary, and new ones numbered densely after their shard's last code;
+3. codes are looked up in the seen-bitmaps (32768 bits a row, per shard and bucket), and
+   one arrival, the smallest row id, is selected per unseen bit;
+4. the new dictionary entries and the new bits are written beside the old ones and
+   published by one commit file, whose rename fails if its number is taken. A job that
+   dies leaves the old ledger in force; of two writers one fails; a batch applied again
+   under its id gives the rows it gave before. Old parts are never rewritten.
+
+``copies`` looks every row up in the dictionary of such a ledger. Messages that hold a
+thousandth of a batch or more, known from their counts and so at most 1000, are
+broadcast there; all others meet in shards.
 
 Nulls are values: two null identifier columns are equal. A null row id sorts last and
-is kept only if its message has no other copy. An empty table gives an empty result.
+is kept only if its message has no other copy. -0.0 equals 0.0, NaN equals NaN. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.functions.shared import hot_values
+from strandline.functions.shared import scratch
 
-#: Rows meant for one shard: about one bitmap bucket.
+#: Messages meant for one shard: about one bitmap bucket.
 SHARD_ROWS = 24_000
 BUCKET_BITS = 32_768
+HOT_SHARE, HOT_LEAST = 1e-3, 1000
+
+
+class LedgerConflict(RuntimeError):
+    """Another writer has published this version of the ledger."""
+
 
+def _routed(rows: DataFrame, ident: list[str], row_id: str, shards: int) -> DataFrame:
+    kinds = dict(rows.dtypes)
+    clean = [(F.col(c) + F.lit(0.0)).cast(kinds[c]).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in ident]
+    return rows.select(*clean, F.col(row_id).alias("row_id")).withColumn("shard", F.pmod(F.xxhash64(*ident), F.lit(shards)).cast("int"))
 
-def encode(rows: DataFrame, ident: list[str], row_id: str, shards: int) -> DataFrame:
-    """rows (ident..., row_id) with shard and dense code; one shuffle by shard."""
-    d = rows.select(*ident, row_id).withColumn("shard", F.pmod(F.xxhash64(*ident), F.lit(shards)).cast("int"))
-    return d.withColumn("code", F.dense_rank().over(W.partitionBy("shard").orderBy(*ident)) - 1)
+
+def merged(rows: DataFrame, ident: list[str], row_id: str, shards: int) -> DataFrame:
+    """(shard, ident..., row_id, n): each identifier once, with its smallest row id and number of copies."""
+    return _routed(rows, ident, row_id, shards).groupBy("shard", *ident).agg(F.min("row_id").alias("row_id"), F.count("*").alias("n"))
+
+
+def _same(ident: list[str], left: str, right: str) -> Column:
+    out = F.col(f"{left}.shard") == F.col(f"{right}.shard")
+    for c in ident:
+        out = out & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return out
 
 
-def select_unseen(coded: DataFrame, row_id: str) -> DataFrame:
-    """kept_id: the smallest row id of each (shard, code)."""
-    return coded.withColumn("kept_id", F.min(row_id).over(W.partitionBy("shard", "code")))
+def numbered(fresh: DataFrame, ident: list[str], parts: int = 1) -> DataFrame:
+    """fresh with ``code``: dense per shard, in the order of ``parts`` sub-ranges of a hash and then of the identifier."""
+    d = fresh.withColumn("_sub", F.pmod(F.xxhash64(F.lit("sub"), *ident), F.lit(parts)).cast("int"))
+    d = d.withColumn("code", (F.row_number().over(W.partitionBy("shard", "_sub").orderBy(*ident)) - 1).cast("bigint"))
+    if parts > 1:
+        sizes = d.groupBy("shard", "_sub").agg(F.count("*").alias("_size"))
+        before = F.coalesce(F.sum("_size").over(W.partitionBy("shard").orderBy("_sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        d = d.join(sizes.select("shard", "_sub", before.alias("_before")), ["shard", "_sub"]).withColumn("code", F.col("code") + F.col("_before")).drop("_before")
+    return d.drop("_sub")
 
 
-def seen_bitmaps(coded: DataFrame) -> DataFrame:
-    """(shard, bucket) -> bitmap of the codes present."""
-    bit = F.col("code").cast("bigint")
-    return (
-        coded.select("shard", F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("pos"))
-        .groupBy("shard", "bucket").agg(F.bitmap_construct_agg("pos").alias("bitmap"))
-    )
+def with_bit(coded: DataFrame) -> DataFrame:
+    return coded.withColumn("bucket", F.bitmap_bucket_number("code")).withColumn("pos", F.bitmap_bit_position("code"))
 
 
 def has_bit(bitmap: Column, pos: Column) -> Column:
@@ -56,67 +82,102 @@ def has_bit(bitmap: Column, pos: Column) -> Column:
     return F.coalesce(F.getbit(byte, F.pmod(pos, F.lit(8)).cast("int")) == 1, F.lit(False))
 
 
-def copies(rows: DataFrame, ident: list[str], row_id: str) -> DataFrame:
-    """(kept_id, copy_id) for every copy that isn't kept; ``rows`` are one batch against an empty ledger."""
-    d = rows.select(*ident, row_id)
-    h = F.xxhash64(*ident)
-    hot, n = hot_values(d, h)
-    cold = d.where(~h.isin(hot)) if hot else d
-    out = select_unseen(encode(cold, ident, row_id, max(1, -(-n // SHARD_ROWS))), row_id).select("kept_id", F.col(row_id).alias("copy_id"))
-    if hot:
-        some = d.where(h.isin(hot))
-        kept = some.groupBy(*ident).agg(F.min(row_id).alias("kept_id"))  # at most 1000 hashes
-        on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ident]
-        cond = on[0]
-        for c in on[1:]:
-            cond = cond & c
-        out = out.unionByName(some.alias("a").join(F.broadcast(kept.alias("b")), cond).select("kept_id", F.col(f"a.{row_id}").alias("copy_id")))
-    return out.where("copy_id is null or copy_id <> kept_id").where("kept_id is not null")
-
-
-def latest(spark: SparkSession, ledger: str) -> str | None:
-    """Folder of the newest published version of a ledger."""
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(ledger)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def commits(spark: SparkSession, ledger: str) -> list[dict]:
+    """What was published, in order: number, batch, folder, shards."""
+    _, root, fs = _files(spark, f"{ledger}/commits")
     if not fs.exists(root):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().endswith(".json"))
+    return [json.loads("".join(r[0] for r in spark.read.text(f"{ledger}/commits/{n}").collect())) for n in names]
+
+
+def _publish(spark: SparkSession, ledger: str, entry: dict) -> None:
+    """Write the commit file aside and move it to its number; fails if that is taken."""
+    jvm, root, fs = _files(spark, f"{ledger}/commits")
+    fs.mkdirs(root)
+    aside = jvm.org.apache.hadoop.fs.Path(root, f"{uuid.uuid4().hex}.tmp")
+    out = fs.create(aside, False)
+    out.write(bytearray(json.dumps(entry).encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), spark.sparkContext._jsc.hadoopConfiguration()) if root.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    option = spark.sparkContext._gateway.new_array(kinds, 1)
+    option[0] = kinds.valueOf("NONE")
+    try:
+        context.rename(aside, jvm.org.apache.hadoop.fs.Path(root, f"{entry['number']:09d}.json"), option)
+    except Exception as e:
+        fs.delete(aside, False)
+        raise LedgerConflict(f"version {entry['number']} of {ledger} is taken") from e
+
+
+def dictionary(spark: SparkSession, ledger: str, past: list[dict] | None = None) -> DataFrame | None:
+    """(shard, code, ident..., row_id, n): every admitted message; None for a new ledger."""
+    past = commits(spark, ledger) if past is None else past
+    return spark.read.parquet(*[f"{ledger}/{c['folder']}/dictionary" for c in past]) if past else None
+
+
+def bitmaps(spark: SparkSession, ledger: str, past: list[dict] | None = None) -> DataFrame | None:
+    """(shard, bucket, bitmap): the bits of all versions united."""
+    past = commits(spark, ledger) if past is None else past
+    if not past:
         return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("v"))
-    return f"{ledger}/{names[-1]}" if names else None
+    return spark.read.parquet(*[f"{ledger}/{c['folder']}/bitmaps" for c in past]).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
 
 
-def apply_batch(batch: DataFrame, ident: list[str], row_id: str, ledger: str, shards: int = 64) -> DataFrame:
-    """Admit a batch against a stored ledger; returns the admitted rows (ident..., row_id).
+def apply_batch(batch: DataFrame, ident: list[str], row_id: str, ledger: str, batch_id: str | None = None, shards: int | None = None) -> DataFrame:
+    """Admit a batch against a stored ledger; returns (ident..., row_id) of the admitted rows.
 
-    New identifiers get the codes after their shard's last one. The dictionary and the
-    united bitmaps are written beside the old version and published with one rename, so
-    a job that dies leaves the old ledger in force, and a batch applied twice admits
-    nothing the second time. ``shards`` is fixed by the first batch.
+    ``shards`` is fixed by the first batch (by default from its size) and kept in the
+    ledger. A batch under a ``batch_id`` that was published before changes nothing and
+    gives the rows it gave then; without an id it is a batch of its own.
     """
     spark = batch.sparkSession
-    now = latest(spark, ledger)
-    d = batch.select(*ident, row_id).withColumn("shard", F.pmod(F.xxhash64(*ident), F.lit(shards)).cast("int"))
-    cand = d.groupBy("shard", *ident).agg(F.min(row_id).alias(row_id))
-    if now:
-        known, bitmaps = spark.read.parquet(f"{now}/dictionary"), spark.read.parquet(f"{now}/bitmaps")
-    else:
-        known = spark.createDataFrame([], cand.drop(row_id).withColumn("code", F.lit(0)).schema)
-        bitmaps = spark.createDataFrame([], "shard int, bucket bigint, bitmap binary")
-    cond = F.col("a.shard") == F.col("b.shard")
-    for c in ident:
-        cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    last = known.groupBy("shard").agg((F.max("code") + 1).alias("base"))
-    w = W.partitionBy("shard").orderBy(*ident)
-    old = cand.alias("a").join(known.alias("b"), cond, "left").select("a.*", "b.code")
-    fresh = old.where("code is null").join(last, "shard", "left").withColumn("code", F.coalesce("base", F.lit(0)) + F.row_number().over(w) - 1).drop("base")
-    coded = old.where("code is not null").unionByName(fresh).withColumn("bucket", F.bitmap_bucket_number(F.col("code").cast("bigint"))).withColumn("pos", F.bitmap_bit_position(F.col("code").cast("bigint")))
-    unseen = coded.join(bitmaps, ["shard", "bucket"], "left").where(~has_bit(F.col("bitmap"), F.col("pos")))
-    temp = f"{ledger}/.next-{uuid.uuid4().hex}"
-    unseen.select("shard", *ident, F.col("code").cast("int").alias("code"), row_id).write.parquet(f"{temp}/admitted")
-    admitted = spark.read.parquet(f"{temp}/admitted")
-    known.unionByName(admitted.drop(row_id)).write.parquet(f"{temp}/dictionary")
-    bitmaps.unionByName(seen_bitmaps(admitted)).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap")).write.parquet(f"{temp}/bitmaps")
-    jvm = spark.sparkContext._jvm
-    src, number = jvm.org.apache.hadoop.fs.Path(temp), int(now.rsplit("/v", 1)[1]) + 1 if now else 0
-    src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(src, jvm.org.apache.hadoop.fs.Path(f"{ledger}/v{number:09d}"))
-    return spark.read.parquet(f"{ledger}/v{number:09d}/admitted").select(*ident, row_id)
+    past = commits(spark, ledger)
+    done = [c for c in past if batch_id is not None and c["batch"] == batch_id]
+    if not done:
+        rows = batch.count()
+        shards = past[0]["shards"] if past else shards or max(1, -(-rows // SHARD_ROWS))
+        coded = merged(batch, ident, row_id, shards)
+        known = dictionary(spark, ledger, past)
+        parts = max(1, -(-rows // (shards * SHARD_ROWS * 4)))
+        if known is None:
+            unseen = with_bit(numbered(coded, ident, parts))
+        else:
+            coded = coded.alias("a").join(known.select("shard", "code", *ident).alias("b"), _same(ident, "a", "b"), "left").select("a.*", "b.code")
+            base = known.groupBy("shard").agg((F.max("code") + 1).alias("base"))
+            fresh = numbered(coded.where("code is null").drop("code"), ident, parts).join(F.broadcast(base) if shards <= 100_000 else base, "shard", "left")
+            fresh = fresh.withColumn("code", F.col("code") + F.coalesce("base", F.lit(0))).drop("base")
+            every = with_bit(coded.where("code is not null").unionByName(fresh))
+            unseen = every.join(bitmaps(spark, ledger, past), ["shard", "bucket"], "left").where(~has_bit(F.col("bitmap"), F.col("pos")))
+        folder = f"part-{uuid.uuid4().hex}"
+        unseen.select("shard", "code", *ident, "row_id", "n").write.parquet(f"{ledger}/{folder}/dictionary")
+        new = with_bit(spark.read.parquet(f"{ledger}/{folder}/dictionary").select("shard", "code"))
+        new.groupBy("shard", "bucket").agg(F.bitmap_construct_agg("pos").alias("bitmap")).write.parquet(f"{ledger}/{folder}/bitmaps")
+        done = [{"number": len(past), "batch": batch_id, "folder": folder, "shards": shards, "rows": rows}]
+        _publish(spark, ledger, done[0])
+    return spark.read.parquet(f"{ledger}/{done[0]['folder']}/dictionary").select(*ident, F.col("row_id").alias(row_id))
+
+
+def copies(rows: DataFrame, ident: list[str], row_id: str) -> DataFrame:
+    """(kept_id, copy_id) for every copy that isn't kept: ``rows`` as one batch against a new ledger."""
+    spark = rows.sparkSession
+    ledger = scratch(spark)
+    apply_batch(rows, ident, row_id, ledger, "all")
+    commit = commits(spark, ledger)[0]
+    repeated = dictionary(spark, ledger).where("n > 1").select("shard", *ident, F.col("row_id").alias("kept_id"), "n")
+    least = max(HOT_LEAST, HOT_SHARE * commit["rows"])
+    hot = repeated.where(F.col("n") >= least).select("*", F.xxhash64(*ident).alias("_h"))
+    hashes = [r["_h"] for r in hot.select("_h").collect()]  # at most 1 / HOT_SHARE
+    d = _routed(rows, ident, row_id, commit["shards"])
+    found = [(d.where(~F.xxhash64(*ident).isin(hashes)) if hashes else d, repeated.where(~F.xxhash64(*ident).isin(hashes)) if hashes else repeated)]
+    if hashes:
+        found.append((d.where(F.xxhash64(*ident).isin(hashes)), F.broadcast(repeated.where(F.xxhash64(*ident).isin(hashes)))))
+    parts = [a.alias("a").join(b.alias("b"), _same(ident, "a", "b")).select("b.kept_id", F.col("a.row_id").alias("copy_id")) for a, b in found]
+    out = parts[0].unionByName(parts[1]) if hashes else parts[0]
+    return out.where("kept_id is not null and (copy_id is null or copy_id <> kept_id)")

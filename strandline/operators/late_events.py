@@ -1,9 +1,11 @@
 """Per-period aggregates of events that arrive late and out of order.
 
-State is a grow-only counter. Each delivered record is a *dot*: its identifier with
-the earliest arrival seen, merged by keeping the smaller one, so a redelivery can only
-repeat or lower it. Dots of any batches merge (``merge_dots``), however a source's
-records and a record's copies are split over them. A *version* of a source is its number
+State is a grow-only counter. Each delivered record is a *dot*: its identifier, which
+its source gave out in sequence, with the earliest arrival seen as its version, merged
+by keeping the better one, so a redelivery can only repeat or lower it. Every batch has
+a state of its own; states of any batches merge (``merge_dots``), however a source's
+records and a record's copies are split over them. Periods past the cut-off are closed
+(``close``) and keep totals and identifiers only. A *version* of a source is its number
 of dots of a period that had arrived by a sequence point, derived from the merged dots;
 the value of a period is the sum over sources of their latest version. A count doesn't
 tell which dots it holds, so versions of different dots can't be merged: ``merge`` takes
@@ -97,6 +99,32 @@ def totals(state: DataFrame, group: list[str]) -> DataFrame:
     return latest.groupBy("period_end", *group).agg(F.sum("n").alias("n"), F.sum("dropped").alias("dropped"))
 
 
+def close(d: DataFrame, key: str, group: list[str], now_ns: int, cutoff_ns: int = CUTOFF_NS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(dots that stay, totals of the closed periods, keys counted in them) of a merged state with outcomes.
+
+    A period is closed once ``now_ns``, which no arrival still to come precedes, lies
+    beyond its cut-off: its n is final and of its dots only the keys are kept. Later
+    batches are put through ``reopen``.
+    """
+    shut = F.col("period_end") + cutoff_ns < now_ns
+    old = d.where(shut)
+    sums = old.groupBy("period_end", *group).agg(F.count_if(F.col("outcome") != "dropped").alias("n"), F.count_if(F.col("outcome") == "dropped").alias("dropped"))
+    return d.where(~shut), sums, old.select(key)
+
+
+def reopen(later: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """Dots of later batches without those of records that closed periods have counted; both sides shuffle by key."""
+    return later.join(counted, key, "left_anti")
+
+
+def add_totals(parts: list[DataFrame], group: list[str]) -> DataFrame:
+    """Totals of closed and open periods, and of records beyond the cut-off of closed ones, as one."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("period_end", *group).agg(F.sum("n").alias("n"), F.sum("dropped").alias("dropped"))
+
+
 def corrections(state: DataFrame, group: list[str]) -> DataFrame:
     """Every correction: per period, group and arrival step the value right after it.
 

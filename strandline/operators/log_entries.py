@@ -8,7 +8,8 @@ time of day; every other line continues the last head of its stream.
 
 Continuations are attached in blocks of ``BLOCK`` line numbers: within a block the
 last head runs along; each block hands its last head to the blocks after it, of which
-there are few, so a stream may hold any share of the lines.
+there are few, so a stream may hold any share of the lines. Repeats of one line number
+are lines of one block.
 
 Nulls: a line without stream or number belongs to no entry; a null text is a
 continuation. Equal (stream, number) are ordered by line id. Fields that the header
@@ -23,6 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.functions.shared import materialise
+
 BLOCK = 4096
 FIELDS = ["timestamp", "host_name", "syslog_tag", "process_pid", "syslog_msgid", "severity", "message"]
 HEAD = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
@@ -375,42 +378,53 @@ def parse_heads(lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([head(x) or none for x in lines], columns=FIELDS)
 
 
-def attach(lines: DataFrame, stream: str = "stream_id", number: str = "line_no", line_id: str = "line_id", text: str = "raw_line") -> DataFrame:
-    """(line_id, stream, number, raw_line, head fields, block, head_line_id within the block or null)."""
+def attach(lines: DataFrame, stream: str = "stream_id", number: str = "line_no", line_id: str = "line_id", text: str = "raw_line", keep_text: bool = False) -> DataFrame:
+    """(line_id, stream_id, line_no, head fields h, block, head_line_id within the block or null), with raw_line if ``keep_text``.
+
+    The machine's first state, the look at one character, is taken before rows go to
+    Python, so a continuation's text never does.
+    """
+    opens = F.substring(F.col(text), 1, 1).isin(sorted(START))
     d = lines.where(F.col(stream).isNotNull() & F.col(number).isNotNull()).select(
-        F.col(line_id).alias("line_id"), F.col(stream).alias("stream_id"), F.col(number).alias("line_no"), F.col(text).alias("raw_line"), parse_heads(F.col(text)).alias("h")
+        F.col(line_id).alias("line_id"), F.col(stream).alias("stream_id"), F.col(number).alias("line_no"), *([F.col(text).alias("raw_line")] if keep_text else []), parse_heads(F.when(opens, F.col(text))).alias("h")
     )
     d = d.withColumn("block", F.expr(f"line_no div {BLOCK}"))
     w = W.partitionBy("stream_id", "block").orderBy("line_no", "line_id").rowsBetween(W.unboundedPreceding, 0)
     return d.withColumn("head_line_id", F.last(F.when(F.col("h.timestamp").isNotNull(), F.col("line_id")), ignorenulls=True).over(w))
 
 
-def carried(attached: DataFrame) -> DataFrame:
-    """(stream_id, block) -> carry: the last head of the blocks before; one row per block."""
-    per = attached.groupBy("stream_id", "block").agg(F.max(F.when(F.col("head_line_id").isNotNull(), F.struct("line_no", "line_id", "head_line_id")))["head_line_id"].alias("last_head"))
-    w = W.partitionBy("stream_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    return per.withColumn("carry", F.last("last_head", ignorenulls=True).over(w)).select("stream_id", "block", "carry")
-
-
 def entries(lines: DataFrame, with_message: bool = False, **names: str) -> DataFrame:
     """One row per entry: head_line_id, n_lines and the header's fields.
 
-    ``with_message`` adds the whole message, its lines joined in order.
+    ``with_message`` adds the message, its lines joined in order, and ``part``: an entry
+    of more than ``BLOCK`` lines comes as one row per block of its lines, numbered by
+    part, so that no row holds an unbounded text; all others are one row of part 0.
+
+    Lines are parsed once: they are reduced to one row per (stream, block, head), which
+    is written, and the last head of each block is carried on among these.
     """
-    a = attach(lines, **names)
+    a = attach(lines, keep_text=with_message, **names)
+    texts = []
     if with_message:
         one = F.struct("line_no", "line_id", F.when(F.col("line_id") == F.col("head_line_id"), F.col("h.message")).otherwise(F.regexp_replace("raw_line", "\r$", "")).alias("text"))
         texts = [F.collect_list(F.when(F.col("raw_line").isNotNull(), one)).alias("parts")]
-    else:
-        texts = []
-    own = a.groupBy("stream_id", "block", "head_line_id").agg(F.count("*").alias("n_lines"), F.max(F.when(F.col("h.timestamp").isNotNull(), F.col("h"))).alias("h"), *texts)
-    led = own.where("head_line_id is null").drop("head_line_id").join(carried(a), ["stream_id", "block"]).where("carry is not null").withColumnRenamed("carry", "head_line_id")
-    every = own.where("head_line_id is not null").unionByName(led.select(own.columns))
-    out = every.groupBy("head_line_id").agg(
-        F.sum("n_lines").alias("n_lines"), F.max("h").alias("h"), *([F.flatten(F.collect_list("parts")).alias("parts")] if with_message else [])
-    )
     head_fields = [f for f in FIELDS if f != "message"]
-    cols = [F.col("head_line_id"), F.col("n_lines"), *[F.col(f"h.{f}").alias(f) for f in head_fields]]
-    if with_message:
-        cols.append(F.array_join(F.transform(F.array_sort("parts"), lambda p: p["text"]), "\n").alias("message"))
-    return out.select(*cols)
+    header = F.struct(*[F.col(f"h.{f}").alias(f) for f in head_fields])
+    own = materialise(a.groupBy("stream_id", "block", "head_line_id").agg(
+        F.count("*").alias("n_lines"), F.max(F.when(F.col("h.timestamp").isNotNull(), header)).alias("h"), F.max(F.struct("line_no", "line_id")).alias("last"), *texts))
+    per = own.where("head_line_id is not null").groupBy("stream_id", "block").agg(F.max(F.struct("last", "head_line_id"))["head_line_id"].alias("last_head"))
+    led = own.where("head_line_id is null").select("stream_id", "block")
+    w = W.partitionBy("stream_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = per.unionByName(led.withColumn("last_head", F.lit(None).cast(dict(per.dtypes)["last_head"]))).groupBy("stream_id", "block").agg(F.max("last_head").alias("last_head"))
+    carry = blocks.withColumn("carry", F.last("last_head", ignorenulls=True).over(w)).where("carry is not null").select("stream_id", "block", "carry")
+    rest = own.where("head_line_id is null").join(carry, ["stream_id", "block"]).withColumn("head_line_id", F.col("carry")).select(own.columns)
+    every = own.where("head_line_id is not null").unionByName(rest)
+    fields = [F.col(f"h.{f}").alias(f) for f in head_fields]
+    whole = every.groupBy("head_line_id").agg(F.sum("n_lines").alias("n_lines"), F.max("h").alias("h"))
+    if not with_message:
+        return whole.select("head_line_id", "n_lines", *fields)
+    # long entries stay in their blocks, which are parts; numbered among the few blocks of an entry
+    every = every.where("size(parts) > 0").select("head_line_id", "block", "parts").join(whole.withColumnRenamed("n_lines", "total"), "head_line_id")
+    pieces = every.groupBy("head_line_id", F.when(F.col("total") > BLOCK, F.col("block")).alias("_at")).agg(F.first("total").alias("n_lines"), F.first("h").alias("h"), F.flatten(F.collect_list("parts")).alias("parts"))
+    part = F.when(F.col("_at").isNull(), 0).otherwise(F.row_number().over(W.partitionBy("head_line_id").orderBy("_at")) - 1)
+    return pieces.select("head_line_id", part.alias("part"), "n_lines", *fields, F.array_join(F.transform(F.array_sort("parts"), lambda p: p["text"]), "\n").alias("message"))

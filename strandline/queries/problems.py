@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import identity
-from strandline.functions.shared import join_sized, materialise, read
+from strandline.functions.shared import join_sized, materialise, read, scratch
 from strandline.operators import exactly_once, instants, late_events, log_entries, regular_grid
 
-MESSAGE = ["series_h", "ns", "value"]
+MESSAGE = ["series_h", "series_twin", "ns", "value"]
 
 
 def _state(spark: SparkSession, d: str, batch: str | None = None) -> DataFrame:
@@ -20,7 +20,8 @@ def _state(spark: SparkSession, d: str, batch: str | None = None) -> DataFrame:
 
 
 def _dots(spark: SparkSession, d: str) -> DataFrame:
-    return late_events.with_outcome(_state(spark, d))
+    """The counter state of every batch by itself, merged, with the outcome of each record."""
+    return late_events.with_outcome(late_events.merge_dots([_state(spark, d, "batch_id")], "log_id", ["service_name"]))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,8 +31,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_totals(spark: SparkSession, d: str) -> DataFrame:
     """Hourly totals per service from the states of all batches, merged."""
-    merged = late_events.merge_dots([_state(spark, d, "batch_id")], "log_id", ["service_name"])
-    t = late_events.totals(late_events.versions(late_events.with_outcome(merged), ["service_name"]), ["service_name"])
+    t = late_events.totals(late_events.versions(_dots(spark, d), ["service_name"]), ["service_name"])
     return t.select(F.timestamp_seconds(F.expr("period_end div 1000000000 - 3600")).alias("period"), "service_name", "n", "dropped")
 
 
@@ -115,21 +115,28 @@ def p6_entries(spark: SparkSession, d: str) -> DataFrame:
     return log_entries.entries(read(spark, d, "syslog_lines"), with_message=True)
 
 
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    return identity.with_exact_series(identity.readings(read(spark, d, "metric_points")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Copies of messages beside the one that is kept."""
     return exactly_once.copies(_messages(spark, d), MESSAGE, "point_id")
 
 
-def _messages(spark: SparkSession, d: str) -> DataFrame:
-    return identity.readings(read(spark, d, "metric_points"))
-
-
 def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """Seen bits per shard and bucket after the whole table was admitted."""
-    m = _messages(spark, d)
-    shards = max(1, -(-m.count() // exactly_once.SHARD_ROWS))
-    bits = exactly_once.seen_bitmaps(exactly_once.encode(m.dropDuplicates(MESSAGE), MESSAGE, "point_id", shards))
-    return bits.select("shard", "bucket", F.bitmap_count("bitmap").alias("messages"))
+    """The table delivered as two batches, the first of them twice: rows admitted by each, and bits set in the end."""
+    points = read(spark, d, "metric_points")
+    middle = points.agg(F.expr("min(batch_id) + (max(batch_id) - min(batch_id)) div 2")).first()[0]
+    m = identity.with_exact_series(identity.readings(points, "batch_id"))
+    ledger, out = scratch(spark), []
+    for step, (name, rows) in enumerate([("first", m.where(F.col("batch_id") <= middle)), ("rest", m.where(F.col("batch_id") > middle)), ("first", m.where(F.col("batch_id") <= middle)), ("whole", m)]):
+        admitted = exactly_once.apply_batch(rows, MESSAGE, "point_id", ledger, name)
+        out.append(admitted.agg(F.lit(step).alias("step"), F.lit(name).alias("batch"), F.count("*").alias("rows"), F.min("point_id").alias("first_id")))
+    bits = exactly_once.bitmaps(spark, ledger).agg(F.lit(len(out)).alias("step"), F.lit("bits").alias("batch"), F.sum(F.bitmap_count("bitmap")).alias("rows"), F.lit(None).cast("bigint").alias("first_id"))
+    for o in out[::-1]:
+        bits = bits.unionByName(o)
+    return bits
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p1_corrections, p2_found, p2_zones, p3_found, p3_grid, p6_found, p6_entries, p7_found, p7_ledger)}
@@ -181,6 +188,10 @@ select period_no, service_name, seq, cast(sum(n) over w as bigint) n, cast(sum(d
 g as (select series_id, interval_s, min(slot) a, max(slot) b from d group by series_id, interval_s, slot//86400), e as (select series_id, unnest(range(a, b + 1, interval_s)) slot_start from g)
 select e.series_id, e.slot_start from e left join d on d.series_id = e.series_id and d.slot = e.slot_start where d.slot is null""",
     "p7_found": f"with {_READINGS}, k as (select point_id, min(point_id) over (partition by m, h, t, ns, v) kept_id from r) select kept_id, point_id copy_id from k where point_id <> kept_id",
+    "p7_ledger": f"""with {_READINGS.replace("select point_id,", "select point_id, batch_id,", 1)}, mid as (select min(batch_id) + (max(batch_id) - min(batch_id))//2 b from metric_points),
+x as (select m, h, t, ns, v, min(point_id) filter (batch_id <= b) one, min(point_id) filter (batch_id > b) two from r, mid group by all),
+y as (select count(one) n1, min(one) f1, count(*) filter (one is null) n2, min(two) filter (one is null) f2, count(*) n from x)
+select 0::int step, 'first' batch, n1 "rows", f1 first_id from y union all select 1, 'rest', n2, f2 from y union all select 2, 'first', n1, f1 from y union all select 3, 'whole', 0, null from y union all select 4, 'bits', n, null from y""",
     "p6_found": r"""with l as (select *, case when regexp_matches(raw_line, '^(\d+ )?<\d{1,3}>\d{1,2} \d{4}-') then 's5' when regexp_matches(raw_line, '^(\d+ )?<\d{1,3}>[A-Z][a-z]{2} [ \d]\d \d\d:') then 's3'
  when regexp_matches(raw_line, '^ts=\d{4}-') then 'kv' when regexp_matches(raw_line, '^\{"time":"') then 'js' when regexp_matches(raw_line, '^\[\d\d/[A-Z][a-z]{2}/\d{4}:') then 'br'
  when regexp_matches(raw_line, '^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+ ') then 'dt' when regexp_matches(raw_line, '^[TDIWEF]\d{4} \d\d:\d\d:\d\d') then 'gl' end k from syslog_lines),

@@ -95,6 +95,22 @@ class TestLateEvents:
         with pytest.raises(Exception, match="merge their dots"):
             late_events.totals(late_events.merge(versions, g), g).collect()
 
+    def test_closed_periods(self, spark):
+        """Closing on the way gives what one pass gives; counted records don't count again."""
+        rows, g = deliveries(400, 3), ["service_name"]
+        arrival = lambda r: r[3] or int((r[4] - UTC) / timedelta(microseconds=1)) * 1000
+        rows.sort(key=arrival)
+        now = T0 + 27 * HOUR
+        cut = sum(arrival(r) < now for r in rows)
+        outcome = lambda rows: late_events.with_outcome(late_events.dots(self.frame(spark, rows), **KW))
+        key = lambda d: sorted(map(str, d.select("period_end", "service_name", "n", "dropped").collect()))
+        value = lambda d: late_events.totals(late_events.versions(d, g), g)
+        stay, shut, counted = late_events.close(outcome(rows[:cut]), "log_id", g, now)
+        assert shut.count() and stay.count()
+        later = late_events.reopen(late_events.dots(self.frame(spark, rows[cut:]), **KW), counted, "log_id")
+        merged = late_events.with_outcome(late_events.merge_dots([stay.drop("outcome"), later], "log_id", g))
+        assert key(late_events.add_totals([shut, value(merged)], g)) == key(value(outcome(rows)))
+
     def test_empty(self, spark):
         assert late_events.dots(self.frame(spark, []), **KW).count() == 0
 
@@ -264,8 +280,7 @@ class TestExactlyOnce:
         df = spark.createDataFrame(rows, "point_id bigint, a bigint, b bigint, v double, shard string").repartition(3)
         plain = {(r.kept_id, r.copy_id) for r in exactly_once.copies(df, ["a", "b", "v"], "point_id").collect()}
         assert plain == self.want(rows)
-        hot = [r.h for r in df.select(F.xxhash64("a", "b", "v").alias("h")).groupBy("h").count().orderBy(F.desc("count")).limit(5).collect()]
-        monkeypatch.setattr(exactly_once, "hot_values", lambda *a, **k: (hot, len(rows)))
+        monkeypatch.setattr(exactly_once, "HOT_LEAST", 5)
         assert {(r.kept_id, r.copy_id) for r in exactly_once.copies(df, ["a", "b", "v"], "point_id").collect()} == plain
         monkeypatch.setattr(exactly_once, "SHARD_ROWS", 50)
         assert {(r.kept_id, r.copy_id) for r in exactly_once.copies(df, ["a", "b", "v"], "point_id").collect()} == plain
@@ -278,15 +293,39 @@ class TestExactlyOnce:
     def test_ledger(self, spark, tmp_path):
         ledger = str(tmp_path / "ledger")
         frame = lambda rows: spark.createDataFrame(rows, "id bigint, a string, v double")
-        one = frame([(1, "x", 1.0), (2, "x", 1.0), (3, "y", None), (4, None, 2.0), (9, "y", None)])
-        assert sorted(r.id for r in exactly_once.apply_batch(one, ["a", "v"], "id", ledger, 4).collect()) == [1, 3, 4]
-        assert exactly_once.apply_batch(one, ["a", "v"], "id", ledger, 4).count() == 0
-        two = frame([(10, "x", 1.0), (11, "z", 0.0), (12, None, 2.0), (13, "z", 1.0)])
-        assert sorted(r.id for r in exactly_once.apply_batch(two, ["a", "v"], "id", ledger, 4).collect()) == [11, 13]
-        now = exactly_once.latest(spark, ledger)
-        dictionary = spark.read.parquet(f"{now}/dictionary")
-        assert dictionary.count() == 5 and dictionary.select("shard", "code").distinct().count() == 5
-        assert spark.read.parquet(f"{now}/bitmaps").agg(F.sum(F.bitmap_count("bitmap"))).first()[0] == 5
+        ids = lambda rows, name, **k: sorted(r.id for r in exactly_once.apply_batch(frame(rows), ["a", "v"], "id", ledger, name, **k).collect())
+        one = [(1, "x", 1.0), (2, "x", 1.0), (3, "y", None), (4, None, 2.0), (9, "y", None), (15, "n", float("nan")), (16, "n", float("nan")), (17, "o", 0.0), (18, "o", -0.0)]
+        assert ids(one, "one", shards=4) == [1, 3, 4, 15, 17]
+        assert ids(one, "one") == [1, 3, 4, 15, 17]  # a retry gives what the batch gave
+        assert ids(one, "again", shards=7) == []  # the ledger's own number of shards holds
+        two = [(10, "x", 1.0), (11, "z", 0.0), (12, None, 2.0), (13, "z", 1.0)]
+        assert ids(two, "two") == [11, 13]
+        assert ids([], "none") == []
+        d = exactly_once.dictionary(spark, ledger)
+        assert d.count() == 7 and d.select("shard", "code").distinct().count() == 7
+        assert exactly_once.bitmaps(spark, ledger).agg(F.sum(F.bitmap_count("bitmap"))).first()[0] == 7
+        assert [c["batch"] for c in exactly_once.commits(spark, ledger)] == ["one", "again", "two", "none"]
+
+    def test_second_writer_fails(self, spark, tmp_path):
+        ledger = str(tmp_path / "ledger")
+        exactly_once._publish(spark, ledger, {"number": 0, "batch": "a", "folder": "x", "shards": 1, "rows": 0})
+        with pytest.raises(exactly_once.LedgerConflict):
+            exactly_once._publish(spark, ledger, {"number": 0, "batch": "b", "folder": "y", "shards": 1, "rows": 0})
+        assert [c["batch"] for c in exactly_once.commits(spark, ledger)] == ["a"]
+
+    def test_codes_in_parts_are_dense(self, spark):
+        d = spark.range(500).select((F.col("id") % 3).alias("shard"), F.col("id").alias("k"))
+        got = {}
+        for r in exactly_once.numbered(d, ["k"], parts=4).collect():
+            got.setdefault(r.shard, set()).add(r.code)
+        assert got == {s: set(range(len([i for i in range(500) if i % 3 == s]))) for s in range(3)}
+
+    def test_series_that_share_a_hash(self, spark):
+        rows = [(i, 7 if i % 3 else i, f"m{i % 3}", "h", ["t"]) for i in range(9)]
+        r = spark.createDataFrame(rows, "point_id int, series_h bigint, metric_key string, host_key string, tag_set array<string>")
+        got = {x.point_id: (x.series_h, x.series_twin) for x in identity.with_exact_series(r).collect()}
+        assert {got[i] for i in range(9) if i % 3 == 1} != {got[i] for i in range(9) if i % 3 == 2}
+        assert len(set(got.values())) == 5
 
 
 LINES = [
@@ -335,7 +374,9 @@ class TestLogEntries:
         rows.append((99, None, 1, LINES[0][0], ""))
         r.shuffle(rows)
         df = spark.createDataFrame(rows, "line_id bigint, stream_id bigint, line_no bigint, raw_line string, block string")
-        got = {x.head_line_id: (x.n_lines, x.message) for x in log_entries.entries(df, with_message=True).collect()}
+        got = {}
+        for x in sorted(log_entries.entries(df, with_message=True).collect(), key=lambda x: x.part):
+            got[x.head_line_id] = (x.n_lines, "\n".join([got[x.head_line_id][1], x.message]) if x.part else x.message)
         assert {k: v[0] for k, v in got.items()} == {k: len(v) for k, v in want.items()}
         for k, v in want.items():
             rest = [x.removesuffix("\r") for x in v[1:] if x is not None]
@@ -343,6 +384,15 @@ class TestLogEntries:
         assert {x.head_line_id: x.n_lines for x in log_entries.entries(df).collect()} == {k: v[0] for k, v in got.items()}
         assert log_entries.entries(df.limit(0)).count() == 0
 
+    def test_long_entries_come_in_parts(self, spark, monkeypatch):
+        monkeypatch.setattr(log_entries, "BLOCK", 10)
+        rows = [(1, 1, 5, LINES[1][0])] + [(i, 1, i, f"line {i}") for i in range(6, 40)]
+        df = spark.createDataFrame(rows, "line_id bigint, stream_id bigint, line_no bigint, raw_line string")
+        got = sorted(log_entries.entries(df, with_message=True).collect(), key=lambda r: r.part)
+        assert [r.part for r in got] == [0, 1, 2, 3] and {r.n_lines for r in got} == {35}
+        assert "\n".join(r.message for r in got).split("\n")[1:] == [f"line {i}" for i in range(6, 40)]
+        assert log_entries.entries(df).collect()[0].n_lines == 35
+
 
 class TestShared:
     def test_join_sized(self, spark):

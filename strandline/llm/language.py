@@ -10,6 +10,9 @@ The word scores are trained here, on a bounded sample of labelled rows:
 wrong, so the sample is labelled by the first model and counted again. Everything else
 runs over all rows and whole texts, batch by batch in Arrow's and numpy's own loops.
 
+Any language that some label names can be trained and found. Of scripts written without
+blanks (Han, kana, Thai and others) each character is a word.
+
 Headings, links, references, redirects, template and table fields are not prose; the
 text of a quotation template is. Null or empty texts have no language. Equal texts get
 equal results; rows with a null id are treated like others. Ties between languages go
@@ -20,47 +23,72 @@ likely in its language than in the average of all.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.shared import materialise
 
 SAMPLE_DOCS = 400
-#: Words of a language's vocabulary, the most frequent of the sample.
-VOCABULARY = 20_000
+#: Words of a language's vocabulary, the most frequent of the sample, and of all languages together.
+VOCABULARY, MODEL_WORDS = 20_000, 400_000
 SWITCH = 12.0
 LEAST_LETTERS = 100
 NONE = "zz"
 
-#: Fixed: ISO 639 codes and English names of languages.
-LANGUAGES = [
-    ("ar", "ara", "", "arabic"), ("bg", "bul", "", "bulgarian"), ("ca", "cat", "", "catalan"), ("cs", "ces", "cze", "czech"), ("da", "dan", "", "danish"),
-    ("de", "deu", "ger", "german"), ("el", "ell", "gre", "greek"), ("en", "eng", "", "english"), ("es", "spa", "", "spanish"), ("et", "est", "", "estonian"),
-    ("fa", "fas", "per", "persian"), ("fi", "fin", "", "finnish"), ("fr", "fra", "fre", "french"), ("he", "heb", "", "hebrew"), ("hi", "hin", "", "hindi"),
-    ("hr", "hrv", "", "croatian"), ("hu", "hun", "", "hungarian"), ("id", "ind", "", "indonesian"), ("it", "ita", "", "italian"), ("ja", "jpn", "", "japanese"),
-    ("ko", "kor", "", "korean"), ("lt", "lit", "", "lithuanian"), ("lv", "lav", "", "latvian"), ("nl", "nld", "dut", "dutch"), ("no", "nor", "", "norwegian"),
-    ("pl", "pol", "", "polish"), ("pt", "por", "", "portuguese"), ("ro", "ron", "rum", "romanian"), ("ru", "rus", "", "russian"), ("sk", "slk", "slo", "slovak"),
-    ("sl", "slv", "", "slovenian"), ("sr", "srp", "", "serbian"), ("sv", "swe", "", "swedish"), ("th", "tha", "", "thai"), ("tr", "tur", "", "turkish"),
-    ("uk", "ukr", "", "ukrainian"), ("vi", "vie", "", "vietnamese"), ("zh", "zho", "chi", "chinese"),
+#: Fixed: bibliographic three-letter codes that differ from the terminological ones.
+BIBLIOGRAPHIC = {
+    "alb": "sq", "arm": "hy", "baq": "eu", "bur": "my", "chi": "zh", "cze": "cs", "dut": "nl", "fre": "fr", "geo": "ka", "ger": "de",
+    "gre": "el", "ice": "is", "mac": "mk", "mao": "mi", "may": "ms", "per": "fa", "rum": "ro", "slo": "sk", "tib": "bo", "wel": "cy",
+}
+
+#: Fixed: first code points of script ranges (Unicode blocks).
+SCRIPT_RANGES = [
+    (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "syriac"), (0x0750, "arabic"), (0x0780, "thaana"), (0x07C0, "other"),
+    (0x08A0, "arabic"), (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "gurmukhi"), (0x0A80, "gujarati"), (0x0B00, "oriya"), (0x0B80, "tamil"), (0x0C00, "telugu"), (0x0C80, "kannada"),
+    (0x0D00, "malayalam"), (0x0D80, "sinhala"), (0x0E00, "thai"), (0x0E80, "lao"), (0x0F00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "other"),
+    (0x1780, "khmer"), (0x1800, "mongolian"), (0x18B0, "other"), (0x1C80, "cyrillic"), (0x1C90, "georgian"), (0x1CC0, "other"), (0x1D00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"),
+    (0x2DE0, "cyrillic"), (0x2E00, "other"), (0x2E80, "han"), (0x3040, "kana"), (0x3100, "other"), (0x3130, "hangul"), (0x3190, "other"), (0x31F0, "kana"), (0x3200, "other"), (0x3400, "han"), (0xA000, "other"),
+    (0xA640, "cyrillic"), (0xA6A0, "other"), (0xA720, "latin"), (0xA800, "other"), (0xA960, "hangul"), (0xA980, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB07, "armenian"),
+    (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFE70, "arabic"), (0xFF00, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"), (0x32000, "other"),
 ]
-
-#: Fixed: UTF-8 lead bytes of script ranges.
-SCRIPTS = [("latin", 0x00, 0xCD), ("greek", 0xCE, 0xCF), ("cyrillic", 0xD0, 0xD4), ("armenian", 0xD5, 0xD5), ("hebrew", 0xD6, 0xD7), ("arabic", 0xD8, 0xDD), ("other", 0xDE, 0xFF)]
+SCRIPTS = sorted({name for _, name in SCRIPT_RANGES})
+_FIRST = np.array([first for first, _ in SCRIPT_RANGES])
+_SCRIPT = np.array([SCRIPTS.index(name) for _, name in SCRIPT_RANGES])
 
 _DROP = r"(?i)^\s*(\||!|\{\||==|#redirect|<includeonly|\[\[(category|file|image)\b[^\]]*\]\]\s*$)"
 _MARKUP = r"(?i)<ref[^>/]*>[^<]*</ref>|<[^<>]*>|\{\{\{?[^{}]*\}?\}\}|\[\[[^\[\]]*\]\]|\[https?:[^\]]*\]|&#?[a-z0-9]+;"
 
 
+#: Scripts written without blanks between words: each character is a word.
+_SOLID = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]"
+
+
+@lru_cache(maxsize=1)
+def label_table() -> dict[str, str]:
+    """Labels to two-letter codes: ISO 639 codes of two and three letters and English names, as the JVM's locales list them."""
+    jvm = SparkSession.active().sparkContext._jvm
+    table: dict[str, str] = {}
+    for two in jvm.java.util.Locale.getISOLanguages():
+        locale = jvm.java.util.Locale(two)
+        code = locale.getLanguage()
+        for label in (two, code, locale.getISO3Language(), locale.getDisplayLanguage(jvm.java.util.Locale.ENGLISH).lower()):
+            if label:
+                table.setdefault(label, code)
+    return table | BIBLIOGRAPHIC
+
+
 def named(label: Column) -> Column:
     """Two-letter code of the language that a label names, or null."""
-    table = {x: two for two, *more in LANGUAGES for x in (two, *more) if x}
-    m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return m[F.regexp_extract(F.lower(F.trim(label)), "^([a-z]+)(?:[-_][a-z0-9_-]+)?$", 1)]
+    m = F.create_map(*[F.lit(x) for kv in sorted(label_table().items()) for x in kv])
+    plain = F.lower(F.trim(label))
+    return F.coalesce(m[F.regexp_extract(plain, "^([a-z]+)(?:[-_][a-z0-9_-]+)?$", 1)], F.when(plain.contains(" "), m[plain]))
 
 
 def prose_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -74,6 +102,9 @@ def prose_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     flat = pc.replace_substring_regex(flat, _MARKUP, " ")
     flat = pc.replace_substring_regex(flat, r"\{\{[^}]*$|\[\[(.*\|)?", " ")
     flat = pc.utf8_lower(pc.replace_substring_regex(flat, r"[^\p{L}\p{M}]+", " "))
+    solid = pc.match_substring_regex(flat, _SOLID)
+    if pc.any(solid).as_py():
+        flat = pc.if_else(solid, pc.replace_substring_regex(flat, f"({_SOLID})", r" \1 "), flat)
     flat = pc.utf8_trim(flat, " ")
     words = pc.split_pattern(flat, " ")
     owner = parent.take(pc.list_parent_indices(words))
@@ -83,17 +114,23 @@ def prose_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def scripts_of(words: pa.Array) -> np.ndarray:
-    """Index into SCRIPTS of each word's first character."""
+    """Index into SCRIPTS of each word's first character, by its code point."""
     if len(words) == 0:
         return np.zeros(0, dtype=np.int64)
     a = words.cast(pa.large_string())
     _, offsets, data = a.buffers()
     start = np.frombuffer(offsets, dtype=np.int64)[a.offset : a.offset + len(a)]
-    lead = np.frombuffer(data, dtype=np.uint8)[start]
-    table = np.zeros(256, dtype=np.int64)
-    for i, (_, lo, hi) in enumerate(SCRIPTS):
-        table[lo : hi + 1] = i
-    return table[lead]
+    octets = np.frombuffer(data, dtype=np.uint8)
+    lead = octets[start].astype(np.int64)
+    point = lead.copy()
+    # UTF-8: the lead octet gives the number of further ones, which give six bits each
+    for least, mask, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+        some = np.flatnonzero(lead >= least)
+        value = lead[some] & mask
+        for k in range(1, more + 1):
+            value = (value << 6) | (octets[np.minimum(start[some] + k, len(octets) - 1)] & 0x3F)
+        point[some] = value
+    return _SCRIPT[np.searchsorted(_FIRST, point, side="right") - 1]
 
 
 class Model:
@@ -237,8 +274,10 @@ def _count(df: DataFrame, model: Model | None) -> dict[tuple[str, str], float]:
                 yield from t.combine_chunks().to_batches()
 
     counted = df.select("text", "lang").mapInArrow(run, "word string, lang string, n bigint")
-    sums = counted.where("length(word) <= 40").groupBy("word", "lang").agg(F.sum("n").alias("n")).where(F.col("lang") != NONE)
-    top = sums.where("n >= 2").orderBy(F.desc("n"), "word", "lang").limit(VOCABULARY * 3)
+    sums = counted.where("length(word) <= 40").groupBy("word", "lang").agg(F.sum("n").alias("n")).where(F.col("lang") != NONE).where("n >= 2")
+    languages = max(1, sums.select("lang").distinct().count())
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))  # of the sample's words only
+    top = sums.withColumn("r", rank).where(F.col("r") <= min(VOCABULARY, MODEL_WORDS // languages))
     return {(r["word"], r["lang"]): float(r["n"]) for r in top.collect()}
 
 
@@ -262,7 +301,7 @@ def identify(docs: DataFrame, model: Model, segments: bool = False, keep: list[s
     keep = keep or ["doc_id"]
     d = docs.select(*keep, "text")
     schema = T.StructType([*[d.schema[c] for c in keep], *[T.StructField(n, t()) for n, t in (("language", T.StringType), ("first_word", T.LongType), ("words", T.LongType), ("letters", T.LongType), ("confidence", T.DoubleType))]])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 3 * VOCABULARY words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_WORDS words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

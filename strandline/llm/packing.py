@@ -25,11 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.functions.shared import join_sized
+from strandline.functions.shared import join_sized, materialise
 
 SHARD_ITEMS = 8192
-#: Sources have a queue each; their totals, one row a source, come to the driver.
-MAX_SOURCES = 1000
 SCHEMA = "container_kind string, container_id bigint, doc_id bigint, source string, piece int, first_token bigint, tokens bigint"
 
 
@@ -83,47 +81,39 @@ def pack(items: DataFrame, capacities: dict[str, int], targets: dict[str, float]
     """items (doc_id, source, tokens) -> SCHEMA, for every container kind.
 
     ``targets`` gives each source's proportion; without it, its own share of all tokens.
+    There may be any number of sources: their totals, shares and deficits stay in tables,
+    one row per shard and source, and meet the items of their shard there.
     """
     # a source that is null, and one that is the empty string, have different queues
     d = items.where("tokens is not null").select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("source"), F.col("tokens").cast("bigint").alias("tokens"))
     shards = max(1, -(-items.count() // shard_items))
     d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    by_shard = d.groupBy("shard", "source").agg(F.sum("tokens").alias("t"))
+    by_shard = materialise(d.groupBy("shard", "source").agg(F.sum("tokens").alias("t")))
     if targets is None:
-        sums = by_shard.groupBy("source").agg(F.sum("t").alias("t")).limit(MAX_SOURCES + 1).collect()
-        if len(sums) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources")
-        every = sum(r["t"] for r in sums)
-        share = [(r["source"], r["t"] / every if every else 0.0) for r in sums]
+        every = by_shard.agg(F.sum("t")).first()[0] or 0
+        share = by_shard.groupBy("source").agg((F.sum("t") / F.lit(float(max(every, 1)))).alias("share"))
     else:
-        share = [("s" + s, float(w)) for s, w in targets.items()]
-    if not share:
-        return items.sparkSession.createDataFrame([], SCHEMA)
-    # one row per shard: the queues' shares and what the shards before leave owed
-    total = by_shard.groupBy("shard").agg(F.sum("t").alias("all"))
-    queues = F.array(*[F.struct(F.lit(q).alias("source"), F.lit(w).alias("share")) for q, w in share])
-    grid = total.select("shard", "all", F.inline(queues))
-    grid = grid.join(by_shard, ["shard", "source"], "left").withColumn("over", F.col("share") * F.col("all") - F.coalesce("t", F.lit(0)))
-    before = F.sum("over").over(W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    start = grid.withColumn("owed", F.coalesce(before, F.lit(0.0))).groupBy("shard").agg(F.to_json(F.collect_list(F.struct("source", "share", "owed"))).alias("start"))
+        share = items.sparkSession.createDataFrame([("s" + s, float(w)) for s, w in targets.items()], "source string, share double")
+    # what the shards before leave owed: the source's share of all they placed, less what it gave
+    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    placed = by_shard.groupBy("shard").agg(F.sum("t").alias("all")).withColumn("all", F.coalesce(F.sum("all").over(before.partitionBy(F.lit(0))), F.lit(0)))  # one row a shard
+    given = F.coalesce(F.sum("t").over(before.partitionBy("source")), F.lit(0))
+    start = join_sized(by_shard.withColumn("given", given), share, ["source"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    start = start.join(placed, "shard").select("shard", "source", "share", (F.col("share") * F.col("all") - F.col("given")).alias("owed"))
     kinds = sorted(capacities.items())
 
-    def run(key: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
-        import json
-
-        rows = json.loads(pdf.start.iloc[0])
-        share, owed = {r["source"]: r["share"] for r in rows}, {r["source"]: r["owed"] for r in rows}
+    def run(key: tuple[int], pdf: pd.DataFrame, queues: pd.DataFrame) -> pd.DataFrame:
+        share, owed = dict(zip(queues.source, queues.share, strict=True)), dict(zip(queues.source, queues.owed, strict=True))
         pdf = pdf.sort_values("doc_id")
         listed = list(zip(pdf.doc_id.tolist(), pdf.source.tolist(), pdf.tokens.tolist(), strict=True))
         parts = []
         for kind, capacity in kinds:
-            placed = pd.DataFrame(pack_shard(listed, capacity, share, owed), columns=["container_id", "doc_id", "source", "piece", "first_token", "tokens"])
-            placed["container_id"] += int(key[0]) << 32
-            placed.insert(0, "container_kind", kind)
-            parts.append(placed)
+            boxes = pd.DataFrame(pack_shard(listed, capacity, share, owed), columns=["container_id", "doc_id", "source", "piece", "first_token", "tokens"])
+            boxes["container_id"] += int(key[0]) << 32
+            boxes.insert(0, "container_kind", kind)
+            parts.append(boxes)
         out = pd.concat(parts)
         out["source"] = [s[1:] if s != "n" else None for s in out.source]
         return out
 
-    joined = join_sized(d, start, ["shard"], rows=shards * -(-len(share) // 10))  # a row of it holds all queues
-    return joined.groupBy("shard").applyInPandas(run, SCHEMA)
+    return d.groupBy("shard").cogroup(start.groupBy("shard")).applyInPandas(run, SCHEMA)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.functions.shared import join_sized, materialise
+from strandline.functions.shared import join_sized, materialise, release, scratch
 
 PIECES = 256
 
@@ -41,17 +41,21 @@ def percentiles(base: DataFrame, group: list[str], qs: list[float], pieces: int
     """
     keys = [*group, "q"]
     state = base.groupBy(*group).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("w").alias("total")).where("total > 0")
-    state = state.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("below", F.lit(0.0))
-    done: list[DataFrame] = []
+    state = state.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("below", F.lit(0.0)).select(*keys, "lo", "hi", "total", "below")
+    made, old = 0, None
     while True:
-        state = materialise(state)
-        done.append(state.where("lo = hi"))
+        path = scratch(base.sparkSession)
+        state = materialise(state, path)
+        if old:
+            release(old)
+        old = path
         open_ = state.where("lo < hi")
         n = open_.count()
         if not n:
             break
-        if passes is not None and len(done) > passes:
+        if passes is not None and made >= passes:
             raise RuntimeError(f"{n} intervals are open after {passes} passes")
+        made += 1
         names = {g: f"_g{i}" for i, g in enumerate(group)}
         right = open_.withColumnsRenamed(names).withColumn("_key", F.to_json(F.struct(*names.values())) if group else F.lit(""))
         left = base.withColumn("_key", F.to_json(F.struct(*[F.col(g).alias(names[g]) for g in group])) if group else F.lit(""))
@@ -74,11 +78,9 @@ def percentiles(base: DataFrame, group: list[str], qs: list[float], pieces: int
             F.min(F.when(reached, F.struct("piece", "plo", "phi", (F.col("below") + F.col("cum") - F.col("w")).alias("below"), "total"))),
             F.max(F.struct("piece", "plo", "phi", (F.col("below") + F.col("cum") - F.col("w")).alias("below"), "total")),
         )
-        state = h.groupBy(*keys).agg(pick.alias("p")).select(*keys, F.col("p.plo").alias("lo"), F.col("p.phi").alias("hi"), F.col("p.total").alias("total"), F.col("p.below").alias("below"))
-    out = done[0]
-    for s in done[1:]:
-        out = out.unionByName(s)
-    return out.select(*keys, F.col("lo").alias("value"), F.col("total").alias("weight"))
+        narrowed = h.groupBy(*keys).agg(pick.alias("p")).select(*keys, F.col("p.plo").alias("lo"), F.col("p.phi").alias("hi"), F.col("p.total").alias("total"), F.col("p.below").alias("below"))
+        state = state.where("lo = hi").unionByName(narrowed)
+    return state.select(*keys, F.col("lo").alias("value"), F.col("total").alias("weight"))
 
 
 def store_bins(store: str, gamma: str, offset: str, sign: int) -> Column:

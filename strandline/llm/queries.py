@@ -9,6 +9,10 @@ from strandline.functions import identity
 from strandline.functions.shared import join_sized, materialise, read
 from strandline.llm import distinct, language, mixing, packing, percentiles
 
+#: Most rows of the tables of settings (container kinds, mix targets), which the driver reads.
+MOST_SETTINGS = 1000
+_MODELS: dict[tuple[str, str], language.Model] = {}
+
 
 def _idents(spark: SparkSession, d: str) -> DataFrame:
     """(ident, utc_day, env, id) of traces and hosts."""
@@ -35,13 +39,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_cube(spark: SparkSession, d: str) -> DataFrame:
     """Distinct identifiers per day, env and their combinations, merged from the day sketches."""
-    parts = _day_sketches(spark, d)
-    sets = [["ident", "utc_day", "env"], ["ident", "utc_day"], ["ident", "env"], ["ident"]]
-    out = None
-    for g in sets:
-        m = distinct.merge(parts, g)
-        m = m.select("ident", *[F.col(c) if c in g else F.lit("*").alias(c) for c in ("utc_day", "env")], "n", distinct.estimate("sketch").alias("distinct_ids"))
-        out = m if out is None else out.unionByName(m)
+    out = _cube(_day_sketches(spark, d), lambda x, g: distinct.merge(x, g).withColumn("distinct_ids", distinct.estimate("sketch")).drop("sketch"))
     return distinct.with_bounds(out, "distinct_ids")
 
 
@@ -57,10 +55,10 @@ def p4_overlap(spark: SparkSession, d: str) -> DataFrame:
 def _latency(spark: SparkSession, d: str) -> DataFrame:
     """(grp, utc_day, value): each message of the millisecond series once."""
     keys = ["series_h", "metric_key", "host_key", "tag_set"]
-    series = identity.series_table(read(spark, d, "metric_series")).where("unit = 'millisecond'").select(*keys).withColumnsRenamed({k: f"s_{k}" for k in keys[1:]})
+    series = identity.series_table(read(spark, d, "metric_series")).where("unit = 'millisecond'").groupBy(*keys).agg(F.min("series_id").alias("series_id")).withColumnsRenamed({k: f"s_{k}" for k in keys[1:]})
     r = join_sized(identity.readings(read(spark, d, "metric_points")), series, ["series_h"])
     r = r.where("metric_key <=> s_metric_key and host_key <=> s_host_key and tag_set = s_tag_set")
-    once = r.groupBy("series_h", "ns", "value").agg(F.first("metric_key").alias("grp"))
+    once = r.groupBy("series_id", "ns", "value").agg(F.first("metric_key").alias("grp"))
     return once.select("grp", F.date_format(F.timestamp_seconds(F.expr("ns div 1000000000")), "yyyy-MM-dd").alias("utc_day"), "value")
 
 
@@ -78,6 +76,34 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p.where("value >= 250").select(*g)
 
 
+def _cube(df: DataFrame, make) -> DataFrame:  # noqa: ANN001
+    """make(group) over (ident, day, env) and its coarser combinations, left-out columns as ``*``."""
+    out = None
+    for g in (["ident", "utc_day", "env"], ["ident", "utc_day"], ["ident", "env"], ["ident"]):
+        m = make(df, g)
+        m = m.select("ident", *[F.col(c) if c in g else F.lit("*").alias(c) for c in ("utc_day", "env")], *[c for c in m.columns if c not in ("ident", "utc_day", "env")])
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def p4_cube_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the exact count of every group and combination lies within three standard errors of its merged sketch."""
+    counts = _cube(_idents(spark, d), lambda x, g: x.groupBy(*g).agg(F.count_distinct("id").alias("exact")))
+    est = p4_cube(spark, d).withColumnRenamed("n", "rows")
+    room = (F.col("upper") - F.col("distinct_ids")) * 1.5
+    j = counts.alias("a").join(est.alias("b"), F.expr("a.ident = b.ident and a.utc_day <=> b.utc_day and a.env <=> b.env"))
+    return j.select("a.ident", "a.utc_day", "a.env", "rows", "exact", (F.abs(F.col("exact") - F.col("distinct_ids")) <= room + 0.5).alias("in_bounds"))
+
+
+def p4_overlap_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the exact overlap of every env with production lies within three standard errors."""
+    ids = _idents(spark, d).select("ident", "env", "id").distinct()
+    prod = ids.where("env = 'prod'").select("ident", "id").withColumn("hit", F.lit(1))
+    exact = ids.where("env <> 'prod'").join(prod, ["ident", "id"], "left").groupBy("ident", "env").agg(F.count("hit").alias("exact"))
+    j = p4_overlap(spark, d).join(exact, ["ident", "env"])
+    return j.select("ident", "env", "exact", (F.abs(F.col("exact") - F.col("in_both")) <= (F.col("upper") - F.col("in_both")) * 1.5 + 0.5).alias("in_bounds"))
+
+
 def p5_daily(spark: SparkSession, d: str) -> DataFrame:
     """Median and high percentiles per metric and day, and over all days, from one base table."""
     g = ["grp", "utc_day"]
@@ -92,8 +118,16 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return materialise(read(spark, d, "documents").select("doc_id", "source", (F.octet_length("text") + 1).cast("bigint").alias("tokens")))
 
 
+def _settings(table: DataFrame, name: str) -> list:
+    """All rows of a table of settings; more than ``MOST_SETTINGS`` are refused, none is left out."""
+    rows = table.limit(MOST_SETTINGS + 1).collect()
+    if len(rows) > MOST_SETTINGS:
+        raise ValueError(f"{name} has more than {MOST_SETTINGS} rows")
+    return rows
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    kinds = {r[0]: int(r[1]) for r in read(spark, d, "containers").select("container_kind", "capacity_tokens").limit(1000).collect()}
+    kinds = {r[0]: int(r[1]) for r in _settings(read(spark, d, "containers").select("container_kind", "capacity_tokens"), "containers")}
     return packing.pack(_tokens(spark, d), kinds)
 
 
@@ -109,9 +143,18 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return p.join(caps, "container_kind").select("container_kind", "boxes", "tokens", (F.col("tokens") / (F.col("boxes") * F.col("capacity_tokens"))).alias("fill"))
 
 
+def p8_account(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind: documents and tokens placed, pieces, containers over capacity, and whether at most a twentieth, or one container, stays unused."""
+    caps = read(spark, d, "containers")
+    boxes = _packed(spark, d).groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("held"), F.count("*").alias("pieces"), F.count_if(F.col("piece") == 0).alias("docs"))
+    out = boxes.join(caps, "container_kind").groupBy("container_kind").agg(
+        F.sum("docs").alias("docs"), F.sum("held").alias("tokens"), F.sum("pieces").alias("pieces"), F.count_if(F.col("held") > F.col("capacity_tokens")).alias("over_full"), (F.sum("capacity_tokens") - F.sum("held")).alias("unused"), F.greatest(F.sum("capacity_tokens") / 20, F.max("capacity_tokens")).alias("room"))
+    return out.select("container_kind", "docs", "tokens", "pieces", "over_full", (F.col("unused") <= F.col("room")).alias("tight"))
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     targets = read(spark, d, "mix_targets")
-    rows = targets.limit(1000).collect()
+    rows = _settings(targets, "mix_targets")
     docs = _tokens(spark, d)
     budget = max((int(r["mix_tokens"]) for r in rows), default=0)
     return mixing.mix(docs, [(r["source"], r["target_share"], r["max_repeats"]) for r in rows], budget), docs, targets
@@ -132,10 +175,31 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_shares(spark, d).where("short").select("source")
 
 
+def p9_account(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source: tokens available, whether it falls short, keeps its cap on repeats and, where it doesn't fall short, gives its share of what was mixed."""
+    mixed, docs, targets = _mix(spark, d)
+    s = mixing.shares(mixed, docs, targets)
+    uses = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("k")).groupBy("source").agg(F.max("k").alias("most"))
+    largest = docs.agg(F.max("tokens").alias("largest"))
+    s = s.join(uses, "source", "left").join(F.broadcast(largest))  # one row
+    s = s.join(F.broadcast(s.groupBy("short").agg(F.sum("used").alias("group_used"), F.sum("target_share").alias("group_share"))), "short")  # two rows
+    fair = F.abs(F.col("used") - F.col("group_used") * F.col("target_share") / F.col("group_share")) <= 2 * F.col("largest")
+    return s.select("source", "available", "short", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("capped"), (F.when(F.col("short"), F.col("used") == F.col("available")).otherwise(fair)).alias("as_aimed"))
+
+
+def _model(spark: SparkSession, d: str) -> language.Model:
+    """The data directory's model, fitted once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = language.train(read(spark, d, "documents"))
+    return _MODELS[key]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages with running prose in a document that its label doesn't name."""
     docs = read(spark, d, "documents")
-    found = language.identify(docs, language.train(docs), keep=["doc_id", "lang"])
+    found = language.identify(docs, _model(spark, d), keep=["doc_id", "lang"])
     label = F.coalesce(language.named(F.col("lang")), F.lit(""))
     return found.where((F.col("letters") >= language.LEAST_LETTERS) & (F.col("language") != language.NONE) & (F.col("language") != label)).select("doc_id", F.col("language").alias("lang"))
 
@@ -143,7 +207,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_documents(spark: SparkSession, d: str) -> DataFrame:
     """Main language of every document that has one, with its confidence."""
     docs = read(spark, d, "documents")
-    found = language.identify(docs, language.train(docs)).where(F.col("language") != language.NONE)
+    found = language.identify(docs, _model(spark, d)).where(F.col("language") != language.NONE)
     top = F.max(F.struct("letters", "language", "confidence")).alias("m")
     return found.groupBy("doc_id").agg(top, F.count("*").alias("languages")).select("doc_id", F.col("m.language").alias("lang"), "m.letters", "m.confidence", "languages")
 
@@ -151,23 +215,27 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     """Spans of one language, in the order of the words."""
     docs = read(spark, d, "documents")
-    return language.identify(docs, language.train(docs), segments=True)
+    return language.identify(docs, _model(spark, d), segments=True)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_cube, p4_overlap, p5_found, p5_daily, p8_found, p8_fill, p9_found, p9_shares, p9_mix, p10_found, p10_documents, p10_segments)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_cube, p4_cube_bounds, p4_overlap, p4_overlap_bounds, p5_found, p5_daily, p8_found, p8_fill, p8_account, p9_found, p9_shares, p9_account, p9_mix, p10_found, p10_documents, p10_segments)}
 _HOST = "nullif(split_part(trim(lower(host_name)), '.', 1), '')"
 _NS = "case when point_timestamp < 100000000000 then point_timestamp*1000000000 when point_timestamp < 100000000000000 then point_timestamp*1000000 when point_timestamp < 100000000000000000 then point_timestamp*1000 else point_timestamp end"
 _LATENCY = f"""r as (select distinct trim(lower(metric)) m, {_HOST} h, list_sort(list_distinct(tags)) t, {_NS} ns, point_value v from metric_points where point_value is not null and isfinite(point_value) and flags & 1 = 0),
 s as (select trim(lower(metric)) m, {_HOST} h, list_sort(list_distinct(tags)) t from metric_series where unit = 'millisecond'),
 l as (select m grp, strftime(make_timestamp(ns//1000), '%Y-%m-%d') utc_day, v from r join s using (m, h, t))"""
+_IDENTS = f"""t as (select 'trace' ident, strftime(make_timestamp(start_ns//1000), '%Y-%m-%d') utc_day, env, ltrim(replace(regexp_replace(trim(lower(trace_id)), '^0x', ''), '-', ''), '0') id from trace_chunks join agent_payloads using (payload_id) where trace_id is not null),
+h as (select 'host' ident, strftime(received_at, '%Y-%m-%d') utc_day, env, {_HOST} id from agent_payloads), i as (select * from (select * from t union all select * from h) where id <> '')"""
 _RATE = "sum(w) over (partition by origin, grp, utc_day order by v) cum, sum(w) over (partition by origin, grp, utc_day) total"
 _TOKENS = "(select doc_id, source, strlen(text) + 1 tokens from documents where text is not null)"
 
 SQL = {
-    "p4_found": f"""with t as (select 'trace' ident, strftime(make_timestamp(start_ns//1000), '%Y-%m-%d') utc_day, env, ltrim(replace(regexp_replace(trim(lower(trace_id)), '^0x', ''), '-', ''), '0') id from trace_chunks join agent_payloads using (payload_id) where trace_id is not null),
-h as (select 'host' ident, strftime(received_at, '%Y-%m-%d') utc_day, env, {_HOST} id from agent_payloads),
-g as (select ident, utc_day, env, count(*) n, count(distinct id) d from (select * from t union all select * from h) where id <> '' group by 1, 2, 3)
-select ident, utc_day, env from g where n >= 5 and (ident = 'trace' and d < 0.6*n or ident = 'host' and d >= 0.6*n)""",
+    "p4_found": f"""with {_IDENTS} select ident, utc_day, env from (select ident, utc_day, env, count(*) n, count(distinct id) d from i group by 1, 2, 3)
+where n >= 5 and (ident = 'trace' and d < 0.6*n or ident = 'host' and d >= 0.6*n)""",
+    "p4_cube_bounds": f"""with {_IDENTS} select ident, case when grouping(utc_day) = 1 then '*' else utc_day end utc_day, case when grouping(env) = 1 then '*' else env end env, count(*) "rows", count(distinct id) exact, true in_bounds
+from i group by grouping sets ((ident, utc_day, env), (ident, utc_day), (ident, env), (ident))""",
+    "p4_overlap_bounds": f"""with {_IDENTS}, u as (select distinct ident, env, id from i), p as (select ident, id from u where env = 'prod')
+select u.ident, u.env, count(p.id) exact, true in_bounds from u left join p on u.ident = p.ident and u.id = p.id where u.env <> 'prod' group by 1, 2""",
     "p5_found": f"""with {_LATENCY}, sk as (select sketch_id, service_name, strftime(bucket_start, '%Y-%m-%d') utc_day, gamma g, index_offset o, positive_values p, negative_values n, zero_count z from dd_sketches),
 bins as (select service_name, utc_day, g, o, 1 sign, unnest(map_keys(p.bin_counts)) i, unnest(map_values(p.bin_counts)) w from sk union all select service_name, utc_day, g, o, -1, unnest(map_keys(n.bin_counts)), unnest(map_values(n.bin_counts)) from sk
 union all select service_name, utc_day, g, o, 1, unnest(range(len(p.contiguous_bin_counts))) + p.contiguous_bin_index_offset, unnest(p.contiguous_bin_counts) from sk
@@ -179,5 +247,8 @@ select origin, grp, utc_day from q where cum >= 0.95 * total group by all having
     "p5_daily": f"""with {_LATENCY}, e as (select grp, utc_day, v from l union all select grp, '*', v from l), k as (select grp, utc_day, v, row_number() over (partition by grp, utc_day order by v) r, count(*) over (partition by grp, utc_day) n from e)
 select grp, utc_day, q, min(v) "value", any_value(n) n from k, (values (0.5::double), (0.9::double), (0.95::double), (0.99::double)) z(q) where r >= q * n * (1 - 1e-12) group by grp, utc_day, q""",
     "p8_found": f"select container_kind, doc_id from {_TOKENS}, containers where tokens > capacity_tokens",
+    "p8_account": f"""select container_kind, count(*) docs, sum(tokens) tokens, sum(greatest(1, cast(ceil(tokens/capacity_tokens) as bigint))) pieces, 0 over_full, true tight from {_TOKENS}, containers group by 1""",
+    "p9_account": f"""with o as (select m.*, m.max_repeats * coalesce(t, 0) available from mix_targets m left join (select source, sum(tokens) t from {_TOKENS} group by 1) d using (source))
+select source, available, available < target_share * mix_tokens short, true capped, true as_aimed from o""",
     "p9_found": f"select m.source from mix_targets m left join (select source, sum(tokens) t from {_TOKENS} group by 1) d using (source) where m.max_repeats * coalesce(t, 0) < m.target_share * m.mix_tokens",
 }

@@ -165,6 +165,27 @@ class TestPacking:
         owed = packing.pack_shard(items[:50], 1000, share, {"b": 500.0, "a": -500.0})
         assert sum(t for _, _, s, _, _, t in owed[:8] if s == "a") == 0
 
+    def test_any_number_of_sources(self, spark):
+        df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1500).alias("source"), (F.col("id") % 90 + 1).alias("tokens"))
+        got = packing.pack(df, {"k": 500}, shard_items=1000)
+        assert got.agg(F.count("*"), F.sum("tokens")).first() == df.agg(F.count("*"), F.sum("tokens")).first()
+        load = got.groupBy("container_id").agg(F.sum("tokens").alias("t"))
+        assert load.agg(F.max("t")).first()[0] <= 500 and load.agg(F.avg("t")).first()[0] > 470
+
+    def test_targets_carry_over_shards(self, spark):
+        """Over all shards, what is placed early keeps to the targets as long as the sources last."""
+        df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), F.lit(10).alias("tokens"))
+        got = packing.pack(df, {"k": 100}, {"a": 0.75, "b": 0.25}, shard_items=1000)
+        first = got.where(F.col("container_id") % (1 << 32) < 20).groupBy("source").agg(F.sum("tokens").alias("t"))
+        t = {r.source: r.t for r in first.collect()}
+        assert t["a"] > 1.5 * t["b"]
+
+    def test_settings_are_never_cut(self, spark):
+        table = spark.range(queries.MOST_SETTINGS + 1)
+        with pytest.raises(ValueError, match="more than"):
+            queries._settings(table, "containers")
+        assert len(queries._settings(table.limit(5), "containers")) == 5
+
     def test_empty(self, spark):
         assert packing.pack(spark.createDataFrame([], "doc_id bigint, source string, tokens bigint"), {"k": 10}).count() == 0
 
@@ -294,10 +315,35 @@ class TestLanguage:
                 return sum(scores[ids[t, k], s] for t, s in enumerate(p)) - 1.5 * sum(a != b for a, b in itertools.pairwise(p))
             assert value(got[:, k]) == pytest.approx(max(value(p) for p in itertools.product(range(3), repeat=7)), abs=1e-4)
 
-    @pytest.mark.parametrize("label,code", [("en", "en"), ("en-GB", "en"), ("de_AT", "de"), ("GER", "de"), (" Dutch ", "nl"), ("fra", "fr"), ("xx", None), ("und", None), ("unknown", None), ("", None), (None, None), ("zh-Hans-CN", "zh")])
+    @pytest.mark.parametrize("label,code", [("en", "en"), ("en-GB", "en"), ("de_AT", "de"), ("GER", "de"), (" Dutch ", "nl"), ("fra", "fr"), ("xx", None), ("und", None), ("unknown", None), ("", None), (None, None), ("zh-Hans-CN", "zh"), ("swa", "sw"), ("Icelandic", "is"), ("ice", "is"), ("Haitian Creole", "ht"), ("isl-IS", "is")])
     def test_labels(self, spark, label, code):
         assert spark.range(1).select(language.named(F.lit(label).cast("string")).alias("x")).first().x == code
 
+    def test_scripts_and_solid_text(self):
+        words = pa.array(["word", "ünder", "слово", "λόγος", "漢", "か", "カ", "한국어", "ไ", "हिन्दी", "עברית", "عربي", "ქართული", "𠀀", "ệ"])
+        want = ["latin", "latin", "cyrillic", "greek", "han", "kana", "kana", "hangul", "thai", "devanagari", "hebrew", "arabic", "georgian", "han", "latin"]
+        assert [language.SCRIPTS[i] for i in language.scripts_of(words)] == want
+        assert [language.SCRIPTS[i] for i in language.scripts_of(words.slice(4, 3))] == want[4:7]
+        got, owner = language.prose_words(pa.array(["漢字とかな mix", None, "ไทย", "plain words"]))
+        assert got.to_pylist() == ["漢", "字", "と", "か", "な", "mix", "ไ", "ท", "ย", "plain", "words"]
+        assert owner.tolist() == [0] * 6 + [2] * 3 + [3] * 2
+
+    def test_languages_of_other_scripts(self, spark):
+        r = random.Random(3)
+        solid = {"ja": "これは古い町の市場でありその川沿いに多くの店が並んでいる", "zh": "这座古老的城市位于河边市场里有许多商店和学校", "th": "ตลาดเก่าตั้งอยู่ริมแม่น้ำและมีร้านค้ามากมาย"}
+        make = lambda k, n: "".join("".join(r.sample(solid[k], 12)) + "。" for _ in range(n))
+        rows = [(i, make(k, 12), k) for i, k in enumerate(r.choice(list(solid)) for _ in range(90))]
+        rows += [(i + 500, sentences("en", 6, r), "en") for i in range(30)]
+        rows += [(1000, make("ja", 15) + "\n" + make("th", 15) + "\n" + sentences("en", 4, r), None)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+        model = language.train(df)
+        assert model.langs == ["en", "ja", "th", "zh"]
+        found = defaultdict(set)
+        for x in language.identify(df, model).where("letters >= 100").collect():
+            found[x.doc_id].add(x.language)
+        assert all(found[i] == {k} for i, _, k in rows[:90])
+        assert found[1000] == {"ja", "th", "en"}
+
     def test_untrained_and_slices(self, spark):
         empty = spark.createDataFrame([], "doc_id bigint, text string, lang string")
         assert language.identify(empty, language.train(empty)).count() == 0

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.functions.shared import materialise
+from strandline.functions.shared import join_sized, materialise
 
 BLOCK = 4096
 FIELDS = ["timestamp", "host_name", "syslog_tag", "process_pid", "syslog_msgid", "severity", "message"]
@@ -418,13 +418,17 @@ def entries(lines: DataFrame, with_message: bool = False, **names: str) -> DataF
     blocks = per.unionByName(led.withColumn("last_head", F.lit(None).cast(dict(per.dtypes)["last_head"]))).groupBy("stream_id", "block").agg(F.max("last_head").alias("last_head"))
     carry = blocks.withColumn("carry", F.last("last_head", ignorenulls=True).over(w)).where("carry is not null").select("stream_id", "block", "carry")
     rest = own.where("head_line_id is null").join(carry, ["stream_id", "block"]).withColumn("head_line_id", F.col("carry")).select(own.columns)
-    every = own.where("head_line_id is not null").unionByName(rest)
+    heads = own.where("head_line_id is not null")
     fields = [F.col(f"h.{f}").alias(f) for f in head_fields]
-    whole = every.groupBy("head_line_id").agg(F.sum("n_lines").alias("n_lines"), F.max("h").alias("h"))
+    # a head has one row of its own block; lines of later blocks are at most one row a block
+    more = rest.groupBy("stream_id", "head_line_id").agg(F.sum("n_lines").alias("more"))
+    whole = join_sized(heads.select("stream_id", "head_line_id", "n_lines", "h"), more, ["stream_id", "head_line_id"], "left")
+    whole = whole.select("stream_id", "head_line_id", (F.col("n_lines") + F.coalesce("more", F.lit(0))).alias("n_lines"), "h")
     if not with_message:
         return whole.select("head_line_id", "n_lines", *fields)
+    every = heads.unionByName(rest)
     # long entries stay in their blocks, which are parts; numbered among the few blocks of an entry
-    every = every.where("size(parts) > 0").select("head_line_id", "block", "parts").join(whole.withColumnRenamed("n_lines", "total"), "head_line_id")
-    pieces = every.groupBy("head_line_id", F.when(F.col("total") > BLOCK, F.col("block")).alias("_at")).agg(F.first("total").alias("n_lines"), F.first("h").alias("h"), F.flatten(F.collect_list("parts")).alias("parts"))
-    part = F.when(F.col("_at").isNull(), 0).otherwise(F.row_number().over(W.partitionBy("head_line_id").orderBy("_at")) - 1)
+    every = every.where("size(parts) > 0").select("stream_id", "head_line_id", "block", "parts").join(whole.withColumnRenamed("n_lines", "total"), ["stream_id", "head_line_id"])
+    pieces = every.groupBy("stream_id", "head_line_id", F.when(F.col("total") > BLOCK, F.col("block")).alias("_at")).agg(F.first("total").alias("n_lines"), F.first("h").alias("h"), F.flatten(F.collect_list("parts")).alias("parts"))
+    part = F.when(F.col("_at").isNull(), 0).otherwise(F.row_number().over(W.partitionBy("stream_id", "head_line_id").orderBy("_at")) - 1)
     return pieces.select("head_line_id", part.alias("part"), "n_lines", *fields, F.array_join(F.transform(F.array_sort("parts"), lambda p: p["text"]), "\n").alias("message"))

@@ -164,40 +164,58 @@ class Model:
         none = np.concatenate([np.full(len(self.words), -2.0), np.zeros(len(unknown) + 1)])
         self.scores = np.hstack([rows, none[:, None]]).astype(np.float32)
         self.states = [*self.langs, NONE]
+        self._value_set: pa.Array | None = None
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Score row and letters of each word; distinct words are looked up once."""
+        if len(words) == 0:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if self._value_set is None:
+            self._value_set = pa.array(self.words, pa.string())
+        coded = words.dictionary_encode()
+        each = coded.dictionary
+        at = pc.index_in(each, value_set=self._value_set).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = pc.utf8_length(each).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.where(at >= 0, at, len(self.words) + scripts_of(each) * self.LENGTHS + np.minimum(letters, self.LENGTHS) - 1)
+        where = coded.indices.to_numpy(zero_copy_only=False)
+        return row[where], letters[where]
 
     def ids(self, words: pa.Array) -> np.ndarray:
-        n = len(self.words)
-        at = pc.index_in(words, value_set=pa.array(self.words, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        length = np.minimum(pc.utf8_length(words).to_numpy(zero_copy_only=False), self.LENGTHS)
-        return np.where(at >= 0, at, n + scripts_of(words) * self.LENGTHS + length - 1)
+        return self.encode(words)[0]
 
 
 def viterbi(ids: np.ndarray, scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Best states for sequences in columns (steps x sequences), padded with the last score row."""
+    """Best states for sequences in columns (steps x sequences), padded with the last score row.
+
+    Values are kept relative to the best state, so changing costs the same everywhere and
+    a step is four passes over states x sequences; from where a path came is worked out
+    on the way back, only where it changes.
+    """
     steps, n = ids.shape
-    stay = np.empty((steps, n, scores.shape[1]), dtype=bool)
-    came = np.empty((steps, n), dtype=np.int16)
-    best = np.zeros((n, scores.shape[1]), dtype=np.float32)
-    every = np.arange(n)
+    gain = np.take(np.ascontiguousarray(scores.T), ids, axis=1)
+    before = np.empty((steps, scores.shape[1], n), dtype=np.float32)
+    best = np.zeros((scores.shape[1], n), dtype=np.float32)
+    least = np.float32(-switch)
     for t in range(steps):
-        top = best.argmax(1)
-        change = (best[every, top] - switch)[:, None]
-        came[t] = top
-        np.greater_equal(best, change, out=stay[t])
-        np.maximum(best, change, out=best)
-        best += scores[ids[t]]
-        best -= best.max(1)[:, None]
+        before[t] = best
+        np.maximum(best, least, out=best)
+        best += gain[:, t]
+        best -= best.max(0)
     out = np.empty((steps, n), dtype=np.int16)
-    state = best.argmax(1)
+    state = best.argmax(0)
+    every = np.arange(n)
     for t in range(steps - 1, -1, -1):
         out[t] = state
-        state = np.where(stay[t, every, state], state, came[t])
+        moved = before[t, state, every] < least
+        if moved.any():
+            state[moved] = before[t][:, moved].argmax(0)
     return out
 
 
-def label_words(ids: np.ndarray, owner: np.ndarray, texts: int, model: Model, cells: int = 250_000) -> np.ndarray:
+def label_words(ids: np.ndarray, owner: np.ndarray, texts: int, model: Model, values: int = 8_000_000) -> np.ndarray:
     """State of every word; texts of like length go through the Viterbi pass side by side."""
     pad = len(model.scores) - 1
+    cells = values // model.scores.shape[1]
     length = np.bincount(owner, minlength=texts)
     first = np.concatenate([[0], np.cumsum(length)])
     out = np.empty(len(ids), dtype=np.int16)
@@ -221,9 +239,8 @@ def label_words(ids: np.ndarray, owner: np.ndarray, texts: int, model: Model, ce
 
 def spans(words: pa.Array, owner: np.ndarray, texts: int, model: Model, whole: bool) -> dict[str, np.ndarray]:
     """Segments of one language (``whole``: all segments of a text's language as one row)."""
-    ids = model.ids(words)
+    ids, letters = model.encode(words)
     state = label_words(ids, owner, texts, model)
-    letters = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     known = ids < len(model.words)
     right = known & (model.scores[ids, state] > 0)
     L = len(model.states)
@@ -246,7 +263,7 @@ def spans(words: pa.Array, owner: np.ndarray, texts: int, model: Model, whole: b
     }
 
 
-def _slices(batch: pa.RecordBatch, chars: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, chars: int = 12_000_000) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with bounded text, so that memory doesn't grow with it."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
     at = 0

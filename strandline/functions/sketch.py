@@ -47,12 +47,29 @@ def bins(df: DataFrame, group: list[str], value: str, weight_col: Column | None
     return d.groupBy(*group, "key").agg(F.sum("_w").alias("w"), F.sum(F.col("_v") * F.col("_w")).alias("sum"), F.min("_v").alias("min"), F.max("_v").alias("max"))
 
 
-def collapse(b: DataFrame, group: list[str], limit: int = BINS) -> DataFrame:
-    """At most ``limit`` bins a group: the lowest ones fold into the lowest that stays."""
-    rank = F.row_number().over(W.partitionBy(*group).orderBy(F.desc("key")))
-    floor = F.min(F.when(F.col("_r") <= limit, F.col("key"))).over(W.partitionBy(*group))
-    d = b.withColumn("_r", rank).withColumn("key", F.greatest("key", floor)).drop("_r")
-    return d.groupBy(*group, "key").agg(F.sum("w").alias("w"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
+def bin_map(entries: Column, limit: int = BINS) -> Column:
+    """Map of an array of (key, w), distinct keys; beyond ``limit`` bins the lowest fold into the lowest that stays.
+
+    There are at most 2 * TOP_KEY keys, so the array is bounded.
+    """
+    down = F.sort_array(entries, False)
+    rest = F.slice(down, limit, F.greatest(F.size(down) - limit + 1, F.lit(1)))
+    folded = F.struct(F.element_at(down, F.lit(limit))["key"].alias("key"), F.aggregate(rest, F.lit(0.0), lambda n, e: n + e["w"]).alias("w"))
+    return F.map_from_entries(F.when(F.size(down) <= limit, down).otherwise(F.concat(F.slice(down, 1, limit - 1), F.array(folded))))
+
+
+def map_quantiles(bins_map: Column, qs: list[float]) -> list[Column]:
+    """Per q the bin that holds rank rint(q * (weight - 1)) of a sketch's map."""
+    up = F.sort_array(F.map_entries(bins_map))
+    n = F.aggregate(up, F.lit(0.0), lambda a, e: a + e["value"])
+    start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("int").alias("k"))
+
+    def pick(q: float) -> Column:
+        def step(a: Column, e: Column) -> Column:
+            c = a["c"] + e["value"]
+            return F.struct(c.alias("c"), F.coalesce(a["k"], F.when(c > F.rint(F.lit(q) * (n - 1)), e["key"])).alias("k"))
+        return F.aggregate(up, start, step)["k"]
+    return [pick(q) for q in qs]
 
 
 def quantiles(b: DataFrame, group: list[str], qs: list[float]) -> DataFrame:

@@ -89,6 +89,37 @@ def kv_metrics(df: DataFrame, counters: list[dict] = (), gauges: list[dict] = ()
     return d.withColumn("metrics", F.when(F.size("metrics") > 0, F.concat("metrics", made)).otherwise(made)).select(df.columns)
 
 
+def kv_metric_rows(df: DataFrame, counters: list[dict] = (), gauges: list[dict] = (), distributions: list[dict] = ()) -> DataFrame:
+    """``explode_metrics(kv_metrics(df))`` of events without metrics of their own, in one step.
+
+    Only a row's number within its event is exploded and every column is a choice by it,
+    so no metric is built as a struct first, and columns that aren't used cost nothing.
+    """
+    specs = [(s, "sum") for s in counters] + [(s, "gauge") for s in gauges] + [(s, "samples") for s in distributions]
+    fields = list(dict.fromkeys(s["field"] for s, _ in specs if s.get("field")))
+    d = df.select("ts_ns", "_seq", *[c for c in ("_batch",) if c in df.columns], "attributes", "resource", "scope", *[V.numeric(attr(f)).alias(f"_x{i}") for i, f in enumerate(fields)])
+    d = d.select("*", F.explode(F.array(*[F.lit(i) for i in range(len(specs))])).alias("_pos"))  # apart: beside a generator the numbers would be made per row
+    number = {f: F.col(f"_x{i}") for i, f in enumerate(fields)}
+    whole = {f: V.kind(attr(f)).isin("i", "u") for f in fields}
+
+    def by(of) -> Column:  # noqa: ANN001
+        out = F.lit(None)
+        for i, (s, k) in reversed(list(enumerate(specs))):
+            v = of(s, k)
+            out = out if v is None else F.when(F.col("_pos") == i, v).otherwise(out)
+        return out
+    there = by(lambda s, k: number[s["field"]].isNotNull() if s.get("field") else F.lit(True))
+    typed = lambda s, k: None if k == "samples" else F.when(whole[s["field"]], V.kind(attr(s["field"]))).otherwise("f") if s.get("field") else F.lit("f")
+    made = {
+        "name": by(lambda s, k: F.lit(s["name"])), "unit": by(lambda s, k: F.lit(s["unit"]) if s.get("unit") else None), "kind": by(lambda s, k: F.lit(k)),
+        "value": by(lambda s, k: None if k == "samples" else number[s["field"]] if s.get("field") else F.lit(1.0)), "value_type": by(typed),
+        "value_i64": by(lambda s, k: F.when(whole[s["field"]], V.text(attr(s["field"])).try_cast("bigint")) if k != "samples" and s.get("field") else None),
+        "temporality": by(lambda s, k: F.lit("delta") if k == "sum" else None), "monotonic": by(lambda s, k: F.lit(True) if k == "sum" else None),
+        "samples": by(lambda s, k: F.array(number[s["field"]]) if k == "samples" else None), "sample_rate": by(lambda s, k: F.lit(1.0) if k == "samples" else None),
+    }
+    return d.where(there).select(*[c for c in d.columns if not c.startswith("_x")], *[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in METRIC])
+
+
 TRACEPARENT = r"^([0-9a-f]{2})-([0-9a-f]{32})-([0-9a-f]{16})-([0-9a-f]{2})(-.*)?$"
 
 

@@ -37,7 +37,10 @@ def query(sql: str | None) -> Callable:
 
 def attrs(**values: Column) -> Column:
     """Attribute map without the null ones."""
-    return F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    whole, some = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), F.lit(False)
+    for v in values.values():
+        some = some | v.isNull()
+    return F.when(some, F.map_filter(whole, lambda _, v: v.isNotNull())).otherwise(whole)
 
 
 def as_event(df: DataFrame, seq: Column, ts_ns: Column, attributes: Column | None = None, message: Column | None = None, severity: Column | None = None, metrics: list[Column] | None = None, resource: Column | None = None, extra: list[str] = ()) -> DataFrame:
@@ -56,17 +59,20 @@ def _ts(c: str = "ts") -> Column:
     return micros(c) * 1000
 
 
-def events(spark: SparkSession, d: str, shuffled: bool = False) -> DataFrame:
-    """The events table: a counter and a sample per event, attributes event_type and user_id, props as log body."""
+def events(spark: SparkSession, d: str, shuffled: bool = False, names: list[str] | None = None) -> DataFrame:
+    """The events table: counters, a sample, a gauge and a set member per event (or those named), attributes event_type and user_id, props as log body."""
     e = read(spark, d, "events")
     seq = F.pmod(F.col("event_id") * 7919, F.lit(100003)) if shuffled else F.col("event_id")
     ts = _ts() - F.pmod(_ts(), F.lit(MINUTE)) if shuffled else _ts()
     cents = F.round(F.col("value") * 100).cast("bigint")
+    metrics = {
+        "app.events": dict(kind="sum", value=1.0, value_i64=1, value_type="i", temporality="delta", monotonic=True), "app.value": dict(kind="samples", samples=F.array("value"), sample_rate=1.0),
+        "app.level": dict(kind="gauge", value=F.col("value"), value_type="f"), "app.users": dict(kind="set_members", members=F.array(F.col("user_id").cast("string"))),
+        "app.cents": dict(kind="sum", value=cents.cast("double"), value_i64=cents, value_type="i", temporality="delta", monotonic=True),
+    }
     return as_event(
         e, seq, ts, attrs(event_type=V.s(F.col("event_type")), user_id=V.tagged(F.col("user_id"), "i")), F.col("props"), F.when(F.col("event_type") == "error", "error").otherwise("info"),
-        [metric(name="app.events", kind="sum", value=1.0, value_i64=1, value_type="i", temporality="delta", monotonic=True), metric(name="app.value", kind="samples", samples=F.array("value"), sample_rate=1.0),
-         metric(name="app.level", kind="gauge", value=F.col("value"), value_type="f"), metric(name="app.users", kind="set_members", members=F.array(F.col("user_id").cast("string"))),
-         metric(name="app.cents", kind="sum", value=cents.cast("double"), value_i64=cents, value_type="i", temporality="delta", monotonic=True)],
+        [metric(name=n, **m) for n, m in metrics.items() if names is None or n in names],
     )
 
 
@@ -74,8 +80,7 @@ SHUFFLED = "(select *, (event_id*7919)%100003 seq, time_bucket(interval '1 minut
 
 
 def _metric_table(spark: SparkSession, d: str, names: list[str], keep: list[str], shuffled: bool = False) -> DataFrame:
-    m = A.explode_metrics(reshape.keep(events(spark, d, shuffled), keep))
-    return m.where(F.col("name").isin(names))
+    return A.explode_metrics(reshape.keep(events(spark, d, shuffled, names), keep))
 
 
 def _w(c: str = "window_ns") -> Column:
@@ -112,7 +117,7 @@ def aggregate_gauge_delta(spark: SparkSession, d: str) -> DataFrame:
     m = _metric_table(spark, d, ["app.level"], ["event_type"], True)
     step = F.col("_seq") % 3 != 0
     m = m.withColumn("kind", F.when(step, "gauge_delta").otherwise("gauge")).withColumn("value", F.when(step, F.round("value")).otherwise(F.col("value")))
-    out, _ = A.aggregate(m, HOUR, kinds={"gauge"})
+    out, _ = A.aggregate(m, HOUR, kinds={"gauge", "gauge_delta"})
     return out.select(_w(), _a("event_type"), F.round("value", 6).alias("level"))
 
 
@@ -124,23 +129,22 @@ r as (select *, sum(c) over (partition by period, event_type order by k) cum, su
 @query(f"with {_BINS} select period, event_type, cast(any_value(n) as double) n, " + ", ".join(f"min(k) filter (cum > round_even({q}*(n-1), 0)) k_{str(q).replace('.', '_')}" for q in QS) + " from r group by period, event_type")
 def aggregate_distribution_q(spark: SparkSession, d: str) -> DataFrame:
     """Bins of the quantiles of merged samples per hour and type."""
-    out, _ = A.aggregate(_metric_table(spark, d, ["app.value"], ["event_type"]), HOUR, kinds={"distribution"})
-    b = out.select("window_ns", "attributes", F.explode("bins").alias("key", "w")).withColumn("sum", F.lit(0.0)).withColumn("min", F.lit(0.0)).withColumn("max", F.lit(0.0))
-    q = sketch.quantiles(b.withColumn("event_type", V.text(F.col("attributes")["event_type"])), ["window_ns", "event_type"], QS)
-    return q.select(_w(), "event_type", F.col("count").alias("n"), *[F.col(f"k_{x:g}".replace(".", "_")).cast("bigint").alias(f"k_{x:g}".replace(".", "_")) for x in QS])
+    out, _ = A.aggregate(_metric_table(spark, d, ["app.value"], ["event_type"]), HOUR, kinds={"samples"})
+    ks = [f"k_{x:g}".replace(".", "_") for x in QS]
+    return out.select(_w(), _a("event_type"), F.col("d_count").alias("n"), *[k.cast("bigint").alias(n) for n, k in zip(ks, sketch.map_quantiles(F.col("bins"), QS), strict=True)])
 
 
 @query("select time_bucket(interval '1 hour', ts) period, event_type, count(*) n, round(sum(value), 6) total, min(value) low, max(value) high from events group by all")
 def aggregate_distribution_stats(spark: SparkSession, d: str) -> DataFrame:
     """Exact count, sum and extremes kept beside the bins."""
-    out, _ = A.aggregate(_metric_table(spark, d, ["app.value"], ["event_type"]), HOUR, kinds={"distribution"})
+    out, _ = A.aggregate(_metric_table(spark, d, ["app.value"], ["event_type"]), HOUR, kinds={"samples"})
     return out.select(_w(), _a("event_type"), F.col("d_count").cast("bigint").alias("n"), F.round("d_sum", 6).alias("total"), F.col("d_min").alias("low"), F.col("d_max").alias("high"))
 
 
 @query("select time_bucket(interval '1 day', ts) period, event_type, count(distinct user_id) users from events group by all")
 def aggregate_set_members(spark: SparkSession, d: str) -> DataFrame:
     """Distinct members per day, exact up to the cap."""
-    out, _ = A.aggregate(_metric_table(spark, d, ["app.users"], ["event_type"]), 24 * HOUR, kinds={"set"})
+    out, _ = A.aggregate(_metric_table(spark, d, ["app.users"], ["event_type"]), 24 * HOUR, kinds={"set_members"})
     return out.select(_w(), _a("event_type"), F.col("set_count").alias("users"))
 
 
@@ -416,8 +420,7 @@ def kv_metrics_derive(spark: SparkSession, d: str) -> DataFrame:
     """Counter, gauge and distribution derived from attributes; missing fields skip theirs."""
     li = read(spark, d, "lineitem")
     e = as_event(li, F.col("l_orderkey") * 10 + F.col("l_linenumber"), _ts("l_shipdate"), attrs(q=V.s(F.col("l_quantity")), p=V.float_value(F.col("l_extendedprice")), flag=V.s(F.col("l_returnflag"))))
-    e = reshape.kv_metrics(e, [{"name": "line.count"}], [{"name": "line.quantity", "field": "q"}, {"name": "none", "field": "flag"}], [{"name": "line.price", "field": "p"}])
-    m = A.explode_metrics(e)
+    m = reshape.kv_metric_rows(e, [{"name": "line.count"}], [{"name": "line.quantity", "field": "q"}, {"name": "none", "field": "flag"}], [{"name": "line.price", "field": "p"}])
     return m.select(F.expr("_seq div 10").alias("l_orderkey"), (F.col("_seq") % 10).cast("int").alias("l_linenumber"), "name", "kind", F.coalesce("value", F.col("samples")[0]).alias("v"))
 
 
@@ -560,7 +563,7 @@ def route_signals_split(spark: SparkSession, d: str) -> DataFrame:
 select event_type, 'app.value.count' "name", n::double v from a union all select event_type, 'app.value.sum', s from a union all select event_type, 'app.value.min', lo from a union all select event_type, 'app.value.max', hi from a""")
 def multi_value_expand(spark: SparkSession, d: str) -> DataFrame:
     """A distribution as one number per row."""
-    out, _ = A.aggregate(_metric_table(spark, d, ["app.value"], ["event_type"]), 10**18, kinds={"distribution"})
+    out, _ = A.aggregate(_metric_table(spark, d, ["app.value"], ["event_type"]), 10**18, kinds={"samples"})
     m = out.drop("buckets").withColumn("count", F.col("d_count")).withColumn("sum", F.round("d_sum", 6)).withColumn("min", F.col("d_min")).withColumn("max", F.col("d_max"))
     for c in ("buckets", "quantiles", "members"):
         m = m.withColumn(c, F.lit(None).cast(METRIC[c].dataType))

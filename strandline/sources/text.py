@@ -7,6 +7,8 @@ gives the metric table or events; lines that don't fit the grammar are left out,
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,42 +36,112 @@ def tag_map(tags: Column) -> Column:
     return F.when(F.size(keys) == F.size(t), plain).otherwise(V.from_pairs(named(keys), F.transform(keys, of)))
 
 
+_SERVICE = "|".join(SERVICE_KEYS)
+#: A key that stands in two tokens, an empty token, or a private key: the plain way doesn't cover these.
+_UNEVEN = rf"(?:^|,)([^:,]+)(?::[^,]*)?,(?:.*,)?\1(?:[:,]|$)|,,|^,|,$|(?:^|,){re.escape(PRIVATE)}"
+
+
+def with_tag_map(d: DataFrame, tags: Column, out: str) -> DataFrame:
+    """d with ``out``: ``tag_map`` of comma-separated text. Where each key stands once, built-in text functions suffice and no lambda runs.
+
+    Each step is a column of its own: as one expression the steps would multiply.
+    """
+    t, named = F.col("_tags"), F.col("_tags")
+    for k, name in SERVICE_KEYS.items():
+        named = F.regexp_replace(named, rf"(^|,){k}(?=[:,]|$)", f"$1{name}")
+    d = d.withColumn("_tags", F.coalesce(tags, F.lit("")))
+    d = d.withColumn("_named", F.when(t.rlike(rf"(?:^|,)(?:{_SERVICE})(?:[:,]|$)"), named).otherwise(t))
+    d = d.withColumn("_typed", F.regexp_replace("_named", r"(^|,)([^:,]*):", "$1$2:s"))
+    d = d.withColumn("_typed", F.when(t.rlike(r"(?:^|,)[^:,]+(?:,|$)"), F.regexp_replace("_typed", r"(^|,)([^:,]+)(?=,|$)", "$1$2:btrue")).otherwise(F.col("_typed")))
+    made = F.when(t == "", F.create_map().cast("map<string,string>")).when(t.rlike(_UNEVEN), tag_map(F.split(t, ","))).otherwise(F.str_to_map("_typed", F.lit(","), F.lit(":")))
+    return d.withColumn(out, made).drop("_tags", "_named", "_typed")
+
+
+def _segment(ext: Column, mark: str) -> Column:
+    """Text of the last ``|`` segment that starts with a mark, or null."""
+    return F.when(F.contains(ext, F.lit("|" + mark)), F.regexp_extract(ext, rf"^.*\|{re.escape(mark)}([^|]*)", 1))
+
+
+def _tags(ext: Column) -> Column:
+    """Tags of all ``|#`` segments as one text, or null."""
+    every = F.array_join(F.regexp_extract_all(ext, F.lit(r"\|#([^|]*)"), F.lit(1)), ",")
+    return F.when(ext.rlike(r"\|#.*\|#"), every).when(F.contains(ext, F.lit("|#")), F.regexp_extract(ext, r"\|#([^|]*)", 1))
+
+
+def _more(base: Column, values: dict[str, Column]) -> Column:
+    """base with the values that aren't null."""
+    extra = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    some = F.lit(False)
+    for v in values.values():
+        some = some | v.isNotNull()
+    return F.when(some, V.merge(base, extra)).otherwise(base)
+
+
 def statsd(lines: DataFrame) -> DataFrame:
-    """Metric rows of statsd lines with tags, container id and timestamp extensions.
+    """Metric rows of statsd lines with tags, container id, origin and timestamp extensions.
 
     Counters are extrapolated by their rate; signed gauges are adjustments; timings,
     histograms and distributions keep their raw values and rate; sets their members.
+    Events and service checks are logs: see ``statsd_logs``.
     """
-    d = lines.select("_seq", "ts_ns", F.split(F.rtrim("line"), r"\|").alias("_p"))
-    head, wire = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
-    colon = F.instr(head, ":")
-    d = d.where((colon > 1) & wire.isin("c", "g", "ms", "h", "d", "s"))
-    d = d.select("_seq", "ts_ns", F.substring_index(head, ":", 1).alias("name"), F.split(F.substr(head, colon + 1), ":").alias("vals"), wire.alias("t"), F.slice("_p", 3, 1_000_000).alias("ext"))
-    last = lambda p: F.element_at(F.filter("ext", lambda x: x.startswith(p)), -1)
-    has = lambda p: F.exists("ext", lambda x: x.startswith(p))
-    rate_text = F.when(has("@"), F.substr(last("@"), F.lit(2)))
-    d = d.withColumn("rate", F.when(rate_text.isNull(), 1.0).otherwise(V.parse_float(rate_text)))
-    d = d.where("rate > 0 and rate <= 1")
-    tags = F.split(F.array_join(F.transform(F.filter("ext", lambda x: x.startswith("#")), lambda x: F.substr(x, F.lit(2))), ","), ",")
-    attrs = tag_map(tags)
-    attrs = V.merge(attrs, F.map_filter(F.create_map(F.lit("container.id"), F.when(has("c:"), V.s(F.substr(last("c:"), F.lit(3))))), lambda _, v: v.isNotNull()))
-    attrs = V.merge(attrs, F.when(F.col("t").isin("ms", "h", "d"), F.create_map(F.lit(PRIVATE + "statsd.type"), V.s(F.col("t")))))
-    ts = F.when(has("T"), F.substr(last("T"), F.lit(2)))
-    d = d.withColumn("attributes", V.merge(attrs, F.when(ts.isNotNull(), F.create_map(F.lit(PRIVATE + "metrics.closed"), F.lit("stimestamped")))))
-    d = d.where(ts.isNull() | ts.rlike(r"^\+?\d{1,10}$")).withColumn("ts_ns", F.coalesce(ts.try_cast("bigint") * 1_000_000_000, F.col("ts_ns")))
-    d = d.withColumn("numbers", F.when(F.col("t") != "s", F.transform("vals", V.parse_float)))
-    d = d.where((F.col("t") == "s") | ~F.exists("numbers", lambda x: x.isNull()))
-    split = F.col("t").isin("c", "g")
-    d = d.withColumn("_each", F.explode_outer(F.when(split, F.sequence(F.lit(0), F.size("vals") - 1)).otherwise(F.array(F.lit(0)))))
-    one, raw = F.col("numbers")[F.col("_each")], F.col("vals")[F.col("_each")]
-    kind = F.when(F.col("t") == "c", "sum").when(F.col("t") == "g", F.when(raw.rlike("^[+-]"), "gauge_delta").otherwise("gauge")).when(F.col("t") == "s", "set_members").otherwise("samples")
+    d = lines.select("_seq", "ts_ns", F.rtrim("line").alias("_l"))
+    d = d.select("_seq", "ts_ns", (~F.col("_l").startswith("_e{") & ~F.col("_l").startswith("_sc|") & (F.instr("_l", ":") > 1)).alias("_ok"), F.substring_index("_l", ":", 1).alias("name"), F.substr("_l", F.instr("_l", ":") + 1).alias("_r"))
+    d = d.select("_seq", "ts_ns", "_ok", "name", F.substring_index("_r", "|", 1).alias("vals"), F.substr("_r", F.length(F.substring_index("_r", "|", 1)) + 2).alias("_r"))
+    d = d.select("_seq", "ts_ns", "_ok", "name", "vals", F.substring_index("_r", "|", 1).alias("t"), F.substr("_r", F.length(F.substring_index("_r", "|", 1)) + 1).alias("ext"))
+    ext, number = F.col("ext"), V.FLOAT[1:-1]
+    d = d.withColumns({"_rate": _segment(ext, "@"), "_ts": _segment(ext, "T"), "_c": _segment(ext, "c:"), "_e": _segment(ext, "e:"), "_k": _segment(ext, "card:")})
+    observed = F.col("t").isin("ms", "h", "d")
+    d = with_tag_map(d, _tags(ext), "_map")
+    attrs = _more(F.col("_map"), {
+        "container.id": V.s(F.col("_c")), PRIVATE + "origin.external": V.s(F.col("_e")), PRIVATE + "origin.cardinality": V.s(F.col("_k")),
+        PRIVATE + "statsd.type": F.when(observed, V.s(F.col("t"))), PRIVATE + "metrics.closed": F.when(F.col("_ts").isNotNull(), F.lit("stimestamped")),
+    })
+    d = d.withColumns({"attributes": attrs, "rate": F.when(F.col("_rate").isNull(), 1.0).otherwise(V.parse_float(F.col("_rate"))), "numbers": F.when(observed, F.split("vals", ":").try_cast("array<double>"))})
+    d = d.select("_seq", "ts_ns", "_ok", "_ts", "attributes", "name", "t", "rate", "vals", "numbers", F.posexplode_outer(F.when(F.col("t").isin("c", "g"), F.split("vals", ":")).otherwise(F.array(F.lit("")))).alias("_pos", "_raw"))
+    scalar, infinite = F.col("t").isin("c", "g"), float("inf")
+    one = F.when(scalar, F.col("_raw").try_cast("double"))
+    finite = F.when(scalar, F.abs(one) != infinite).when(F.col("t") == "s", True).otherwise(~F.array_contains("numbers", infinite) & ~F.array_contains("numbers", -infinite))
+    known = F.col("t").isin("c", "g", "ms", "h", "d", "s") & (F.col("rate") > 0) & (F.col("rate") <= 1) & (F.col("_ts").isNull() | F.col("_ts").rlike(r"^\+?\d{1,10}$")) & ((F.col("t") == "s") | F.col("vals").rlike(f"^{number}(:{number})*$"))
+    # one filter, tied to the generator's output: pushed down, each part would take the whole parse with it
+    d = d.where(F.when(F.col("_pos") >= 0, F.col("_ok") & known & finite))
+    kind = F.when(F.col("t") == "c", "sum").when(F.col("t") == "g", F.when(F.col("_raw").rlike("^[+-]"), "gauge_delta").otherwise("gauge")).when(F.col("t") == "s", "set_members").otherwise("samples")
     value = F.when(F.col("t") == "c", one / F.col("rate")).when(F.col("t") == "g", one)
     return d.select(
-        "_seq", F.col("_each").alias("_pos"), "ts_ns", "attributes", "name", kind.alias("kind"), value.alias("value"), F.when(F.col("t") == "c", "delta").alias("temporality"), F.when(F.col("t") == "c", F.lit(True)).alias("monotonic"),
-        F.when(kind == "samples", F.col("numbers")).alias("samples"), F.when(kind == "samples", F.col("rate")).alias("sample_rate"), F.when(kind == "set_members", F.col("vals")).alias("members"),
+        "_seq", "_pos", F.coalesce(F.col("_ts").try_cast("bigint") * 1_000_000_000, F.col("ts_ns")).alias("ts_ns"), "attributes", "name", kind.alias("kind"), value.alias("value"), F.when(F.col("t") == "c", "delta").alias("temporality"), F.when(F.col("t") == "c", F.lit(True)).alias("monotonic"),
+        F.col("numbers").alias("samples"), F.when(observed, F.col("rate")).alias("sample_rate"), F.when(F.col("t") == "s", F.split("vals", ":")).alias("members"),
     )
 
 
+def statsd_logs(lines: DataFrame) -> DataFrame:
+    """Logs of event (``_e{title bytes,text bytes}:title|text|..``) and service check (``_sc|name|status|..``) lines.
+
+    The lengths count bytes and must fit, on whole characters; a priority other than
+    normal or low, an alert type other than error, warning, success or info, a status
+    beyond 3, or a time that isn't whole seconds rejects the line.
+    """
+    d = lines.select("_seq", "ts_ns", F.rtrim("line").alias("_l"))
+    e = d.where(F.col("_l").rlike(r"^_e\{\d{1,9},\d{1,9}\}:"))
+    e = e.withColumns({"_n": F.regexp_extract("_l", r"^_e\{(\d+),", 1).cast("int"), "_m": F.regexp_extract("_l", r"^_e\{\d+,(\d+)\}", 1).cast("int"), "_b": F.encode(F.regexp_replace("_l", r"^_e\{\d+,\d+\}:", ""), "utf-8")})
+    text = lambda start, n: F.try_validate_utf8(F.substring(F.col("_b"), start, n).cast("string"))
+    e = e.withColumns({"title": text(F.lit(1), F.col("_n")), "_bar": text(F.col("_n") + 1, F.lit(1)), "text": text(F.col("_n") + 2, F.col("_m")), "ext": text(F.col("_n") + F.col("_m") + 2, F.lit(2_147_483_647))})
+    e = e.where((F.octet_length("_b") >= F.col("_n") + F.col("_m") + 1) & (F.col("_bar") == "|") & F.col("title").isNotNull() & F.col("text").isNotNull() & ((F.col("ext") == "") | F.col("ext").startswith("|")))
+    ext = F.col("ext")
+    prio, alert = _segment(ext, "p:"), _segment(ext, "t:")
+    severity = F.when(alert == "error", "error").when(alert == "warning", "warn").when(alert.isin("success", "info"), "info")
+    e = e.where((prio.isNull() | prio.isin("normal", "low")) & (alert.isNull() | severity.isNotNull()))
+    own = {f"statsd.event.{n}": V.s(_segment(ext, m)) for n, m in (("priority", "p:"), ("alert_type", "t:"), ("aggregation_key", "k:"), ("source_type", "s:"))}
+    e = e.select("_seq", "ts_ns", F.replace("text", F.lit("\\n"), F.lit("\n")).alias("message"), severity.alias("severity"), ext.alias("ext"), F.create_map(F.lit(PRIVATE + "statsd.event.title"), V.s(F.col("title"))).alias("_own"), _more(F.create_map().cast("map<string,string>"), {PRIVATE + k: v for k, v in own.items()}).alias("_rest"))
+    c = d.where(F.col("_l").rlike(r"^_sc\|[^|]+\|[0-3](\||$)"))
+    tail = F.regexp_replace("_l", r"^_sc\|[^|]+\|[0-3]", "")
+    named = F.create_map(F.lit(PRIVATE + "statsd.service_check.name"), V.s(F.regexp_extract("_l", r"^_sc\|([^|]+)", 1)), F.lit(PRIVATE + "statsd.service_check.status"), F.concat(F.lit("u"), F.regexp_extract("_l", r"^_sc\|[^|]+\|([0-3])", 1)))
+    c = c.select("_seq", "ts_ns", F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("severity"), tail.alias("ext"), named.alias("_own"), _more(F.create_map().cast("map<string,string>"), {PRIVATE + "statsd.service_check.message": V.s(_segment(tail, "m:"))}).alias("_rest"))
+    every = e.unionByName(c).withColumn("_ts", _segment(F.col("ext"), "d:"))
+    every = every.where(F.col("_ts").isNull() | F.col("_ts").rlike(r"^\+?\d{1,10}$"))
+    every = with_tag_map(every, _tags(F.col("ext")), "_map")
+    attrs = _more(V.merge(V.merge(F.col("_map"), F.col("_own")), F.col("_rest")), {"container.id": V.s(_segment(F.col("ext"), "c:")), "host.name": V.s(_segment(F.col("ext"), "h:")), PRIVATE + "metrics.closed": F.when(F.col("_ts").isNotNull(), F.lit("stimestamped"))})
+    return every.select("_seq", F.coalesce(F.col("_ts").try_cast("bigint") * 1_000_000_000, F.col("ts_ns")).alias("ts_ns"), attrs.alias("attributes"), "message", "severity")
+
+
 def to_statsd(m: DataFrame) -> DataFrame:
     """One line per metric row; names of wire types come back from the carrier attribute."""
     n = F.regexp_replace(F.col("value").cast("string"), r"\.0$", "")
@@ -77,8 +149,11 @@ def to_statsd(m: DataFrame) -> DataFrame:
     body = F.when(F.col("kind") == "sum", F.concat(n, F.lit("|c"))).when(F.col("kind") == "gauge", F.concat(n, F.lit("|g"))).when(F.col("kind") == "gauge_delta", F.concat(F.when(F.col("value") >= 0, "+").otherwise(""), n, F.lit("|g"))).when(
         F.col("kind") == "samples", F.concat(F.array_join(F.transform("samples", lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")), ":"), F.lit("|"), wire, F.when(F.col("sample_rate") < 1, F.concat(F.lit("|@"), F.col("sample_rate").cast("string"))).otherwise(""))
     ).when(F.col("kind") == "set_members", F.concat(F.array_join("members", ":"), F.lit("|s")))
-    tags = F.array_sort(F.transform(F.map_entries(F.map_filter("attributes", lambda k, v: ~k.startswith(PRIVATE) & V.kind(v).isin("s", "b", "i", "u", "f"))), lambda e: F.when(e["value"] == "btrue", e["key"]).otherwise(F.concat(e["key"], F.lit(":"), V.text(e["value"])))))
-    return m.where(body.isNotNull()).select("_seq", F.concat(F.col("name"), F.lit(":"), body, F.when(F.size(tags) > 0, F.concat(F.lit("|#"), F.array_join(tags, ","))).otherwise("")).alias("line"))
+    shown = F.map_filter("attributes", lambda k, v: ~k.startswith(PRIVATE) & V.kind(v).isin("s", "b", "i", "u", "f"))
+    tags = F.transform(F.sort_array(F.map_entries(shown)), lambda e: F.when(e["value"] == "btrue", e["key"]).otherwise(F.concat(e["key"], F.lit(":"), V.text(e["value"]))))
+    scalar = F.col("kind").isin("sum", "gauge", "gauge_delta") & F.col("value").isNotNull()
+    some = scalar | ((F.col("kind") == "samples") & F.col("samples").isNotNull()) | ((F.col("kind") == "set_members") & F.col("members").isNotNull())
+    return m.where(some).select("_seq", F.concat(F.col("name"), F.lit(":"), body, F.when(F.size("attributes") > 0, F.coalesce(F.concat(F.lit("|#"), F.nullif(F.array_join(tags, ","), F.lit(""))), F.lit(""))).otherwise("")).alias("line"))
 
 
 GRAPHITE = rf"^\s*([^\s;]+)((?:;[^=;\s]+=[^;\s]*)*)\s+({NUMBER})\s+(-?\d+(?:\.\d+)?)\s*$"

@@ -78,8 +78,11 @@ class TestValues:
         for p, c in [(0.05, "k_0_05"), (0.5, "k_0_5"), (0.99, "k_0_99")]:
             exact = s[round(p * (len(s) - 1))]
             assert abs(q[c] - exact) <= 0.0079 * abs(exact) + 1e-9
-        folded = sketch.collapse(b, ["g"], 50)
-        assert folded.count() == 50 and folded.agg(F.sum("w")).first()[0] == len(s)
+        whole = b.groupBy("g").agg(sketch.bin_map(F.collect_list(F.struct("key", "w")), 50).alias("few"), sketch.bin_map(F.collect_list(F.struct("key", "w"))).alias("all"), F.max("key").alias("top")).first()
+        assert len(whole.few) == 50 and sum(whole.few.values()) == len(s) == sum(whole["all"].values()) and whole.top in whole.few
+        keys = spark.createDataFrame([(whole["all"],)], "b map<int,double>").select(*sketch.map_quantiles(F.col("b"), [0.05, 0.5, 0.99])).first()
+        plain = sketch.quantiles(b, ["g"], [0.05, 0.5, 0.99]).first()
+        assert tuple(keys) == (plain.k_0_05, plain.k_0_5, plain.k_0_99)
 
 
 class TestParsers:
@@ -286,9 +289,59 @@ class TestAggregate:
         m = [Row(**{f.name: {"name": "m", "kind": "set_members", "members": [str(i % 7), "x"]}.get(f.name) for f in METRIC}) for i in range(20)]
         df = aggregate.explode_metrics(events(spark, *[event(i, metrics=[x]) for i, x in enumerate(m)]))
         assert aggregate.aggregate(df, 10**18, cap=8)[0].first().members == sorted([*"0123456", "x"])
-        assert aggregate.aggregate(df, 10**18, cap=7)[0].first().members is None
+        large = aggregate.aggregate(df, 10**18, cap=7)[0]
+        assert large.first().members is None and large.first().set_count == 8
+        assert round(large.selectExpr("hll_sketch_estimate(set_sketch)").first()[0]) == 8
         assert round(aggregate.aggregate(df, 10**18, sets="estimate")[0].first().set_count) == 8
 
+    def metrics(self, spark, *rows):
+        """Events of (seq, ts, {field: value}) with one metric each."""
+        return events(spark, *[event(i, ts=t, metrics=[Row(**{f.name: {"name": "m", **v}.get(f.name) for f in METRIC})]) for i, t, v in rows])
+
+    def test_raw_samples(self, spark):
+        s = lambda v, rate=1.0: dict(kind="samples", samples=v, sample_rate=rate)
+        few = self.metrics(spark, (2, 1, s([3.0])), (1, 2, s([1.0, 2.0])))
+        get = lambda df, **k: aggregate.aggregate(aggregate.explode_metrics(df), 10**9, distributions="samples", **k)[0].first()
+        assert get(few).samples == [1.0, 2.0, 3.0] and get(few).bins is None and get(few).d_count == 3
+        assert get(few, cap=2).samples is None and sum(get(few, cap=2).bins.values()) == 3
+        mixed = get(self.metrics(spark, (1, 1, s([1.0])), (2, 2, s([2.0], 0.5))))
+        assert mixed.samples is None and sum(mixed.bins.values()) == 3
+        ready = get(self.metrics(spark, (1, 1, s([1.0])), (2, 2, dict(kind="distribution", bins={5: 2.0}))))
+        assert ready.samples is None and sum(ready.bins.values()) == 3
+
+    def test_cumulative_histograms(self, spark):
+        h = lambda b, t, total=1.0: (t, t * 10, dict(kind="histogram", temporality="delta", buckets=b, count=1, sum=total, min=1.0, max=2.0))
+        b = lambda *c: [Row(bound=float(i), count=x) for i, x in enumerate(c)]
+        df = self.metrics(spark, h(b(1, 2), 1), h(b(0, 1), 2), h(b(5, 5, 5), 3), h(b(1, 0, 0), 4, None))
+        out, _ = aggregate.aggregate(aggregate.explode_metrics(df), 10, temporality="cumulative")
+        got = [([x["count"] for x in r.buckets], r.h_sum, r.start_ns) for r in aggregate.cumulate_histograms(out).orderBy("window_ns").collect()]
+        assert got == [([1, 2], 1.0, 10), ([1, 3], 2.0, 10), ([5, 5, 5], 1.0, 30), ([6, 5, 5], None, 30)]
+
+    def test_events_in_events_out(self, spark):
+        """Mixed events give their log on, passed metrics stay, and nothing is lost."""
+        m = lambda **k: Row(**{f.name: {"name": "m", **k}.get(f.name) for f in METRIC})
+        rows = [event(i, ts=i, message=f"l{i}" if i % 2 else None, metrics=[m(kind="sum", value=2.0, value_type="f", temporality="delta"), m(kind="summary", count=1)]) for i in range(1, 7)]
+        out = aggregate.aggregate_events(events(spark, *rows), 1000).collect()
+        assert sorted(r.log.message for r in out if r.log) == ["l1", "l3", "l5"] and all(not r.metrics for r in out if r.log)
+        made = [x for r in out for x in r.metrics or []]
+        assert sorted((x.kind, x.value) for x in made if x.kind == "sum") == [("sum", 12.0)] and sum(x.kind == "summary" for x in made) == 6
+        assert {r.ts_ns for r in out for x in r.metrics or [] if x.kind == "sum"} == {1000}
+
+    def test_links_are_the_first_eight(self, spark):
+        df = spark.range(40).select(
+            F.lit(5).cast("bigint").alias("ts_ns"), F.col("id").alias("_seq"), *[F.create_map().cast("map<string,string>").alias(c) for c in ("attributes", "resource", "scope")],
+            *[{"name": F.lit("m"), "kind": F.lit("sum"), "value": F.lit(1.0), "temporality": F.lit("delta")}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in METRIC],
+            F.struct((F.col("id") % 11).cast("string").alias("trace_id"), F.lit("s").alias("span_id")).alias("link"))
+        r = aggregate.aggregate(df, 10)[0].first()
+        assert [x.trace_id for x in r.links] == [str(i) for i in range(8)] and r.value == 40.0
+
+    def test_ranks_in_parts(self, spark):
+        df = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 3001).alias("o"))
+        r1, flag = aggregate.beyond(["g"], ["o"], 100, ["o"], salts=8)
+        kept = df.withColumn("r", r1).withColumn("x", flag(F.col("r"))).where("not x")
+        want = df.groupBy("g").agg(F.sort_array(F.collect_list("o")).alias("l")).collect()
+        assert {(r.g, r.o) for r in kept.collect()} == {(w.g, o) for w in want for o in w.l[:100]}
+
     def test_overflow_keeps_host(self, spark):
         assert one(spark, aggregate.overflow_key(F.create_map(F.lit("a"), F.lit("s1"), F.lit("host.name"), F.lit("sh")))) == {"host.name": "sh", "sl.overflow": "btrue"}
 

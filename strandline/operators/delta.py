@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.schema import PRIVATE
+
 
 def cumulative_to_delta(points: DataFrame, series: list[str], value: str = "value", ts: str = "ts_ns", seq: str = "_seq", start: str | None = None, initial: str = "auto", non_monotonic: str = "reset_on_decrease", max_staleness_ns: int | None = None) -> DataFrame:
     """points with ``delta``, ``delta_start`` (the previous point's time) and ``rule``.
@@ -57,21 +59,109 @@ def histogram_to_delta(points: DataFrame, series: list[str], ts: str = "ts_ns",
     return out.withColumn("delta_sum", F.when(F.col("rule") == "reset", F.col("sum")).when(F.col("rule") == "difference", F.col("sum") - F.col("_ps"))).withColumn("delta_start", F.col("_pm")).drop("_pb", "_ps", "_pm")
 
 
-def dedup_timestamps(m: DataFrame, precision_ns: int, series: list[str], batch: str = "_batch") -> DataFrame:
-    """One row per batch, series, kind and time bucket: the metric table with ``merged`` counts.
+OBSERVED = ("samples", "distribution", "set_members", "set")
+RATE, RATE_SPAN = PRIVATE + "metrics.type", PRIVATE + "metrics.interval"
+DEDUP_KINDS = frozenset({"sum", "gauge", "gauge_delta", "samples", "distribution", "set_members", "set", "histogram", "summary", "rate"})
+
+
+def dedup_timestamps(m: DataFrame, precision_ns: int, series: list[str] | None = None, batch: str = "_batch", kinds: set[str] | None = None) -> DataFrame:
+    """The metric table with one row per batch, series, kind and time bucket, and what can't merge: ``merged`` counts, ``reason``.
+
+    A bucket's survivor is its latest row that can merge, the later in arrival on a tie.
+    Gauges and cumulative kinds are superseded by it. Delta sums and histograms, and
+    gauges flagged as rates of one interval, add; samples concatenate in arrival order,
+    members unite, bins add. A survivor keeps its flags, its description or else the
+    first there is, and the earliest start that isn't 0. Histogram sums are lost once a
+    part lacks one; extremes are those of the parts.
 
-    Gauges and cumulative values: the latest time wins, then the later arrival. Deltas
-    add: the survivor has the latest row's time and the sum. Observations concatenate.
-    Rows of different value type don't merge with the survivor's and pass unchanged.
-    Hot groups are combined map-side.
+    A row passes through unchanged, with ``reason``, beside others of its bucket: gauge
+    steps, delta summaries and sums of booleans (``no_merge_rule``), flagged deltas and
+    observations (``no_recorded_value``), deltas that aren't finite (``non_finite``), other
+    value types (``mixed_type``), bounds or sample rates (``layout_mismatch``), rates of
+    another interval or beside gauges (``no_merge_rule``); where a whole sum leaves its
+    type, all but the survivor (``overflow``). If no row of a bucket can merge, all but
+    the first are counted so. A row alone in its bucket has no reason.
+
+    Null payloads add nothing; null series columns are values; null times have a bucket
+    of their own. ``kinds`` names the kinds there are (``rate`` for rates), to plan no
+    more. Hot series combine map-side, except for payloads that are lists by nature.
     """
-    bucket = F.expr(f"(ts_ns - pmod(ts_ns, {precision_ns})) div {precision_ns}")
-    d = m.withColumn("_bucket", bucket)
-    keys = [batch, *series, "kind", "temporality", "monotonic", "value_type", "_bucket"]
-    at = F.struct("ts_ns", "_seq")
-    adds = (F.col("kind") == "sum") & (F.col("temporality") == "delta")
-    out = d.groupBy(*keys).agg(
-        F.max(at).alias("_at"), F.max_by("value", at).alias("_last"), F.sum("value").alias("_sum"), F.count("*").alias("merged"), F.min(F.nullif("start_ns", F.lit(0))).alias("start_ns"),
-        F.max_by("description", at).alias("description"),
+    kinds = set(kinds or DEDUP_KINDS)
+    d = m.withColumn("_bucket", F.expr(f"(ts_ns - pmod(ts_ns, {precision_ns})) div {precision_ns}"))
+    series = series or ["name", "unit", "attributes", "resource", "scope"]
+    types = dict(m.dtypes)
+    none = F.create_map().cast("map<string,string>")
+    parts = [F.sort_array(F.map_entries(F.coalesce(c, none))).alias(c) if types[c].startswith("map") else F.col(c) for c in series]
+    kind, value = F.col("kind"), F.col("value")
+    delta = F.coalesce("temporality", F.lit("delta")) == "delta"
+    rate = (kind == "gauge") & F.coalesce(F.col("attributes")[RATE] == "srate", F.lit(False)) if "rate" in kinds else F.lit(False)
+    adds = rate | (kind.isin("sum", "histogram") & delta)
+    latest_wins = ((kind == "gauge") & ~rate) | (kind.isin("sum", "histogram", "summary") & ~delta)
+    number = F.isnan(value) | (F.abs(value) == float("inf")) | value.isNull()
+    total = F.isnan("sum") | (F.abs(F.col("sum")) == float("inf"))
+    reason = (
+        F.when(latest_wins, None).when((kind == "gauge_delta") | ((kind == "summary") & delta) | ~kind.isin("sum", "gauge", "histogram", *OBSERVED), "no_merge_rule")
+        .when(F.coalesce("flags", F.lit(0)).bitwiseAND(F.lit(1)) == 1, "no_recorded_value")
+        .when(kind.isin("sum", "gauge") & (F.col("value_type") == "b"), "no_merge_rule").when(kind.isin("sum", "gauge") & number, "non_finite").when((kind == "histogram") & total, "non_finite")
+    )
+    # what must equal the survivor's: the type of a sum, the bounds, the rate of sampling, the span of a rate
+    like = F.struct(
+        F.when(kind.isin("sum", "gauge") & adds, F.col("value_type")).alias("type"), (F.when((kind == "histogram") & delta, F.transform("buckets", lambda b: b["bound"])) if "histogram" in kinds else F.lit(None).cast("array<double>")).alias("bounds"),
+        F.when(kind == "samples", F.coalesce("sample_rate", F.lit(1.0))).alias("rate"), (F.when(rate, F.coalesce(F.col("attributes")[RATE_SPAN], F.lit(""))) if "rate" in kinds else F.lit(None).cast("string")).alias("span"),
+    )
+    d = d.withColumns({"_key": F.struct(batch, *parts, "kind", "temporality", "monotonic", "_bucket"), "_reason": reason, "_like": like, "_adds": adds})
+    ok = d.where("_reason is null")
+    order = F.coalesce("ts_ns", F.lit(0)).cast("decimal(19,0)") * F.lit(str(2**63)).cast("decimal(19,0)") + F.coalesce("_seq", F.lit(0))
+    ok = ok.withColumn("_at", order)
+    by_kind = []
+    listed = kinds & {"samples", "set_members", "set"}
+    if listed:
+        by_kind += [F.sort_array(F.collect_list(F.when(F.col("samples").isNotNull(), F.struct("_at", "samples"))))["samples"].alias("_samples"), F.sort_array(F.collect_list(F.when(F.col("members").isNotNull(), F.struct("_at", "members"))))["members"].alias("_members")]
+    whole = F.bool_and(F.col("sum").isNotNull())
+    row = F.max_by(F.struct(*m.columns, "_adds"), "_at").alias("_row")
+    if kinds <= {"gauge"}:  # nothing adds and nothing differs: the latest row of each bucket
+        last = ok.groupBy("_key").agg(row, F.count("*").alias("merged"), F.min(F.nullif("start_ns", F.lit(0))).alias("_start"), F.min_by("description", F.when(F.col("description").isNotNull(), F.col("_at"))).alias("_description"))
+        given = {"start_ns": F.col("_start"), "description": F.coalesce("_row.description", "_description")}
+        return last.select(*[given.get(c, F.col(f"_row.{c}")).alias(c) for c in m.columns], "merged", F.lit(None).cast("string").alias("reason"))
+    part = ok.groupBy("_key", "_like").agg(
+        row, F.max("_at").alias("_at"), F.count("*").alias("merged"), F.sum("value").alias("_f"), F.try_sum("value_i64").alias("_i"), F.count("value_i64").alias("_ints"), F.min(F.nullif("start_ns", F.lit(0))).alias("_start"),
+        F.when(whole, F.sum("sum")).alias("_sum"), F.min("min").alias("_min"), F.max("max").alias("_max"), F.sum("count").alias("_count"), F.min_by("description", F.when(F.col("description").isNotNull(), F.col("_at"))).alias("_description"), *by_kind,
     )
-    return out.withColumn("value", F.when(adds, F.col("_sum")).otherwise(F.col("_last"))).withColumn("ts_ns", F.col("_at.ts_ns")).withColumn("_seq", F.col("_at._seq")).drop("_at", "_last", "_sum", "_bucket")
+    part = part.withColumn("_own", F.row_number().over(W.partitionBy("_key").orderBy(F.desc("_at"), "_like")) == 1)
+    won = part.where("_own").drop("_own")
+    out = won.select("*", "_row.*").drop("_row")
+    for k, payload in (("histogram", "buckets"), ("distribution", "bins")):
+        if k in kinds:
+            of = ok.where((F.col("kind") == k) & (F.col("_adds") | F.lit(k == "distribution")))
+            if payload == "buckets":
+                sums = of.select("_key", "_like", F.posexplode(payload).alias("_i", "_b")).groupBy("_key", "_like", "_i").agg(F.max("_b.bound").alias("bound"), F.sum("_b.count").alias("count"))
+                made = F.transform(F.sort_array(F.collect_list(F.struct("_i", "bound", "count"))), lambda x: F.struct(x["bound"].alias("bound"), x["count"].alias("count")))
+            else:
+                sums = of.select("_key", "_like", F.explode(payload).alias("k", "w")).groupBy("_key", "_like", "k").agg(F.sum("w").alias("w"))
+                made = F.map_from_entries(F.collect_list(F.struct("k", "w")))
+            out = out.join(sums.groupBy("_key", "_like").agg(made.alias(f"_{payload}")), ["_key", "_like"], "left")
+    a, ints = F.col("_adds"), F.col("value_type").isin("i", "u") & (F.col("_ints") == F.col("merged"))
+    over = a & F.col("kind").isin("sum", "gauge") & F.when(ints, F.col("_i").isNull()).otherwise(F.isnan("_f") | (F.abs(F.col("_f")) == float("inf")))
+    out = out.withColumn("_over", F.coalesce(over, F.lit(False)) & (F.col("merged") > 1))
+    add = a & ~F.col("_over")
+    parted = (F.col("kind") == "histogram") & add | (F.col("kind") == "distribution")
+    new = {
+        "value": F.when(add & F.col("kind").isin("sum", "gauge"), F.when(ints, F.col("_i").cast("double")).otherwise(F.col("_f"))).otherwise(F.col("value")), "value_i64": F.when(add & ints, F.col("_i")).otherwise(F.col("value_i64")),
+        "start_ns": F.col("_start"), "description": F.coalesce("description", "_description"), "merged": F.when(F.col("_over"), F.lit(1).cast("bigint")).otherwise(F.col("merged")), "reason": F.lit(None).cast("string"),
+        **{c: F.when(parted, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("sum", "min", "max", "count")},
+    }
+    if listed:
+        new |= {"samples": F.when(F.col("kind") == "samples", F.flatten("_samples")).otherwise(F.col("samples")), "members": F.when(F.col("kind").isin("set_members", "set"), F.array_distinct(F.flatten("_members"))).otherwise(F.col("members"))}
+    new |= {c: F.coalesce(f"_{c}", c) for k, c in (("histogram", "buckets"), ("distribution", "bins")) if k in kinds}
+    columns = [*m.columns, "merged", "reason"]
+    kept = out.withColumns(new).select(columns)
+    # rows unlike the survivor, and those of a sum that overflows
+    unlike = F.when(F.col("kind") == "gauge", "no_merge_rule").when(F.col("kind").isin("histogram", "samples"), "layout_mismatch").otherwise("mixed_type")
+    other = ok.join(part.where("not _own").select("_key", "_like"), ["_key", "_like"], "left_semi").withColumn("reason", unlike)
+    spilled = ok.join(out.where("_over").select("_key", "_like", F.col("_at").alias("_top")), ["_key", "_like"]).where("_at <> _top").withColumn("reason", F.lit("overflow"))
+    alone = d.where("_reason is not null")
+    per = d.groupBy("_key").agg(F.count("_reason").alias("_alone"), F.count("*").alias("_rows"), F.min("_seq").alias("_first"))
+    alone = alone.join(per.where("_alone > 0"), "_key").withColumn("reason", F.when((F.col("_rows") > F.col("_alone")) | (F.col("_seq") != F.col("_first")), F.col("_reason")))
+    for p in (other, spilled, alone):
+        kept = kept.unionByName(p.withColumn("merged", F.lit(1).cast("bigint")).select(columns))
+    return kept

@@ -279,17 +279,60 @@ def dedup_timestamps_lww(spark: SparkSession, d: str) -> DataFrame:
     """One gauge per series and minute."""
     m = _metric_table(spark, d, ["app.level"], ["user_id"])
     m = m.withColumn("_seq", F.pmod(F.col("_seq") * 7919, F.lit(100003)))
-    out = delta.dedup_timestamps(m, MINUTE, ["name", "unit", "attributes"])
+    out = delta.dedup_timestamps(m, MINUTE, kinds={"gauge"})
     return out.select(V.text(F.col("attributes")["user_id"]).cast("bigint").alias("user_id"), F.timestamp_seconds(F.expr(f"(ts_ns - pmod(ts_ns, {MINUTE})) div 1000000000")).cast("timestamp_ntz").alias("tm"), F.col("value").alias("v"), "merged")
 
 
 @query(f"select event_type, tm, cast(sum(cast(round(value*100) as bigint)) as double) v, count(*) merged from {SHUFFLED} group by all")
 def dedup_timestamps_delta(spark: SparkSession, d: str) -> DataFrame:
     """Deltas of a series and minute add."""
-    out = delta.dedup_timestamps(_metric_table(spark, d, ["app.cents"], ["event_type"]), MINUTE, ["name", "unit", "attributes"])
+    out = delta.dedup_timestamps(_metric_table(spark, d, ["app.cents"], ["event_type"]), MINUTE, kinds={"sum"})
     return out.select(_a("event_type"), F.timestamp_seconds(F.expr(f"(ts_ns - pmod(ts_ns, {MINUTE})) div 1000000000")).cast("timestamp_ntz").alias("tm"), F.col("value").alias("v"), "merged")
 
 
+def _minute() -> Column:
+    return F.timestamp_seconds(F.expr(f"(ts_ns - pmod(ts_ns, {MINUTE})) div 1000000000")).cast("timestamp_ntz").alias("tm")
+
+
+@query(f"select event_type, tm, count(*) n, arg_min(value, (ts, seq)) first_v, arg_max(value, (ts, seq)) last_v, count(*) merged from {SHUFFLED} group by all")
+def dedup_timestamps_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Raw samples of a series and minute concatenate in order."""
+    m = _metric_table(spark, d, ["app.value"], ["event_type"]).withColumn("_seq", F.pmod(F.col("_seq") * 7919, F.lit(100003)))
+    out = delta.dedup_timestamps(m, MINUTE, kinds={"samples"})
+    return out.select(_a("event_type"), _minute(), F.size("samples").cast("bigint").alias("n"), F.col("samples")[0].alias("first_v"), F.element_at("samples", -1).alias("last_v"), "merged")
+
+
+@query("select event_type, time_bucket(interval '1 hour', ts) tm, array_to_string(list_sort(list(distinct cast(user_id as varchar))), ' ') members, count(*) merged from events group by all")
+def dedup_timestamps_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Members of a series and hour unite."""
+    out = delta.dedup_timestamps(_metric_table(spark, d, ["app.users"], ["event_type"]), HOUR, kinds={"set_members"})
+    return out.select(_a("event_type"), _w(f"(ts_ns - pmod(ts_ns, {HOUR}))").alias("tm"), F.array_join(F.array_sort("members"), " ").alias("members"), "merged")
+
+
+@query("""select l_returnflag flag, l_shipdate::timestamp tm, count(*) filter (l_extendedprice <= 1000) b0, count(*) filter (l_extendedprice > 1000 and l_extendedprice <= 10000) b1, count(*) filter (l_extendedprice > 10000 and l_extendedprice <= 30000) b2,
+ count(*) filter (l_extendedprice > 30000 and l_extendedprice <= 60000) b3, count(*) filter (l_extendedprice > 60000) b4, round(sum(l_extendedprice), 2) total, min(l_extendedprice) low, max(l_extendedprice) high, count(*) n from lineitem group by all""")
+def dedup_timestamps_histograms(spark: SparkSession, d: str) -> DataFrame:
+    """Delta histograms of equal bounds at one time add, bucket by bucket."""
+    out = delta.dedup_timestamps(_histograms(spark, d), 1_000_000_000, kinds={"histogram"})
+    at = F.timestamp_seconds(F.expr("ts_ns div 1000000000")).cast("timestamp_ntz")
+    return out.select(_a("flag"), at.alias("tm"), *[F.col("buckets")[i]["count"].alias(f"b{i}") for i in range(5)], F.round("sum", 2).alias("total"), F.col("min").alias("low"), F.col("max").alias("high"), F.col("count").alias("n"))
+
+
+@query(f"""with k as (select *, seq % 5 = 0 flagged, seq % 3 = 1 broken, seq % 2 = 0 as whole, time_bucket(interval '1 hour', tm) b from {SHUFFLED}),
+r as (select *, case when flagged then 'no_recorded_value' when broken then 'non_finite' end own from k),
+t as (select *, last_value(case when own is null then whole end ignore nulls) over w top, count(*) filter (own is null) over (partition by event_type, b) able, count(*) over (partition by event_type, b) every, min(seq) over (partition by event_type, b) fst
+ from r window w as (partition by event_type, b order by case when own is null then 1 else 0 end, ts, seq rows between unbounded preceding and unbounded following)),
+f as (select coalesce(case when own is not null then case when able > 0 or seq <> fst then own else 'alone' end end, case when whole <> top then 'mixed_type' end, 'absorbed') fate from t) select fate, count(*) n from f group by 1""")
+def dedup_timestamps_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of two value types, flagged and non-finite ones: what merges and what passes through, by reason."""
+    m = _metric_table(spark, d, ["app.cents"], ["event_type"]).withColumn("_seq", F.pmod(F.col("_seq") * 7919, F.lit(100003)))
+    k = F.col("_seq")
+    m = m.withColumns({"flags": F.when(k % 5 == 0, 1).otherwise(0), "value": F.when(k % 3 == 1, float("nan")).otherwise(F.col("value")), "value_type": F.when(k % 2 == 0, "i").otherwise("f"), "value_i64": F.when(k % 2 == 0, F.col("value_i64"))})
+    out = delta.dedup_timestamps(m, HOUR, kinds={"sum"})
+    fate = F.when(F.col("reason").isNotNull(), F.col("reason")).when((F.col("flags") == 1) | F.isnan("value"), "alone").otherwise("absorbed")
+    return out.groupBy(fate.alias("fate")).agg(F.sum("merged").alias("n"))
+
+
 # -- parsers ------------------------------------------------------------------------------------
 
 

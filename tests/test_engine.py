@@ -363,6 +363,37 @@ class TestDelta:
         assert got == {1: ("first", None, None), 2: ("difference", [1, 3], 6.0), 3: ("reset", [0, 1], 1.0), 4: ("layout", None, None)}
 
 
+class TestDedup:
+    def run(self, spark, *rows, **k):
+        """rows: (seq, ts, {field: value}, attributes)."""
+        m = lambda v: Row(**{f.name: {"name": "m", **v}.get(f.name) for f in METRIC})
+        df = aggregate.explode_metrics(events(spark, *[event(i, ts=t, attributes=a, metrics=[m(v)]) for i, t, v, a in rows]))
+        return sorted(delta.dedup_timestamps(df, 100, **k).collect(), key=lambda r: (r.reason is not None, r._seq))
+
+    def test_survivor_keeps_and_takes(self, spark):
+        g = lambda v, **k: dict(kind="gauge", value=v, value_type="f", **k)
+        got = self.run(spark, (1, 10, g(1.0, start_ns=7, description="d"), {}), (2, 90, g(2.0, flags=1, start_ns=0), {}), (3, 50, g(3.0, start_ns=3), {}), (4, 150, g(4.0), {}), (5, 90, g(5.0), {"a": "s1"}))
+        assert [(r._seq, r.value, r.flags, r.start_ns, r.description, r.merged) for r in got] == [(2, 2.0, 1, 3, "d", 3), (4, 4.0, None, None, None, 1), (5, 5.0, None, None, None, 1)]
+
+    def test_reasons(self, spark):
+        s = lambda v, i=None, t="i": dict(kind="sum", temporality="delta", value=v, value_i64=i, value_type=t)
+        got = self.run(spark, (1, 1, s(1.0, 1), {}), (2, 2, s(2.0, t="f"), {}), (3, 3, s(3.0, 3), {}))
+        assert [(r._seq, r.value, r.value_i64, r.merged, r.reason) for r in got] == [(3, 4.0, 4, 2, None), (2, 2.0, None, 1, "mixed_type")]
+        big = 2**62
+        over = self.run(spark, (1, 1, s(float(big), big), {}), (2, 2, s(float(big), big), {}))
+        assert [(r._seq, r.value_i64, r.reason) for r in over] == [(2, big, None), (1, big, "overflow")]
+        steps = self.run(spark, *[(i, i, dict(kind="gauge_delta", value=1.0), {}) for i in (1, 2, 3)])
+        assert [(r._seq, r.reason) for r in steps] == [(1, None), (2, "no_merge_rule"), (3, "no_merge_rule")]
+        rate = lambda v, n: (dict(kind="gauge", value=v, value_type="f"), {PRIVATE + "metrics.type": "srate", PRIVATE + "metrics.interval": n})
+        rates = self.run(spark, *[(i, i, *rate(float(i), n)) for i, n in ((1, "u10"), (2, "u10"))])
+        assert [(r.value, r.merged) for r in rates] == [(3.0, 2)]
+        sampled = self.run(spark, (1, 1, dict(kind="samples", samples=[1.0], sample_rate=1.0), {}), (2, 2, dict(kind="samples", samples=[2.0, 3.0], sample_rate=0.5), {}), (3, 3, dict(kind="samples", samples=[4.0], sample_rate=0.5), {}))
+        assert [(r.samples, r.reason) for r in sampled] == [([2.0, 3.0, 4.0], None), ([1.0], "layout_mismatch")]
+        sketches = self.run(spark, (1, 1, dict(kind="distribution", bins={1: 1.0, 2: 1.0}, count=2, sum=3.0, min=1.0, max=2.0), {}), (2, 2, dict(kind="distribution", bins={2: 2.0}, count=2, sum=4.0, min=2.0, max=2.0), {}))
+        assert [(r.bins, r["count"], r["sum"], r["min"], r["max"]) for r in sketches] == [({1: 1.0, 2: 3.0}, 4, 7.0, 1.0, 2.0)]
+        assert self.run(spark) == []
+
+
 class TestCodecs:
     def lines(self, spark, *ls):
         return spark.createDataFrame([(i, 99, x) for i, x in enumerate(ls)], "_seq bigint, ts_ns bigint, line string")

@@ -157,6 +157,31 @@ def influx_value(v: Column) -> Column:
     )
 
 
+def line_protocol_events(df: DataFrame, precision: str = "ns", keep_source: bool = False) -> DataFrame:
+    """Events to events: one per point, with a gauge ``measurement.field`` per number or boolean and text fields as attributes.
+
+    A point has its parent's resource and scope, its tags over the parent's attributes,
+    and no log. Parents stay with ``keep_source``, and without their log where they have
+    metrics or a span; events without any point pass unchanged.
+    """
+    from strandline.schema import FIELD, METRIC
+
+    p = line_protocol(df, precision).withColumn("_text", F.col("value").startswith("s"))
+    number = F.when(F.col("value") == "btrue", 1.0).when(F.col("value") == "bfalse", 0.0).otherwise(V.text(F.col("value")).try_cast("double"))
+    made = {"name": F.concat_ws(".", "measurement", "field"), "kind": F.lit("gauge"), "value": number, "value_i64": F.when(F.col("value").startswith("i"), V.text(F.col("value")).try_cast("bigint")), "value_type": V.kind(F.col("value"))}
+    one = F.struct(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in METRIC])
+    g = p.groupBy("_seq", "measurement", "tags", "point_ns").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("_text"), one))).alias("metrics"), F.collect_list(F.when(F.col("_text"), F.struct(F.concat(F.lit(FIELD), "field").alias("key"), F.col("value").alias("value")))).alias("_fields"), F.first("attributes").alias("attributes"))
+    g = g.withColumn("attributes", V.merge(F.col("attributes"), F.map_from_entries("_fields"))).select("_seq", F.col("point_ns").alias("ts_ns"), "attributes", "metrics")
+    rest = [c for c in df.columns if c not in ("_seq", "ts_ns", "attributes", "metrics", "log")]
+    points = g.join(df.select("_seq", *rest), "_seq").withColumn("span", F.lit(None).cast(df.schema["span"].dataType)).withColumn("log", F.lit(None).cast(df.schema["log"].dataType))
+    some = g.select("_seq").distinct().withColumn("_hit", F.lit(True))
+    parents = df.join(some, "_seq", "left")
+    stays = F.col("_hit").isNull() | F.lit(keep_source) | F.coalesce(F.size("metrics") > 0, F.lit(False)) | F.col("span").isNotNull()
+    log = F.when(F.col("_hit").isNull() | F.lit(keep_source), F.col("log"))
+    return points.select(df.columns).unionByName(parents.where(stays).withColumn("log", log).select(df.columns))
+
+
 def line_protocol(df: DataFrame, precision: str = "ns", keep_source: bool = False) -> DataFrame:
     """Points of the message, exploded: parent columns plus measurement, tags, field, value, point_ns.
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions import ids
 from strandline.functions import values as V
+from strandline.operators.instants import zoned_candidates
 from strandline.schema import METRIC, PRIVATE
 
 
@@ -123,11 +127,16 @@ def kv_metric_rows(df: DataFrame, counters: list[dict] = (), gauges: list[dict]
 TRACEPARENT = r"^([0-9a-f]{2})-([0-9a-f]{32})-([0-9a-f]{16})-([0-9a-f]{2})(-.*)?$"
 
 
-def trace_context(df: DataFrame, trace_id_field: str = "traceparent", span_id_field: str | None = None, flags_field: str | None = None, keep_source: bool = False) -> DataFrame:
+def trace_context(df: DataFrame, trace_id_field: str = "traceparent", span_id_field: str | None = None, flags_field: str | None = None, keep_source: bool = False, id_format: str = "hex", trace_id_high_field: str | None = None) -> DataFrame:
     """Lift a traceparent, or id attributes, onto the log; invalid or all-zero ids leave the event unchanged.
 
-    An explicit span id or flags attribute beats what the traceparent says.
+    An explicit span id or flags attribute beats what the traceparent says. With
+    ``id_format="decimal"`` the id attributes are decimal 64-bit numbers (a trace id may
+    also be 32 hex digits), and ``trace_id_high_field``, 1 to 16 hex digits, gives the
+    upper half of a trace id that has none.
     """
+    if id_format == "decimal":
+        return _decimal_context(df, trace_id_field, span_id_field, flags_field, keep_source, trace_id_high_field)
     v = V.text(F.when(V.present(attr(trace_id_field)), attr(trace_id_field)))
     tp = v.rlike(TRACEPARENT) & ~v.startswith("ff") & (~v.startswith("00") | (F.length(v) == 55))
     hex_id = F.lower(v)
@@ -146,6 +155,24 @@ def trace_context(df: DataFrame, trace_id_field: str = "traceparent", span_id_fi
     return out.drop("_ok")
 
 
+def _decimal_context(df: DataFrame, trace_field: str, span_field: str | None, flags_field: str | None, keep_source: bool, high_field: str | None) -> DataFrame:
+    text = lambda f: V.text(F.when(V.present(attr(f)) & V.kind(attr(f)).isin("s", "i", "u"), attr(f)))
+    none = F.lit(None).cast("string")
+    low = ids.decimal_hex(text(trace_field))
+    whole = F.when(F.lower(text(trace_field)).rlike("^[0-9a-f]{32}$"), F.lower(text(trace_field)))
+    high = F.lower(text(high_field)) if high_field else none
+    trace = F.coalesce(whole, F.concat(F.lit("0" * 16), low))
+    d = df.withColumns({"_trace": trace, "_high": high, "_span": ids.decimal_hex(text(span_field)) if span_field else none, "_flags": text(flags_field).try_cast("int") if flags_field else F.lit(None).cast("int")})
+    lifted = F.when(F.col("_trace").startswith("0" * 16) & F.col("_high").isNotNull(), F.concat(F.lpad("_high", 16, "0"), F.substring("_trace", 17, 16))).otherwise(F.col("_trace"))
+    bad = (F.col("_high").isNotNull() & ~F.col("_high").rlike("^[0-9a-f]{1,16}$")) | (F.col("_span").isNull() & (text(span_field).isNotNull() if span_field else F.lit(False))) | ~F.coalesce("_flags", F.lit(0)).between(0, 255)
+    ok = F.coalesce(F.col("log").isNotNull() & (F.col("_trace") != "0" * 32) & ~bad, F.lit(False))
+    out = d.withColumn("_ok", ok).withColumn("log", F.when(F.col("_ok"), F.col("log").withField("trace_id", lifted).withField("span_id", F.col("_span")).withField("trace_flags", F.col("_flags"))).otherwise(F.col("log")))
+    if not keep_source:
+        gone = [f for f in (trace_field, span_field, flags_field, high_field) if f]
+        out = out.withColumn("attributes", F.when(F.col("_ok"), F.map_filter("attributes", lambda k, _: ~k.isin(gone))).otherwise(F.col("attributes")))
+    return out.drop("_ok", "_trace", "_high", "_span", "_flags")
+
+
 def mint_span(df: DataFrame, name: str = "span.name") -> DataFrame:
     """Span from span.start_s / span.end_s / span.duration_s: any two give the third; a lone start or duration ends at the receipt; a lone end is skipped."""
     ns = lambda f: V.decimal_nanos(V.text(attr(f)))
@@ -161,10 +188,12 @@ def mint_span(df: DataFrame, name: str = "span.name") -> DataFrame:
     return d.withColumn("span", F.when(ok, span).otherwise(F.col("span"))).withColumn("ts_ns", F.when(ok, F.col("_from")).otherwise(F.col("ts_ns"))).drop("_s", "_e", "_d", "_from", "_to")
 
 
-def timestamp(df: DataFrame, field: str, format: str, max_skew_ns: int | None = None, keep_source: bool = False) -> DataFrame:  # noqa: A002
+def timestamp(df: DataFrame, field: str, format: str, max_skew_ns: int | None = None, keep_source: bool = False, zone: str = "UTC") -> DataFrame:  # noqa: A002
     """Event time from an attribute: rfc3339, rfc3164 (year nearest the receipt), unix_seconds, unix_millis, unix_micros, unix_nanos or a datetime pattern.
 
-    Skipped, leaving the event unchanged: events with a span, missing or invalid text,
+    Times without offset are wall times of ``zone``: one that occurs twice is the one
+    nearer to the receipt, one that never occurs is read with the offset before the
+    change. Skipped, leaving the event unchanged: events with a span, missing or invalid text,
     and instants further than ``max_skew_ns`` from the receipt. The old time goes to
     the log's observed time where that is unset.
     """
@@ -180,10 +209,16 @@ def timestamp(df: DataFrame, field: str, format: str, max_skew_ns: int | None =
         year = F.year(F.timestamp_seconds(F.expr("ts_ns div 1000000000")))
         p = r"^([A-Z][a-z]{2}) +(\d{1,2}) (\d\d:\d\d:\d\d)$"
         at = lambda y: F.unix_micros(F.try_to_timestamp(F.concat_ws(" ", y.cast("string"), F.regexp_extract(t, p, 1), F.regexp_extract(t, p, 2), F.regexp_extract(t, p, 3)), F.lit("yyyy MMM d HH:mm:ss"))) * F.lit(1000).cast("bigint")
-        near = F.array_min(F.transform(F.array_compact(F.transform(F.array(year - 1, year, year + 1), at)), lambda u: F.struct(F.abs(u - F.col("ts_ns")).alias("d"), u.alias("u"))))
+        walls = F.array_compact(F.transform(F.array(year - 1, year, year + 1), at))
+        instants = walls if zone == "UTC" else F.flatten(F.transform(walls, lambda w: F.transform(zoned_candidates(F.floor(w / 1000), F.lit(zone)), lambda u: u * F.lit(1000).cast("bigint"))))
+        near = F.array_min(F.transform(instants, lambda u: F.struct(F.abs(u - F.col("ts_ns")).alias("d"), u.alias("u"))))
         ns = F.when(t.rlike(p), near["u"])
     else:
-        ns = F.unix_micros(F.try_to_timestamp(t, F.lit(format))) * F.lit(1000).cast("bigint")
+        wall = F.unix_micros(F.try_to_timestamp(t, F.lit(format)))
+        if zone == "UTC" or any(c in re.sub("'[^']*'", "", format) for c in "XxZzVO"):  # an offset of its own
+            ns = wall * F.lit(1000).cast("bigint")
+        else:
+            ns = F.array_min(F.transform(zoned_candidates(wall, F.lit(zone)), lambda u: F.struct(F.abs(u * 1000 - F.col("ts_ns")).alias("d"), (u * 1000).alias("u"))))["u"]
     ok = ns.isNotNull() & F.col("span").isNull()
     if max_skew_ns is not None:
         ok = ok & (F.abs(ns - F.col("ts_ns")) <= max_skew_ns)

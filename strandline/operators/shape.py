@@ -16,11 +16,20 @@ def measure(events: DataFrame) -> DataFrame:
     signal = F.when(carries("logs"), "log").when(carries("traces"), "trace").when(carries("metrics"), "metric").otherwise("none")
     nested = F.filter(F.map_values(a), lambda v: V.kind(v).isin("a", "m"))
     types = F.map_from_entries(F.transform(F.array(*[F.lit(t) for t in "siufbntxam"]), lambda t: F.struct(t, F.size(F.filter(F.map_values(a), lambda v: V.kind(v) == t)))))
+    # nesting of a JSON text without its strings: the most brackets open at once; 1 for plain values
+    def open_most(v: Column) -> Column:
+        marks = F.split(F.regexp_replace(F.regexp_replace(V.text(v), r'"(?:[^"\\\\]|\\\\.)*"', ""), r"[^\[\]{}]", ""), "")
+        start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+        step = lambda s, c: V.let(s["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0), lambda n: F.struct(n.alias("now"), F.greatest(n, s["most"]).alias("most")))
+        return F.aggregate(marks, start, step)["most"] + 1
+    depth = F.when(F.size(a) == 0, 0).otherwise(F.coalesce(F.array_max(F.transform(nested, open_most)), F.lit(1)))
+    widths = F.coalesce(F.array_max(F.transform(F.filter(nested, lambda v: V.kind(v) == "m"), lambda v: F.size(F.from_json(V.text(v), "map<string,variant>")))), F.lit(0))
+    kinds = F.map_from_entries(F.transform(F.array_distinct(F.transform("metrics", lambda m: m["kind"])), lambda k: F.struct(k, F.size(F.filter("metrics", lambda m: m["kind"] == k)))))
     return events.withColumnRenamed("attributes", "_a").select(
         "_origin", "_previous", signal.alias("signal"), F.size(a).alias("attributes"), F.size(nested).alias("nested"), types.alias("types"),
         F.aggregate(F.map_keys(a), F.lit(0).cast("bigint"), lambda n, k: n + F.octet_length(k)).alias("key_bytes"),
         F.aggregate(F.map_values(a), F.lit(0).cast("bigint"), lambda n, v: n + F.octet_length(v) - 1).alias("value_bytes"),
-        F.coalesce(F.size("metrics"), F.lit(0)).alias("n_metrics"), F.coalesce(F.octet_length("log.message"), F.lit(0)).alias("body_bytes"),
+        depth.alias("depth"), widths.alias("max_map_width"), kinds.alias("metric_kinds"), F.coalesce(F.size("metrics"), F.lit(0)).alias("n_metrics"), F.coalesce(F.octet_length("log.message"), F.lit(0)).alias("body_bytes"),
         F.array_sort(F.map_keys(a)).alias("key_set"),
     )
 

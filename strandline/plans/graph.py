@@ -13,23 +13,32 @@ import os
 import re
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from strandline.operators import aggregate, delta, filters, http_access, parsers, reshape, route, shape
 
 #: type -> function(frame, **options)
 COMPONENTS: dict[str, Callable[..., DataFrame]] = {
-    "json": parsers.json, "csv": parsers.csv, "logfmt": parsers.logfmt, "kv": parsers.kv, "regex": parsers.regex, "line_protocol": parsers.line_protocol, "http_access": http_access.http_access,
+    "json": parsers.json, "csv": parsers.csv, "logfmt": parsers.logfmt, "kv": parsers.kv, "regex": parsers.regex, "line_protocol": parsers.line_protocol_events, "line_protocol_points": parsers.line_protocol, "http_access": http_access.http_access,
     "set": reshape.set_, "keep": reshape.keep, "remove": reshape.remove, "keep_values": reshape.keep_values, "flatten": reshape.flatten, "scale": reshape.scale, "bucket": reshape.bucket,
     "kv_metrics": reshape.kv_metrics, "trace_context": reshape.trace_context, "mint_span": reshape.mint_span, "timestamp": reshape.timestamp,
     "has_attributes": filters.has_attributes, "drop_attributes": filters.drop_attributes, "has_provenance": filters.has_provenance, "drop_provenance": filters.drop_provenance,
     "has_signal": filters.has_signal, "keep_signals": filters.keep_signals, "drop_signals": filters.drop_signals, "has_stale": filters.has_stale, "drop_stale": filters.drop_stale, "sample": filters.sample,
-    "explode_metrics": aggregate.explode_metrics, "cap_series": aggregate.cap_series, "aggregate": lambda df, **o: aggregate.aggregate(df, **o)[0], "cumulate": aggregate.cumulate, "retain_gauges": aggregate.retain_gauges,
+    "explode_metrics": aggregate.explode_metrics, "cap_series": aggregate.cap_series, "aggregate": lambda df, **o: _aggregate(df, **o), "cumulate": aggregate.cumulate, "retain_gauges": aggregate.retain_gauges,
     "cumulative_to_delta": delta.cumulative_to_delta, "dedup_timestamps": delta.dedup_timestamps, "shape_measure": shape.measure, "shape_summary": shape.summarise,
 }
 ROUTERS: dict[str, Callable[..., dict[str, DataFrame]]] = {"route": route.route, "route_signals": route.route_signals}
 
 
+def _aggregate(df: DataFrame, **options) -> DataFrame:  # noqa: ANN003
+    """Events give events; a metric table gives aggregates as rows of it, with what passed through and its ``reason``."""
+    if "metrics" in df.columns:
+        return aggregate.aggregate_events(df, **options)
+    out, passed = aggregate.aggregate(df, **options)
+    return aggregate.metric_rows(out).unionByName(passed, allowMissingColumns=True)
+
+
 class GraphError(ValueError):
     """A graph that can't run as written; ``problems`` names each fault."""
 
@@ -57,6 +66,8 @@ def load(text: str, env: Mapping[str, str] | None = None) -> dict[str, dict]:
 
 
 def _targets(spec: dict) -> list[str]:
+    if spec["type"] not in ROUTERS:  # a user function that routes by _dest
+        return list(dict.fromkeys(spec.get("targets", [])))
     if spec["type"] == "route":
         return list(dict.fromkeys(t for _, ts in _routes(spec) for t in ts))
     return list(dict.fromkeys(spec.get("signals", {}).values()))
@@ -71,7 +82,7 @@ def _routes(spec: dict) -> list[tuple[object, list[str]]]:
 def validate(graph: dict[str, dict], inputs: list[str]) -> list[str]:
     """Order in which components can be built; raises with every fault found."""
     faults = []
-    made = {t: i for i, s in graph.items() if s.get("type") in ROUTERS for t in _targets(s)}
+    made = {t: i for i, s in graph.items() if s.get("type") for t in _targets(s)}
     for name in inputs:
         if name in graph:
             faults.append(f"{name} is an input and a component")
@@ -91,6 +102,8 @@ def validate(graph: dict[str, dict], inputs: list[str]) -> list[str]:
                 faults.append(f"{i}: unknown source {src}")
             if graph.get(src, {}).get("type") == "sink":
                 faults.append(f"{i}: reads the sink {src}")
+            if graph.get(src, {}).get("type") == "route_signals":
+                faults.append(f"{i}: reads {src}, which has targets only")
         if kind in ROUTERS and not _targets(s):
             faults.append(f"{i}: no targets")
         if kind == "regex":
@@ -128,11 +141,14 @@ def validate(graph: dict[str, dict], inputs: list[str]) -> list[str]:
     return order
 
 
-def compile_graph(graph: dict[str, dict], inputs: dict[str, DataFrame], extra: dict[str, Callable[..., DataFrame]] | None = None) -> dict[str, DataFrame]:
+def compile_graph(graph: dict[str, dict], inputs: dict[str, DataFrame], extra: dict[str, Callable[..., DataFrame]] | None = None, observed: dict[str, Observation] | None = None) -> dict[str, DataFrame]:
     """Frame of every component and target; sinks are what to write.
 
-    ``extra`` adds component types, such as user functions. Each component's output is
-    marked with its provenance if the frame has provenance columns.
+    ``extra`` adds component types, such as user functions; one with ``targets`` routes
+    by the column ``_dest`` of what it gives, and rows without one are its own output.
+    Each component's output is marked with its provenance if the frame has provenance
+    columns. ``observed``, filled with an observation per sink, tells after a run how
+    many events each has seen.
     """
     known = COMPONENTS | (extra or {})
     order = validate({i: s if s.get("type") not in (extra or {}) else s | {"type": "union"} for i, s in graph.items()}, list(inputs))
@@ -140,25 +156,29 @@ def compile_graph(graph: dict[str, dict], inputs: dict[str, DataFrame], extra: d
     for i in order:
         s = graph[i]
         df = route.fan_in(*[out[x] for x in s["sources"]])
-        options = {k: v for k, v in s.items() if k not in ("type", "sources")}
+        options = {k: v for k, v in s.items() if k not in ("type", "sources", "targets")}
         if s["type"] in ROUTERS:
             if s["type"] == "route":
                 options["routes"] = _routes(s)
             parts = ROUTERS[s["type"]](df, **options)
-            out[i] = parts.pop(route.FORWARD, df)
+            forward = parts.pop(route.FORWARD, None)
+            if forward is not None:
+                out[i] = forward
             out.update(parts)
             continue
         made = df if s["type"] in ("union", "sink") else known[s["type"]](df, **options)
-        out[i] = made.withColumn("_previous", _lit(i)) if "_previous" in made.columns else made
+        made = made.withColumn("_previous", F.lit(i)) if "_previous" in made.columns else made
+        if s.get("targets"):
+            for t in _targets(s):
+                out[t] = made.where(F.col("_dest") == t).drop("_dest")
+            made = made.where("_dest is null").drop("_dest")
+        if observed is not None and s["type"] == "sink":
+            observed[i] = Observation(i)
+            made = made.observe(observed[i], F.count(F.lit(1)).alias("events"))
+        out[i] = made
     return out
 
 
-def _lit(x: str):  # noqa: ANN202
-    from pyspark.sql import functions as F
-
-    return F.lit(x)
-
-
 def sinks(graph: dict[str, dict], frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {i: frames[i] for i, s in graph.items() if s["type"] == "sink"}
 

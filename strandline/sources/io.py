@@ -21,17 +21,21 @@ def lines(spark: SparkSession, path: str, received_ns: int = 0) -> DataFrame:
 
 
 def tail(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
-    """Streaming lines of files that appear under ``path``; progress is the query's checkpoint."""
+    """Streaming lines of files that appear under ``path``; progress is the query's checkpoint.
+
+    ``_seq`` numbers the lines of a micro-batch in file order; ts_ns is the batch's time.
+    """
     d = spark.readStream.option("maxFilesPerTrigger", per_trigger).text(path)
-    return d.select(F.col("value").alias("line"), F.lit(None).cast("bigint").alias("_seq"), F.lit(0).cast("bigint").alias("ts_ns"))
+    now = F.unix_micros(F.current_timestamp()) * 1000
+    return d.select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("_seq"), now.alias("ts_ns"), F.col("_metadata.file_path").alias("file"))
 
 
 def kafka(spark: SparkSession, servers: str, topic: str, stream: bool = True, **options: str) -> DataFrame:
-    """Records of a topic as (line, _seq, ts_ns, body); needs Spark's Kafka package."""
+    """Records of a topic as (line, _seq, ts_ns, body); ``_seq`` is unique over partitions and ordered within one. Needs Spark's Kafka package."""
     r = (spark.readStream if stream else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
     for k, v in options.items():
         r = r.option(k, v)
-    return r.load().select(F.col("value").cast("string").alias("line"), F.col("offset").alias("_seq"), (F.unix_micros("timestamp") * 1000).alias("ts_ns"), F.col("value").alias("body"))
+    return r.load().select(F.col("value").cast("string").alias("line"), (F.shiftleft(F.col("partition").cast("bigint"), 47) + F.col("offset")).alias("_seq"), (F.unix_micros("timestamp") * 1000).alias("ts_ns"), F.col("value").alias("body"))
 
 
 def generate(spark: SparkSession, count: int, interval_ns: int = 0, start_ns: int = 0, **columns: Column) -> DataFrame:
@@ -41,14 +45,14 @@ def generate(spark: SparkSession, count: int, interval_ns: int = 0, start_ns: in
 
 
 DECODERS = {
-    "statsd": text.statsd, "graphite": text.graphite, "influxdb": text.influx, "prometheus": text.prometheus, "syslog": text.syslog, "nginx_status": text.nginx_status, "apache_status": text.apache_status,
+    "statsd": text.statsd, "graphite": text.graphite, "influxdb": text.influx, "prometheus": text.prometheus, "statsd_logs": text.statsd_logs, "syslog": text.syslog, "nginx_status": text.nginx_status, "apache_status": text.apache_status,
     "archive": json_formats.read_archive, "otlp_json_metrics": json_formats.otlp_metrics, "otlp_json_logs": json_formats.otlp_logs, "otlp_json_traces": json_formats.otlp_traces, "hec": json_formats.hec,
     "series_v1": json_formats.series_v1, "series_v2": json_formats.series_v2, "log_intake": json_formats.log_intake, "docker": json_formats.docker_logs,
 } | {name: (lambda df, n=name: binary.read(df, n)) for name in binary.READERS}
 
 ENCODERS = {
     "statsd": text.to_statsd, "graphite": text.to_graphite, "influxdb": text.to_influx, "prometheus": text.to_prometheus, "syslog": text.to_syslog, "archive": json_formats.write_archive,
-    "otlp_json_metrics": json_formats.to_otlp_metrics, "hec": json_formats.to_hec, "series_v2": json_formats.to_series_v2,
+    "otlp_json_metrics": json_formats.to_otlp_metrics, "otlp_json_logs": json_formats.to_otlp_logs, "otlp_json_traces": json_formats.to_otlp_traces, "hec": json_formats.to_hec, "series_v2": json_formats.to_series_v2,
 }
 
 

@@ -241,6 +241,35 @@ def to_otlp_metrics(m: DataFrame) -> DataFrame:
     return m.select("_seq", F.concat(F.lit('{"resourceMetrics":[{"resource":{"attributes":'), to_otlp_attributes(F.col("resource")), F.lit('},"scopeMetrics":[{"scope":{},"metrics":[{"name":'), _q(F.col("name")), F.when(F.col("unit").isNotNull(), F.concat(F.lit(',"unit":'), _q(F.col("unit")))).otherwise(""), F.lit(","), body, F.lit("}]}]}]}")).alias("body"))
 
 
+def _request(outer: str, inner: str, item: str, record: Column) -> Column:
+    """An export request of one record: resource, one scope, the record."""
+    return F.concat(F.lit(f'{{"{outer}":[{{"resource":{{"attributes":'), to_otlp_attributes(F.col("resource")), F.lit(f'}},"{inner}":[{{"scope":{{}},"{item}":['), record, F.lit("]}]}]}"))
+
+
+def to_otlp_logs(events: DataFrame) -> DataFrame:
+    """One export request per event with a log."""
+    log = F.col("log")
+    number = F.element_at(F.create_map(*[F.lit(x) for s, n in (("trace", 1), ("debug", 5), ("info", 9), ("warn", 13), ("error", 17), ("fatal", 21)) for x in (s, n)]), log["severity"])
+    record = _object([
+        ("timeUnixNano", _q(F.col("ts_ns"))), ("observedTimeUnixNano", F.when(log["observed_ns"] != 0, _q(log["observed_ns"]))), ("severityNumber", F.when(log["severity"].isNotNull(), number.cast("string"))),
+        ("body", F.when(log["message"].isNotNull(), F.concat(F.lit('{"stringValue":'), _q(log["message"]), F.lit("}")))), ("attributes", to_otlp_attributes(F.coalesce("attributes", F.create_map().cast("map<string,string>")))),
+        ("traceId", F.when(log["trace_id"].isNotNull(), _q(log["trace_id"]))), ("spanId", F.when(log["span_id"].isNotNull(), _q(log["span_id"]))), ("flags", log["trace_flags"].cast("string")), ("eventName", F.when(log["event_name"].isNotNull(), _q(log["event_name"]))),
+    ])
+    return events.where("log is not null").select("_seq", _request("resourceLogs", "scopeLogs", "logRecords", record).alias("body"))
+
+
+def to_otlp_traces(events: DataFrame) -> DataFrame:
+    """One export request per event with a span; the event's time is the span's start."""
+    span = F.col("span")
+    code = lambda names, c: F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(names) for x in (s, i)]), F.coalesce(c, F.lit(names[0]))).cast("string")
+    record = _object([
+        ("traceId", _q(span["trace_id"])), ("spanId", _q(span["span_id"])), ("parentSpanId", F.when(span["parent_span_id"].isNotNull(), _q(span["parent_span_id"]))), ("name", _q(F.coalesce(span["name"], F.lit("")))),
+        ("kind", code(["unspecified", "internal", "server", "client", "producer", "consumer"], span["kind"])), ("startTimeUnixNano", _q(F.col("ts_ns"))), ("endTimeUnixNano", F.when(span["end_ns"].isNotNull(), _q(span["end_ns"]))),
+        ("attributes", to_otlp_attributes(F.coalesce("attributes", F.create_map().cast("map<string,string>")))), ("status", F.concat(F.lit('{"code":'), code(["unset", "ok", "error"], span["status"]), F.lit("}"))), ("flags", span["flags"].cast("string")),
+    ])
+    return events.where("span is not null").select("_seq", _request("resourceSpans", "scopeSpans", "spans", record).alias("body"))
+
+
 # -- other intakes ---------------------------------------------------------------------------------
 
 HEC = "struct<time:variant,host:string,source:string,sourcetype:string,index:string,event:variant,fields:map<string,variant>>"

@@ -269,6 +269,11 @@ def to_prometheus(m: DataFrame) -> DataFrame:
     return m.select("_seq", F.concat(sanitised_name(F.col("name")), F.when(F.size(lab) > 0, F.concat(F.lit("{"), F.array_join(lab, ","), F.lit("}"))).otherwise(""), F.lit(" "), F.regexp_replace(F.col("value").cast("string"), r"\.0$", ""), F.lit(" "), F.expr("ts_ns div 1000000").cast("string")).alias("line"))
 
 
+_SD_ONE = r'\[[^ \]="]+(?: [^ \]="]+="(?:[^"\\\]]|\\.)*")*\]'
+_SD_PARAM = r' ([^ \]="]+)="((?:[^"\\\]]|\\.)*)"'
+_SD_AT = rf"^(?:\d+ )?<\d{{1,3}}>\d{{1,2}} \S+ \S+ \S+ \S+ \S+ ((?:{_SD_ONE})+)"
+
+
 def syslog(lines: DataFrame) -> DataFrame:
     """Log events of syslog lines of either layout; the sender's time stays an attribute, the event's is the receipt."""
     from strandline.operators.log_entries import parse_heads
@@ -278,15 +283,46 @@ def syslog(lines: DataFrame) -> DataFrame:
     pri = F.regexp_extract("line", r"^(?:\d+ )?<(\d{1,3})>", 1).cast("int")
     some = {"syslog.timestamp": "timestamp", "host.name": "host_name", "syslog.tag": "syslog_tag", "process.pid": "process_pid", "syslog.msgid": "syslog_msgid"}
     m = F.create_map(F.lit("syslog.facility"), F.concat(F.lit("i"), F.floor(pri / 8).cast("string")), F.lit("syslog.severity"), F.concat(F.lit("i"), (pri % 8).cast("string")), *[x for k, c in some.items() for x in (F.lit(k), F.when(F.col(f"h.{c}") != "", V.s(F.col(f"h.{c}"))))])
-    return d.select("_seq", "ts_ns", F.map_filter(m, lambda _, v: v.isNotNull()).alias("attributes"), F.col("h.message").alias("message"), F.col("h.severity").alias("severity"))
+    attrs = F.map_filter(m, lambda _, v: v.isNotNull())
+    sd = structured_data(F.regexp_extract("line", _SD_AT, 1))
+    attrs = F.when(F.col("line").rlike(_SD_AT), V.merge(attrs, F.create_map(F.lit("syslog.structured_data"), F.concat(F.lit("m"), sd)))).otherwise(attrs)
+    return d.select("_seq", "ts_ns", attrs.alias("attributes"), F.col("h.message").alias("message"), F.col("h.severity").alias("severity"))
+
 
+def structured_data(text: Column) -> Column:
+    """JSON text of ``[id name="value" ..]..``: an object of objects; of repeated names the last counts."""
+    each = F.regexp_extract_all(text, F.lit(_SD_ONE), F.lit(0))
+    def params(e: Column) -> Column:
+        names, values = F.regexp_extract_all(e, F.lit(_SD_PARAM), F.lit(1)), F.regexp_extract_all(e, F.lit(_SD_PARAM), F.lit(2))
+        return V.from_pairs(names, F.transform(values, lambda v: F.regexp_replace(v, r'\\([\\\]"])', "$1")))
+    return F.to_json(V.from_pairs(F.transform(each, lambda e: F.regexp_extract(e, r"^\[([^ \]=\"]+)", 1)), F.transform(each, params)))
 
-def to_syslog(events: DataFrame) -> DataFrame:
-    """RFC 5424 lines."""
+
+def to_syslog(events: DataFrame, layout: str = "rfc5424") -> DataFrame:
+    """RFC 5424 lines, or with ``layout="rfc3164"`` those of the older form, whose times are in UTC without a year."""
+    if layout == "rfc3164":
+        return _to_rfc3164(events)
     a = lambda k: F.coalesce(V.text(F.col("attributes")[k]), F.lit("-"))
     pri = F.coalesce(a("syslog.facility").try_cast("int"), F.lit(1)) * 8 + F.coalesce(a("syslog.severity").try_cast("int"), F.lit(6))
     at = F.date_format(F.timestamp_micros(F.expr("ts_ns div 1000")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    return events.select("_seq", F.concat_ws(" ", F.concat(F.lit("<"), pri.cast("string"), F.lit(">1")), at, a("host.name"), a("syslog.tag"), a("process.pid"), a("syslog.msgid"), F.lit("-"), F.col("message")).alias("line"))
+    return events.select("_seq", F.concat_ws(" ", F.concat(F.lit("<"), pri.cast("string"), F.lit(">1")), at, a("host.name"), a("syslog.tag"), a("process.pid"), a("syslog.msgid"), _sd_text(), F.col("message")).alias("line"))
+
+
+def _sd_text() -> Column:
+    """Structured data of the attribute, or a dash."""
+    sd = F.from_json(V.text(F.col("attributes")["syslog.structured_data"]), "map<string,map<string,string>>")
+    escaped = lambda v: F.regexp_replace(v, r'(["\\\]])', r"\\$1")
+    one = lambda e: F.concat(F.lit("["), e["key"], F.array_join(F.transform(F.map_entries(e["value"]), lambda p: F.concat(F.lit(" "), p["key"], F.lit('="'), escaped(p["value"]), F.lit('"'))), ""), F.lit("]"))
+    return F.when(F.size(sd) > 0, F.array_join(F.transform(F.map_entries(sd), one), "")).otherwise("-")
+
+
+def _to_rfc3164(events: DataFrame) -> DataFrame:
+    a = lambda k: V.text(F.when(V.present(F.col("attributes")[k]), F.col("attributes")[k]))
+    pri = F.coalesce(a("syslog.facility").try_cast("int"), F.lit(1)) * 8 + F.coalesce(a("syslog.severity").try_cast("int"), F.lit(6))
+    t = F.timestamp_micros(F.expr("ts_ns div 1000"))
+    at = F.concat(F.date_format(t, "MMM "), F.lpad(F.day(t).cast("string"), 2, " "), F.date_format(t, " HH:mm:ss"))
+    tag = F.concat(F.coalesce(a("syslog.tag"), F.lit("-")), F.coalesce(F.concat(F.lit("["), a("process.pid"), F.lit("]")), F.lit("")), F.lit(":"))
+    return events.select("_seq", F.concat_ws(" ", F.concat(F.lit("<"), pri.cast("string"), F.lit(">"), at), F.coalesce(a("host.name"), F.lit("-")), tag, F.col("message")).alias("line"))
 
 
 CRI = r"^(\S+) (stdout|stderr) ([FP])(?::\S*)? (.*)$"

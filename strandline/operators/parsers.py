@@ -171,7 +171,7 @@ def line_protocol_events(df: DataFrame, precision: str = "ns", keep_source: bool
     made = {"name": F.concat_ws(".", "measurement", "field"), "kind": F.lit("gauge"), "value": number, "value_i64": F.when(F.col("value").startswith("i"), V.text(F.col("value")).try_cast("bigint")), "value_type": V.kind(F.col("value"))}
     one = F.struct(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in METRIC])
     g = p.groupBy("_seq", "measurement", "tags", "point_ns").agg(
-        F.sort_array(F.collect_list(F.when(~F.col("_text"), one))).alias("metrics"), F.collect_list(F.when(F.col("_text"), F.struct(F.concat(F.lit(FIELD), "field").alias("key"), F.col("value").alias("value")))).alias("_fields"), F.first("attributes").alias("attributes"))
+        F.array_sort(F.collect_list(F.when(~F.col("_text"), one)), lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)).alias("metrics"), F.collect_list(F.when(F.col("_text"), F.struct(F.concat(F.lit(FIELD), "field").alias("key"), F.col("value").alias("value")))).alias("_fields"), F.first("attributes").alias("attributes"))
     g = g.withColumn("attributes", V.merge(F.col("attributes"), F.map_from_entries("_fields"))).select("_seq", F.col("point_ns").alias("ts_ns"), "attributes", "metrics")
     rest = [c for c in df.columns if c not in ("_seq", "ts_ns", "attributes", "metrics", "log")]
     points = g.join(df.select("_seq", *rest), "_seq").withColumn("span", F.lit(None).cast(df.schema["span"].dataType)).withColumn("log", F.lit(None).cast(df.schema["log"].dataType))

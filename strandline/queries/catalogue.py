@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.queries import engine, problems
+from strandline.queries import codecs, engine, problems  # noqa: F401 - codecs registers with engine
 
 FLAGSHIP = "aggregate_distribution_q"
 QUERIES = {**problems.QUERIES, **engine.QUERIES}

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.schema import BOOL, DOUBLE, INT, LONG, STR, struct as schema
@@ -412,3 +413,86 @@ def read(df: DataFrame, name: str, body: str = "body") -> DataFrame:
     """Rows of bodies in the named format."""
     rows, row = READERS[name]
     return decode(df, rows, row, body)
+
+
+def put_varint(n: int) -> bytes:
+    out = bytearray()
+    while True:
+        out.append(n & 0x7F | (0x80 if n > 0x7F else 0))
+        n >>= 7
+        if not n:
+            return bytes(out)
+
+
+def put(number: int, value: int | float | bytes | str) -> bytes:
+    """A field: text and bytes by length, floats and ``Fixed`` in eight bytes, other ints as varints."""
+    if isinstance(value, str):
+        value = value.encode()
+    if isinstance(value, bytes):
+        return put_varint(number << 3 | 2) + put_varint(len(value)) + value
+    if isinstance(value, float):
+        return put_varint(number << 3 | 1) + struct.pack("<d", value)
+    if isinstance(value, Fixed):
+        return put_varint(number << 3 | 1) + struct.pack("<Q", value & (2**64 - 1))
+    return put_varint(number << 3) + put_varint(value & (2**64 - 1))
+
+
+class Fixed(int):
+    """An int that is written in eight bytes."""
+
+
+def _put_value(v: str) -> bytes:
+    kind, text = v[:1], v[1:]
+    if kind == "b":
+        return put(2, int(text == "true"))
+    if kind in ("i", "u"):
+        return put(3, int(text))
+    if kind == "f":
+        return put(4, float(text))
+    return put(7, bytes.fromhex(text)) if kind == "x" else put(1, text)
+
+
+def put_attributes(number: int, attributes: dict[str, str] | None) -> bytes:
+    return b"".join(put(number, put(1, k) + put(2, _put_value(v))) for k, v in sorted((attributes or {}).items()))
+
+
+def otlp_metric_request(r: dict) -> bytes:
+    """An export request of one sum, gauge or histogram row."""
+    times = (put(2, Fixed(r["start_ns"])) if r.get("start_ns") else b"") + put(3, Fixed(r["ts_ns"] or 0))
+    temp = {"delta": 1, "cumulative": 2}.get(r.get("temporality") or "delta", 1)
+    if r["kind"] == "histogram":
+        b = r.get("buckets") or []
+        total = sum(x["count"] for x in b)
+        point = put_attributes(9, r.get("attributes")) + times + put(4, Fixed(total)) + (put(5, float(r["sum"])) if r.get("sum") is not None else b"")
+        point += put(6, struct.pack(f"<{len(b)}Q", *[x["count"] for x in b])) + put(7, struct.pack(f"<{max(len(b) - 1, 0)}d", *[x["bound"] for x in b[:-1]]))
+        data = put(9, put(1, point) + put(2, temp))
+    else:
+        number = put(6, Fixed(r["value_i64"])) if r.get("value_type") == "i" and r.get("value_i64") is not None else put(4, float(r["value"]))
+        point = put_attributes(7, r.get("attributes")) + times + number
+        data = put(7, put(1, point) + put(2, temp) + put(3, int(bool(r.get("monotonic"))))) if r["kind"] == "sum" else put(5, put(1, point))
+    metric = put(1, r["name"]) + (put(3, r["unit"]) if r.get("unit") else b"") + data
+    return put(1, put(1, put_attributes(1, r.get("resource"))) + put(2, put(2, metric)))
+
+
+def encode(df: DataFrame, keep: list[str], body_of: Callable[[dict], bytes | None]) -> DataFrame:
+    """keep..., body: what ``body_of`` makes of each row; rows that give None are left out."""
+    out = T.StructType([*[df.schema[c] for c in keep], T.StructField("body", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            index, bodies = [], []
+            for i, r in enumerate(b.to_pylist()):
+                made = body_of({k: dict(v) if isinstance(v, list) and v and isinstance(v[0], tuple) else v for k, v in r.items()})
+                if made is not None:
+                    index.append(i)
+                    bodies.append(made)
+            at = pa.array(index, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in keep], pa.array(bodies, pa.binary())], names=[*keep, "body"])
+
+    return df.mapInArrow(run, out)
+
+
+def to_otlp_metrics(m: DataFrame) -> DataFrame:
+    """One binary export request per sum, gauge or histogram row with a value."""
+    ready = ((F.col("kind").isin("sum", "gauge")) & F.col("value").isNotNull()) | (F.col("kind") == "histogram")
+    return encode(m.where(ready), ["_seq"], otlp_metric_request)

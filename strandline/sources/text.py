@@ -121,7 +121,7 @@ def statsd_logs(lines: DataFrame) -> DataFrame:
     """
     d = lines.select("_seq", "ts_ns", F.rtrim("line").alias("_l"))
     e = d.where(F.col("_l").rlike(r"^_e\{\d{1,9},\d{1,9}\}:"))
-    e = e.withColumns({"_n": F.regexp_extract("_l", r"^_e\{(\d+),", 1).cast("int"), "_m": F.regexp_extract("_l", r"^_e\{\d+,(\d+)\}", 1).cast("int"), "_b": F.encode(F.regexp_replace("_l", r"^_e\{\d+,\d+\}:", ""), "utf-8")})
+    e = e.withColumns({"_n": F.regexp_extract("_l", r"^_e\{(\d+),", 1).try_cast("int"), "_m": F.regexp_extract("_l", r"^_e\{\d+,(\d+)\}", 1).try_cast("int"), "_b": F.encode(F.regexp_replace("_l", r"^_e\{\d+,\d+\}:", ""), "utf-8")})
     text = lambda start, n: F.try_validate_utf8(F.substring(F.col("_b"), start, n).cast("string"))
     e = e.withColumns({"title": text(F.lit(1), F.col("_n")), "_bar": text(F.col("_n") + 1, F.lit(1)), "text": text(F.col("_n") + 2, F.col("_m")), "ext": text(F.col("_n") + F.col("_m") + 2, F.lit(2_147_483_647))})
     e = e.where((F.octet_length("_b") >= F.col("_n") + F.col("_m") + 1) & (F.col("_bar") == "|") & F.col("title").isNotNull() & F.col("text").isNotNull() & ((F.col("ext") == "") | F.col("ext").startswith("|")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -231,12 +234,61 @@ def timestamp(df: DataFrame, field: str, format: str, max_skew_ns: int | None =
     return d.withColumn("ts_ns", F.coalesce("_ns", "ts_ns")).drop("_ns")
 
 
-def flatten(df: DataFrame, fields: list[str] | None = None, arrays: str = "index", levels: int = 4, where: str = "attributes") -> DataFrame:
+#: Levels that ``flatten`` unfolds by projections; deeper values of the few rows that have them go through Arrow.
+FLAT_LEVELS = 3
+
+
+def _java_double(x: float) -> str:
+    """A double as the JVM spells it."""
+    if x != x or x in (float("inf"), float("-inf")):
+        return {"nan": "NaN", "inf": "Infinity", "-inf": "-Infinity"}[str(x)]
+    digits, _, exponent = repr(x).partition("e")
+    if not exponent and 1e-3 <= abs(x) < 1e7 or x == 0:
+        return digits
+    m, e = f"{x:.16e}".split("e")
+    short = repr(float(m + "e0"))
+    for places in range(1, 17):
+        short = f"{x:.{places}e}".split("e")[0]
+        if float(f"{x:.{places}e}") == x:
+            break
+    return f"{short}E{int(e)}"
+
+
+def _unfold(key: str, value: str, arrays: str, depth: int) -> Iterator[tuple[str, str]]:
+    """Entries of a typed value, down to ``depth`` further levels."""
+    def typed(v: object) -> str:
+        if isinstance(v, bool):
+            return "b" + str(v).lower()
+        if isinstance(v, int):
+            return ("u" if v >= 0 else "i") + str(v)
+        if isinstance(v, (dict, list)):
+            return ("m" if isinstance(v, dict) else "a") + json.dumps(v, separators=(",", ":"), ensure_ascii=False, sort_keys=True)
+        return "n" if v is None else "s" + v if isinstance(v, str) else "f" + _java_double(v)
+
+    def walk(k: str, v: object, left: int) -> Iterator[tuple[str, str]]:
+        items = list(v.items()) if isinstance(v, dict) else list(enumerate(v)) if isinstance(v, list) and arrays == "index" else []
+        if not items or left == 0:
+            yield k, typed(v)
+            return
+        for name, x in items:
+            yield from walk(f"{k}.{name}", x, left - 1)
+    try:
+        yield from walk(key, json.loads(value[1:]), depth)
+    except (ValueError, RecursionError):
+        yield key, value
+
+
+def _chosen(key: str, fields: list[str] | None) -> bool:
+    return not key.startswith(PRIVATE) if fields is None else any(key == f or key.startswith(f + ".") for f in fields)
+
+
+def flatten(df: DataFrame, fields: list[str] | None = None, arrays: str = "index", levels: int = 32, where: str = "attributes") -> DataFrame:
     """Nested maps and arrays to dot-joined keys; empty containers, and arrays under ``skip``, stay whole.
 
-    Each level is one projection, so ``levels`` (up to 32) is the depth to unfold; what
-    nests deeper stays whole at its key. Sources go before any is expanded, and of equal
-    keys the last wins.
+    ``levels`` is the depth to unfold, 32 at most; what nests deeper stays whole at its
+    key. The first levels are one projection each. Rows that nest deeper are unfolded
+    one by one in Arrow batches; of other rows nothing is sent there. Sources go before
+    any is expanded, and of equal keys the last wins.
     """
     from strandline.operators.parsers import json_value
 
@@ -263,9 +315,29 @@ def flatten(df: DataFrame, fields: list[str] | None = None, arrays: str = "index
             for f in fields:
                 hit = hit | (k == f) | k.startswith(f + ".")
             return hit
-    for _ in range(min(levels, 32)):
+    levels = min(levels, 32)
+    for _ in range(min(levels, FLAT_LEVELS)):
         df = one(df, pick)
-    return df
+    if levels <= FLAT_LEVELS:
+        return df
+
+    @F.pandas_udf("map<string,string>")
+    def deeper(maps: pd.Series) -> pd.Series:
+        def whole(m: object) -> dict[str, str] | None:
+            if m is None:
+                return None
+            out: dict[str, str] = {}
+            for k, v in dict(m).items():
+                parts = _unfold(k, v, arrays, levels - FLAT_LEVELS) if v is not None and v[:1] in ("m", "a") and _chosen(k, fields) else [(k, v)]
+                for name, x in parts:
+                    out.pop(name, None)
+                    out[name] = x
+            return out
+        return pd.Series([whole(m) for m in maps])
+    nests = (lambda v: (V.kind(v) == "m") & (v != "m{}")) if arrays != "index" else (lambda v: V.kind(v).isin("m", "a") & ~v.isin("m{}", "a[]"))
+    chosen = pick or (lambda k: ~k.startswith(PRIVATE))
+    deep = F.exists(F.map_entries(where), lambda e: chosen(e["key"]) & nests(e["value"]))
+    return df.withColumn(where, F.coalesce(deeper(F.when(deep, F.col(where))), F.col(where)))
 
 
 def template(text: str, **fields: Column) -> Column:

@@ -575,7 +575,22 @@ def provenance_filter(spark: SparkSession, d: str) -> DataFrame:
     return filters.drop_provenance(filters.has_provenance(two, origin=["crm", "shop"]), previous=["shop"]).select(F.col("_seq").alias("id"))
 
 
-@query(None)
+#: XXH64 of short decimal text in whole-number arithmetic modulo 2^64.
+_M = "18446744073709551616::uhugeint"
+_P = ["", "11400714785074694791::uhugeint", "14029467366897019727::uhugeint", "1609587929392839161::uhugeint", "9650029242287828579::uhugeint", "2870177450012600261::uhugeint"]
+_xor = "xor(({0})::ubigint, ({1})::ubigint)::uhugeint".format
+_mul = f"(({{0}}) * {{1}} % {_M})".format
+_rotl = f"((({{0}}) * {{1}}::uhugeint % {_M}) + ({{0}}) // {{2}}::uhugeint)".format
+_BYTE = _mul(_rotl(_xor("a", _mul("b", _P[5])), 2**11, 2**53), _P[1])
+_WORD = f"(({_mul(_rotl(_xor('h0', _mul('w', _P[1])), 2**23, 2**41), _P[2])}) + {_P[3]}) % {_M}"
+_XXH64 = f"""u as (select distinct user_id, user_id::varchar s from events), y as (select user_id, length(s) n, ({_P[5]} + length(s)::uhugeint) % {_M} h0, [ascii(c)::uhugeint for c in string_split(s, '')] bs from u),
+w as (select *, (bs[1] + bs[2]*256 + bs[3]*65536 + bs[4]*16777216)::uhugeint w from y), h1 as (select user_id, n, bs, case when n >= 4 then {_WORD} else h0 end h from w),
+g0 as (select user_id, case when n >= 4 then bs[5:] else bs end r, h a from h1), g1 as (select user_id, r, r[1] b, a from g0), g2 as (select user_id, r, r[2] b, case when b is null then a else {_BYTE} end a from g1),
+g3 as (select user_id, r[3] b, case when b is null then a else {_BYTE} end a from g2), h2 as (select user_id, case when b is null then a else {_BYTE} end h from g3), h3 as (select user_id, {_mul(_xor("h", "h // 8589934592::uhugeint"), _P[2])} h from h2),
+h4 as (select user_id, {_mul(_xor("h", "h // 536870912::uhugeint"), _P[3])} h from h3), x as (select user_id, {_xor("h", "h // 4294967296::uhugeint")} h from h4)"""
+
+
+@query(f"with {_XXH64} select event_id, user_id::varchar user_id from events join x using (user_id) where h // 2048 < 2251799813685248::uhugeint")
 def sample_by_key(spark: SparkSession, d: str) -> DataFrame:
     """A quarter of the users, the same in every process; vectors of the hash are unit-tested."""
     return filters.sample(events(spark, d), 0.25, "user_id", always_keep=None).select(F.col("_seq").alias("event_id"), _a("user_id"))
@@ -680,7 +695,7 @@ def cri_reassemble(spark: SparkSession, d: str) -> DataFrame:
     return c.select("o_custkey", F.regexp_count("message", F.lit("[0-9]-")).cast("bigint").alias("n"), "message")
 
 
-@query(None)
+@query(f"with {_XXH64} select user_id, case when h >= 9223372036854775808::uhugeint then (h::hugeint - 18446744073709551616::hugeint)::bigint else h::bigint end h from x")
 def consistent_hash(spark: SparkSession, d: str) -> DataFrame:
     """The frozen hash of every user id."""
     return read(spark, d, "events").select("user_id").distinct().select("user_id", hashing.xxh64(F.col("user_id").cast("string")).alias("h"))

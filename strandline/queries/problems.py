@@ -178,6 +178,21 @@ found as (select origin, row_id, rcv, case when regexp_matches(z, '^[+-]') then
  union all select origin, row_id, rcv, wall - before from tried where z = '' and (ok_before or not ok_after) union all select origin, row_id, rcv, wall - after from tried where z = '' and ok_after)
 select origin, row_id, utc_us from plain where utc_us >= 1704067200000000 and utc_us < 1798761600000000 union all select origin, row_id, arg_min(u, (abs(u - rcv), u)) from found where u is not null group by origin, row_id"""
 
+_ENTRIES = r"""with l as (select *, case when regexp_matches(raw_line, '^(\d+ )?<\d{1,3}>\d{1,2} \d{4}-') then 's5' when regexp_matches(raw_line, '^(\d+ )?<\d{1,3}>[A-Z][a-z]{2} [ \d]\d \d\d:') then 's3'
+ when regexp_matches(raw_line, '^ts=\d{4}-') then 'kv' when regexp_matches(raw_line, '^\{"time":"') then 'js' when regexp_matches(raw_line, '^\[\d\d/[A-Z][a-z]{2}/\d{4}:') then 'br'
+ when regexp_matches(raw_line, '^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+ ') then 'dt' when regexp_matches(raw_line, '^[TDIWEF]\d{4} \d\d:\d\d:\d\d') then 'gl' end k from syslog_lines),
+h as (select *, last_value(case when k is not null then line_id end ignore nulls) over (partition by stream_id order by line_no, line_id) head from l),
+c as (select head, count(*) n from h where head is not null group by 1),
+m as (select line_id, k, raw_line r, cast(nullif(regexp_extract(raw_line, '^(?:\d+ )?<(\d+)>', 1), '') as int) % 8 code from l where k is not null),
+f as (select line_id, k, code,
+ case k when 's5' then regexp_extract(r, '^(?:\d+ )?<\d+>\d+ \S+ (\S+) ', 1) when 's3' then regexp_extract(r, '^(?:\d+ )?<\d+>[A-Z][a-z]{2} [ \d]\d [\d:]+ ([^ :\[]+) [^ :\[]+[:\[]', 1) when 'kv' then regexp_extract(r, ' host=(\S+)', 1) when 'js' then regexp_extract(r, '"host":"([^"]*)"', 1) else '' end host,
+ case k when 's5' then regexp_extract(r, '^(?:\d+ )?<\d+>\d+ \S+ \S+ (\S+) ', 1) when 's3' then regexp_extract(r, '^(?:\d+ )?<\d+>[A-Z][a-z]{2} [ \d]\d [\d:]+ (?:[^ :\[]+ )?([^ :\[]+)[:\[]', 1) when 'kv' then regexp_extract(r, ' component=(\S+)', 1) when 'js' then regexp_extract(r, '"logger":"([^"]*)"', 1)
+  when 'br' then regexp_extract(r, '^\[[^\]]*\] \[([^\]]*):[^:\]]*\]', 1) when 'dt' then regexp_extract(r, '^[^\[]{24}(?:\x1b\[\d+m)?\w+(?:\x1b\[0m)? *\[([^\]]*)\]', 1) else regexp_extract(r, '^\S+ \S+ +\S+ ([^\]]*)\]', 1) end tag,
+ case k when 's5' then regexp_extract(r, '^(?:\d+ )?<\d+>\d+ \S+ \S+ \S+ (\S+) ', 1) when 's3' then regexp_extract(r, '^(?:\d+ )?<\d+>[A-Z][a-z]{2} [ \d]\d [\d:]+ (?:[^ :\[]+ )?[^ :\[]+\[([^\]]*)\]', 1) when 'kv' then regexp_extract(r, ' pid=(\S+)', 1) when 'js' then regexp_extract(r, '"pid":"?([^",}]*)', 1)
+  when 'gl' then regexp_extract(r, '^\S+ \S+ +(\S+) ', 1) else regexp_extract(r, '[\[(]pid ([^\])]*)[\])]', 1) end pid,
+ case k when 's5' then regexp_extract(r, '^(?:\d+ )?<\d+>\d+ \S+ \S+ \S+ \S+ (\S+) ', 1) else '' end msgid,
+ lower(case k when 'kv' then regexp_extract(r, ' level=(\S+)', 1) when 'js' then regexp_extract(r, '"level":"([^"]*)"', 1) when 'br' then regexp_extract(r, '^\[[^\]]*\] \[[^\]]*:([^:\]]*)\]', 1) when 'dt' then regexp_extract(r, '^[\d-]+ [\d:,]+ (?:\x1b\[\d+m)?(\w+)', 1) when 'gl' then r[1] else '' end) lvl from m)"""
+
 SQL = {
     "p2_found": _P2,
     "p1_found": _FIRST + " select log_id, case when lag > 86400000000000 then 'dropped' else 'late' end outcome from h where lag > 600000000000",
@@ -192,22 +207,20 @@ select e.series_id, e.slot_start from e left join d on d.series_id = e.series_id
 x as (select m, h, t, ns, v, min(point_id) filter (batch_id <= b) one, min(point_id) filter (batch_id > b) two from r, mid group by all),
 y as (select count(one) n1, min(one) f1, count(*) filter (one is null) n2, min(two) filter (one is null) f2, count(*) n from x)
 select 0::int step, 'first' batch, n1 "rows", f1 first_id from y union all select 1, 'rest', n2, f2 from y union all select 2, 'first', n1, f1 from y union all select 3, 'whole', 0, null from y union all select 4, 'bits', n, null from y""",
-    "p6_found": r"""with l as (select *, case when regexp_matches(raw_line, '^(\d+ )?<\d{1,3}>\d{1,2} \d{4}-') then 's5' when regexp_matches(raw_line, '^(\d+ )?<\d{1,3}>[A-Z][a-z]{2} [ \d]\d \d\d:') then 's3'
- when regexp_matches(raw_line, '^ts=\d{4}-') then 'kv' when regexp_matches(raw_line, '^\{"time":"') then 'js' when regexp_matches(raw_line, '^\[\d\d/[A-Z][a-z]{2}/\d{4}:') then 'br'
- when regexp_matches(raw_line, '^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+ ') then 'dt' when regexp_matches(raw_line, '^[TDIWEF]\d{4} \d\d:\d\d:\d\d') then 'gl' end k from syslog_lines),
-h as (select *, last_value(case when k is not null then line_id end ignore nulls) over (partition by stream_id order by line_no, line_id) head from l),
-c as (select head, count(*) n from h where head is not null group by 1),
-m as (select line_id, k, raw_line r, cast(nullif(regexp_extract(raw_line, '^(?:\d+ )?<(\d+)>', 1), '') as int) % 8 code from l where k is not null),
-f as (select line_id, k, code,
- case k when 's5' then regexp_extract(r, '^(?:\d+ )?<\d+>\d+ \S+ (\S+) ', 1) when 's3' then regexp_extract(r, '^(?:\d+ )?<\d+>[A-Z][a-z]{2} [ \d]\d [\d:]+ ([^ :\[]+) [^ :\[]+[:\[]', 1) when 'kv' then regexp_extract(r, ' host=(\S+)', 1) when 'js' then regexp_extract(r, '"host":"([^"]*)"', 1) else '' end host,
- case k when 's5' then regexp_extract(r, '^(?:\d+ )?<\d+>\d+ \S+ \S+ (\S+) ', 1) when 's3' then regexp_extract(r, '^(?:\d+ )?<\d+>[A-Z][a-z]{2} [ \d]\d [\d:]+ (?:[^ :\[]+ )?([^ :\[]+)[:\[]', 1) when 'kv' then regexp_extract(r, ' component=(\S+)', 1) when 'js' then regexp_extract(r, '"logger":"([^"]*)"', 1)
-  when 'br' then regexp_extract(r, '^\[[^\]]*\] \[([^\]]*):[^:\]]*\]', 1) when 'dt' then regexp_extract(r, '^[^\[]{24}(?:\x1b\[\d+m)?\w+(?:\x1b\[0m)? *\[([^\]]*)\]', 1) else regexp_extract(r, '^\S+ \S+ +\S+ ([^\]]*)\]', 1) end tag,
- case k when 's5' then regexp_extract(r, '^(?:\d+ )?<\d+>\d+ \S+ \S+ \S+ (\S+) ', 1) when 's3' then regexp_extract(r, '^(?:\d+ )?<\d+>[A-Z][a-z]{2} [ \d]\d [\d:]+ (?:[^ :\[]+ )?[^ :\[]+\[([^\]]*)\]', 1) when 'kv' then regexp_extract(r, ' pid=(\S+)', 1) when 'js' then regexp_extract(r, '"pid":"?([^",}]*)', 1)
-  when 'gl' then regexp_extract(r, '^\S+ \S+ +(\S+) ', 1) else regexp_extract(r, '[\[(]pid ([^\])]*)[\])]', 1) end pid,
- case k when 's5' then regexp_extract(r, '^(?:\d+ )?<\d+>\d+ \S+ \S+ \S+ \S+ (\S+) ', 1) else '' end msgid,
- lower(case k when 'kv' then regexp_extract(r, ' level=(\S+)', 1) when 'js' then regexp_extract(r, '"level":"([^"]*)"', 1) when 'br' then regexp_extract(r, '^\[[^\]]*\] \[[^\]]*:([^:\]]*)\]', 1) when 'dt' then regexp_extract(r, '^[\d-]+ [\d:,]+ (?:\x1b\[\d+m)?(\w+)', 1) when 'gl' then r[1] else '' end) lvl from m)
+    "p6_found": _ENTRIES + r"""
 select head head_line_id, n n_lines, case when host = '-' then '' else host end host_name, case when tag = '-' then '' else tag end syslog_tag, case when pid = '-' then '' else pid end process_pid, case when msgid = '-' then '' else msgid end syslog_msgid,
 case when k in ('s3', 's5') then case when code <= 2 then 'fatal' when code = 3 then 'error' when code = 4 then 'warn' when code <= 6 then 'info' else 'debug' end
  when lvl in ('trace', 't') then 'trace' when lvl in ('debug', 'dbg', 'd') then 'debug' when lvl in ('info', 'notice', 'i') then 'info' when lvl in ('warn', 'warning', 'w') then 'warn' when lvl in ('err', 'error', 'severe', 'e') then 'error' when lvl in ('crit', 'panic', 'fatal', 'f') then 'fatal' else '' end severity
 from c join f on head = line_id""",
+    "p6_entries": _ENTRIES + r""",
+w as (select line_id, case k when 's5' then regexp_extract(r, '^(?:\d+ )?<\d+>\d+ \S+ \S+ \S+ \S+ \S+ (?:-|(?:\[(?:[^\]"]|"(?:[^"\\]|\\.)*")*\])+)?[ \t]*(.*)$', 1) when 's3' then regexp_extract(r, '^(?:\d+ )?<\d+>[A-Z][a-z]{2} [ \d]\d [\d:]+ (?:[^ :\[]+ )?[^ :\[]+(?:\[[^\]]*\])?:?[ \t]*(.*)$', 1)
+  when 'br' then regexp_extract(r, '^\[[^\]]*\] \[[^\]]*\][ \t]*(?:\[pid [^\]]*\][ \t]*)?(.*)$', 1) when 'dt' then regexp_extract(r, '^[\d-]+ [\d:,]+ (?:\x1b\[\d+m)?\w+(?:\x1b\[0m)?[ \t]*\[[^\]]*\][ \t]*(?:\(pid [^)]*\)[ \t]*)?(.*)$', 1)
+  when 'gl' then regexp_extract(r, '^\S+ \S+ +\S+ +[^\] ]*\][ \t]*(.*)$', 1) else replace(replace(replace(replace(regexp_extract(r, case k when 'kv' then ' msg="((?:[^"\\]|\\.)*)"' else '"message":"((?:[^"\\]|\\.)*)"' end, 1), '\\', chr(1)), '\"', '"'), '\n', chr(10)), chr(1), '\') end msg,
+ case k when 's5' then regexp_extract(r, '>\d+ (\S+)', 1) when 's3' then regexp_extract(r, '>([A-Z][a-z]{2} [ \d]\d [\d:]+)', 1) when 'kv' then regexp_extract(r, '^ts=(\S+)', 1) when 'js' then regexp_extract(r, '"time":"([^"]*)"', 1) when 'br' then regexp_extract(r, '^\[([^\]]*)\]', 1)
+  when 'dt' then regexp_extract(r, '^([\d-]+ [\d:,]+)', 1) else regexp_extract(r, '^.(\S+ \S+)', 1) end stated from m),
+t as (select head, string_agg(case when l.line_id = head then rtrim(msg, e'\r\n') else regexp_replace(raw_line, '\r$', '') end, chr(10) order by line_no, l.line_id) message from h l left join w on w.line_id = l.line_id where head is not null and raw_line is not null group by 1)
+select head head_line_id, 0 part, n n_lines, stated "timestamp", case when host = '-' then '' else host end host_name, case when tag = '-' then '' else tag end syslog_tag, case when pid = '-' then '' else pid end process_pid, case when msgid = '-' then '' else msgid end syslog_msgid, case when k in ('s3', 's5') then case when code <= 2 then 'fatal' when code = 3 then 'error' when code = 4 then 'warn' when code <= 6 then 'info' else 'debug' end
+ when lvl in ('trace', 't') then 'trace' when lvl in ('debug', 'dbg', 'd') then 'debug' when lvl in ('info', 'notice', 'i') then 'info' when lvl in ('warn', 'warning', 'w') then 'warn' when lvl in ('err', 'error', 'severe', 'e') then 'error' when lvl in ('crit', 'panic', 'fatal', 'f') then 'fatal' else '' end severity,
+ message
+from c join f on head = line_id join w using (line_id) join t using (head)""",
 }

@@ -99,6 +99,13 @@ def p3_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid.regular_grid(_series_readings(spark, d).select("series_id", "interval_s", "ns", "value"))
 
 
+def p3_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Slots of every series and day: how many, how many without a reading, readings, and whether every value and deviation is a number."""
+    g = p3_grid(spark, d).groupBy("series_id", F.expr("slot_start div 86400").alias("day_no"))
+    fine = F.bool_and(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("stddev") >= 0))
+    return g.agg(F.count("*").alias("slots"), F.count_if("missing").alias("gaps"), F.sum("n").alias("readings"), fine.alias("filled"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Slots without a usable reading between the first and the last of a day."""
     return p3_grid(spark, d).where("missing").select("series_id", "slot_start")
@@ -139,7 +146,7 @@ def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
     return bits
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p1_corrections, p2_found, p2_zones, p3_found, p3_grid, p6_found, p6_entries, p7_found, p7_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p1_corrections, p2_found, p2_zones, p3_found, p3_marks, p3_grid, p6_found, p6_entries, p7_found, p7_ledger)}
 
 _FIRST = """with a as (select log_id, service_name, event_timestamp e, case when observed_timestamp <> 0 then observed_timestamp else epoch_us(received_at)*1000 end arrival from log_records where event_timestamp <> 0),
 f as (select log_id, arg_min(service_name, arrival) service_name, min(arrival) arrival, arg_min(e, arrival) e from a group by 1),
@@ -202,6 +209,9 @@ select period_no, service_name, seq, cast(sum(n) over w as bigint) n, cast(sum(d
     "p3_found": f"""with {_READINGS}, d as (select distinct series_id, interval_s, (ns//1000000000)//interval_s*interval_s slot from r join s using (m, h, t)),
 g as (select series_id, interval_s, min(slot) a, max(slot) b from d group by series_id, interval_s, slot//86400), e as (select series_id, unnest(range(a, b + 1, interval_s)) slot_start from g)
 select e.series_id, e.slot_start from e left join d on d.series_id = e.series_id and d.slot = e.slot_start where d.slot is null""",
+    "p3_marks": f"""with {_READINGS}, q as (select series_id, interval_s, (ns//1000000000)//interval_s*interval_s slot from r join s using (m, h, t)),
+x as (select series_id, interval_s, slot//86400 day_no, min(slot) a, max(slot) b, count(distinct slot) held, count(*) readings from q group by all)
+select series_id, day_no, (b - a)//interval_s + 1 slots, (b - a)//interval_s + 1 - held gaps, readings, true filled from x""",
     "p7_found": f"with {_READINGS}, k as (select point_id, min(point_id) over (partition by m, h, t, ns, v) kept_id from r) select kept_id, point_id copy_id from k where point_id <> kept_id",
     "p7_ledger": f"""with {_READINGS.replace("select point_id,", "select point_id, batch_id,", 1)}, mid as (select min(batch_id) + (max(batch_id) - min(batch_id))//2 b from metric_points),
 x as (select m, h, t, ns, v, min(point_id) filter (batch_id <= b) one, min(point_id) filter (batch_id > b) two from r, mid group by all),

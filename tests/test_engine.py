@@ -129,6 +129,42 @@ class TestReshape:
         skip = attributes(reshape.flatten(events(spark, event(attributes=a)), fields=["x", "l"], arrays="skip"))[0]
         assert skip["l"] == a["l"] and skip["x.b.c"] == "u1"
 
+    def test_flatten_goes_deep(self, spark):
+        deep = '{"k":' * 40 + "1" + "}" * 40
+        a = {"x": "m" + deep, "l": 'a[[[[["q",-1,1e10,true,null,2.5]]]]]', "e": "m{}", PRIVATE + "p": 'm{"a":{"b":{"c":{"d":1}}}}', "bad": "m{"}
+        full = attributes(reshape.flatten(events(spark, event(1, attributes=a), event(2, attributes={"s": "st"}))))
+        assert full[1] == {"s": "st"}
+        assert full[0]["x" + ".k" * 32] == "m" + '{"k":' * 8 + "1" + "}" * 8 and full[0]["e"] == "m{}" and full[0][PRIVATE + "p"] == a[PRIVATE + "p"] and full[0]["bad"] == "m{"
+        assert [full[0][f"l.0.0.0.0.{i}"] for i in range(6)] == ["sq", "i-1", "f1.0E10", "btrue", "n", "f2.5"]
+        few = attributes(reshape.flatten(events(spark, event(attributes=a)), levels=5))[0]
+        assert few["x" + ".k" * 5].startswith("m{") and reshape._java_double(1.5e-7) == "1.5E-7" and reshape._java_double(100.0) == "100.0"
+        assert reshape.flatten(events(spark)).count() == 0
+
+    def test_decimal_trace_ids(self, spark):
+        rows = [{"t": "s1"}, {"t": "s18446744073709551615", "h": "sff"}, {"t": "s18446744073709551616"}, {"t": "s0"}, {"t": "s" + "ab" * 16, "h": "sff"}, {"t": "i7", "s": "sx"}, {"t": "u7", "s": "i9"}, {"t": "s5", "h": "sxyz"}, {}]
+        out = reshape.trace_context(events(spark, *[event(i, attributes=a, message="m") for i, a in enumerate(rows)]), "t", "s", id_format="decimal", trace_id_high_field="h").orderBy("_seq").collect()
+        z = "0" * 16
+        assert [r.log.trace_id for r in out] == [z + "0" * 15 + "1", "0" * 14 + "ff" + "f" * 16, None, None, "ab" * 16, None, z + "0" * 15 + "7", None, None]
+        assert out[6].log.span_id == "0" * 15 + "9" and out[6].attributes == {} and out[5].attributes == rows[5]
+
+    def test_zoned_times(self, spark):
+        def at(text, zone, fmt="yyyy-MM-dd HH:mm:ss", receipt="2025-10-26T01:20:00"):
+            ns = int((__import__("datetime").datetime.fromisoformat(receipt + "+00:00")).timestamp()) * 10**9
+            r = reshape.timestamp(events(spark, event(1, ts=ns, attributes={"t": "s" + text}, message="m")), "t", fmt, zone=zone).first()
+            return __import__("datetime").datetime.fromtimestamp(r.ts_ns / 1e9, __import__("datetime").timezone.utc).strftime("%H:%M:%S")
+        assert at("2025-10-26 02:30:00", "Europe/Berlin") == "01:30:00"  # twice: the later one is nearer
+        assert at("2025-10-26 02:30:00", "Europe/Berlin", receipt="2025-10-26T00:20:00") == "00:30:00"
+        assert at("2025-03-30 02:30:00", "Europe/Berlin", receipt="2025-03-30T01:00:00") == "01:30:00"  # never: the offset before
+        assert at("Oct 26 04:00:00", "Europe/Berlin", "rfc3164") == "03:00:00"
+
+    def test_minted_ids(self, spark):
+        from strandline.functions import ids
+
+        r = spark.createDataFrame([(0,), (1_700_000_000_123,), (2**48,), (-1,), (None,)], "ms bigint").select("ms", ids.uuid_v7(F.col("ms")).alias("u"), ids.ulid(F.col("ms")).alias("l"), ids.uuid_v4().alias("v")).collect()
+        assert r[1].u.replace("-", "")[:12] == f"{1_700_000_000_123:012x}" and r[1].u[14] == "7" and len(r[1].u) == 36
+        assert r[0].l.startswith("0" * 10) and len(r[1].l) == 26 and r[1].l[:10] == "".join(ids.CROCKFORD[1_700_000_000_123 >> 5 * i & 31] for i in range(9, -1, -1)) and all(x.u is None and x.l is None for x in r[2:]) and len({x.v for x in r}) == 5
+        assert one(spark, ids.decimal_hex(F.lit("255"))) == "0" * 14 + "ff" and one(spark, ids.decimal_hex(F.lit("0"))) is None and one(spark, ids.hex_decimal(F.lit("ff"))) == "255"
+
     def test_keep_values(self, spark):
         df = events(spark, event(1, attributes={"m": "sGET"}), event(2, attributes={"m": "sx"}), event(3), event(4, attributes={"m": "i5"}))
         assert attributes(reshape.keep_values(df, "m", ["get"], "lower")) == [{"m": "sget"}, {}, {}, {}]
@@ -410,6 +446,22 @@ class TestCodecs:
         assert (by[5][0].kind, by[6][0].kind, by[6][0].ts_ns, by[6][0].attributes["container.id"]) == ("gauge_delta", "gauge", 17_000_000_000, "sxyz")
         assert by[11][0].attributes == {"urgent": 'a[true,"1"]'}
 
+    def test_statsd_rules(self, spark):
+        lines = ["a:1|c|@0.5|#x:y,bare", "a:1:2|g", "a:+1:-2|g", "t:1:2.5|ms|@0.1|#env:p,env:q", "s:u1:u2|s", "a:1|c|@0", "a:nan|g", "a:1e999|g", ":1|c", "a:1|q", "a:1|c|T5|c:box|e:ext|card:low", "a:1|h|#a:1|#b:2", "a:x|g", "_e{1,1}:a|b", "d:1:inf|d", None, "a:1|c|#,k:v,"]
+        r = text.statsd(spark.createDataFrame([(i, 9, x) for i, x in enumerate(lines)], "_seq bigint, ts_ns bigint, line string")).orderBy("_seq", "_pos").collect()
+        assert [(x._seq, x.kind, x.value) for x in r if x.value is not None] == [(0, "sum", 2.0), (1, "gauge", 1.0), (1, "gauge", 2.0), (2, "gauge_delta", 1.0), (2, "gauge_delta", -2.0), (10, "sum", 1.0), (16, "sum", 1.0)]
+        by = {x._seq: x for x in r}
+        assert by[0].attributes == {"x": "sy", "bare": "btrue"} and by[3].samples == [1.0, 2.5] and by[3].sample_rate == 0.1 and by[3].attributes["deployment.environment.name"] == 'a["p","q"]'
+        assert by[4].members == ["u1", "u2"] and by[10].ts_ns == 5_000_000_000 and by[10].attributes["container.id"] == "sbox" and by[10].attributes[PRIVATE + "metrics.closed"] == "stimestamped"
+        assert by[11].attributes == {"a": "s1", "b": "s2", PRIVATE + "statsd.type": "sh"} and by[16].attributes == {"k": "sv"} and 13 not in by and 14 not in by
+
+    def test_statsd_events(self, spark):
+        lines = ["_e{2,4}:hi|a\\nb|t:warning|p:low|k:key|s:src|h:box|d:7|#x:y", "_e{3,2}:é!|ok", "_e{9,9}:a|b", "_e{1,1}:a|b|p:high", "_e{1,1}:a|b|t:odd", "_e{1,1}:a|bc", "_sc|up|1|m:bad|h:box|#q", "_sc|up|4", "_sc||1", "a:1|c"]
+        r = {x._seq: x for x in text.statsd_logs(spark.createDataFrame([(i, 9, x) for i, x in enumerate(lines)], "_seq bigint, ts_ns bigint, line string")).collect()}
+        assert set(r) == {0, 1, 6} and (r[0].message, r[0].severity, r[0].ts_ns) == ("a\nb", "warn", 7_000_000_000) and r[1].message == "ok"
+        assert r[0].attributes == {"x": "sy", "host.name": "sbox", PRIVATE + "metrics.closed": "stimestamped", **{PRIVATE + "statsd.event." + k: "s" + v for k, v in (("title", "hi"), ("priority", "low"), ("alert_type", "warning"), ("aggregation_key", "key"), ("source_type", "src"))}}
+        assert r[6].attributes == {"q": "btrue", "host.name": "sbox", PRIVATE + "statsd.service_check.name": "sup", PRIVATE + "statsd.service_check.status": "u1", PRIVATE + "statsd.service_check.message": "sbad"} and r[6].message is None
+
     def test_graphite_influx_prometheus(self, spark):
         g = text.graphite(self.lines(spark, "a.b;host=w;dc=x 0.25 1799999990.5", "a nan 5", "a 1", "a 2 -1")).collect()
         assert [(r.name, r.value, r.ts_ns) for r in g] == [("a.b", 0.25, 1_799_999_990_500_000_000), ("a", 2.0, 99)] and g[0].attributes == {"host": "sw", "dc": "sx"}
@@ -575,6 +627,29 @@ rest: {type: sink, sources: [twos, audit]}
         assert sums.first().n == 4
         assert script.reduce_by(df, ["_batch"], n=F.count("*")).first().n == 4
 
+    def test_event_helpers(self, spark, tmp_path):
+        e = script.Event.new(5, "m", "info", a=1, b="x", c=[1, {"d": None}], f=1.5, t=True, n=None, y=b"\x01", u=2**63)
+        assert e["attributes"] == {"a": "i1", "b": "sx", "c": 'a[1,{"d":null}]', "f": "f1.5", "t": "btrue", "n": "n", "y": "x01", "u": f"u{2**63}"}
+        assert e.to_table()["attributes"] == {"a": 1, "b": "x", "c": [1, {"d": None}], "f": 1.5, "t": True, "n": None, "y": b"\x01", "u": 2**63} and e.attribute("nope") is None
+        copy = e.clone()
+        copy.put("a", 2)
+        assert e.attribute("a") == 1 and copy.attribute("a") == 2 and e.to("x")["_dest"] == "x" and "_dest" not in e
+        p = tmp_path / "f.py"
+        p.write_text("def process(e):\n    if e['_seq'] == 1:\n        raise ValueError\n    out = Event(e)\n    out.put('k', 7)\n    return out\n")
+        errors = spark.sparkContext.accumulator(0)
+        df = script.process(events(spark, event(1), event(2)), script.load_function(str(p)), errors=errors)
+        assert [r.attributes for r in df.collect()] == [{"k": "i7"}] and errors.value == 1
+        with pytest.raises(ValueError, match="no function"):
+            script.load_function(str(p), "other")
+
+    def test_observed_and_routed_signals(self, spark):
+        g = {"s": {"type": "route_signals", "sources": ["in"], "signals": {"logs": "l", "metrics": "m"}}, "a": {"type": "sink", "sources": ["l"]}, "b": {"type": "sink", "sources": ["m"]}}
+        seen = {}
+        frames = graph.compile_graph(g, {"in": events(spark, event(1, message="x"), event(2))}, observed=seen)
+        assert "s" not in frames and len(frames["a"].collect()) == 1 and seen["a"].get == {"events": 1}
+        with pytest.raises(graph.GraphError, match="targets only"):
+            graph.validate(g | {"c": {"type": "sink", "sources": ["s"]}}, ["in"])
+
     def test_shape(self, spark):
         m = shape.measure(events(spark, event(1, attributes={"a": "s1", "b": 'm{"x":1}'}, message="héy"), event(2)))
         r = m.orderBy("attributes").collect()

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows up to which a join side counts as small. A row of the sides in question is
@@ -15,13 +16,21 @@ BROADCAST_ROWS = 100_000
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named table of a data directory; sessions run in UTC, and of repeated map keys the last wins."""
+def read(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """The named table of a data directory; sessions run in UTC, and of repeated map keys the last wins.
+
+    ``spread``: rows of a table that scans in fewer than half as many tasks as there are
+    cores (few files of one row group) are dealt to all cores, for work that is heavier
+    than moving them. Where files are many, as in large tables, nothing is moved.
+    """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     if spark.conf.get("spark.sql.mapKeyDedupPolicy") != "LAST_WIN":
         spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if spread and df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= (cores := spark.sparkContext.defaultParallelism):
+        return df.repartition(cores)
+    return df
 
 
 def micros(c: Column | str) -> Column:
@@ -112,17 +121,28 @@ def bucketed_prefix(df: DataFrame, by: list[str], bucket: str, order: list[str],
 
     Two levels: totals per bucket are summed first (a small table), then rows are summed
     within their bucket only, so no task holds a whole group. Buckets must be ordered
-    like the rows and none may be unbounded; ``value`` must be an integer.
+    like the rows and none may be unbounded; ``value`` must be an integer. Nulls of
+    ``by`` are a group.
     """
-    from pyspark.sql import Window as W
-
-    totals = df.groupBy(*by, bucket).agg(F.sum(value).alias("_t"))
-    w = W.partitionBy(*by).orderBy(bucket) if by else W.partitionBy(F.lit(0)).orderBy(bucket)
-    offsets = totals.withColumn("_before", F.sum("_t").over(w) - F.col("_t")).drop("_t")
-    inner = W.partitionBy(*by, bucket).orderBy(*order)
+    d = df.withColumn("_by", F.struct(F.lit(0).alias("_"), *by))
+    totals = d.groupBy("_by", bucket).agg(F.sum(value).alias("_t"))
+    offsets = totals.withColumn("_before", F.sum("_t").over(W.partitionBy("_by").orderBy(bucket)) - F.col("_t")).drop("_t")
+    inner = W.partitionBy("_by", bucket).orderBy(*order)
     return (
-        df.withColumn("_run", F.sum(value).over(inner) - F.col(value))
-        .join(offsets, [*by, bucket])
+        d.withColumn("_run", F.sum(value).over(inner) - F.col(value))
+        .join(offsets, ["_by", bucket])
         .withColumn(out, F.col("_before") + F.col("_run"))
-        .drop("_before", "_run")
+        .drop("_before", "_run", "_by")
     )
+
+
+def top_before(df: DataFrame, by: list[str], bucket: Column, order: list[str], value: Column, out: str) -> DataFrame:
+    """df with ``out``: the largest ``value`` (a struct) of the rows before each, per ``by``, in the order (bucket, order).
+
+    Two levels, as in ``bucketed_prefix``: a bucket's rows meet in a task, a group's don't.
+    """
+    d = df.withColumns({"_by": F.struct(F.lit(0).alias("_"), *by), "_bucket": bucket, "_value": value})
+    tops = d.groupBy("_by", "_bucket").agg(F.max("_value").alias("_top"))
+    carried = tops.withColumn("_carry", F.max("_top").over(W.partitionBy("_by").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))).drop("_top")
+    here = F.max("_value").over(W.partitionBy("_by", "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return d.withColumn("_here", here).join(carried, ["_by", "_bucket"]).withColumn(out, F.greatest("_here", "_carry")).drop("_by", "_bucket", "_value", "_here", "_carry")

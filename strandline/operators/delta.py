@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.functions.shared import top_before
 from strandline.schema import PRIVATE
 
+#: Arrival numbers of a series that one task works through.
+CHUNK = 1_000_000
+
 
 def cumulative_to_delta(points: DataFrame, series: list[str], value: str = "value", ts: str = "ts_ns", seq: str = "_seq", start: str | None = None, initial: str = "auto", non_monotonic: str = "reset_on_decrease", max_staleness_ns: int | None = None) -> DataFrame:
     """points with ``delta``, ``delta_start`` (the previous point's time) and ``rule``.
@@ -18,14 +22,15 @@ def cumulative_to_delta(points: DataFrame, series: list[str], value: str = "valu
     start after the last time, is a ``reset`` and counts in full; a baseline older than
     ``max_staleness_ns`` is a first point again; all else is the ``difference``. Values should be integers for exact results. Null values
     are left out and never become the baseline. ``non_monotonic="difference"`` allows negative deltas.
+
+    The baseline is the row of the latest time before, of equal times the first to
+    arrive. A series is worked through in pieces of ``CHUNK`` arrival numbers.
     """
-    by = W.partitionBy(*series).orderBy(seq)
     d = points.where(F.col(value).isNotNull() & F.col(ts).isNotNull())
-    d = d.withColumn("_pm", F.max(ts).over(by.rowsBetween(W.unboundedPreceding, -1)))
-    late = d.where(F.col(ts) <= F.col("_pm"))
-    kept = d.where(F.col("_pm").isNull() | (F.col(ts) > F.col("_pm")))
-    # in the kept rows times only rise, so the row before is the baseline
-    kept = kept.withColumn("_pv", F.lag(value).over(by))
+    d = top_before(d, series, F.expr(f"{seq} div {CHUNK}"), [seq], F.struct(F.col(ts).alias("t"), (-F.col(seq)).alias("s"), F.col(value).alias("v")), "_p")
+    d = d.withColumn("_pm", F.col("_p.t"))
+    late = d.where(F.col(ts) <= F.col("_pm")).drop("_p")
+    kept = d.where(F.col("_pm").isNull() | (F.col(ts) > F.col("_pm"))).withColumn("_pv", F.col("_p.v")).drop("_p")
     st = F.coalesce(F.col(start), F.lit(0)) if start else F.lit(0).cast("bigint")
     restart = (st != 0) & (st > F.col("_pm")) & (st != F.col(ts))
     first = F.col("_pv").isNull()
@@ -45,9 +50,9 @@ def histogram_to_delta(points: DataFrame, series: list[str], ts: str = "ts_ns",
 
     A change of bounds is dropped and becomes the baseline; a fall of any bucket is a reset.
     """
-    by = W.partitionBy(*series).orderBy(seq)
-    d = points.withColumn("_pm", F.max(ts).over(by.rowsBetween(W.unboundedPreceding, -1))).where(F.col("_pm").isNull() | (F.col(ts) > F.col("_pm")))
-    d = d.withColumn("_pb", F.lag("buckets").over(by)).withColumn("_ps", F.lag("sum").over(by))
+    d = top_before(points, series, F.expr(f"{seq} div {CHUNK}"), [seq], F.struct(F.col(ts).alias("t"), (-F.col(seq)).alias("s"), F.col("buckets").alias("b"), F.col("sum").alias("v")), "_p")
+    d = d.withColumn("_pm", F.col("_p.t")).where(F.col("_pm").isNull() | (F.col(ts) > F.col("_pm")))
+    d = d.withColumn("_pb", F.col("_p.b")).withColumn("_ps", F.col("_p.v")).drop("_p")
     bounds = lambda c: F.transform(c, lambda b: b["bound"])
     same = bounds(F.col("buckets")) == bounds(F.col("_pb"))
     pairs = F.arrays_zip(F.col("buckets").alias("n"), F.col("_pb").alias("o"))

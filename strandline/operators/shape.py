@@ -38,8 +38,11 @@ def summarise(measures: DataFrame, by: list[str], max_keys: int = 4096, max_sets
     """Per group: events, sizes, distinct keys and key sets, the shares of the one and five most frequent key sets, overflow."""
     sizes = measures.groupBy(*by).agg(F.count("*").alias("events"), F.sum("attributes").alias("attributes"), F.max("attributes").alias("max_attributes"), F.sum("key_bytes").alias("key_bytes"), F.sum("value_bytes").alias("value_bytes"), F.sum("body_bytes").alias("body_bytes"))
     sets = measures.groupBy(*by, "key_set").agg(F.count("*").alias("n"))
-    ranked = sets.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), "key_set")))
-    tops = ranked.groupBy(*by).agg(F.count("*").alias("distinct_key_sets"), F.sum(F.when(F.col("r") <= 1, F.col("n"))).alias("top1"), F.sum(F.when(F.col("r") <= 5, F.col("n"))).alias("top5"), F.sum("n").alias("_n"))
+    # the five most frequent of every salted part hold the five most frequent of all
+    part = F.row_number().over(W.partitionBy(*by, F.pmod(F.xxhash64("key_set"), F.lit(32))).orderBy(F.desc("n"))) <= 5
+    most = F.sort_array(F.collect_list(F.when(F.col("_part"), F.col("n"))), False)
+    tops = sets.withColumn("_part", part).groupBy(*by).agg(F.count("*").alias("distinct_key_sets"), most.alias("_most"), F.sum("n").alias("_n"))
+    tops = tops.withColumn("top1", F.col("_most")[0]).withColumn("top5", F.aggregate(F.slice("_most", 1, 5), F.lit(0).cast("bigint"), lambda a, x: a + x)).drop("_most")
     keys = sets.select(*by, F.explode("key_set").alias("k")).groupBy(*by).agg(F.count_distinct("k").alias("distinct_keys"))
     out = sizes.join(tops, by).join(keys, by, "left").withColumn("distinct_keys", F.coalesce("distinct_keys", F.lit(0)))
     out = out.withColumn("share_top1", F.col("top1") / F.col("_n")).withColumn("share_top5", F.col("top5") / F.col("_n"))

@@ -7,19 +7,22 @@ arrival is a permutation of the row numbers and times are coarsened, in both lan
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import hashing, sketch
 from strandline.functions import values as V
-from strandline.functions.shared import micros, read
+from strandline.functions.shared import micros
+from strandline.functions.shared import read as shared_read
 from strandline.operators import aggregate as A
 from strandline.operators import delta, filters, http_access, parsers, reshape, route, shape
 from strandline.operators.reshape import metric
 from strandline.schema import ATTRIBUTES, LOG, METRIC, SPAN
 from strandline.sources import text
 
+read = partial(shared_read, spread=True)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 HOUR = 3_600_000_000_000

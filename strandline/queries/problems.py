@@ -64,8 +64,8 @@ def _hosts(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Resolvable timestamps that aren't in their normal form, with their instant."""
     hosts = _hosts(spark, d)
-    syslog = read(spark, d, "syslog_records").where(~F.col("syslog_timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z$"))
-    samples = read(spark, d, "samples").where(~F.col("sample_timestamp").rlike(r"^\d{13}$"))
+    syslog = read(spark, d, "syslog_records", spread=True).where(~F.col("syslog_timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z$"))
+    samples = read(spark, d, "samples", spread=True).where(~F.col("sample_timestamp").rlike(r"^\d{13}$"))
     points = read(spark, d, "metric_points").where((F.col("point_timestamp") < identity.FIRST_S) | (F.col("point_timestamp") >= identity.END_S))
     parts = [
         instants.normalise(syslog.select("record_id", "syslog_timestamp", "received_at", "host_name"), "syslog_timestamp", "received_at", "host_name", hosts)
@@ -113,13 +113,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """One row per log entry with its number of lines and its header's fields."""
-    e = log_entries.entries(read(spark, d, "syslog_lines"))
+    e = log_entries.entries(read(spark, d, "syslog_lines", spread=True))
     return e.select("head_line_id", "n_lines", "host_name", "syslog_tag", "process_pid", "syslog_msgid", "severity")
 
 
 def p6_entries(spark: SparkSession, d: str) -> DataFrame:
     """Entries with timestamp and whole message too."""
-    return log_entries.entries(read(spark, d, "syslog_lines"), with_message=True)
+    return log_entries.entries(read(spark, d, "syslog_lines", spread=True), with_message=True)
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import values as V
+from strandline.functions.shared import bucketed_prefix
 from strandline.operators.parsers import json_value
 from strandline.schema import EVENT, METRIC
 
@@ -348,11 +349,10 @@ def log_intake(df: DataFrame, body: str = "body") -> DataFrame:
 
 def docker_logs(df: DataFrame, line: str = "line") -> DataFrame:
     """Rows of a container engine's JSON log files; parts up to a newline are one message per ``stream`` of a file."""
-    from pyspark.sql import Window as W
-
     d = df.withColumn("j", F.from_json(F.col(line), "log string, stream string, time string, attrs map<string,string>")).where("j.log is not null")
     by = [c for c in ("file",) if c in df.columns] + ["stream"]
     d = d.select(*[c for c in df.columns if c != line], F.col("j.stream").alias("stream"), rfc3339_ns(F.col("j.time")).alias("ts_ns"), F.col("j.log").alias("text"), F.transform_values(F.coalesce("j.attrs", F.create_map().cast("map<string,string>")), lambda _, v: V.s(v)).alias("attributes"))
-    w = W.partitionBy(*by).orderBy("_seq").rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumn("_e", F.coalesce(F.sum(F.when(F.col("text").endswith("\n"), 1).otherwise(0)).over(w), F.lit(0)))
+    # ends of messages before a line number its message; counted in pieces, so no task holds a stream
+    d = d.withColumns({"_ends": F.col("text").endswith("\n").cast("int"), "_chunk": F.expr("_seq div 1000000")})
+    d = bucketed_prefix(d, by, "_chunk", ["_seq"], "_ends", "_e")
     return d.groupBy(*by, "_e").agg(F.min("_seq").alias("_seq"), F.min_by("ts_ns", "_seq").alias("ts_ns"), F.min_by("attributes", "_seq").alias("attributes"), F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_seq", "text"))), lambda x: x["text"]), ""), "\n$", "").alias("message")).drop("_e")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import values as V
+from strandline.functions.shared import bucketed_prefix
 from strandline.operators.parsers import influx_points, influx_value
 from strandline.schema import PRIVATE
 
@@ -330,12 +331,11 @@ CRI = r"^(\S+) (stdout|stderr) ([FP])(?::\S*)? (.*)$"
 
 def cri(lines: DataFrame, stream: list[str]) -> DataFrame:
     """Container-runtime lines joined over partial flags: per stream, P lines up to the next F are one message."""
-    from pyspark.sql import Window as W
-
     g = lambda i: F.regexp_extract("line", CRI, i)
     d = lines.where(F.col("line").rlike(CRI)).select(*stream, "_seq", g(1).alias("time"), g(2).alias("out"), g(3).alias("flag"), g(4).alias("text"))
-    w = W.partitionBy(*stream, "out").orderBy("_seq").rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumn("entry", F.coalesce(F.sum(F.when(F.col("flag") == "F", 1).otherwise(0)).over(w), F.lit(0)))
+    # final parts before a line number its message; counted in pieces, so no task holds a stream
+    d = d.withColumns({"_final": (F.col("flag") == "F").cast("int"), "_chunk": F.expr("_seq div 1000000")})
+    d = bucketed_prefix(d, [*stream, "out"], "_chunk", ["_seq"], "_final", "entry")
     return d.groupBy(*stream, "out", "entry").agg(F.min("_seq").alias("_seq"), F.min_by("time", "_seq").alias("time"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_seq", "text"))), lambda x: x["text"]), "").alias("message")).drop("entry")
 
 

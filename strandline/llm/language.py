@@ -274,8 +274,8 @@ def _slices(batch: pa.RecordBatch, chars: int = 12_000_000) -> Iterator[pa.Recor
         at = end
 
 
-def _count(df: DataFrame, model: Model | None) -> dict[tuple[str, str], float]:
-    """Words per language in (text, lang): by the label, or by the model's own labels."""
+def _count(df: DataFrame, model: Model | None, languages: int) -> dict[tuple[str, str], float]:
+    """Words per language in (text, lang), of so many languages: by the label, or by the model's own labels."""
     states = model.states if model else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,9 +292,8 @@ def _count(df: DataFrame, model: Model | None) -> dict[tuple[str, str], float]:
 
     counted = df.select("text", "lang").mapInArrow(run, "word string, lang string, n bigint")
     sums = counted.where("length(word) <= 40").groupBy("word", "lang").agg(F.sum("n").alias("n")).where(F.col("lang") != NONE).where("n >= 2")
-    languages = max(1, sums.select("lang").distinct().count())
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))  # of the sample's words only
-    top = sums.withColumn("r", rank).where(F.col("r") <= min(VOCABULARY, MODEL_WORDS // languages))
+    top = sums.withColumn("r", rank).where(F.col("r") <= min(VOCABULARY, MODEL_WORDS // max(languages, 1)))
     return {(r["word"], r["lang"]): float(r["n"]) for r in top.collect()}
 
 
@@ -305,8 +304,8 @@ def train(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     u = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "doc_id"), 11) / F.lit(float(2**53))
     sample = materialise(d.where(u < rate[F.col("lang")]).select("text", "lang"))
-    first = Model(_count(sample, None))
-    return Model(_count(sample, first)) if first.words else first
+    first = Model(_count(sample, None, len(sizes)))
+    return Model(_count(sample, first, len(sizes))) if first.words else first
 
 
 def identify(docs: DataFrame, model: Model, segments: bool = False, keep: list[str] | None = None) -> DataFrame:

@@ -198,7 +198,7 @@ def _model(spark: SparkSession, d: str) -> language.Model:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages with running prose in a document that its label doesn't name."""
-    docs = read(spark, d, "documents")
+    docs = read(spark, d, "documents", spread=True)
     found = language.identify(docs, _model(spark, d), keep=["doc_id", "lang"])
     label = F.coalesce(language.named(F.col("lang")), F.lit(""))
     return found.where((F.col("letters") >= language.LEAST_LETTERS) & (F.col("language") != language.NONE) & (F.col("language") != label)).select("doc_id", F.col("language").alias("lang"))
@@ -206,7 +206,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_documents(spark: SparkSession, d: str) -> DataFrame:
     """Main language of every document that has one, with its confidence."""
-    docs = read(spark, d, "documents")
+    docs = read(spark, d, "documents", spread=True)
     found = language.identify(docs, _model(spark, d)).where(F.col("language") != language.NONE)
     top = F.max(F.struct("letters", "language", "confidence")).alias("m")
     return found.groupBy("doc_id").agg(top, F.count("*").alias("languages")).select("doc_id", F.col("m.language").alias("lang"), "m.letters", "m.confidence", "languages")
@@ -214,7 +214,7 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     """Spans of one language, in the order of the words."""
-    docs = read(spark, d, "documents")
+    docs = read(spark, d, "documents", spread=True)
     return language.identify(docs, _model(spark, d), segments=True)
 
 

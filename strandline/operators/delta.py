@@ -64,6 +64,47 @@ def histogram_to_delta(points: DataFrame, series: list[str], ts: str = "ts_ns",
     return out.withColumn("delta_sum", F.when(F.col("rule") == "reset", F.col("sum")).when(F.col("rule") == "difference", F.col("sum") - F.col("_ps"))).withColumn("delta_start", F.col("_pm")).drop("_pb", "_ps", "_pm")
 
 
+def _at_scale(offset: Column, counts: Column, shift: Column) -> Column:
+    """Buckets (i, c) of a side with its scale lowered by ``shift``; a negative index rounds down, as bounds do."""
+    counts = F.coalesce(counts, F.array().cast("array<bigint>"))
+    index = lambda i: F.floor((offset + i) / F.pow(F.lit(2.0), shift)).cast("int")
+    each = F.transform(counts, lambda c, i: F.struct(index(i).alias("i"), c.alias("c")))
+    total = lambda j: F.aggregate(F.filter(each, lambda b: b["i"] == j), F.lit(0).cast("bigint"), lambda a, b: a + b["c"])
+    merged = F.transform(F.sequence(index(F.lit(0)), index(F.size(counts) - 1)), lambda j: F.struct(j.alias("i"), total(j).alias("c")))
+    return F.when(F.size(counts) == 0, F.array().cast("array<struct<i:int,c:bigint>>")).when(shift == 0, each).otherwise(merged)
+
+
+def exponential_to_delta(points: DataFrame, series: list[str], ts: str = "ts_ns", seq: str = "_seq") -> DataFrame:
+    """Cumulative exponential histograms (exp; sum, count) to deltas, with ``rule`` as for other histograms.
+
+    A baseline of a finer scale is brought to the new one. A finer scale than the
+    baseline's, or another zero threshold, is a ``layout`` change: dropped, and the new
+    baseline. A fall of any bucket is a ``reset`` and counts in full. Times not after the
+    latest are left out; null histograms too.
+    """
+    d = points.where(F.col("exp").isNotNull())
+    d = top_before(d, series, F.expr(f"{seq} div {CHUNK}"), [seq], F.struct(F.col(ts).alias("t"), (-F.col(seq)).alias("s"), F.col("exp").alias("e"), F.col("sum").alias("v"), F.col("count").alias("n")), "_p")
+    d = d.where(F.col("_p").isNull() | (F.col(ts) > F.col("_p.t")))
+    shift = F.greatest(F.col("_p.e.scale") - F.col("exp.scale"), F.lit(0))
+    d = d.withColumns({"_pos": _at_scale(F.col("_p.e.pos_offset"), F.col("_p.e.positive"), shift), "_neg": _at_scale(F.col("_p.e.neg_offset"), F.col("_p.e.negative"), shift)})
+
+    def fell(side: str, old: str) -> Column:
+        offset, counts = F.col(f"exp.{'pos' if side == 'positive' else 'neg'}_offset"), F.coalesce(f"exp.{side}", F.array().cast("array<bigint>"))
+        return F.exists(old, lambda b: b["c"] > F.coalesce(F.get(counts, b["i"] - offset), F.lit(0)))
+
+    def less(side: str, old: str) -> Column:
+        offset = F.col(f"exp.{'pos' if side == 'positive' else 'neg'}_offset")
+        first = F.get(F.col(old), F.lit(0))["i"]
+        return F.transform(f"exp.{side}", lambda c, i: c - F.coalesce(F.get(F.col(old), F.coalesce(offset + i - first, F.lit(-1)))["c"], F.lit(0).cast("bigint")))
+    layout = (F.col("exp.scale") > F.col("_p.e.scale")) | ~F.col("exp.zero_threshold").eqNullSafe(F.col("_p.e.zero_threshold"))
+    falls = fell("positive", "_pos") | fell("negative", "_neg") | (F.col("exp.zero_count") < F.col("_p.e.zero_count"))
+    d = d.withColumn("rule", F.when(F.col("_p").isNull(), "first").when(layout, "layout").when(falls, "reset").otherwise("difference"))
+    diff = F.col("exp").withField("positive", less("positive", "_pos")).withField("negative", less("negative", "_neg")).withField("zero_count", F.col("exp.zero_count") - F.col("_p.e.zero_count"))
+    pick = lambda whole, part: F.when(F.col("rule") == "reset", whole).when(F.col("rule") == "difference", part)
+    d = d.withColumns({"delta_exp": pick(F.col("exp"), diff), "delta_sum": pick(F.col("sum"), F.col("sum") - F.col("_p.v")), "delta_count": pick(F.col("count"), F.col("count") - F.col("_p.n")), "delta_start": F.when(F.col("rule") != "first", F.col("_p.t"))})
+    return d.drop("_p", "_pos", "_neg")
+
+
 OBSERVED = ("samples", "distribution", "set_members", "set")
 RATE, RATE_SPAN = PRIVATE + "metrics.type", PRIVATE + "metrics.interval"
 DEDUP_KINDS = frozenset({"sum", "gauge", "gauge_delta", "samples", "distribution", "set_members", "set", "histogram", "summary", "rate"})

@@ -16,7 +16,7 @@ from strandline.operators import aggregate as A
 from strandline.operators import delta, filters, http_access, late_events, parsers, reshape, route, script, shape
 from strandline.operators.reshape import metric
 from strandline.plans import graph
-from strandline.queries.engine import HOUR, MINUTE, _a, _mixed, _NOW, _orders, _ts, _two, _w, as_event, attrs, events, query
+from strandline.queries.engine import HOUR, _a, _histograms, _mixed, _NOW, _orders, _ts, _two, _w, as_event, attrs, events, query
 from strandline.sources import binary, io, json_formats, text
 from strandline.streaming import windows
 
@@ -458,6 +458,77 @@ def histogram_deltas(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_type", F.col("period").cast("timestamp_ntz").alias("period"), "rule", F.col("delta_buckets")[0]["count"].alias("low"), F.col("delta_buckets")[1]["count"].alias("high"))
 
 
+@query("""with h as (select event_type, time_bucket(interval '1 day', ts) period, count(*) filter (value <= 1) zero, count(*) n, """ + ", ".join(f"count(*) filter (value > {2**i} and value <= {2**(i+1)}) b{i}" for i in range(10)) + """ from events group by all)
+select event_type, period, case when lag(period) over w is null then 'first' else 'difference' end rule, case when lag(period) over w is not null then zero end zero, case when lag(period) over w is not null then n end n, """ + ", ".join(f"case when lag(period) over w is not null then b{i} end b{i}" for i in range(10)) + " from h window w as (partition by event_type order by period)")
+def exponential_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Cumulative exponential histograms of falling scale to deltas, read from export requests."""
+    from pyspark.sql import Window as W
+
+    v, days = F.col("value"), F.expr("unix_micros(cast(period as timestamp)) div 86400000000")
+    e = read(spark, d, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("period")).agg(F.count_if(v <= 1).alias("z"), F.count("*").alias("n"), F.sum("value").alias("s"), *[F.count_if((v > 2**i) & (v <= 2 ** (i + 1))).alias(f"c{i}") for i in range(10)])
+    w = W.partitionBy("event_type").orderBy("period")
+    run = lambda c: F.sum(c).over(w)
+    text_of = lambda c: F.to_json(F.transform(c, lambda x: x.cast("string")))
+    counts = F.array(*[run(f"c{i}") for i in range(10)])
+    # the first day counts at twice the resolution: every bucket and an empty one beside it
+    fine = F.flatten(F.transform(counts, lambda c: F.array(F.lit(0).cast("bigint"), c)))
+    first = F.row_number().over(w) == 1
+    body = F.concat(F.lit('{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"name":"m","exponentialHistogram":{"aggregationTemporality":2,"dataPoints":[{"timeUnixNano":"'), (days * F.lit(86_400_000_000_000)).cast("string"), F.lit('","scale":'), F.when(first, "1").otherwise("0"),
+                    F.lit(',"zeroCount":"'), run("z").cast("string"), F.lit('","count":"'), run("n").cast("string"), F.lit('","sum":'), run("s").cast("string"), F.lit(',"positive":{"offset":0,"bucketCounts":'), text_of(F.when(first, fine).otherwise(counts)), F.lit("}}]}}]}]}]}"))
+    m = json_formats.otlp_metrics(e.select("event_type", "period", days.alias("_seq"), body.alias("body")))
+    out = delta.exponential_to_delta(m, ["event_type"])
+    c = F.col("delta_exp.positive")
+    return out.select("event_type", F.col("period").cast("timestamp_ntz").alias("period"), "rule", F.col("delta_exp.zero_count").alias("zero"), F.col("delta_count").alias("n"), *[F.get(c, F.lit(i)).alias(f"b{i}") for i in range(10)])
+
+
+@query("""select l_returnflag flag, n "name", v from (select l_returnflag, count(*)::double n0, round(sum(l_extendedprice), 2) s, min(l_extendedprice) lo, max(l_extendedprice) hi, count(*) filter (l_extendedprice <= 1000)::double b0, count(*) filter (l_extendedprice > 1000 and l_extendedprice <= 10000)::double b1,
+count(*) filter (l_extendedprice > 10000 and l_extendedprice <= 30000)::double b2, count(*) filter (l_extendedprice > 30000 and l_extendedprice <= 60000)::double b3, count(*) filter (l_extendedprice > 60000)::double b4 from lineitem group by 1) t,
+lateral (values ('.count', n0), ('.sum', s), ('.min', lo), ('.max', hi), ('.bucket_1000', b0), ('.bucket_10000', b1), ('.bucket_30000', b2), ('.bucket_60000', b3), ('.bucket_inf', b4)) x(n, v)""".replace("::double b", "::double b").replace("filter (l_extendedprice <= 1000)::double", "filter (l_extendedprice <= 1000)*1.0::double"))
+def multi_value_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """A histogram as one number per row."""
+    out, _ = A.aggregate(_histograms(spark, d), 1 << 62, "cumulative", kinds={"histogram"})
+    m = out.withColumns({"sum": F.round("h_sum", 2), "min": F.col("h_min"), "max": F.col("h_max"), "count": F.col("absorbed"), "quantiles": F.lit(None).cast("array<struct<q:double,v:double>>"), "members": F.lit(None).cast("array<string>")})
+    return text.multi_value(m).select(_a("flag"), F.replace("name", F.lit("line.price"), F.lit("")).alias("name"), F.col("value").alias("v"))
+
+
+@query("select event_type, n::bigint n, round(total, 4) total, lo, hi from (select event_type, count(*) n, sum(value) total, min(value) lo, max(value) hi from events group by 1)")
+def prometheus_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles, sum and count of the exposition format as summaries."""
+    e = read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    row = lambda name, q, c: F.concat(F.lit(f'app_took{name}{{type="'), F.col("event_type"), F.lit(f'"{q}}} '), F.col(c).cast("string"))
+    lines = e.select(F.explode(F.array(F.lit("# TYPE app_took summary"), row("", ',quantile="0"', "lo"), row("", ',quantile="1"', "hi"), row("_sum", "", "s"), row("_count", "", "n"))).alias("line"))
+    r = text.prometheus_summaries(text.prometheus(lines.select("line", F.lit(1).cast("bigint").alias("_seq"), F.lit(5).cast("bigint").alias("ts_ns"))))
+    return r.select(_a("type").alias("event_type"), F.col("count").alias("n"), F.round("sum", 4).alias("total"), F.col("quantiles")[0]["v"].alias("lo"), F.col("quantiles")[1]["v"].alias("hi"))
+
+
+@query("select event_id, 's' || event_type title, props message, case when event_type = 'error' then 'error' else 'info' end severity, epoch_us(date_trunc('second', ts))*1000 ts_ns, user_id::varchar member from events")
+def event_posts_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Event bodies as logs."""
+    e = read(spark, d, "events")
+    body = F.to_json(F.struct(F.concat(F.lit("s"), F.col("event_type")).alias("title"), F.col("props").alias("text"), F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("date_happened"), F.when(F.col("event_type") == "error", "error").otherwise("success").alias("alert_type"), F.array(F.concat(F.lit("user:"), F.col("user_id").cast("string"))).alias("tags")))
+    r = json_formats.event_posts(e.select("event_id", body.alias("body")))
+    return r.select("event_id", _a("event.title").alias("title"), "message", "severity", "ts_ns", _a("user").alias("member"))
+
+
+@query("select o_orderkey, 'db' named, (o_orderkey % 4)::varchar status, 'h' || (o_custkey % 3) host from orders where o_orderkey % 5 < 4")
+def check_runs_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Service checks; a status beyond 3 is left out."""
+    o = read(spark, d, "orders")
+    k = F.col("o_orderkey")
+    body = F.to_json(F.array(F.struct(F.lit("db").alias("check"), F.concat(F.lit("h"), F.col("o_custkey") % 3).alias("host_name"), F.when(k % 5 == 4, 9).otherwise(k % 4).alias("status"), k.alias("timestamp"))))
+    r = json_formats.check_runs(o.select("o_orderkey", body.alias("body")))
+    return r.select("o_orderkey", _a("service_check.name").alias("named"), _a("service_check.status").alias("status"), _a("host.name").alias("host"))
+
+
+@query("select event_id, value first_v, user_id::double second_v, event_type, epoch_us(date_trunc('second', ts))*1000 ts_ns from events")
+def distribution_points_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Distribution points: several raw values at a time."""
+    e = read(spark, d, "events")
+    body = F.concat(F.lit('{"series":[{"metric":"m","points":[['), F.expr("unix_micros(cast(ts as timestamp)) div 1000000").cast("string"), F.lit(",["), F.col("value").cast("string"), F.lit(","), F.col("user_id").cast("string"), F.lit(']]],"tags":["type:'), F.col("event_type"), F.lit('"]}]}'))
+    r = json_formats.distribution_points(e.select("event_id", body.alias("body")))
+    return r.select("event_id", F.col("samples")[0].alias("first_v"), F.col("samples")[1].alias("second_v"), _a("type").alias("event_type"), "ts_ns")
+
+
 # -- graphs, functions, streams -------------------------------------------------------------------
 
 _CHAIN = """

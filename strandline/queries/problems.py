@@ -63,7 +63,17 @@ def _hosts(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Resolvable timestamps that aren't in their normal form, with their instant."""
-    hosts = _hosts(spark, d)
+    return _instants(spark, d, _hosts(spark, d))
+
+
+def p2_estimated(spark: SparkSession, d: str) -> DataFrame:
+    """The same conversion with no zone given: every host's comes from its own unzoned timestamps."""
+    hosts = read(spark, d, "hosts")
+    blank = hosts.select("host_name", F.lit(None).cast("string").alias("tz_name"))
+    return _instants(spark, d, materialise(instants.fill_zones(blank, materialise(_estimates(spark, d, hosts)), "host")))
+
+
+def _instants(spark: SparkSession, d: str, hosts: DataFrame) -> DataFrame:
     syslog = read(spark, d, "syslog_records", spread=True).where(~F.col("syslog_timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z$"))
     samples = read(spark, d, "samples", spread=True).where(~F.col("sample_timestamp").rlike(r"^\d{13}$"))
     points = read(spark, d, "metric_points").where((F.col("point_timestamp") < identity.FIRST_S) | (F.col("point_timestamp") >= identity.END_S))
@@ -146,7 +156,7 @@ def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
     return bits
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p1_corrections, p2_found, p2_zones, p3_found, p3_marks, p3_grid, p6_found, p6_entries, p7_found, p7_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p1_corrections, p2_found, p2_zones, p2_estimated, p3_found, p3_marks, p3_grid, p6_found, p6_entries, p7_found, p7_ledger)}
 
 _FIRST = """with a as (select log_id, service_name, event_timestamp e, case when observed_timestamp <> 0 then observed_timestamp else epoch_us(received_at)*1000 end arrival from log_records where event_timestamp <> 0),
 f as (select log_id, arg_min(service_name, arrival) service_name, min(arrival) arrival, arg_min(e, arrival) e from a group by 1),

@@ -35,6 +35,8 @@ METRIC = struct(
     name=STR, unit=STR, description=STR, start_ns=LONG, flags=INT, kind=STR, value=DOUBLE, value_i64=LONG, value_type=STR, temporality=STR, monotonic=BOOL,
     samples=T.ArrayType(DOUBLE), sample_rate=DOUBLE, members=T.ArrayType(STR), bins=T.MapType(INT, DOUBLE), buckets=T.ArrayType(struct(bound=DOUBLE, count=LONG)),
     quantiles=T.ArrayType(struct(q=DOUBLE, v=DOUBLE)), count=LONG, sum=DOUBLE, min=DOUBLE, max=DOUBLE,
+    # bucket i of a side counts magnitudes from base^(offset + i) up to base^(offset + i + 1), base = 2^(2^-scale)
+    exp=struct(scale=INT, zero_count=LONG, zero_threshold=DOUBLE, pos_offset=INT, positive=T.ArrayType(LONG), neg_offset=INT, negative=T.ArrayType(LONG)),
 )
 SPAN = struct(trace_id=STR, span_id=STR, parent_span_id=STR, name=STR, kind=STR, status=STR, end_ns=LONG, flags=INT)
 EVENT = T.StructType([

@@ -47,7 +47,7 @@ def generate(spark: SparkSession, count: int, interval_ns: int = 0, start_ns: in
 DECODERS = {
     "statsd": text.statsd, "graphite": text.graphite, "influxdb": text.influx, "prometheus": text.prometheus, "statsd_logs": text.statsd_logs, "syslog": text.syslog, "nginx_status": text.nginx_status, "apache_status": text.apache_status,
     "archive": json_formats.read_archive, "otlp_json_metrics": json_formats.otlp_metrics, "otlp_json_logs": json_formats.otlp_logs, "otlp_json_traces": json_formats.otlp_traces, "hec": json_formats.hec,
-    "series_v1": json_formats.series_v1, "series_v2": json_formats.series_v2, "log_intake": json_formats.log_intake, "docker": json_formats.docker_logs,
+    "series_v1": json_formats.series_v1, "series_v2": json_formats.series_v2, "log_intake": json_formats.log_intake, "distribution_points": json_formats.distribution_points, "event_posts": json_formats.event_posts, "check_runs": json_formats.check_runs, "docker": json_formats.docker_logs,
 } | {name: (lambda df, n=name: binary.read(df, n)) for name in binary.READERS}
 
 ENCODERS = {

@@ -16,7 +16,7 @@ from strandline.schema import EVENT, METRIC
 
 # -- event archive -------------------------------------------------------------------------------
 
-_POINT = "struct<name:string,kind:string,value:variant,delta:double,temporality:string,monotonic:boolean,values:array<double>,sample_rate:double,members:array<string>,count:bigint,sum:double,min:double,max:double,buckets:array<struct<bound:variant,count:bigint>>,quantiles:array<struct<quantile:double,value:double>>,sketch:struct<positive:array<struct<key:int,count:double>>,negative:array<struct<key:int,count:double>>,zero_count:double>,unit:string,description:string,start_timestamp:string,flags:int>"
+_POINT = "struct<name:string,kind:string,value:variant,delta:double,temporality:string,monotonic:boolean,values:array<double>,sample_rate:double,members:array<string>,count:bigint,sum:double,min:double,max:double,buckets:array<struct<bound:variant,count:bigint>>,quantiles:array<struct<quantile:double,value:double>>,sketch:struct<positive:array<struct<key:int,count:double>>,negative:array<struct<key:int,count:double>>,zero_count:double>,exp:struct<scale:int,zero_count:bigint,zero_threshold:double,pos_offset:int,positive:array<bigint>,neg_offset:int,negative:array<bigint>>,unit:string,description:string,start_timestamp:string,flags:int>"
 _SPAN = "struct<name:string,trace_id:string,span_id:string,parent_span_id:string,kind:string,status:string,`end`:string,flags:int>"
 ARCHIVE = (
     "timestamp string, log struct<severity:string,format:string,message:variant,event_name:string,observed_timestamp:string,trace_id:string,span_id:string,trace_flags:int,dropped_attributes_count:int>, "
@@ -68,7 +68,7 @@ def read_archive(df: DataFrame, line: str = "line") -> DataFrame:
             "value_type": F.when(text.rlike(r"^-?\d+$"), "i").when(text.isin("true", "false"), "b").when(x["value"].isNotNull() | x["delta"].isNotNull(), "f"),
             "temporality": x["temporality"], "monotonic": x["monotonic"], "samples": x["values"], "sample_rate": x["sample_rate"], "members": x["members"], "bins": F.when(x["sketch"].isNotNull(), bins),
             "buckets": F.transform(x["buckets"], lambda b: F.struct(F.coalesce(F.try_variant_get(b["bound"], "$", "double"), F.when(F.try_variant_get(b["bound"], "$", "string") == "inf", float("inf")), F.when(F.try_variant_get(b["bound"], "$", "string") == "-inf", float("-inf"))).alias("bound"), b["count"].alias("count"))),
-            "quantiles": F.transform(x["quantiles"], lambda q: F.struct(q["quantile"].alias("q"), q["value"].alias("v"))), "count": x["count"], "sum": x["sum"], "min": x["min"], "max": x["max"],
+            "quantiles": F.transform(x["quantiles"], lambda q: F.struct(q["quantile"].alias("q"), q["value"].alias("v"))), "count": x["count"], "sum": x["sum"], "min": x["min"], "max": x["max"], "exp": x["exp"],
         }
         return F.struct(*[made[f.name].cast(f.dataType).alias(f.name) for f in METRIC])
     message = F.when(F.schema_of_variant("j.log.message") == "STRING", F.try_variant_get("j.log.message", "$", "string")).otherwise(F.to_json("j.log.message"))
@@ -134,7 +134,7 @@ def write_archive(events: DataFrame) -> DataFrame:
             ("values", some(x["samples"], F.to_json)), ("sample_rate", some(x["sample_rate"], _f)), ("members", some(x["members"], F.to_json)), ("count", some(x["count"], _n)), ("sum", some(x["sum"], _f)), ("min", some(x["min"], _f)), ("max", some(x["max"], _f)),
             ("buckets", F.when(x["buckets"].isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(x["buckets"], lambda b: F.concat(F.lit('{"bound":'), _f(b["bound"]), F.lit(',"count":'), _n(b["count"]), F.lit("}"))), ","), F.lit("]")))),
             ("quantiles", F.when(x["quantiles"].isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(x["quantiles"], lambda b: F.concat(F.lit('{"quantile":'), _f(b["q"]), F.lit(',"value":'), _f(b["v"]), F.lit("}"))), ","), F.lit("]")))),
-            ("sketch", F.when(x["bins"].isNotNull(), sketch)), ("unit", some(x["unit"], _q)), ("description", some(x["description"], _q)), ("start_timestamp", F.when(x["start_ns"] != 0, _q(ns_rfc3339(x["start_ns"])))), ("flags", F.when(x["flags"] != 0, _n(x["flags"]))),
+            ("sketch", F.when(x["bins"].isNotNull(), sketch)), ("exp", some(x["exp"], F.to_json)), ("unit", some(x["unit"], _q)), ("description", some(x["description"], _q)), ("start_timestamp", F.when(x["start_ns"] != 0, _q(ns_rfc3339(x["start_ns"])))), ("flags", F.when(x["flags"] != 0, _n(x["flags"]))),
         ])
     metrics = F.when(F.size("metrics") > 0, F.concat(F.lit("["), F.array_join(F.transform("metrics", m), ","), F.lit("]")))
     span = F.when(F.col("span").isNotNull(), _object([*[(c, some(F.col(f"span.{c}"), _q)) for c in ("name", "trace_id", "span_id", "parent_span_id", "kind", "status")], ("end", some(F.col("span.end_ns"), lambda c: _q(ns_rfc3339(c)))), ("flags", some(F.col("span.flags"), _n))]))
@@ -156,8 +156,8 @@ def open_archive(spark: SparkSession, path: str) -> DataFrame:
 
 _ANY = "variant"
 _KV = f"array<struct<key:string,value:{_ANY}>>"
-_NUM = "struct<attributes:" + _KV + ",timeUnixNano:string,startTimeUnixNano:string,asDouble:double,asInt:string,flags:int,count:string,sum:double,min:double,max:double,bucketCounts:array<string>,explicitBounds:array<double>,quantileValues:array<struct<quantile:double,value:double>>>"
-OTLP_METRICS = f"resourceMetrics array<struct<resource:struct<attributes:{_KV}>,scopeMetrics:array<struct<scope:struct<name:string,version:string>,metrics:array<struct<name:string,unit:string,description:string,gauge:struct<dataPoints:array<{_NUM}>>,sum:struct<dataPoints:array<{_NUM}>,aggregationTemporality:variant,isMonotonic:boolean>,histogram:struct<dataPoints:array<{_NUM}>,aggregationTemporality:variant>,summary:struct<dataPoints:array<{_NUM}>>>>>>>>"
+_NUM = "struct<attributes:" + _KV + ",timeUnixNano:string,startTimeUnixNano:string,asDouble:double,asInt:string,flags:int,count:string,sum:double,min:double,max:double,bucketCounts:array<string>,explicitBounds:array<double>,quantileValues:array<struct<quantile:double,value:double>>,scale:int,zeroCount:string,zeroThreshold:double,positive:struct<offset:int,bucketCounts:array<string>>,negative:struct<offset:int,bucketCounts:array<string>>>"
+OTLP_METRICS = f"resourceMetrics array<struct<resource:struct<attributes:{_KV}>,scopeMetrics:array<struct<scope:struct<name:string,version:string>,metrics:array<struct<name:string,unit:string,description:string,gauge:struct<dataPoints:array<{_NUM}>>,sum:struct<dataPoints:array<{_NUM}>,aggregationTemporality:variant,isMonotonic:boolean>,histogram:struct<dataPoints:array<{_NUM}>,aggregationTemporality:variant>,summary:struct<dataPoints:array<{_NUM}>>,exponentialHistogram:struct<dataPoints:array<{_NUM}>,aggregationTemporality:variant>>>>>>>"
 OTLP_LOGS = f"resourceLogs array<struct<resource:struct<attributes:{_KV}>,scopeLogs:array<struct<scope:struct<name:string,version:string>,logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:variant,severityText:string,body:{_ANY},attributes:{_KV},traceId:string,spanId:string,flags:int,eventName:string,droppedAttributesCount:int>>>>>>"
 OTLP_TRACES = f"resourceSpans array<struct<resource:struct<attributes:{_KV}>,scopeSpans:array<struct<scope:struct<name:string,version:string>,spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:variant,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{_KV},status:struct<code:variant,message:string>,flags:int>>>>>>"
 
@@ -189,15 +189,19 @@ def otlp_metrics(df: DataFrame, body: str = "body") -> DataFrame:
     d = d.select(*[c for c in df.columns if c != body], F.explode_outer("j.resourceMetrics").alias("r")).withColumn("s", F.explode_outer("r.scopeMetrics")).withColumn("m", F.explode_outer("s.metrics"))
     tagged = lambda kind: F.transform(F.col(f"m.{kind}.dataPoints"), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("p")))
     none = F.array().cast(f"array<struct<kind:string,p:{_NUM}>>")
-    d = d.withColumn("x", F.explode_outer(F.concat(*[F.coalesce(tagged(k), none) for k in ("gauge", "sum", "histogram", "summary")]))).where("x is not null")
+    d = d.withColumn("x", F.explode_outer(F.concat(*[F.coalesce(tagged(k), none) for k in ("gauge", "sum", "histogram", "summary", "exponentialHistogram")]))).where("x is not null")
     p = F.col("x.p")
     bounds = F.transform(F.concat(F.coalesce(p["explicitBounds"], F.array().cast("array<double>")), F.array(F.lit(float("inf")))), lambda b, i: F.struct(b.alias("bound"), p["bucketCounts"][i].cast("bigint").alias("count")))
     return d.select(
-        *[c for c in df.columns if c != body], _kvs(F.col("r.resource.attributes")).alias("resource"), F.col("s.scope.name").alias("scope_name"), F.col("m.name").alias("name"), F.col("m.unit").alias("unit"), F.col("m.description").alias("description"), F.col("x.kind").alias("kind"),
+        *[c for c in df.columns if c != body], _kvs(F.col("r.resource.attributes")).alias("resource"), F.col("s.scope.name").alias("scope_name"), F.col("m.name").alias("name"), F.col("m.unit").alias("unit"), F.col("m.description").alias("description"), F.when(F.col("x.kind") == "exponentialHistogram", "exponential_histogram").otherwise(F.col("x.kind")).alias("kind"),
         _kvs(p["attributes"]).alias("attributes"), p["timeUnixNano"].try_cast("bigint").alias("ts_ns"), F.coalesce(p["startTimeUnixNano"].try_cast("bigint"), F.lit(0)).alias("start_ns"), F.coalesce(p["flags"], F.lit(0)).alias("flags"),
         F.coalesce(p["asDouble"], p["asInt"].try_cast("double")).alias("value"), p["asInt"].try_cast("bigint").alias("value_i64"), F.when(p["asInt"].isNotNull(), "i").when(p["asDouble"].isNotNull(), "f").alias("value_type"),
-        F.coalesce(_temporality(F.col("m.sum.aggregationTemporality")), _temporality(F.col("m.histogram.aggregationTemporality"))).alias("temporality"), F.when(F.col("x.kind") == "sum", F.coalesce("m.sum.isMonotonic", F.lit(False))).alias("monotonic"),
+        F.coalesce(_temporality(F.col("m.sum.aggregationTemporality")), _temporality(F.col("m.histogram.aggregationTemporality")), _temporality(F.col("m.exponentialHistogram.aggregationTemporality"))).alias("temporality"), F.when(F.col("x.kind") == "sum", F.coalesce("m.sum.isMonotonic", F.lit(False))).alias("monotonic"),
         F.when((F.col("x.kind") == "histogram") & (F.size(p["bucketCounts"]) > 0), bounds).alias("buckets"), F.transform(p["quantileValues"], lambda q: F.struct(q["quantile"].alias("q"), q["value"].alias("v"))).alias("quantiles"), p["count"].try_cast("bigint").alias("count"), p["sum"].alias("sum"), p["min"].alias("min"), p["max"].alias("max"),
+        F.when(p["scale"].isNotNull() | (F.col("x.kind") == "exponentialHistogram"), F.struct(
+            F.coalesce(p["scale"], F.lit(0)).alias("scale"), F.coalesce(p["zeroCount"].try_cast("bigint"), F.lit(0)).alias("zero_count"), F.coalesce(p["zeroThreshold"], F.lit(0.0)).alias("zero_threshold"),
+            *[x for n, k in (("pos_offset", "positive"), ("neg_offset", "negative")) for x in (F.coalesce(p[k]["offset"], F.lit(0)).alias(n), p[k]["bucketCounts"].try_cast("array<bigint>").alias(k))],
+        )).alias("exp"),
     )
 
 
@@ -332,6 +336,49 @@ def to_series_v2(m: DataFrame) -> DataFrame:
     return m.select("_seq", F.concat(F.lit('{"series":['), one, F.lit("]}")).alias("body"))
 
 
+SERIES_DISTRIBUTION = "series array<struct<metric:string,points:array<variant>,host:string,tags:array<string>>>"
+
+
+def distribution_points(df: DataFrame, body: str = "body") -> DataFrame:
+    """Samples rows of distribution bodies: points are [time, [values]]."""
+    from strandline.sources.text import tag_map
+
+    rest = [c for c in df.columns if c != body]
+    d = df.select(*rest, F.explode_outer(F.from_json(F.col(body), SERIES_DISTRIBUTION)["series"]).alias("s")).select(*rest, "s", F.explode_outer("s.points").alias("p")).where("p is not null")
+    host = F.map_filter(F.create_map(F.lit("host.name"), V.s(F.col("s.host"))), lambda _, v: v.isNotNull())
+    at, vals = F.try_variant_get("p", "$[0]", "double"), F.try_variant_get("p", "$[1]", "array<double>")
+    return d.select(*rest, F.col("s.metric").alias("name"), F.lit("samples").alias("kind"), (at * 1e9).cast("bigint").alias("ts_ns"), vals.alias("samples"), F.lit(1.0).alias("sample_rate"), V.merge(tag_map(F.coalesce("s.tags", F.array().cast("array<string>"))), host).alias("attributes")).where("ts_ns is not null and samples is not null")
+
+
+_EVENT_BODY = "title string, text string, date_happened bigint, priority string, alert_type string, host string, tags array<string>, aggregation_key string, source_type_name string"
+_CHECK_BODY = "check string, host_name string, status int, timestamp bigint, message string, tags array<string>"
+
+
+def event_posts(df: DataFrame, body: str = "body") -> DataFrame:
+    """Log rows of event bodies; a body without title and text is left out."""
+    from strandline.sources.text import tag_map
+
+    rest = [c for c in df.columns if c != body]
+    d = df.select(*rest, F.from_json(F.col(body), _EVENT_BODY).alias("e")).where("e.title is not null or e.text is not null")
+    own = {"event.title": "title", "event.priority": "priority", "event.alert_type": "alert_type", "event.aggregation_key": "aggregation_key", "event.source_type": "source_type_name", "host.name": "host"}
+    known = F.map_filter(F.create_map(*[x for k, c in own.items() for x in (F.lit(k), V.s(F.col(f"e.{c}")))]), lambda _, v: v.isNotNull())
+    kind = F.col("e.alert_type")
+    severity = F.when(kind == "error", "error").when(kind == "warning", "warn").when(kind.isNotNull(), "info")
+    return d.select(*rest, F.col("e.text").alias("message"), severity.alias("severity"), (F.col("e.date_happened") * 1_000_000_000).alias("ts_ns"), V.merge(tag_map(F.coalesce("e.tags", F.array().cast("array<string>"))), known).alias("attributes"))
+
+
+def check_runs(df: DataFrame, body: str = "body") -> DataFrame:
+    """Log rows of service-check bodies, an object or an array of them; a status beyond 3 is left out."""
+    from strandline.sources.text import tag_map
+
+    t = F.btrim(F.col(body))
+    rest = [c for c in df.columns if c != body]
+    d = df.select(*rest, F.explode_outer(F.from_json(F.when(t.startswith("["), t).otherwise(F.concat(F.lit("["), t, F.lit("]"))), f"array<struct<{_CHECK_BODY.replace(' string', ':string').replace(' bigint', ':bigint').replace(' int', ':int').replace(' array', ':array').replace(', ', ',')}>>")).alias("c"))
+    d = d.where("c.check is not null and c.status between 0 and 3")
+    known = F.map_filter(F.create_map(F.lit("service_check.name"), V.s(F.col("c.check")), F.lit("service_check.status"), F.concat(F.lit("u"), F.col("c.status").cast("string")), F.lit("service_check.message"), V.s(F.col("c.message")), F.lit("host.name"), V.s(F.col("c.host_name"))), lambda _, v: v.isNotNull())
+    return d.select(*rest, F.lit(None).cast("string").alias("message"), (F.col("c.timestamp") * 1_000_000_000).alias("ts_ns"), V.merge(tag_map(F.coalesce("c.tags", F.array().cast("array<string>"))), known).alias("attributes"))
+
+
 def log_intake(df: DataFrame, body: str = "body") -> DataFrame:
     """Log rows of a log-intake body: an object or an array with message, ddtags, hostname, service, status."""
     from strandline.sources.text import tag_map

@@ -188,9 +188,11 @@ def multi_value(m: DataFrame, quantiles: dict[float, str] | None = None) -> Data
     total = F.aggregate(F.coalesce("buckets", F.array().cast(m.schema["buckets"].dataType)), F.lit(0).cast("bigint"), lambda n, b: n + b["count"])
     hist = F.concat(F.array(part(".count", total), part(".sum", F.col("sum")), part(".min", F.col("min")), part(".max", F.col("max"))), F.transform("buckets", lambda b: part(F.concat(F.lit(".bucket_"), number_token(b["bound"])), b["count"])))
     summ = F.concat(F.array(part(".count", F.col("count")), part(".sum", F.col("sum"))), F.transform("quantiles", lambda q: part(F.concat(F.lit(".q"), number_token(q["q"])), q["v"])))
+    zero = [part(".zero_count", F.col("exp.zero_count"))] if "exp" in m.columns else []
+    expo = F.array(part(".count", F.col("count")), part(".sum", F.col("sum")), part(".min", F.col("min")), part(".max", F.col("max")), *zero)
     sets = F.array(part(".count", F.size(F.array_distinct("members"))))
     plain = F.array(part("", F.col("value")))
-    parts = F.when(F.col("kind") == "distribution", dist).when(F.col("kind") == "histogram", hist).when(F.col("kind") == "summary", summ).when(F.col("kind").isin("set", "set_members"), sets).otherwise(plain)
+    parts = F.when(F.col("kind") == "distribution", dist).when(F.col("kind") == "histogram", hist).when(F.col("kind") == "exponential_histogram", expo).when(F.col("kind") == "summary", summ).when(F.col("kind").isin("set", "set_members"), sets).otherwise(plain)
     d = m.withColumn("_p", F.explode_outer(F.filter(F.coalesce(parts, none), lambda p: V.finite(p["v"]).isNotNull()))).where("_p is not null")
     return d.withColumn("name", F.concat("name", F.col("_p.suffix"))).withColumn("value", F.col("_p.v")).drop("_p")
 
@@ -235,7 +237,7 @@ def prometheus(lines: DataFrame, openmetrics: bool = False) -> DataFrame:
     ts = F.when(g(4) == "", F.col("ts_ns")).otherwise(V.decimal_nanos(g(4), 9 if openmetrics else 6))
     d = lines.where(~F.col("line").startswith("#") & F.col("line").rlike(PROMETHEUS)).select("_seq", ts.alias("ts_ns"), g(1).alias("name"), V.from_pairs(k, raw).alias("attributes"), num.alias("value"))
     types = lines.where(F.col("line").rlike(r"^# TYPE \S+ \S+")).select(F.regexp_extract("line", r"^# TYPE (\S+) (\S+)", 1).alias("family"), F.regexp_extract("line", r"^# TYPE (\S+) (\S+)", 2).alias("type")).dropDuplicates(["family"])
-    d = d.withColumn("family", F.regexp_replace("name", "_(bucket|sum|count|total|created)$", ""))
+    d = d.withColumn("family", F.regexp_replace("name", "_(bucket|sum|count|total|created|info)$", ""))
     a = types.withColumnsRenamed({"family": "_f", "type": "_t"})
     exact = d.join(types.withColumnsRenamed({"family": "name", "type": "_exact"}), "name", "left").join(a, F.col("family") == F.col("_f"), "left")
     return exact.withColumn("type", F.coalesce("_exact", "_t", F.lit("untyped"))).withColumn("family", F.when(F.col("_exact").isNotNull(), F.col("name")).otherwise(F.col("family"))).drop("_exact", "_f", "_t")
@@ -259,6 +261,21 @@ def prometheus_histograms(samples: DataFrame) -> DataFrame:
     return out.select(F.col("family").alias("name"), "attributes", "ts_ns", F.lit("histogram").alias("kind"), F.lit("cumulative").alias("temporality"), "buckets", "sum", "count")
 
 
+def prometheus_summaries(samples: DataFrame) -> DataFrame:
+    """Summary rows from quantile samples, _sum and _count."""
+    s = samples.where("type = 'summary'").withColumn("q", V.text(F.col("attributes")["quantile"]).try_cast("double"))
+    s = s.withColumn("attributes", F.map_filter("attributes", lambda k, _: k != "quantile")).withColumn("_k", F.to_json(F.sort_array(F.map_entries("attributes"))))
+    one = lambda end: F.max(F.when(F.col("name").endswith(end), F.col("value")))
+    out = s.groupBy("family", "_k", "ts_ns").agg(F.first("attributes").alias("attributes"), F.sort_array(F.collect_list(F.when(F.col("q").isNotNull(), F.struct("q", F.col("value").alias("v"))))).alias("quantiles"), one("_sum").alias("sum"), one("_count").cast("bigint").alias("count"))
+    return out.select(F.col("family").alias("name"), "attributes", "ts_ns", F.lit("summary").alias("kind"), F.lit("cumulative").alias("temporality"), "quantiles", "sum", "count")
+
+
+def prometheus_states(samples: DataFrame) -> DataFrame:
+    """Info and state-set samples as gauges flagged with their type."""
+    t = samples.where("type in ('info', 'stateset')")
+    return t.select("name", V.merge(F.col("attributes"), F.create_map(F.lit(PRIVATE + "metrics.type"), V.s(F.col("type")))).alias("attributes"), "ts_ns", F.lit("gauge").alias("kind"), "value")
+
+
 def sanitised_name(c: Column) -> Column:
     """A metric or label name in the exposition format's alphabet."""
     return F.regexp_replace(F.regexp_replace(c, r"[^a-zA-Z0-9_:]", "_"), r"^(\d)", "_$1")

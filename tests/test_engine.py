@@ -399,6 +399,32 @@ class TestDelta:
         assert got == {1: ("first", None, None), 2: ("difference", [1, 3], 6.0), 3: ("reset", [0, 1], 1.0), 4: ("layout", None, None)}
 
 
+    def test_exponential_histogram(self, spark):
+        h = lambda scale, pos, zero=0, off=0, neg=None, noff=0: Row(scale=scale, zero_count=zero, zero_threshold=0.0, pos_offset=off, positive=pos, neg_offset=noff, negative=neg)
+        rows = [(1, 1, h(1, [1, 2, 3, 4], off=-3), 1.0, 10), (2, 2, h(0, [1, 6, 9], 2, off=-2), 5.0, 20), (3, 2, h(0, [9]), 9.0, 9), (4, 3, h(0, [2, 1, 1], off=-2), 1.0, 4), (5, 4, h(2, [5]), 2.0, 5), (6, 5, h(2, [5, 1], neg=[2], noff=3), 3.0, 8), (7, 6, None, 0.0, 0), (8, 7, h(2, None, neg=[3], noff=3), 3.0, 8)]
+        kind = dict((f.name, f.dataType.simpleString()) for f in METRIC)["exp"]
+        df = spark.createDataFrame([("a", *r) for r in rows], f"s string, _seq bigint, ts_ns bigint, exp {kind}, sum double, count bigint")
+        got = {r._seq: (r.rule, r.delta_exp and (r.delta_exp.positive, r.delta_exp.negative, r.delta_exp.zero_count), r.delta_sum, r.delta_count) for r in delta.exponential_to_delta(df, ["s"]).collect()}
+        # scale 1 to 0: buckets -3, -2, -1, 0 fold to -2: 1, -1: 2 + 3, 0: 4
+        assert got == {1: ("first", None, None, None), 2: ("difference", ([0, 1, 5], None, 2), 4.0, 10), 4: ("reset", ([2, 1, 1], None, 0), 1.0, 4), 5: ("layout", None, None, None), 6: ("difference", ([0, 1], [2], 0), 1.0, 3), 8: ("reset", (None, [3], 0), 3.0, 8)}
+
+    def test_hot_series_in_pieces(self, spark, monkeypatch):
+        r = random.Random(8)
+        rows = [("a" if r.random() < 0.8 else None, i, r.randrange(400), r.randrange(50)) for i in range(500)]
+        df = spark.createDataFrame(rows, "s string, _seq bigint, ts_ns bigint, value bigint")
+        whole = sorted(map(str, delta.cumulative_to_delta(df, ["s"]).collect()))
+        monkeypatch.setattr(delta, "CHUNK", 7)
+        assert sorted(map(str, delta.cumulative_to_delta(df, ["s"]).collect())) == whole
+        at, want = {}, {}
+        for s, i, t, v in rows:
+            if s in at and t <= at[s][0]:
+                want[i] = "duplicate" if t == at[s][0] else "out_of_order"
+                continue
+            want[i] = "first" if s not in at else "reset" if v < at[s][1] else "difference"
+            at[s] = (t, v)
+        assert {x._seq: x.rule for x in delta.cumulative_to_delta(df, ["s"]).collect()} == want
+
+
 class TestDedup:
     def run(self, spark, *rows, **k):
         """rows: (seq, ts, {field: value}, attributes)."""
@@ -488,6 +514,7 @@ class TestCodecs:
         m = [Row(**{f.name: v.get(f.name) for f in METRIC}) for v in (
             {"name": "s", "kind": "sum", "value": 3.0, "value_i64": 3, "value_type": "i", "temporality": "delta", "monotonic": True}, {"name": "g", "kind": "gauge", "value": math.inf, "value_type": "f", "unit": "ms"},
             {"name": "d", "kind": "samples", "samples": [1.0, 2.5], "sample_rate": 0.5}, {"name": "h", "kind": "histogram", "temporality": "cumulative", "buckets": [Row(bound=1.0, count=2), Row(bound=math.inf, count=1)], "sum": 2.0},
+            {"name": "x", "kind": "exponential_histogram", "temporality": "cumulative", "exp": Row(scale=2, zero_count=1, zero_threshold=0.5, pos_offset=-3, positive=[1, 0, 2], neg_offset=0, negative=None), "count": 4},
             {"name": "q", "kind": "distribution", "bins": {5: 1.0, -3: 2.0, 0: 4.0}, "count": 7})]
         e = event(1, ts=1_700_000_000_123_456_789, attributes={"a": "i1", "b": "f1.5", "c": "u18446744073709551615", "d": "t1700000000000000001", "e": "n", "f/g~": "fNaN", "h": 'sx"y\n'}, message='m "q"', metrics=m, resource={"r": "sx"})
         df = events(spark, e)

@@ -212,7 +212,7 @@ def viterbi(ids: np.ndarray, scores: np.ndarray, switch: float = SWITCH) -> np.n
     return out
 
 
-def label_words(ids: np.ndarray, owner: np.ndarray, texts: int, model: Model, values: int = 8_000_000) -> np.ndarray:
+def label_words(ids: np.ndarray, owner: np.ndarray, texts: int, model: Model, values: int = 4_000_000) -> np.ndarray:
     """State of every word; texts of like length go through the Viterbi pass side by side."""
     pad = len(model.scores) - 1
     cells = values // model.scores.shape[1]
@@ -263,7 +263,7 @@ def spans(words: pa.Array, owner: np.ndarray, texts: int, model: Model, whole: b
     }
 
 
-def _slices(batch: pa.RecordBatch, chars: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with bounded text, so that memory doesn't grow with it."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
     at = 0

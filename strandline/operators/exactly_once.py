@@ -43,28 +43,34 @@ class LedgerConflict(RuntimeError):
     """Another writer has published this version of the ledger."""
 
 
+def _keys(ident: list[str]) -> list[str]:
+    """Names of the identifier's columns within a ledger, which clash with none of its own."""
+    return [f"k{i}" for i in range(len(ident))]
+
+
 def _routed(rows: DataFrame, ident: list[str], row_id: str, shards: int) -> DataFrame:
+    """(k0..., row_id, shard) of all rows."""
     kinds = dict(rows.dtypes)
-    clean = [(F.col(c) + F.lit(0.0)).cast(kinds[c]).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in ident]
-    return rows.select(*clean, F.col(row_id).alias("row_id")).withColumn("shard", F.pmod(F.xxhash64(*ident), F.lit(shards)).cast("int"))
+    clean = [((F.col(c) + F.lit(0.0)).cast(kinds[c]) if kinds[c] in ("double", "float") else F.col(c)).alias(k) for c, k in zip(ident, _keys(ident), strict=True)]
+    return rows.select(*clean, F.col(row_id).alias("row_id")).withColumn("shard", F.pmod(F.xxhash64(*_keys(ident)), F.lit(shards)).cast("int"))
 
 
 def merged(rows: DataFrame, ident: list[str], row_id: str, shards: int) -> DataFrame:
-    """(shard, ident..., row_id, n): each identifier once, with its smallest row id and number of copies."""
-    return _routed(rows, ident, row_id, shards).groupBy("shard", *ident).agg(F.min("row_id").alias("row_id"), F.count("*").alias("n"))
+    """(shard, k0..., row_id, n): each identifier once, with its smallest row id and number of copies."""
+    return _routed(rows, ident, row_id, shards).groupBy("shard", *_keys(ident)).agg(F.min("row_id").alias("row_id"), F.count("*").alias("n"))
 
 
-def _same(ident: list[str], left: str, right: str) -> Column:
+def _same(keys: list[str], left: str, right: str) -> Column:
     out = F.col(f"{left}.shard") == F.col(f"{right}.shard")
-    for c in ident:
+    for c in keys:
         out = out & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
     return out
 
 
-def numbered(fresh: DataFrame, ident: list[str], parts: int = 1) -> DataFrame:
+def numbered(fresh: DataFrame, keys: list[str], parts: int = 1) -> DataFrame:
     """fresh with ``code``: dense per shard, in the order of ``parts`` sub-ranges of a hash and then of the identifier."""
-    d = fresh.withColumn("_sub", F.pmod(F.xxhash64(F.lit("sub"), *ident), F.lit(parts)).cast("int"))
-    d = d.withColumn("code", (F.row_number().over(W.partitionBy("shard", "_sub").orderBy(*ident)) - 1).cast("bigint"))
+    d = fresh.withColumn("_sub", F.pmod(F.xxhash64(F.lit("sub"), *keys), F.lit(parts)).cast("int"))
+    d = d.withColumn("code", (F.row_number().over(W.partitionBy("shard", "_sub").orderBy(*keys)) - 1).cast("bigint"))
     if parts > 1:
         sizes = d.groupBy("shard", "_sub").agg(F.count("*").alias("_size"))
         before = F.coalesce(F.sum("_size").over(W.partitionBy("shard").orderBy("_sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -117,7 +123,7 @@ def _publish(spark: SparkSession, ledger: str, entry: dict) -> None:
 
 
 def dictionary(spark: SparkSession, ledger: str, past: list[dict] | None = None) -> DataFrame | None:
-    """(shard, code, ident..., row_id, n): every admitted message; None for a new ledger."""
+    """(shard, code, k0..., row_id, n): every admitted message; None for a new ledger."""
     past = commits(spark, ledger) if past is None else past
     return spark.read.parquet(*[f"{ledger}/{c['folder']}/dictionary" for c in past]) if past else None
 
@@ -137,7 +143,7 @@ def apply_batch(batch: DataFrame, ident: list[str], row_id: str, ledger: str, ba
     ledger. A batch under a ``batch_id`` that was published before changes nothing and
     gives the rows it gave then; without an id it is a batch of its own.
     """
-    spark = batch.sparkSession
+    spark, keys = batch.sparkSession, _keys(ident)
     past = commits(spark, ledger)
     done = [c for c in past if batch_id is not None and c["batch"] == batch_id]
     if not done:
@@ -147,37 +153,37 @@ def apply_batch(batch: DataFrame, ident: list[str], row_id: str, ledger: str, ba
         known = dictionary(spark, ledger, past)
         parts = max(1, -(-rows // (shards * SHARD_ROWS * 4)))
         if known is None:
-            unseen = with_bit(numbered(coded, ident, parts))
+            unseen = with_bit(numbered(coded, keys, parts))
         else:
-            coded = coded.alias("a").join(known.select("shard", "code", *ident).alias("b"), _same(ident, "a", "b"), "left").select("a.*", "b.code")
+            coded = coded.alias("a").join(known.select("shard", "code", *keys).alias("b"), _same(keys, "a", "b"), "left").select("a.*", "b.code")
             base = known.groupBy("shard").agg((F.max("code") + 1).alias("base"))
-            fresh = numbered(coded.where("code is null").drop("code"), ident, parts).join(F.broadcast(base) if shards <= 100_000 else base, "shard", "left")
+            fresh = numbered(coded.where("code is null").drop("code"), keys, parts).join(F.broadcast(base) if shards <= 100_000 else base, "shard", "left")
             fresh = fresh.withColumn("code", F.col("code") + F.coalesce("base", F.lit(0))).drop("base")
             every = with_bit(coded.where("code is not null").unionByName(fresh))
             unseen = every.join(bitmaps(spark, ledger, past), ["shard", "bucket"], "left").where(~has_bit(F.col("bitmap"), F.col("pos")))
         folder = f"part-{uuid.uuid4().hex}"
-        unseen.select("shard", "code", *ident, "row_id", "n").write.parquet(f"{ledger}/{folder}/dictionary")
+        unseen.select("shard", "code", *keys, "row_id", "n").write.parquet(f"{ledger}/{folder}/dictionary")
         new = with_bit(spark.read.parquet(f"{ledger}/{folder}/dictionary").select("shard", "code"))
         new.groupBy("shard", "bucket").agg(F.bitmap_construct_agg("pos").alias("bitmap")).write.parquet(f"{ledger}/{folder}/bitmaps")
         done = [{"number": len(past), "batch": batch_id, "folder": folder, "shards": shards, "rows": rows}]
         _publish(spark, ledger, done[0])
-    return spark.read.parquet(f"{ledger}/{done[0]['folder']}/dictionary").select(*ident, F.col("row_id").alias(row_id))
+    return spark.read.parquet(f"{ledger}/{done[0]['folder']}/dictionary").select(*[F.col(k).alias(c) for k, c in zip(keys, ident, strict=True)], F.col("row_id").alias(row_id))
 
 
 def copies(rows: DataFrame, ident: list[str], row_id: str) -> DataFrame:
     """(kept_id, copy_id) for every copy that isn't kept: ``rows`` as one batch against a new ledger."""
-    spark = rows.sparkSession
+    spark, keys = rows.sparkSession, _keys(ident)
     ledger = scratch(spark)
     apply_batch(rows, ident, row_id, ledger, "all")
     commit = commits(spark, ledger)[0]
-    repeated = dictionary(spark, ledger).where("n > 1").select("shard", *ident, F.col("row_id").alias("kept_id"), "n")
+    repeated = dictionary(spark, ledger).where("n > 1").select("shard", *keys, F.col("row_id").alias("kept_id"), "n")
     least = max(HOT_LEAST, HOT_SHARE * commit["rows"])
-    hot = repeated.where(F.col("n") >= least).select("*", F.xxhash64(*ident).alias("_h"))
+    hot = repeated.where(F.col("n") >= least).select("*", F.xxhash64(*keys).alias("_h"))
     hashes = [r["_h"] for r in hot.select("_h").collect()]  # at most 1 / HOT_SHARE
     d = _routed(rows, ident, row_id, commit["shards"])
-    found = [(d.where(~F.xxhash64(*ident).isin(hashes)) if hashes else d, repeated.where(~F.xxhash64(*ident).isin(hashes)) if hashes else repeated)]
+    found = [(d.where(~F.xxhash64(*keys).isin(hashes)) if hashes else d, repeated.where(~F.xxhash64(*keys).isin(hashes)) if hashes else repeated)]
     if hashes:
-        found.append((d.where(F.xxhash64(*ident).isin(hashes)), F.broadcast(repeated.where(F.xxhash64(*ident).isin(hashes)))))
-    parts = [a.alias("a").join(b.alias("b"), _same(ident, "a", "b")).select("b.kept_id", F.col("a.row_id").alias("copy_id")) for a, b in found]
+        found.append((d.where(F.xxhash64(*keys).isin(hashes)), F.broadcast(repeated.where(F.xxhash64(*keys).isin(hashes)))))
+    parts = [a.alias("a").join(b.alias("b"), _same(keys, "a", "b")).select("b.kept_id", F.col("a.row_id").alias("copy_id")) for a, b in found]
     out = parts[0].unionByName(parts[1]) if hashes else parts[0]
     return out.where("kept_id is not null and (copy_id is null or copy_id <> kept_id)")

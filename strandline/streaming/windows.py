@@ -84,19 +84,36 @@ def running_totals(points: DataFrame, series: list[str], timeout: str = "1 hour"
     return points.groupBy(*series).applyInPandasWithState(step, schema, "total double, start bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def late_counters(deliveries: DataFrame, table: str, checkpoint: str, group: list[str], once: bool = True, **columns: str) -> StreamingQuery:
+def late_counters(deliveries: DataFrame, table: str, checkpoint: str, group: list[str], once: bool = True, counted: str | None = None, **columns: str) -> StreamingQuery:
     """Fold a stream of deliveries into dots kept under ``table``; ``latest_dots`` reads them.
 
     Each batch writes its dots as one part named by its id, so a repeated batch overwrites
-    itself; merging by earliest arrival makes the union of parts the state.
+    itself; merging by earliest arrival makes the union of parts the state. ``counted`` is
+    the folder of identifiers that ``settle`` has left; their records are left out.
     """
     def one(batch: DataFrame, batch_id: int) -> None:
-        late_events.dots(batch, group=group, **columns).write.mode("overwrite").parquet(f"{table}/part={batch_id}")
+        d = late_events.dots(batch, group=group, **columns)
+        if counted:
+            d = late_events.reopen(d, batch.sparkSession.read.parquet(counted), columns["key"])
+        d.write.mode("overwrite").parquet(f"{table}/part={batch_id}")
 
     w = deliveries.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 
+def settle(dots: DataFrame, out: str, key: str, group: list[str], now_ns: int) -> None:
+    """Close the periods past their cut-off at ``now_ns``: folders dots, totals and counted under ``out``.
+
+    What a state holds after that is its open periods' dots, and of the closed ones a
+    total each and the identifiers; the parts before can go.
+    """
+    d = late_events.with_outcome(latest_dots(dots, key, group))
+    stay, shut, counted = late_events.close(d, key, group, now_ns)
+    stay.drop("outcome").write.parquet(f"{out}/dots/part=-1")
+    shut.write.parquet(f"{out}/totals")
+    counted.write.parquet(f"{out}/counted")
+
+
 def latest_dots(dots: DataFrame, key: str, group: list[str]) -> DataFrame:
     """Dots of all parts merged: of each record its earliest arrival."""
     return late_events.merge_dots([dots], key, group)

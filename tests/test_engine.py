@@ -729,6 +729,26 @@ class TestStreams:
         d = windows.latest_dots(spark.read.parquet(str(tmp_path / "dots")), "log_id", ["service_name"])
         assert {r.log_id: r.arrival for r in d.collect()} == {1: 400, 2: 10}
 
+    def test_settled_counters(self, spark, tmp_path):
+        """Closing on the way: a record that was counted doesn't count again, a new one beyond the cut-off does."""
+        from datetime import datetime
+
+        from strandline.operators import late_events
+
+        schema, hour, t = "log_id bigint, event_timestamp bigint, observed_timestamp bigint, received_at timestamp, service_name string, host_name string", 3_600_000_000_000, datetime(2024, 1, 1)
+        row = lambda k, e, o: (k, e, o, t, "a", "h")
+        first, later = [row(1, 5, 9), row(2, 5, 2 * hour), row(3, 29 * hour, 29 * hour)], [row(1, 5, 40 * hour), row(4, 5, 40 * hour), row(3, 29 * hour, 30 * hour), row(5, 29 * hour, 31 * hour)]
+        options = dict(key="log_id", event="event_timestamp", observed="observed_timestamp", received="received_at", source="host_name")
+        (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+        windows.late_counters(self.source(spark, tmp_path / "a", [first], schema), str(tmp_path / "dots"), str(tmp_path / "c1"), ["service_name"], **options).awaitTermination(120)
+        out = str(tmp_path / "out")
+        windows.settle(spark.read.parquet(str(tmp_path / "dots")).drop("part"), out, "log_id", ["service_name"], 30 * hour)
+        windows.late_counters(self.source(spark, tmp_path / "b", [later], schema), out + "/dots", str(tmp_path / "c2"), ["service_name"], counted=out + "/counted", **options).awaitTermination(120)
+        d = late_events.with_outcome(windows.latest_dots(spark.read.parquet(out + "/dots").drop("part"), "log_id", ["service_name"]))
+        open_ = late_events.totals(late_events.versions(d, ["service_name"]), ["service_name"])
+        got = late_events.add_totals([spark.read.parquet(out + "/totals"), open_], ["service_name"])
+        assert {(r.period_end // hour, r.n, r.dropped) for r in got.collect()} == {(1, 2, 1), (30, 2, 0)}
+
     def test_event_time(self, spark):
         from datetime import datetime
 

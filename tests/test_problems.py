@@ -306,6 +306,13 @@ class TestExactlyOnce:
         assert exactly_once.bitmaps(spark, ledger).agg(F.sum(F.bitmap_count("bitmap"))).first()[0] == 7
         assert [c["batch"] for c in exactly_once.commits(spark, ledger)] == ["one", "again", "two", "none"]
 
+    def test_clashing_names_and_nulls(self, spark, tmp_path):
+        rows = [(5, None, "a", 1), (3, None, "a", 2), (7, 1, None, 3), (None, 1, None, 4), (8, 2, "", 5)]
+        df = spark.createDataFrame(rows, "row_id bigint, shard int, code string, n int")
+        assert {(r.kept_id, r.copy_id) for r in exactly_once.copies(df, ["shard", "code"], "row_id").collect()} == {(3, 5), (7, None)}
+        got = exactly_once.apply_batch(df, ["shard", "code"], "row_id", str(tmp_path / "l"), "b")
+        assert got.columns == ["shard", "code", "row_id"] and sorted(r.row_id for r in got.collect()) == [3, 7, 8]
+
     def test_second_writer_fails(self, spark, tmp_path):
         ledger = str(tmp_path / "ledger")
         exactly_once._publish(spark, ledger, {"number": 0, "batch": "a", "folder": "x", "shards": 1, "rows": 0})

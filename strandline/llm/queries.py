@@ -176,15 +176,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_account(spark: SparkSession, d: str) -> DataFrame:
-    """Per target source: tokens available, whether it falls short, keeps its cap on repeats and, where it doesn't fall short, gives its share of what was mixed."""
+    """Per target source: tokens available, whether it falls short, keeps its cap on repeats, and gives all it has or, of what the sources with more to give have given, its share."""
     mixed, docs, targets = _mix(spark, d)
     s = mixing.shares(mixed, docs, targets)
     uses = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("k")).groupBy("source").agg(F.max("k").alias("most"))
     largest = docs.agg(F.max("tokens").alias("largest"))
     s = s.join(uses, "source", "left").join(F.broadcast(largest))  # one row
-    s = s.join(F.broadcast(s.groupBy("short").agg(F.sum("used").alias("group_used"), F.sum("target_share").alias("group_share"))), "short")  # two rows
+    s = s.withColumn("gone", F.col("used") >= F.col("available"))
+    s = s.join(F.broadcast(s.groupBy("gone").agg(F.sum("used").alias("group_used"), F.sum("target_share").alias("group_share"))), "gone")  # two rows
     fair = F.abs(F.col("used") - F.col("group_used") * F.col("target_share") / F.col("group_share")) <= 2 * F.col("largest")
-    return s.select("source", "available", "short", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("capped"), (F.when(F.col("short"), F.col("used") == F.col("available")).otherwise(fair)).alias("as_aimed"))
+    return s.select("source", "available", "short", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("capped"), (F.when(F.col("gone"), F.col("used") == F.col("available")).otherwise(fair)).alias("as_aimed"))
 
 
 def _model(spark: SparkSession, d: str) -> language.Model:
